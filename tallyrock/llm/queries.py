@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = {"op2_quality_llr": "quality"}
+MODULES = {"op2_quality_llr": "quality", "op8_simhash_bktree": "simhash"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
