@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = {"op2_quality_llr": "quality", "op3_decontaminate": "decontaminate", "op8_simhash_bktree": "simhash", "op9_pii": "pii"}
+MODULES = {"op1_merge_dropout": "pieces", "op2_quality_llr": "quality", "op3_decontaminate": "decontaminate", "op8_simhash_bktree": "simhash", "op9_pii": "pii"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
