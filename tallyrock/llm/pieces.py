@@ -1,12 +1,12 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
-Encoding is the BPE agenda of a SentencePiece model: candidate merges leave a priority queue
-by score, then place. With dropout, a candidate that leaves the queue is skipped when a keyed
-hash of it falls below ``dropout``: the key is the seed and the occurrence's draw, and hashed
+Encoding is the BPE agenda of a SentencePiece model: candidate merges leave the agenda by
+score, then place. With dropout, a candidate that leaves the agenda is skipped when a keyed
+hash of it falls below ``dropout``: the key is the seed and the document's draw, and hashed
 are the merged piece, the length of its left half and its place in the word. A draw is one of
-``DRAWS`` numbers that an occurrence gets from the seed, its document's id and its position;
-so a word is segmented in up to that many ways, all repeatable, and a worker keeps the ways
-it has met in a cache of at most ``CACHE`` entries. With dropout 0 the result is that of the
+``DRAWS`` numbers that a document gets from the seed and its id; so a word is segmented in up
+to that many ways for each seed, all repeatable, and a worker keeps the ways it has met in a
+cache of about ``CACHE`` entries. With dropout 0 the result is that of the
 model's own encoder. A literal U+2581 is written as its three bytes, so that decoding gives
 back every text.
 
@@ -17,7 +17,6 @@ results. Other columns are not read.
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,7 +30,9 @@ from xxhash import xxh64_intdigest
 from tallyrock.llm.text import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, DRAWS, CACHE = 0.1, 20, 4, 500_000
+DROPOUT, SEED, DRAWS, CACHE = 0.1, 20, 8, 600_000
+#: Symbols merged at once, texts encoded at once, and the longest part that is kept.
+ROUND, TEXTS, LONG = 1 << 18, 512, 48
 _BLANK, _NONE = "▁", float("-inf")
 
 
@@ -46,10 +47,12 @@ class Pieces:
         special = {i for i in every if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)}
         self.ids = {model.id_to_piece(i): i for i in every if i not in special}
         self.scores = {p: model.get_score(i) for p, i in self.ids.items()}
-        self.mixed = {p: xxh64_intdigest(p) & 0xFFFFFFFFFFFF for p in self.ids}
+        if model.get_piece_size() > 1 << 16:
+            raise ValueError("ids of more than 16 bits")
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.written = {i: p.replace(_BLANK, " ").encode() for p, i in self.ids.items()}
         self.written |= {i: bytes([b]) for b, i in enumerate(self.bytes)}
+        self._tables()
         inner = [p.lstrip(_BLANK) for p in self.ids]
         if any(_BLANK in p for p in inner) or any(p != p.lstrip(_BLANK) and len(p) - len(p.lstrip(_BLANK)) > 1 and p.lstrip(_BLANK) for p in self.ids):
             raise ValueError("a piece of this model reaches over a word's beginning")
@@ -57,60 +60,99 @@ class Pieces:
         apart = not any(p.isalpha() != p[:1].isalpha() or any(c.isalpha() for c in p) != p.isalpha() for p in inner if p)
         self.parts = re.compile(r" *[^\W\d_]+| *(?:[^ \w]|[\d_])+| +" if apart else r" *[^ ]+| +").findall
 
-    def segment(self, part: str, dropout: float, key: int) -> list[str]:
-        """The pieces of a part, its blanks written as U+2581 and its literal U+2581 as U+0000 U+2581.
-
-        A short part keeps its agenda as the list of its neighbours' scores, a long one as a heap.
-        """
-        symbols = [_BLANK if c == " " else "\0" + c if c == _BLANK else c for c in part] if " " in part or _BLANK in part else list(part)
-        if len(symbols) > 48:
-            return self._segment_long(symbols, dropout, key)
-        get, mixed = self.scores.get, self.mixed
-        agenda = [get(a + b, _NONE) for a, b in zip(symbols, symbols[1:], strict=False)]
-        at, limit = list(range(len(symbols))), int(dropout * 2**32)
-        while agenda and (best := max(agenda)) > _NONE:
-            k = agenda.index(best)
-            a, b = symbols[k], symbols[k + 1]
-            both = a + b
-            if limit and ((mixed[both] ^ key) + at[k] * 0x9E3779B1 + len(a) * 0xC2B2AE35) * 0x85EBCA6B >> 9 & 0xFFFFFFFF < limit:
-                agenda[k] = _NONE
-                continue
-            symbols[k] = both
-            del symbols[k + 1], at[k + 1], agenda[k]
-            if k:
-                agenda[k - 1] = get(symbols[k - 1] + both, _NONE)
-            if k < len(agenda):
-                agenda[k] = get(both + symbols[k + 1], _NONE)
-        return symbols
-
-    def _segment_long(self, symbols: list[str], dropout: float, key: int) -> list[str]:
-        get, mixed, end = self.scores.get, self.mixed, len(symbols)
-        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
-        agenda = [(-s, k, k + 1, a, b) for k, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if (s := get(a + b)) is not None]
-        heapq.heapify(agenda)
-        limit = int(dropout * 2**32)
-        while agenda:
-            _, left, right, a, b = heapq.heappop(agenda)
-            if symbols[left] != a or after[left] != right or symbols[right] != b:
-                continue
-            if limit and ((mixed[a + b] ^ key) + left * 0x9E3779B1 + len(a) * 0xC2B2AE35) * 0x85EBCA6B >> 9 & 0xFFFFFFFF < limit:
-                continue
-            symbols[left], symbols[right] = a + b, ""
-            after[left] = after[right]
-            if after[right] < end:
-                before[after[right]] = left
-            for k in (before[left], left):
-                if k >= 0 and (n := after[k]) < end and (s := get(symbols[k] + symbols[n])) is not None:
-                    heapq.heappush(agenda, (-s, k, n, symbols[k], symbols[n]))
-        return [s for s in symbols if s]
-
-    def encode_part(self, part: str, dropout: float, key: int) -> list[int]:
-        out = []
-        for piece in self.segment(part, dropout, key):
-            known = self.ids.get(piece)
-            out += [known] if known is not None else [self.bytes[b] for b in piece.removeprefix("\0" if len(piece) > 1 else "").encode("utf-8", "replace")]
+    def _tables(self) -> None:
+        """Symbols are the pieces and, after them, characters that only stand inside pieces."""
+        chars = sorted({c for p in self.ids for c in p} - set(self.ids))
+        self.first_extra = 1 + max(self.ids.values())
+        symbol = self.ids | {c: self.first_extra + k for k, c in enumerate(chars)}
+        count = self.first_extra + len(chars)
+        self.of_char = np.full(0x110000, -1, np.int64)
+        for c, k in symbol.items():
+            if len(c) == 1 and c != _BLANK:
+                self.of_char[ord(c)] = k
+        self.of_char[32] = symbol[_BLANK]
+        self.score, self.mixed, self.length = np.full(count, _NONE), np.zeros(count, np.uint64), np.ones(count, np.uint64)
+        for p, k in symbol.items():
+            self.score[k], self.mixed[k], self.length[k] = self.scores.get(p, _NONE), xxh64_intdigest(p) & 0xFFFFFFFFFFFF, len(p)
+        pairs = {symbol[p[:k]] << 32 | symbol[p[k:]]: i for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol}
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.merged = np.array([pairs[k] for k in self.pairs.tolist()], np.int64)
+
+    def _candidates(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each pair of symbols merges to, and its score; -1 and minus infinity for none."""
+        code = np.where((left < 0) | (right < 0), -1, left << 32 | right)
+        k = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+        hit = self.pairs[k] == code
+        merged = np.where(hit, self.merged[k], -1)
+        return merged, np.where(hit, self.score[merged], _NONE)
+
+    def segment_many(self, parts: list[str], keys: np.ndarray, dropout: float) -> list[bytes]:
+        """The pieces of many parts, as 16-bit ids. Each round takes every part's next merge off its agenda."""
+        out: list[bytes] = [b""] * len(parts)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        for size in np.unique(sizes).tolist():
+            rows = np.flatnonzero(sizes == size)
+            for at in range(0, len(rows), max(1, ROUND // size)):
+                some = rows[at : at + max(1, ROUND // size)]
+                where = starts[some, None] + np.arange(size)
+                for row, ids in zip(some.tolist(), self._merged_rows(points[where], keys[some], dropout), strict=True):
+                    out[row] = ids
         return out
 
+    def _merged_rows(self, points: np.ndarray, keys: np.ndarray, dropout: float) -> list[bytes]:
+        """Rows of equal length; a symbol stays at its first character's place, linked to its neighbours."""
+        symbols = self.of_char[points]
+        symbols = np.where(symbols < 0, -2 - points, symbols)  # below -1: characters that no piece has
+        count, size = points.shape
+        width = size + 1  # one place more in a row, where every chain ends
+        flat = np.full((count, width), -1, np.int64)
+        flat[:, :size] = symbols
+        symbols = flat.ravel()
+        place = np.broadcast_to(np.arange(width), (count, width)).ravel()
+        after, before = np.arange(count * width) + 1, np.arange(count * width) - 1
+        merged, agenda = self._candidates(symbols[:-1], symbols[1:])
+        agenda = np.append(agenda, _NONE).reshape(count, width)
+        merged, flat_agenda = np.append(merged, -1), agenda.ravel()
+        limit = np.uint64(int(dropout * 2**32))
+        live = np.arange(count) if size > 1 else np.empty(0, np.int64)
+        while len(live):
+            at = agenda[live].argmax(axis=1) + live * width
+            going = flat_agenda[at] > _NONE
+            live, at = live[going], at[going]
+            if limit and len(at):
+                h = ((self.mixed[merged[at]] ^ keys[live]) + place[at].astype(np.uint64) * np.uint64(0x9E3779B1) + self.length[symbols[at]] * np.uint64(0xC2B2AE35)) * np.uint64(0x85EBCA6B)
+                skip = (h >> np.uint64(9) & np.uint64(0xFFFFFFFF)) < limit
+                flat_agenda[at[skip]] = _NONE
+                at = at[~skip]
+            right = after[at]
+            end = after[right]
+            symbols[at] = merged[at]
+            after[at] = end
+            before[end] = at
+            symbols[right], flat_agenda[right] = -1, _NONE
+            merged[at], flat_agenda[at] = self._candidates(symbols[at], symbols[end])
+            at = at[place[at] > 0]
+            left = before[at]
+            merged[left], flat_agenda[left] = self._candidates(symbols[left], symbols[at])
+        gone = flat != -1  # places that still begin a symbol
+        known = (symbols < self.first_extra).reshape(count, width) & (flat >= -1)
+        plain, used = known.all(axis=1), gone.sum(axis=1)
+        packed, ends = flat[gone].astype("<u2").tobytes(), 2 * np.cumsum(used)
+        return [packed[e - 2 * n : e] if ok else self._with_bytes(flat[r][gone[r]].tolist()) for r, (n, e, ok) in enumerate(zip(used.tolist(), ends.tolist(), plain.tolist(), strict=True))]
+
+    def _with_bytes(self, symbols: list[int]) -> bytes:
+        """Ids of symbols of which some are characters that have no piece: their bytes stand for them."""
+        extra = {k: c for c, k in enumerate(self.of_char.tolist()) if k >= self.first_extra} if any(s >= self.first_extra for s in symbols) else {}
+        ids: list[int] = []
+        for s in symbols:
+            if 0 <= s < self.first_extra:
+                ids.append(s)
+            else:
+                ids += [self.bytes[b] for b in chr(-2 - s if s < 0 else extra[s]).encode("utf-8", "replace")]
+        return np.array(ids, "<u2").tobytes()
+
     def decode(self, ids) -> str:
         written = self.written
         return b"".join([written[i] for i in ids]).removeprefix(b" ").decode("utf-8", "replace")
@@ -127,30 +169,34 @@ class Encoder:
     def __init__(self, path: str, dropout: float, seed: int, draws: int = DRAWS, cache: int = CACHE) -> None:
         self.pieces, self.dropout, self.seed, self.cache = load(path), dropout, seed, cache
         self.draws = draws if dropout else 1
-        self.known: list[dict[str, list[int]]] = [{} for _ in range(self.draws)]
-        self.size = 0
+        self.known: list[dict[str, bytes]] = [{} for _ in range(self.draws)]
+
+    def draw(self, doc_id: object) -> int:
+        return xxh64_intdigest("" if doc_id is None else str(doc_id), self.seed) % self.draws
+
+    def encode_many(self, texts: list[str | None], doc_ids: list) -> list[np.ndarray]:
+        if sum(map(len, self.known)) > self.cache:
+            for ways in self.known:
+                ways.clear()
+        split = [self.pieces.parts(" " + t) if t else [] for t in texts]
+        ways = [self.known[self.draw(d)] for d in doc_ids]
+        new: dict[int, set[str]] = {}
+        for parts, way in zip(split, ways, strict=True):
+            new.setdefault(id(way), set()).update(set(parts).difference(way))
+        words = [sorted(new.get(id(way), ())) for way in self.known]
+        keys = np.repeat(np.array([(self.seed * 0x9E3779B1 + d * 0x85EBCA6B) & 0x7FFFFFFF for d in range(self.draws)], np.uint64), list(map(len, words)))
+        done = iter(self.pieces.segment_many([w for some in words for w in some], keys, self.dropout))
+        for way, some in zip(self.known, words, strict=True):
+            way.update(zip(some, done, strict=False))
+        out = [np.frombuffer(b"".join(map(way.__getitem__, parts)), "<u2").astype(np.int32) for parts, way in zip(split, ways, strict=True)]
+        for way, some in zip(self.known, words, strict=True):
+            for w in some:
+                if len(w) > LONG:  # not worth its memory
+                    del way[w]
+        return out
 
     def encode(self, text: str | None, doc_id: object) -> list[int]:
-        if not text:
-            return []
-        parts = self.pieces.parts(" " + text)
-        start = np.uint64(xxh64_intdigest("" if doc_id is None else str(doc_id), self.seed))
-        places = (np.arange(len(parts), dtype=np.uint64) + start) * np.uint64(0x9E3779B97F4A7C15)
-        draws = ((places ^ places >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) % np.uint64(self.draws)
-        known, out = self.known, []
-        for part, draw in zip(parts, draws.tolist(), strict=True):
-            ids = known[draw].get(part)
-            if ids is None:
-                ids = self.pieces.encode_part(part, self.dropout, (self.seed * 0x9E3779B1 + draw * 0x85EBCA6B) & 0x7FFFFFFF)
-                if self.size >= self.cache:
-                    for ways in known:
-                        ways.clear()
-                    self.size = 0
-                if len(part) <= 64:
-                    known[draw][part] = ids
-                    self.size += 1
-            out += ids
-        return out
+        return self.encode_many([text], [doc_id])[0].tolist()
 
 
 @lru_cache(maxsize=2)
@@ -165,9 +211,12 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model:
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = encoder(model, dropout, seed)
         for frame in frames:
-            ids = [coder.encode(t, d) for d, t in zip(frame[id_col], frame["_text"], strict=True)]
-            same = [coder.pieces.decode(i) == (t or "") for i, t in zip(ids, frame["_text"], strict=True)]
-            yield pd.DataFrame({id_col: frame[id_col], "ids": [np.array(i, np.int32) for i in ids], "lossless": same})
+            for at in range(0, len(frame), TEXTS):
+                some = frame.iloc[at : at + TEXTS]
+                texts = [None if t is None else t for t in some["_text"]]
+                ids = coder.encode_many(texts, some[id_col].tolist())
+                same = [coder.pieces.decode(i.tolist()) == (t or "") for i, t in zip(ids, texts, strict=True)]
+                yield pd.DataFrame({id_col: some[id_col].to_numpy(), "ids": ids, "lossless": same})
 
     return rows.mapInPandas(of, f"`{id_col}` {dict(rows.dtypes)[id_col]}, ids array<int>, lossless boolean")
 

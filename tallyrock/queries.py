@@ -55,16 +55,16 @@ def zone(v: str, e: float, c: float) -> str:
 SELF = f"coalesce(regexp_matches(narrative, '{PATTERNS['self']}', 'i'), false)"
 CRYPTO = f"coalesce(regexp_matches(narrative, '{PATTERNS['crypto']}', 'i'), false)"
 _BARE = "trim(regexp_replace(regexp_replace(narrative, '[0-9\\-_/:#.]+', ' ', 'g'), '\\s+', ' ', 'g'))"
-_WORDS = f"list_filter(string_split({_BARE}, ' '), w -> w <> '')"
-VAGUE = f"coalesce(narrative = '' OR length({_BARE}) < 6 OR (len({_WORDS}) <= 2 AND len(list_filter({_WORDS}, w -> NOT regexp_matches(w, '{PATTERNS['vague']}', 'i'))) = 0), true)"
+_WORDS = f"list_filter(string_split({_BARE}, ' '), lambda w: w <> '')"
+VAGUE = f"coalesce(narrative = '' OR length({_BARE}) < 6 OR (len({_WORDS}) <= 2 AND len(list_filter({_WORDS}, lambda w: NOT regexp_matches(w, '{PATTERNS['vague']}', 'i'))) = 0), true)"
 RISK = f"CASE WHEN upper(trim(counterparty_country)) IN ({listed(BLACK_LIST)}) THEN 'black' WHEN upper(trim(counterparty_country)) IN ({listed(GREY_LIST)}) THEN 'grey' END"
 CREDIT_RISK = "(channel NOT IN ('salary', 'interest', 'cash_deposit'))"
 NAMED = r"coalesce(NOT regexp_matches(trim(counterparty_name), '^(account|instapay)\b', 'i') AND NOT regexp_matches(trim(counterparty_name), '^[0-9X\s.-]+$', 'i') AND length(trim(counterparty_name)) >= 3, false)"
 
 
-@query("SELECT case_id, id, file_id, bank, account_id, posting_date, direction, amount_kwd, currency, channel, counterparty_name, counterparty_bank, counterparty_country, narrative FROM ledger")
+@query("SELECT case_id, id, file_id, bank, account_id, CAST(posting_date AS VARCHAR) AS posting_date, direction, amount_kwd, currency, channel, counterparty_name, counterparty_bank, counterparty_country, narrative FROM ledger")
 def ledger_view(spark, sf_dir):
-    return td.ledger(spark, sf_dir)
+    return td.ledger(spark, sf_dir).withColumn("posting_date", F.col("posting_date").cast("string"))
 
 
 @query("SELECT id FROM ledger WHERE channel IN ('transfer_in', 'transfer_out') OR (channel = 'other' AND amount_kwd >= 100) OR " + SELF)
@@ -102,16 +102,16 @@ def c6_external(spark, sf_dir):
 BREAKDOWN = f"count(*) AS txn_count, {money("CASE WHEN direction = 'credit' THEN amount_kwd END")} AS credits_kwd, {money("CASE WHEN direction = 'debit' THEN amount_kwd END")} AS debits_kwd"
 
 
-@query(f"SELECT case_id, bank, {BREAKDOWN}, min(posting_date) AS first_date, max(posting_date) AS last_date, array_to_string(list_sort(list(DISTINCT account_id)), ',') AS accounts FROM ledger GROUP BY case_id, bank")
+@query(f"SELECT case_id, bank, {BREAKDOWN}, CAST(min(posting_date) AS VARCHAR) AS first_date, CAST(max(posting_date) AS VARCHAR) AS last_date, array_to_string(list_sort(list(DISTINCT account_id)), ',') AS accounts FROM ledger GROUP BY case_id, bank")
 def c7_bank_breakdown(spark, sf_dir):
-    return netting.bank_breakdown(td.ledger(spark, sf_dir)).withColumn("accounts", F.array_join("accounts", ","))
+    return netting.bank_breakdown(td.ledger(spark, sf_dir)).withColumns({"accounts": F.array_join("accounts", ","), **{c: F.col(c).cast("string") for c in ("first_date", "last_date")}})
 
 
-@query(f"""SELECT l.case_id, {BREAKDOWN}, min(posting_date) AS period_start, max(posting_date) AS period_end, any_value(coalesce(p.n, 0)) AS pairs, any_value(coalesce(p.v, 0.0)) AS paired_kwd
+@query(f"""SELECT l.case_id, {BREAKDOWN}, CAST(min(posting_date) AS VARCHAR) AS period_start, CAST(max(posting_date) AS VARCHAR) AS period_end, any_value(coalesce(p.n, 0)) AS pairs, any_value(coalesce(p.v, 0.0)) AS paired_kwd
 FROM ledger l LEFT JOIN (SELECT case_id, count(*) AS n, {money('amount_kwd')} AS v FROM pairs GROUP BY case_id) p ON l.case_id = p.case_id GROUP BY l.case_id""")
 def c8_case_totals(spark, sf_dir):
     txns, pairs, _, _ = parts(spark, sf_dir)
-    return netting.case_totals(txns, pairs)
+    return netting.case_totals(txns, pairs).withColumns({c: F.col(c).cast("string") for c in ("period_start", "period_end")})
 
 
 DIGITS = ", ".join(f"count(*) FILTER (x AND amount_kwd >= 1 AND substr(CAST(amount_kwd AS VARCHAR), 1, 1) = '{d}') AS d{d}" for d in range(1, 10))
