@@ -124,3 +124,37 @@ def with_ledger(sql: str) -> str:
     """A query over the view's tables ledger, pairs, ext and cases."""
     body = sql.strip()
     return "WITH " + LEDGER_SQL.strip() + (", " + body[5:] if body.upper().startswith("WITH ") else "\n" + body)
+
+
+RULE_IDS = ("R-GEO-01", "R-VEL-01", "R-CASH-01")
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored runs, one for each customer: two of three hits fired by the key's remainders."""
+    k = F.col("c_custkey")
+    hits = F.array(*[F.struct(F.lit(r).alias("rule_id"), (k % (n + 2) == 0).alias("fired"), (F.lit(0.5) + (k % 3) * 0.25).alias("weight")) for n, r in enumerate(RULE_IDS)])
+    p = F.floor((F.col("c_acctbal") + 1000) / 11000 * 9000 + 0.5) / 10000
+    values = F.array(F.struct(F.lit("cash_share").alias("key"), (F.col("c_nationkey") / 25.0).alias("value")), F.struct(F.lit("fan_in_count").alias("key"), (k % 40).cast("double").alias("value")))
+    band = F.when(p < 0.05, "Low").when(p < 0.2, "Moderate").when(p < 0.5, "Elevated").when(p < 0.8, "High").otherwise("Critical")
+    made = _read(spark, sf_dir, "customer")
+    return made.select(k.alias("id"), F.floor(k / 15).cast("long").alias("case_id"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 97).cast("int")).alias("created_at"), p.alias("probability"), band.alias("band"), hits.alias("rule_hits"), values.alias("features"))
+
+
+def dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    decision = F.when(k % 9 == 0, "escalate").when(k % 9 == 3, "watchlist").otherwise("close")
+    return _read(spark, sf_dir, "customer").where(k % 3 == 0).select(k.alias("id"), k.alias("run_id"), decision.alias("decision"), F.date_add(F.lit("2024-05-01").cast("date"), (k % 11).cast("int")).alias("created_at"))
+
+
+_P = "floor((c_acctbal + 1000) / 11000 * 9000 + 0.5) / 10000"
+RUNS_SQL = f"""
+runs AS (SELECT c_custkey AS id, c_custkey // 15 AS case_id, DATE '2024-01-01' + CAST(c_custkey % 97 AS INT) AS created_at, {_P} AS probability,
+ CASE WHEN {_P} < 0.05 THEN 'Low' WHEN {_P} < 0.2 THEN 'Moderate' WHEN {_P} < 0.5 THEN 'Elevated' WHEN {_P} < 0.8 THEN 'High' ELSE 'Critical' END AS band, c_nationkey / 25.0 AS cash_share, CAST(c_custkey % 40 AS DOUBLE) AS fan_in FROM customer),
+hits AS ({" UNION ALL ".join(f"SELECT c_custkey AS run_id, c_custkey // 15 AS case_id, '{r}' AS rule_id, c_custkey % {n + 2} = 0 AS fired, 0.5 + (c_custkey % 3) * 0.25 AS weight FROM customer" for n, r in enumerate(RULE_IDS))}),
+latest AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY created_at DESC, id DESC) = 1),
+dispositions AS (SELECT c_custkey AS id, c_custkey AS run_id, CASE WHEN c_custkey % 9 = 0 THEN 'escalate' WHEN c_custkey % 9 = 3 THEN 'watchlist' ELSE 'close' END AS decision, DATE '2024-05-01' + CAST(c_custkey % 11 AS INT) AS created_at FROM customer WHERE c_custkey % 3 = 0)"""
+
+
+def with_runs(sql: str) -> str:
+    body = sql.strip()
+    return "WITH " + LEDGER_SQL.strip() + ", " + RUNS_SQL.strip() + (", " + body[5:] if body.upper().startswith("WITH ") else "\n" + body)
