@@ -165,7 +165,7 @@ def amount_echoes(ext: DataFrame) -> DataFrame:
 def gates(ext: DataFrame, cases: DataFrame) -> DataFrame:
     """(case_id, test, reason): tests without the rows, months or banks they need."""
     groups = ext.groupBy("case_id", "bank", "direction").agg(F.count(F.lit(1)).alias("n")).groupBy("case_id").agg(F.max("n").alias("peers"))
-    base = ext.groupBy("case_id").agg(F.count_distinct(F.date_format("posting_date", "yyyy-MM")).alias("months"), F.count_distinct("bank").alias("banks"), F.count_if("direction = 'credit' and amount_kwd >= 500").alias("credits"), F.count_if("direction = 'debit' and amount_kwd >= 475").alias("debits"))
+    base = ext.groupBy("case_id").agg(F.count_distinct(F.date_format("posting_date", "yyyy-MM")).alias("months"), F.count_distinct("bank").alias("banks"), F.count_if(F.expr("direction = 'credit' and amount_kwd >= 500")).alias("credits"), F.count_if(F.expr("direction = 'debit' and amount_kwd >= 475")).alias("debits"))
     df = cases.select("case_id").join(base, "case_id", "left").join(groups, "case_id", "left").fillna(0)
     cross = F.when(F.col("banks") < 2, "Fewer than 2 institutions have external activity.")
     tests = {
