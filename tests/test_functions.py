@@ -140,7 +140,8 @@ def test_sanctions(spark, tmp_path):
     names = ["MR MOHAMMED AHMED HUSSAIN", "M A HUSSAIN", "ABU AHMED", "GLOBAL HOUSE NETWORK", "GLOBAL LOGISTICS", "AHMED KHALID", "SALEH ALI HASSAN", "KARIM WAHID"]
     txns = spark.createDataFrame([(1, n) for n in names], "case_id long, counterparty_name string")
     cases = spark.createDataFrame([(1, "SOMEONE ELSE")], "case_id long, subject_name string")
-    screened = {r["display"]: (r["entry_id"], r["tier"]) for r in sanctions.top_matches(n := sanctions.names_to_screen(txns, cases), sanctions.screen(n, entries))[0].collect()}
+    asked = sanctions.names_to_screen(txns, cases)
+    screened = {r["display"]: (r["entry_id"], r["tier"]) for r in sanctions.top_matches(asked, sanctions.screen(asked, entries))[0].collect()}
     assert screened == {"MR MOHAMMED AHMED HUSSAIN": ("SDN-9001", "exact"), "M A HUSSAIN": ("SDN-9001", "strong"), "ABU AHMED": ("SDN-9001", "exact"), "GLOBAL HOUSE NETWORK": ("SDN-9002", "possible"), "SALEH ALI HASSAN": ("UN-123", "exact"), "KARIM WAHID": ("UN-123", "exact")}
     assert {r["list"]: r["status"] for r in sanctions.guard_list_size(entries).collect()} == {"OFAC": "unavailable", "UN": "unavailable"}
 
