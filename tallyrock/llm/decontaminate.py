@@ -93,7 +93,7 @@ def item_grams(items: DataFrame, item_col: str, text: str, span: int, gram: int)
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = [(item, found) for item, t in zip(frame["item"], frame["text"], strict=True) if (found := grams_of(word_hashes(t), span, gram, None, lambda h: np.ones(len(h), bool)))]
-            yield pd.DataFrame({"item": pd.Series([r[0] for r in rows], dtype=object), "found": [r[1] for r in rows]})
+            yield pd.DataFrame({"item": pd.Series([r[0] for r in rows], dtype=object), "found": pd.Series([r[1] for r in rows], dtype=object)})
 
     rows = items.select(F.col(item_col).cast("string").alias("item"), F.col(text).alias("text")).mapInPandas(of, f"item string, found array<{HIT}>")
     return rows.select("item", F.inline("found")).drop("at").distinct()
@@ -127,7 +127,7 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str, text: str, item_col: st
         for frame in frames:
             words = [word_hashes(t) for t in frame["text"]]
             found = [grams_of(w, span, gram, short, lambda h: flags[(h & last).astype(np.int64)]) for w in words]
-            yield pd.DataFrame({"row": frame["row"], "id": frame["id"], "n_words": np.array([len(w) for w in words], np.int64), "found": found})
+            yield pd.DataFrame({"row": frame["row"], "id": frame["id"], "n_words": np.array([len(w) for w in words], np.int64), "found": pd.Series(found, dtype=object)})
 
     found = rows.mapInPandas(of, f"row long, id {dict(rows.dtypes)['id']}, n_words long, found array<{HIT}>")
     found = found.select("row", "id", "n_words", F.inline_outer("found"))
