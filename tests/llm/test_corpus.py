@@ -16,7 +16,7 @@ BASE = "The quick brown fox jumps over the lazy dog while seven wizards boil qua
 LONG = " ".join(f"w{i % 701}x{i % 13}" for i in range(6000))
 TEXTS = [
     (1, BASE), (2, BASE), (3, BASE.replace("seven", "eight")), (4, None), (5, ""), (6, " \n\t "), (7, "### $$$ %% || <<>> a b c d e f g h"), (8, "to be or not to be or not to be or not to be or not"),
-    (9, "Mail a@b.c_d@e.f, 10.0.0.255 999.1.1.1 4111 1111 1111 1111 +1 (202) 555-0123 é DE89370400440532013000"), (10, LONG), (11, LONG + " end"), (None, BASE), (12, "▁ ▁▁ <s> \x00 \x01 日本語 😀 naïve"), (12, "▁ ▁▁ <s> \x00 \x01 日本語 😀 naïve"),
+    (9, "Mail a@b.c_d@e.f, 10.0.0.255 999.1.1.1 or 4111 1111 1111 1111 +1 (202) 555-0123 é DE89370400440532013000"), (10, LONG), (11, LONG + " end"), (None, BASE), (12, "▁ ▁▁ <s> \x00 \x01 日本語 😀 naïve"), (12, "▁ ▁▁ <s> \x00 \x01 日本語 😀 naïve"),
     (13, "Released under the MIT License. Licensed under CC BY-NC 4.0."),
 ]
 
@@ -194,7 +194,7 @@ def test_pii(spark, docs, none):
     assert ["iban"] == [s["kind"] for s in by_id(rows)[9]["spans"] if s["kind"] not in PATTERNS]
     assert [s["start"] for s in by_id(rows)[24]["spans"]] == [4, 17] and none.count() == pii.with_spans(none).count()
     text = pii.with_spans(docs.where("doc_id = 9")).select(pii.redacted(docs["text"], pii.F.col("spans")).alias("t")).first()["t"]
-    assert text == "Mail [EMAIL][EMAIL], [IP] 999.1.1.1 [CARD] [PHONE] é [IBAN]"
+    assert text == "Mail [EMAIL][EMAIL], [IP] 999.1.1.1 or [CARD] [PHONE] é [IBAN]"
 
 
 def test_pieces_round_trip(docs, none):
@@ -206,7 +206,7 @@ def test_pieces_round_trip(docs, none):
     assert all(r["lossless"] for r in plain)
     assert all(r["ids"] == model.encode(texts[r["doc_id"]] or "") for r in plain if r["doc_id"] not in (12,))
     a, b, c = (by_id(pieces.encoded(docs, seed=s).collect()) for s in (1, 1, 2))
-    assert a == b and all(r["lossless"] for r in a.values()) and a[10]["ids"] != c[10]["ids"] and len(a[10]["ids"]) >= len(model.encode(LONG))
+    assert a == b and all(r["lossless"] for r in a.values()) and a[1]["ids"] != c[1]["ids"] and len(a[1]["ids"]) > len(model.encode(BASE))
     back = pieces.decoded(pieces.encoded(docs)).collect()
     assert all(r["decoded"] == (texts[r["doc_id"]] or "") for r in back)
     assert pieces.encoded(none).count() == 0
