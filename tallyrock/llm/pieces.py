@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -30,9 +31,9 @@ from xxhash import xxh64_intdigest
 from tallyrock.llm.text import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, DRAWS, CACHE = 0.1, 20, 8, 600_000
+DROPOUT, SEED, DRAWS, CACHE = 0.1, 20, 8, 200_000
 #: Symbols merged at once, texts encoded at once, and the longest part that is kept.
-ROUND, TEXTS, LONG = 1 << 18, 512, 48
+ROUND, TEXTS, LONG = 1 << 16, 256, 32
 _BLANK, _NONE = "▁", float("-inf")
 
 
@@ -208,17 +209,19 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model:
     """(id_col, ids, lossless): the pieces of each text, and whether they decode to it."""
     rows = docs.select(F.col(id_col), F.col(text).alias("_text"))
 
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(model, dropout, seed)
-        for frame in frames:
-            for at in range(0, len(frame), TEXTS):
-                some = frame.iloc[at : at + TEXTS]
-                texts = [None if t is None else t for t in some["_text"]]
-                ids = coder.encode_many(texts, some[id_col].tolist())
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):  # few texts at a time as Python objects
+                some = batch.slice(at, TEXTS)
+                texts = some.column(1).to_pylist()
+                ids = coder.encode_many(texts, some.column(0).to_pylist())
                 same = [coder.pieces.decode(i.tolist()) == (t or "") for i, t in zip(ids, texts, strict=True)]
-                yield pd.DataFrame({id_col: some[id_col].to_numpy(), "ids": ids, "lossless": same})
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([some.column(0), lists, pa.array(same)], [id_col, "ids", "lossless"])
 
-    return rows.mapInPandas(of, f"`{id_col}` {dict(rows.dtypes)[id_col]}, ids array<int>, lossless boolean")
+    return rows.mapInArrow(of, f"`{id_col}` {dict(rows.dtypes)[id_col]}, ids array<int>, lossless boolean")
 
 
 def decoded(rows: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
