@@ -47,17 +47,19 @@ def case_sums(txns: DataFrame, pairs: DataFrame, limits: Thresholds) -> DataFram
     """All plain conditional aggregates of a case in one grouping."""
     legs = pairs.select("case_id", F.explode(F.array("debit_id", "credit_id")).alias("id"), F.lit(True).alias("leg"))
     df = txns.join(legs, ["case_id", "id"], "left")
+    text = F.col("narrative")
+    # evaluated once for each row, however many sums ask for them
+    df = df.withColumns({"_own": is_self(text), "_vague": is_vague(text), "_crypto": is_crypto(text), "_risk": country_risk(F.col("counterparty_country")), "_named": identifiable(F.col("counterparty_name"))})
     amount, ext = F.col("amount_kwd"), F.col("leg").isNull()
     credit, debit = ext & (F.col("direction") == "credit"), ext & (F.col("direction") == "debit")
     cash_in = ext & (F.col("channel") == "cash_deposit")
     cash = ext & F.col("channel").isin("cash_deposit", "cash_withdrawal")
     near = cash_in & (amount >= limits.near_low) & (amount < limits.cash_limit)
     round_cash = cash & (amount >= 100) & (F.abs(amount % 100) < 0.001)
-    own, vague, crypto, risk = is_self(F.col("narrative")), is_vague(F.col("narrative")), is_crypto(F.col("narrative")), country_risk(F.col("counterparty_country"))
-    unexplained = credit & ~F.col("channel").isin("salary", "interest", "cash_deposit") & ~own & ~identifiable(F.col("counterparty_name"))
+    own, vague, crypto, risk = F.col("_own"), F.col("_vague"), F.col("_crypto"), F.col("_risk")
+    unexplained = credit & ~F.col("channel").isin("salary", "interest", "cash_deposit") & ~own & ~F.col("_named")
     total = lambda when: F.coalesce(money(F.when(when, amount)), F.lit(0.0))
     ids = lambda when: F.array_sort(F.collect_list(F.when(when, F.col("id"))))
-    digit = F.floor(amount / F.pow(F.lit(10.0), F.floor(F.log10(amount)))).cast("int")
     digit = F.when(amount >= 1, F.substring(F.regexp_replace(F.format_number(amount, 6), ",", ""), 1, 1).cast("int"))
     return df.groupBy("case_id").agg(
         total(F.lit(True)).alias("turnover"), total(credit).alias("credits"), total(debit).alias("debits"), total(cash_in).alias("cash_total"),
