@@ -124,8 +124,10 @@ def with_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     total = F.aggregate("_q_grams", F.lit(0).cast("long"), lambda s, g: s + F.get(looked_up, g))
     df = df.withColumns({"n_grams": F.size("_q_grams").cast("long"), "_q_sum": total}).drop("_q_grams")
     df = df.withColumn("llr", F.when(F.col("n_grams") > 0, F.col("_q_sum") / (F.col("n_grams") * UNIT)).otherwise(0.0)).drop("_q_sum")
-    # one expression, so that no part of it moves below and is computed twice
-    return df.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(F.col("llr") >= threshold))
+    # Spark moves no filter below a column that depends on a row's place; a filter on ``kept`` that
+    # moved down would take all the counts with it and compute them over and over
+    placed = F.monotonically_increasing_id() >= 0
+    return df.withColumn("kept", F.when(placed & F.col("base_failed"), False).otherwise(F.col("llr") >= threshold))
 
 
 def op2_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
