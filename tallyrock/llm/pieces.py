@@ -2,12 +2,11 @@
 
 Encoding is the BPE agenda of a SentencePiece model: candidate merges leave the agenda by
 score, then place. With dropout, a candidate that leaves the agenda is skipped when a keyed
-hash of it falls below ``dropout``: the key is the seed and the document's draw, and hashed
-are the merged piece, the length of its left half and its place in the word. A draw is one of
-``DRAWS`` numbers that a document gets from the seed and its id; so a word is segmented in up
-to that many ways for each seed, all repeatable, and a worker keeps the ways it has met in a
-cache of about ``CACHE`` entries. With dropout 0 the result is that of the
-model's own encoder. A literal U+2581 is written as its three bytes, so that decoding gives
+hash of it falls below ``dropout``: the key is made of the seed, the document's id and the
+word's position in the text, and hashed are the merged piece, the length of its left half and
+its place in the word. So every occurrence of a word is cut on its own, and all are repeatable.
+With dropout 0 the result is that of the model's own encoder, and a worker keeps the
+segmentations it has met in a cache of about ``CACHE`` entries. A literal U+2581 is written as its three bytes, so that decoding gives
 back every text.
 
 Defined results: a null or empty text has no pieces and decodes to the empty text. A null id
@@ -31,9 +30,9 @@ from xxhash import xxh64_intdigest
 from tallyrock.llm.text import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, DRAWS, CACHE = 0.1, 20, 8, 200_000
-#: Symbols merged at once, texts encoded at once, and the longest part that is kept.
-ROUND, TEXTS, LONG = 1 << 16, 256, 32
+DROPOUT, SEED, CACHE = 0.1, 20, 200_000
+#: Symbols merged at once, texts and characters encoded at once, and the longest part that is kept.
+ROUND, TEXTS, CHARS, LONG = 1 << 16, 256, 1 << 19, 32
 _BLANK, _NONE = "▁", float("-inf")
 
 
@@ -165,35 +164,47 @@ def load(path: str) -> Pieces:
 
 
 class Encoder:
-    """Encodes texts with one model, dropout and seed; keeps the segmentations it has met."""
+    """Encodes texts with one model, dropout and seed; without dropout it keeps the segmentations it has met."""
 
-    def __init__(self, path: str, dropout: float, seed: int, draws: int = DRAWS, cache: int = CACHE) -> None:
+    def __init__(self, path: str, dropout: float, seed: int, cache: int = CACHE) -> None:
         self.pieces, self.dropout, self.seed, self.cache = load(path), dropout, seed, cache
-        self.draws = draws if dropout else 1
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.draws)]
+        self.known: dict[str, bytes] = {}
 
-    def draw(self, doc_id: object) -> int:
-        return xxh64_intdigest("" if doc_id is None else str(doc_id), self.seed) % self.draws
+    def keys(self, doc_id: object, count: int) -> np.ndarray:
+        """A key for each of the first ``count`` positions of a document."""
+        start = np.uint64(xxh64_intdigest("" if doc_id is None else str(doc_id), self.seed))
+        k = start + np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        k = (k ^ k >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        k = (k ^ k >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        return k ^ k >> np.uint64(31)
 
     def encode_many(self, texts: list[str | None], doc_ids: list) -> list[np.ndarray]:
-        if sum(map(len, self.known)) > self.cache:
-            for ways in self.known:
-                ways.clear()
-        split = [self.pieces.parts(" " + t) if t else [] for t in texts]
-        ways = [self.known[self.draw(d)] for d in doc_ids]
-        new: dict[int, set[str]] = {}
-        for parts, way in zip(split, ways, strict=True):
-            new.setdefault(id(way), set()).update(set(parts).difference(way))
-        words = [sorted(new.get(id(way), ())) for way in self.known]
-        keys = np.repeat(np.array([(self.seed * 0x9E3779B1 + d * 0x85EBCA6B) & 0x7FFFFFFF for d in range(self.draws)], np.uint64), list(map(len, words)))
-        done = iter(self.pieces.segment_many([w for some in words for w in some], keys, self.dropout))
-        for way, some in zip(self.known, words, strict=True):
-            way.update(zip(some, done, strict=False))
-        out = [np.frombuffer(b"".join(map(way.__getitem__, parts)), "<u2").astype(np.int32) for parts, way in zip(split, ways, strict=True)]
-        for way, some in zip(self.known, words, strict=True):
-            for w in some:
-                if len(w) > LONG:  # not worth its memory
-                    del way[w]
+        out: list[np.ndarray] = []
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end] or "") <= CHARS):
+                size += len(texts[end] or "")
+                end += 1
+            split = [self.pieces.parts(" " + t) if t else [] for t in texts[at:end]]
+            out += self._drawn(split, doc_ids[at:end]) if self.dropout else self._plain(split)
+            at = end
+        return out
+
+    def _drawn(self, split: list[list[str]], doc_ids: list) -> list[np.ndarray]:
+        keys = np.concatenate([self.keys(d, len(parts)) for d, parts in zip(doc_ids, split, strict=True)])
+        done = iter(self.pieces.segment_many([w for parts in split for w in parts], keys, self.dropout))
+        return [np.frombuffer(b"".join([next(done) for _ in parts]), "<u2").astype(np.int32) for parts in split]
+
+    def _plain(self, split: list[list[str]]) -> list[np.ndarray]:
+        if len(self.known) > self.cache:
+            self.known.clear()
+        words = sorted({w for parts in split for w in parts if w not in self.known})
+        self.known.update(zip(words, self.pieces.segment_many(words, np.zeros(len(words), np.uint64), 0.0), strict=True))
+        out = [np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<u2").astype(np.int32) for parts in split]
+        for w in words:
+            if len(w) > LONG:  # not worth its memory
+                del self.known[w]
         return out
 
     def encode(self, text: str | None, doc_id: object) -> list[int]:
