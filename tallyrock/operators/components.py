@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyrock.sources.shared import cut
+from tallyrock.sources.shared import cut, drop_table
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,9 +31,12 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     only has a loop is not listed; null ends are dropped.
     """
     now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
-    seen = None
+    seen = last = None
     for _ in range(max_rounds):
         now = cut(_star(_star(now, large=True), large=False), "components")
+        if last is not None:
+            drop_table(last)
+        last = now
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
