@@ -7,7 +7,8 @@ kind's context words lies within ``NEAR`` code points. Kinds of the first four s
 their score; the others need ``threshold``.
 
 Patterns are possessive and may only start where an earlier start could not reach the same
-place, which finds the same leftmost matches without quadratic scans of long runs.
+place, which finds the same leftmost matches without quadratic scans of long runs. Spans get
+their places by running sums over all of a text's parts, so n spans take n log n steps.
 
 Defined results: a null or empty text has no spans. Repeated rows each get a row. Null ids
 stay. Empty tables give empty results. Other columns are left alone; names that begin with
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from tallyrock.llm.text import lower_ascii, table
 
 NEAR, NEAR_BONUS, THRESHOLD = 40, 0.3, 0.5
+#: Code points in a block of a text.
+BLOCK = 256
 SPAN = "struct<kind:string,start:int,end:int,score:double>"
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{0,2})"
 
@@ -65,48 +68,73 @@ CHECKS = {
 }
 
 
-def spans_of(kind: str, clean: str, text: str, threshold: float) -> Column:
+def running(values: Column, join) -> Column:
+    """For each place ``join`` of all values up to it, by doubled steps: n log n calls for n values."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+    reach = lambda k: F.pow(F.lit(2), k).cast("int")
+    return F.aggregate(steps, values, lambda done, k: F.transform(done, lambda x, i: F.when(i >= reach(k), join(x, F.get(done, i - reach(k)))).otherwise(x)))
+
+
+def blocks_of(text: Column) -> Column:
+    """The text in blocks of BLOCK code points, so that a part of it can be read without walking all before it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def part_of(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points [start, end) of a text in blocks."""
+    first = F.floor(start / BLOCK).cast("int")
+    some = F.array_join(F.slice(blocks, first + 1, F.floor(end / BLOCK).cast("int") - first + 1), "")
+    return F.substr(some, start - first * BLOCK + 1, end - start)
+
+
+def spans_of(kind: str, clean: str, blocks: str, threshold: float) -> Column:
     """Accepted spans of one kind, by start. ``clean`` holds no \\x01 or \\x02 and has the text's length."""
     pattern, trigger, base, words = KINDS[kind]
     parts = F.split(F.regexp_replace(clean, pattern, "\x01$0\x02"), "[\x01\x02]")  # outside, match, outside, ...
-    zero = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("inside"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    ends = running(F.transform(parts, F.length), lambda a, b: a + b)
 
-    def step(s: Column, part: Column) -> Column:
-        end = s["pos"] + F.length(part)
-        near = F.concat(F.substr(F.col(text), F.greatest(s["pos"] + 1 - NEAR, F.lit(1)), F.least(s["pos"], F.lit(NEAR))), F.lit(" "), F.substr(F.col(text), end + 1, F.lit(NEAR)))
+    def span(x: Column, i: Column) -> Column:
+        part, end = x["part"], x["end"]
+        start = end - F.length(part)
+        near = F.concat(part_of(F.col(blocks), F.greatest(start - NEAR, F.lit(0)), start), F.lit(" "), part_of(F.col(blocks), end, end + NEAR))
         score = F.lit(base) + F.when(lower_ascii(near).rlike(rf"(?<![a-z])(?:{words})"), NEAR_BONUS).otherwise(0.0)
         good = CHECKS[kind](part) if kind in CHECKS else F.lit(True)
         if kind not in BASE_KINDS:
             good = F.when(good, score >= threshold).otherwise(False)
-        one = F.array(F.struct(F.lit(kind).alias("kind"), s["pos"].alias("start"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score")))
-        found = F.when(s["inside"], F.when(good, F.concat(s["spans"], one)).otherwise(s["spans"])).otherwise(s["spans"])
-        return F.struct(end.alias("pos"), (~s["inside"]).alias("inside"), found.alias("spans"))
+        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score"))
+        return F.when((i % 2 == 1) & good, one)
 
-    return F.when(F.col(clean).rlike(trigger), F.aggregate(parts, zero, step, lambda s: s["spans"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+    placed = F.zip_with(parts, ends, lambda part, end: F.struct(part.alias("part"), end.alias("end")))
+    return F.when(F.col(clean).rlike(trigger), F.filter(F.transform(placed, span), lambda s: s.isNotNull())).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def with_spans(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``spans``, an array of (kind, start, end, score) by kind as listed, then start."""
     df = docs.withColumn("_p_clean", F.translate(F.coalesce(F.col(text), F.lit("")), "\x01\x02", "\x03\x03"))
-    df = df.withColumns({f"_p_{k}": spans_of(k, "_p_clean", text, threshold) for k in KINDS})
-    return df.withColumn("spans", F.concat(*[f"_p_{k}" for k in KINDS])).drop("_p_clean", *[f"_p_{k}" for k in KINDS])
+    df = df.withColumn("_p_blocks", blocks_of(F.col("_p_clean")))
+    df = df.withColumns({f"_p_{k}": spans_of(k, "_p_clean", "_p_blocks", threshold) for k in KINDS})
+    return df.withColumn("spans", F.concat(*[f"_p_{k}" for k in KINDS])).drop("_p_clean", "_p_blocks", *[f"_p_{k}" for k in KINDS])
+
+
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each run of overlapping spans replaced by ``[KIND]`` of its first span."""
-    zero = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-
-    def merge(done: Column, s: Column) -> Column:
-        last, n = F.get(done, F.size(done) - 1), F.size(done)
-        wider = F.array(F.struct(last["kind"].alias("kind"), last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end")))
-        new = F.array(F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-        return F.when((n > 0) & (s["start"] < last["end"]), F.concat(F.slice(done, F.lit(1), n - 1), wider)).otherwise(F.concat(done, new))
-
-    by_start = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    runs = F.aggregate(by_start, zero, merge)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    add = lambda s, r: F.struct(r["end"].alias("at"), F.concat(s["out"], F.substr(text, s["at"] + 1, r["start"] - s["at"]), F.lit("["), F.upper(r["kind"]), F.lit("]")).alias("out"))
-    return F.when(F.size(spans) > 0, F.aggregate(runs, start, add, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))).otherwise(text)
+    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def joined(x: Column) -> Column:
+        # a run begins where no earlier span reaches; up to there its predecessor reached
+        begins = F.transform(x["ordered"], lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), F.when(i > 0, F.get(x["reach"], i - 1)).otherwise(0).alias("from")))
+        begins = F.filter(begins, lambda r: (r["from"] <= r["start"]))
+        pieces = F.transform(begins, lambda r: F.concat(part_of(x["blocks"], r["from"], r["start"]), F.lit("["), F.upper(r["kind"]), F.lit("]")))
+        return F.concat(F.array_join(pieces, ""), part_of(x["blocks"], F.array_max(x["reach"]), F.length(text)))
+
+    reach = lambda o: running(F.transform(o, lambda s: s["end"]), F.greatest)
+    with_reach = lambda o: F.struct(o.alias("ordered"), reach(o).alias("reach"), blocks_of(text).alias("blocks"))
+    return F.when(F.size(spans) > 0, let(ordered, lambda o: let(with_reach(o), joined))).otherwise(text)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

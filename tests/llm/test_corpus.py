@@ -197,6 +197,21 @@ def test_pii(spark, docs, none):
     assert text == "Mail [EMAIL][EMAIL], [IP] 999.1.1.1 or [CARD] [PHONE] é [IBAN]"
 
 
+def test_pii_of_many_spans(spark):
+    mails = " ".join(f"user{k}@host{k}.example" for k in range(16_000))
+    overlap = "1111 4111111111111111 +4111111111111111 a 1.2.3.4567@b.c"
+    docs = spark.createDataFrame([(1, mails), (2, f"x{mails}"), (3, overlap), (4, "no"), (5, None)], "doc_id long, text string")
+    rows = by_id(pii.with_spans(docs).withColumn("masked", pii.redacted(pii.F.col("text"), pii.F.col("spans"))).collect())
+    assert rows[1]["masked"] == " ".join(["[EMAIL]"] * 16_000) and len(rows[2]["spans"]) == 16_000
+    at, out = 0, ""
+    spans = sorted((s["start"], s["end"], s["kind"]) for s in rows[3]["spans"])
+    for k, (start, end, kind) in enumerate(spans):
+        if not k or start >= at:
+            out += overlap[at:start] + f"[{kind.upper()}]"
+        at = max(at, end)
+    assert rows[3]["masked"] == out + overlap[at:] and rows[4]["masked"] == "no" and rows[5]["masked"] is None
+
+
 def test_pieces_round_trip(docs, none):
     import sentencepiece
 
