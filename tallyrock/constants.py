@@ -56,11 +56,54 @@ PATTERNS = {
     "stop_name": r"^(from|fro|ref|kwd|usd|eur|through|via|the|own|self|transfer|to)\b",
 }
 
+# Words of headers that tell a table's head from other rows.
+DATE_WORDS, AMOUNT_WORDS = "date", "amount|debit|credit|balance"
+OTHER_WORDS = r"desc|narrat|remark|detail|particular|type|account|currency|reference|country|bank|name|code|num\b"
+
+# What a header must hold, must also hold and must not hold for a role; a role's rows are tried in order, and
+# the roles claim their headers in this order.
+COLUMN_ROLES = (
+    ("indicator", r"^(d c|dc|d/c|dr cr|drcr|c d|cd)$|\bdc\b|indicator.*d|d.*indicator|debit.*credit|credit.*debit", "", "^$"),
+    ("kwd", r"amount|amnt|value", r"(\bcv\b|\bkd\b|kwd|local|equiv|counter)", "^$"),
+    ("debit", "debit", "", "credit|card|date"),
+    ("credit", "credit", "", "debit|card|date"),
+    ("amount", r"(^|\s)(amount|amnt|amt)(\s|$)|transaction amount|trans amount|txn amount", "", "fee|charge"),
+    ("date", r"(operation|transaction|trans|txn|post|posting|entry|process)\s?date", "", "^$"),
+    ("date", "date", "", "value date|birth|maturity|expiry"),
+    ("date", "value date", "", "^$"),
+    ("balance", r"balance|\bbal\b", "", "available"),
+    ("balance", "balance", "", "^$"),
+    ("currency", r"currenc|\bccy\b|\bcurr\b", "", "^$"),
+    ("account", r"(account|acct|\bac\b|acc)\s?(num|no|number|id)|iban", "", "^$"),
+    ("account", "^account$", "", "^$"),
+    ("code", r"(tran|trans|transaction|txn|operation)\s?code|^code$", "", "^$"),
+    ("from_name", r"(from|order|sender|payer|remit)[a-z ]*name", "", "^$"),
+    ("to_name", r"(to|benef|receiv|payee)[a-z ]*name", "", "^$"),
+    ("name", r"counterpart|benefic|payee|payer|second party|^(?!.*(account name|customer name|file name|bank name|holder)).*name", "", "^$"),
+    ("from_bank", r"(from|order|sender|remit)[a-z ]*(bank|bic|swift)", "", "^$"),
+    ("to_bank", r"(to|benef|receiv)[a-z ]*(bank|bic|swift)", "", "^$"),
+    ("bank", r"(bank|bic|swift)", "", "date|amount"),
+    ("from_country", r"(from|order|sender|remit)[a-z ]*countr", "", "^$"),
+    ("to_country", r"(to|benef|receiv)[a-z ]*countr", "", "^$"),
+    ("country", "countr", "", "^$"),
+    ("type", r"(transaction|trans|txn)?\s?type$", "", "code"),
+    ("type", "^transaction$|^operation$", "", "^$"),
+)
+NARRATIVE_HEADERS = "desc|narrat|remark|detail|particular|purpose|memo|statement text"
+
+# What an indicator or a type column says of the direction.
+CREDIT_VALUES, DEBIT_VALUES = r"^(c|cr|credit|dep|deposit|in)$|credit|إيداع|دائن", r"^(d|dr|debit|wd|withdrawal|out)$|debit|سحب|مدين"
+CREDIT_TYPES, DEBIT_TYPES = "credit|دائن", "debit|مدين"
+
 # Words that a party's name may begin or end with.
 HONORIFICS = ("MR", "MRS", "MS", "DR", "ENG", "SHEIKH", "SHAIKH", "SAYED", "SAYYID", "SYED")
 LEGAL_SUFFIXES = ("CO", "COMPANY", "EST", "ESTABLISHMENT", "LLC", "WLL", "KSC", "KSCC", "KSCP", "SAL", "FZE", "FZC", "LTD", "LIMITED", "INC", "CORP", "SPC", "SARL")
 
 
+# Words of listed names that never make a match of their own.
+NON_DISTINCTIVE = ("AND", "THE", "FOR", "OF", "BIN", "IBN", "ABU", "ABD", "UMM", "GENERAL", "TRADING", "INTERNATIONAL", "GROUP")
+
+
 @dataclass(frozen=True)
 class Thresholds:
     """Numbers that a run may change."""

@@ -9,7 +9,7 @@ from tallyrock.operators import features as ft
 from tallyrock.operators import forensics, sanctions
 from tallyrock.operators.identities import identities, resolve, with_cluster
 from tallyrock.plans import testdata as td
-from tallyrock.queries import money, parts, query, r3
+from tallyrock.queries import money, parts, query, r3, written
 
 HEAD = ("case_id", "finding", "severity", "metric")
 
@@ -22,7 +22,7 @@ def severity(critical: str, high: str) -> str:
 d AS (SELECT case_id, bank, direction, median(off) AS mad FROM o GROUP BY ALL HAVING median(off) > 0), z AS (SELECT case_id, 0.6745 * off / mad AS z FROM o JOIN d USING (case_id, bank, direction) WHERE 0.6745 * off / mad >= 4 AND amount_kwd >= 500)
 SELECT case_id, 'TECH-AMT-01' AS finding, {severity('max(z) >= 8', 'max(z) >= 6')}, {r3('max(z)')} AS metric FROM z GROUP BY case_id""")
 def t1_amount_outliers(spark, sf_dir):
-    return forensics.amount_outliers(parts(spark, sf_dir)[2]).select(*HEAD)
+    return forensics.amount_outliers(written(spark, sf_dir)[2]).select(*HEAD)
 
 
 @query(f"""WITH m AS (SELECT case_id, strftime(posting_date, '%Y-%m') AS month, {money('amount_kwd')} AS v FROM ext GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY month) AS k, count(*) OVER (PARTITION BY case_id) AS n FROM m),
@@ -30,7 +30,7 @@ s AS (SELECT *, unnest(range(3, n - 2)) AS split FROM k WHERE n >= 6), g AS (SEL
 r AS (SELECT *, b / a AS ratio, row_number() OVER (PARTITION BY case_id ORDER BY b / a DESC, split) AS r FROM g WHERE a > 0 AND b > a)
 SELECT case_id, 'TECH-TMP-01' AS finding, {severity('ratio >= 8', 'ratio >= 5')}, {r3('ratio')} AS metric FROM r WHERE r = 1 AND ratio >= 3 AND b - a >= 2000""")
 def t2_behaviour_change(spark, sf_dir):
-    return forensics.behaviour_change(parts(spark, sf_dir)[2]).select(*HEAD)
+    return forensics.behaviour_change(written(spark, sf_dir)[2]).select(*HEAD)
 
 
 @query(f"""WITH b AS (SELECT case_id, direction, counterparty_name AS c, {money('amount_kwd')} AS v FROM ext WHERE counterparty_name IS NOT NULL GROUP BY ALL), p AS (SELECT *, sum(v) OVER (PARTITION BY case_id, direction) AS t FROM b),
@@ -42,7 +42,7 @@ def t3_concentration(spark, sf_dir):
 
 @query()
 def t4_sequences(spark, sf_dir):
-    return forensics.sequences(parts(spark, sf_dir)[2])
+    return forensics.sequences(written(spark, sf_dir)[2])
 
 
 @query()
@@ -61,37 +61,56 @@ def t7_bridging(spark, sf_dir):
 x AS (SELECT m.*, v >= 2 * mid AND v >= 1000 AS burst FROM m JOIN d USING (case_id, bank)),
 p AS (SELECT a.case_id, a.bank AS a, b.bank AS b, count(*) AS joint, count(*) FILTER (a.burst) AS na, count(*) FILTER (b.burst) AS nb, count(*) FILTER (a.burst AND b.burst) AS both_n FROM x a JOIN x b ON a.case_id = b.case_id AND a.month = b.month AND a.bank < b.bank GROUP BY ALL),
 r AS (SELECT *, both_n * joint / nullif(na * nb, 0) AS lift FROM p WHERE joint >= 6 AND both_n >= 2), q AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY lift DESC, a, b) AS r FROM r WHERE lift >= 3)
-SELECT case_id, 'TECH-XB-02' AS finding, {severity('lift >= 6', 'both_n >= 3')}, {r3('lift')} AS metric FROM q WHERE r = 1""")
+SELECT case_id, 'TECH-XB-02' AS finding, {severity('both_n >= 3 AND lift >= 8', 'both_n >= 3 OR lift >= 5')}, {r3('lift')} AS metric FROM q WHERE r = 1""")
 def t8_burst_synchronisation(spark, sf_dir):
-    return forensics.burst_synchronisation(parts(spark, sf_dir)[2]).select(*HEAD)
+    return forensics.burst_synchronisation(written(spark, sf_dir)[2]).select(*HEAD)
 
 
 _T = lambda when: money(f"CASE WHEN {when} THEN amount_kwd END")
 
 
-@query(f"""WITH b AS (SELECT case_id, bank, count(*) FILTER (direction = 'credit') AS nc, count(*) FILTER (direction = 'debit') AS nd, {_T("direction = 'credit'")} AS c, {_T("direction = 'debit'")} AS d, {_T("channel = 'cash_deposit'")} AS ci, {_T("channel = 'cash_withdrawal'")} AS co,
+@query(f"""WITH b AS (SELECT case_id, bank, count(*) FILTER (direction = 'credit') AS nc, count(*) FILTER (direction = 'debit') AS nd, {_T("direction = 'credit'")} AS c, {_T("direction = 'debit'")} AS d, {_T("direction = 'credit' AND channel = 'cash_deposit'")} AS ci, {_T("direction = 'debit' AND channel = 'cash_withdrawal'")} AS co,
  {_T("direction = 'credit' AND channel = 'transfer_in'")} AS ti, {_T("direction = 'debit' AND channel = 'transfer_out'")} AS tx FROM ext GROUP BY ALL),
-r AS (SELECT case_id, CASE WHEN ci / c >= 0.6 AND tx / d >= 0.6 THEN 'placement' WHEN ti / c >= 0.6 AND co / d >= 0.6 THEN 'extraction' END AS role FROM b WHERE nc >= 3 AND nd >= 3 AND c >= 1000 AND d >= 1000)
-SELECT case_id, 'TECH-XB-03' AS finding, {severity('count(*) >= 4', 'count(*) >= 3')}, CAST(count(*) AS DOUBLE) AS metric FROM r WHERE role IS NOT NULL GROUP BY case_id HAVING count(DISTINCT role) = 2""")
+r AS (SELECT case_id, c + d AS v, CASE WHEN ci / c >= 0.6 AND tx / d >= 0.6 THEN 'placement' WHEN ti / c >= 0.6 AND co / d >= 0.6 THEN 'extraction' END AS role FROM b WHERE nc >= 3 AND nd >= 3 AND c >= 1000 AND d >= 1000),
+a AS (SELECT case_id, count(role) AS n, count(DISTINCT role) AS roles, coalesce(sum(v) FILTER (role IS NOT NULL), 0) AS v FROM r GROUP BY case_id HAVING count(*) >= 2 AND count(role) >= 1)
+SELECT case_id, 'TECH-XB-03' AS finding, {severity('roles >= 2 AND v >= 30000', 'roles >= 2 OR v >= 15000')}, CAST(n AS DOUBLE) AS metric FROM a""")
 def t9_role_specialisation(spark, sf_dir):
-    return forensics.role_specialisation(parts(spark, sf_dir)[2]).select(*HEAD)
+    return forensics.role_specialisation(written(spark, sf_dir)[2]).select(*HEAD)
 
 
 @query()
 def t10_amount_echoes(spark, sf_dir):
-    return forensics.amount_echoes(parts(spark, sf_dir)[2])
-
-
-@query()
+    return forensics.amount_echoes(written(spark, sf_dir)[2])
+
+
+@query(f"""WITH m AS (SELECT case_id, bank, direction, median(amount_kwd) AS mid FROM ext GROUP BY ALL HAVING count(*) >= 6),
+peers AS (SELECT case_id, count(*) AS peers FROM (SELECT case_id, bank, direction FROM ext JOIN m USING (case_id, bank, direction) GROUP BY ALL HAVING median(abs(amount_kwd - mid)) > 0) GROUP BY case_id),
+base AS (SELECT case_id, count(DISTINCT strftime(posting_date, '%Y-%m')) AS months, count(DISTINCT bank) AS banks, count(*) FILTER (direction = 'credit' AND amount_kwd >= 500) AS credits, count(*) FILTER (direction = 'debit' AND amount_kwd >= 475) AS debits,
+ count(*) FILTER (direction = 'debit' AND amount_kwd >= 500 AND channel IN ('cash_withdrawal', 'transfer_out', 'cheque', 'other')) AS outs, count(*) FILTER (direction = 'credit' AND amount_kwd >= 500 AND channel IN ('cash_deposit', 'transfer_in', 'cheque', 'other')) AS ins,
+ count(DISTINCT bank) FILTER (counterparty_name IS NOT NULL) AS named_banks, count(*) FILTER (counterparty_name IS NOT NULL AND direction = 'credit') AS inflow FROM ext GROUP BY case_id),
+sides AS (SELECT case_id, count(*) AS sides FROM (SELECT case_id, direction FROM ext WHERE counterparty_name IS NOT NULL GROUP BY ALL HAVING count(DISTINCT counterparty_name) >= 3 AND {money('amount_kwd')} >= 3000) GROUP BY case_id),
+bm AS (SELECT DISTINCT case_id, bank, strftime(posting_date, '%Y-%m') AS month FROM ext), long AS (SELECT case_id, bank FROM bm GROUP BY ALL HAVING count(*) >= 6), lm AS (SELECT bm.* FROM bm JOIN long USING (case_id, bank)),
+profiles AS (SELECT case_id, count(*) AS profiles FROM long GROUP BY case_id),
+joint AS (SELECT DISTINCT case_id, 1 AS joint FROM (SELECT a.case_id FROM lm a JOIN lm b ON a.case_id = b.case_id AND a.month = b.month AND a.bank < b.bank GROUP BY a.case_id, a.bank, b.bank HAVING count(*) >= 6)),
+roles AS (SELECT case_id, count(*) AS profiled FROM (SELECT case_id, bank FROM ext GROUP BY ALL HAVING count(*) FILTER (direction = 'credit') >= 3 AND count(*) FILTER (direction = 'debit') >= 3 AND {_T("direction = 'credit'")} >= 1000 AND {_T("direction = 'debit'")} >= 1000) GROUP BY case_id),
+f AS (SELECT c.case_id, coalesce(peers, 0) AS peers, coalesce(months, 0) AS months, coalesce(banks, 0) AS banks, coalesce(credits, 0) AS credits, coalesce(debits, 0) AS debits, coalesce(outs, 0) AS outs, coalesce(ins, 0) AS ins, coalesce(named_banks, 0) AS named_banks,
+ coalesce(inflow, 0) AS inflow, coalesce(sides, 0) AS sides, coalesce(profiles, 0) AS profiles, coalesce(joint, 0) AS joint, coalesce(profiled, 0) AS profiled FROM cases c LEFT JOIN base USING (case_id) LEFT JOIN peers USING (case_id) LEFT JOIN sides USING (case_id)
+ LEFT JOIN profiles USING (case_id) LEFT JOIN joint USING (case_id) LEFT JOIN roles USING (case_id))
+SELECT case_id, 'robust_amount_outliers' AS test FROM f WHERE peers = 0 UNION ALL SELECT case_id, 'behavioral_change_point' FROM f WHERE months < 6 UNION ALL SELECT case_id, 'counterparty_concentration' FROM f WHERE sides = 0
+UNION ALL SELECT case_id, 'rapid_pass_through_sequences' FROM f WHERE credits < 2 OR debits < 2 UNION ALL SELECT case_id, 'network_circulation' FROM f WHERE inflow < 8
+UNION ALL SELECT case_id, 'cross_bank_counterparty_bridging' FROM f WHERE banks < 2 OR named_banks < 2 UNION ALL SELECT case_id, 'cross_bank_burst_synchronization' FROM f WHERE banks < 2 OR profiles < 2 OR joint = 0
+UNION ALL SELECT case_id, 'cross_bank_role_specialization' FROM f WHERE banks < 2 OR profiled < 2 UNION ALL SELECT case_id, 'cross_bank_amount_echoes' FROM f WHERE banks < 2 OR outs = 0 OR ins = 0""")
 def t11_gates(spark, sf_dir):
-    _, _, ext, cases = parts(spark, sf_dir)
-    return forensics.gates(ext, cases)
+    _, _, ext, cases = written(spark, sf_dir)
+    return forensics.gates(ext.withColumn("cluster", F.col("counterparty_name")), cases).select("case_id", "test")
 
 
-@query()
+@query(f"""WITH b AS (SELECT case_id, counterparty_name AS c, {_T("direction = 'debit'")} AS v, count(*) FILTER (direction = 'credit') AS pays FROM ext WHERE counterparty_name IS NOT NULL GROUP BY ALL),
+f AS (SELECT case_id, count(*) FILTER (pays > 0) AS fan, max(v) / nullif(sum(v), 0) AS top FROM b GROUP BY case_id)
+SELECT case_id, 'TECH-NET-02' AS finding, {severity('fan >= 30 AND top >= 0.7', 'fan >= 15 AND top >= 0.5')}, CAST(fan AS DOUBLE) AS metric FROM f WHERE fan >= 8 AND top >= 0.4""")
 def t5_funnel(spark, sf_dir):
-    ext = parts(spark, sf_dir)[2]
-    return forensics.funnel(ft.party_sums(with_cluster(ext, resolve(identities(ext)))))
+    ext = written(spark, sf_dir)[2]
+    return forensics.funnel(ext.withColumn("cluster", F.col("counterparty_name"))).select(*HEAD)
 
 
 def entries(spark, sf_dir):

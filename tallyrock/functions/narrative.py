@@ -28,9 +28,9 @@ def is_crypto(narrative: Column) -> Column:
 
 
 def is_vague(narrative: Column) -> Column:
-    """Null, shorter than six characters without figures and signs, or at most two words that say nothing."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(narrative, r"[0-9\-_/:#.]+", " "), r"[\s ]+", " "))
-    words = F.filter(F.split(bare, " "), lambda w: w != "")
+    """Null, shorter than six characters (inner blanks count) without figures and signs, or at most two words that say nothing."""
+    bare = F.regexp_replace(F.regexp_replace(narrative, r"[0-9\-_/:#.]+", " "), r"^[\s\x{A0}]+|[\s\x{A0}]+$", "")
+    words = F.filter(F.split(bare, r"[\s\x{A0}]+"), lambda w: w != "")
     empty = (F.size(words) <= 2) & F.forall(words, lambda w: matches(w, "vague"))
     return narrative.isNull() | (narrative == "") | (F.length(bare) < 6) | empty
 
@@ -76,7 +76,7 @@ def parse_date(col: Column) -> Column:
     full = lambda y: F.when(F.length(y) > 2, y.cast("int")).when(y.cast("int") < 50, y.cast("int") + 2000).otherwise(y.cast("int") + 1900)
     made = lambda y, m, d: F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")
     part = lambda pattern, k: F.nullif(F.regexp_extract(t, pattern, k), F.lit(""))
-    iso, named, slash = r"^(\d{4})-(\d{1,2})-(\d{1,2})", r"(?i)^(\d{1,2})[\s-]+([a-z]{3})[a-z]*[\s,-]+(\d{2,4})", r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{2,4})"
+    iso, named, slash = r"^(\d{4})-(\d{1,2})-(\d{1,2})", r"(?i)^(\d{1,2})[\s-]([a-z]{3})[a-z]*[\s-](\d{2,4})", r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{2,4})"
     month = F.array_position(F.array(*[F.lit(m) for m in "jan feb mar apr may jun jul aug sep oct nov dec".split()]), F.lower(F.regexp_extract(t, named, 2))).cast("int")
     a, b, y = part(slash, 1).cast("int"), part(slash, 2).cast("int"), full(part(slash, 3))
     serial = F.when(t.rlike(r"^\d{5}(?:\.\d+)?$"), F.try_to_number(F.regexp_extract(t, r"^(\d{5})", 1), F.lit("99999")).cast("int"))
@@ -107,11 +107,11 @@ def extract_party(narrative: Column) -> Column:
     got = lambda pattern, k=1: F.nullif(F.regexp_extract(n, "(?i)" + pattern, k), F.lit(""))
     masked = r"(?i)^[0-9X\s.-]+$"
     insta = got(r"instapay[^:]*:\s*\d+\s*[-–]\s*([0-9X]{4,})")
-    sender = F.trim(F.regexp_replace(F.trim(got(r"transfer\s+from[:\s]+(?:[0-9X]{5,}\s+)?([A-Z][A-Za-z .'-]{3,40})")), r"[.,#|].*$", ""))
-    sender = F.when((F.length(sender) >= 4) & ~matches(sender, "stop_name") & ~sender.rlike(masked), F.substr(sender, F.lit(1), F.lit(40)))
+    said = F.trim(got(r"transfer\s+from[:\s]+(?:[0-9X]{5,}\s+)?([A-Z][A-Za-z .'-]{3,40})"))
+    sender = F.trim(F.regexp_replace(said, r"[.,#|].*$", ""))
+    sender = F.when((F.length(sender) >= 4) & ~matches(said, "stop_name") & ~sender.rlike(masked), F.substr(sender, F.lit(1), F.lit(40)))
     account = F.coalesce(got(r"transfer\s+(?:from|to)[:\s]+([0-9X]{4,})"), got(r"account transfer\s+(?:from|to)\s+([0-9X]{4,})"), got(r"operations\s+to\s+#\s*([0-9X]{4,})"))
     swift = F.trim(got(r"swift[^|]*\|[^|]*KWD\s*,\s*([A-Z][A-Za-z .'-]{2,40}?)\s*\|"))
-    swift = F.coalesce(swift, F.trim(got(r"swift[^|]*KWD\s*,\s*([A-Z][A-Za-z .'-]{2,40}?)\s*\|")))
     swift = F.when((F.length(swift) >= 3) & ~matches(swift, "stop_name") & ~swift.rlike("(?i)^(normal|kwd|usd|eur)$") & ~swift.rlike(masked), F.substr(swift, F.lit(1), F.lit(40)))
     lines = F.transform(F.split(narrative, r"\r?\n"), lambda x: F.trim(x))
     head = F.get(lines, F.lit(0))

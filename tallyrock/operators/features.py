@@ -15,9 +15,11 @@ from tallyrock.constants import Thresholds
 from tallyrock.functions.narrative import country_risk, identifiable, is_crypto, is_self, is_vague
 from tallyrock.operators.identities import identities, resolve, with_cluster
 from tallyrock.operators.matching import greedy_match
-from tallyrock.operators.netting import external, money
+from tallyrock.operators.netting import money
+from tallyrock.sources.shared import cut
 
-FEATURE = "struct<key:string,value:double,zone:string>"
+#: Ids that a rule names as evidence, of one kind.
+MOST_IDS = 50
 
 
 def round3(col: Column) -> Column:
@@ -43,36 +45,57 @@ def gated(key: str, enough: Column, value: Column, zoned: Column, keep: bool = F
     return one(key, value if keep else F.when(enough, value).otherwise(0.0), F.when(enough, zoned).otherwise("gated"))
 
 
-def case_sums(txns: DataFrame, pairs: DataFrame, limits: Thresholds) -> DataFrame:
-    """All plain conditional aggregates of a case in one grouping."""
+def marked(txns: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``txns`` with ``leg``, not null for legs of pairs, and what narratives and countries say, evaluated once for each row."""
     legs = pairs.select("case_id", F.explode(F.array("debit_id", "credit_id")).alias("id"), F.lit(True).alias("leg"))
-    df = txns.join(legs, ["case_id", "id"], "left")
     text = F.col("narrative")
-    # evaluated once for each row, however many sums ask for them
-    df = df.withColumns({"_own": is_self(text), "_vague": is_vague(text), "_crypto": is_crypto(text), "_risk": country_risk(F.col("counterparty_country")), "_named": identifiable(F.col("counterparty_name"))})
+    return txns.join(legs, ["case_id", "id"], "left").withColumns({"_own": is_self(text), "_vague": is_vague(text), "_crypto": is_crypto(text), "_risk": country_risk(F.col("counterparty_country")), "_named": identifiable(F.col("counterparty_name"))})
+
+
+def predicates(limits: Thresholds) -> dict[str, Column]:
+    """Kinds of rows that sums count and whose ids are evidence."""
+    amount, ext = F.col("amount_kwd"), F.col("leg").isNull()
+    cash_in, cash = ext & (F.col("channel") == "cash_deposit"), ext & F.col("channel").isin("cash_deposit", "cash_withdrawal")
+    return {
+        "near": cash_in & (amount >= limits.near_low) & (amount < limits.cash_limit), "round": cash & (amount >= 100) & (F.abs(amount % 100) < 0.001), "geo": ext & F.col("_risk").isNotNull(),
+        "black": ext & (F.col("_risk") == "black"), "vague": ext & F.col("_vague") & (amount >= 1000), "crypto": ext & F.col("_crypto"), "cash": cash_in,
+    }
+
+
+def first_ids(rows: DataFrame, kinds: dict[str, Column], most: int = MOST_IDS) -> DataFrame:
+    """(case_id, <kind>_ids): the ``most`` smallest ids of each kind. Ranked before they are collected, so a large case's rows never meet."""
+    named = F.filter(F.array(*[F.when(v, F.lit(k)) for k, v in kinds.items()]), lambda k: k.isNotNull())
+    each = rows.select("case_id", "id", F.explode(named).alias("kind"))
+    top = each.withColumn("r", F.row_number().over(Window.partitionBy("case_id", "kind").orderBy("id"))).where(F.col("r") <= most)
+    return top.groupBy("case_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("id")))).alias(f"{k}_ids") for k in kinds])
+
+
+def case_sums(txns: DataFrame, pairs: DataFrame, limits: Thresholds) -> DataFrame:
+    """All plain conditional aggregates of a case in one grouping."""
+    return sums_of(marked(txns, pairs), limits)
+
+
+def sums_of(df: DataFrame, limits: Thresholds) -> DataFrame:
+    """The aggregates of ``marked`` rows."""
+    is_ = predicates(limits)
     amount, ext = F.col("amount_kwd"), F.col("leg").isNull()
     credit, debit = ext & (F.col("direction") == "credit"), ext & (F.col("direction") == "debit")
     cash_in = ext & (F.col("channel") == "cash_deposit")
     cash = ext & F.col("channel").isin("cash_deposit", "cash_withdrawal")
-    near = cash_in & (amount >= limits.near_low) & (amount < limits.cash_limit)
-    round_cash = cash & (amount >= 100) & (F.abs(amount % 100) < 0.001)
-    own, vague, crypto, risk = F.col("_own"), F.col("_vague"), F.col("_crypto"), F.col("_risk")
+    own, vague, risk = F.col("_own"), F.col("_vague"), F.col("_risk")
     unexplained = credit & ~F.col("channel").isin("salary", "interest", "cash_deposit") & ~own & ~F.col("_named")
     total = lambda when: F.coalesce(money(F.when(when, amount)), F.lit(0.0))
-    ids = lambda when: F.array_sort(F.collect_list(F.when(when, F.col("id"))))
     digit = F.when(amount >= 1, F.substring(F.regexp_replace(F.format_number(amount, 6), ",", ""), 1, 1).cast("int"))
     return df.groupBy("case_id").agg(
         total(F.lit(True)).alias("turnover"), total(credit).alias("credits"), total(debit).alias("debits"), total(cash_in).alias("cash_total"),
         F.greatest(F.lit(1), F.count_distinct(F.date_format("posting_date", "yyyy-MM"))).alias("active_months"),
-        F.count_if(ext).alias("n_ext"), F.count_if(cash_in).alias("n_cash_in"), F.count_if(cash_in & (amount >= 300)).alias("n_countable"), F.count_if(near).alias("n_near"),
-        F.count_if(cash).alias("n_cash"), F.count_if(round_cash).alias("n_round"), F.count_if(ext & (amount >= 1)).alias("n_benford"),
+        F.count_if(ext).alias("n_ext"), F.count_if(cash_in).alias("n_cash_in"), F.count_if(cash_in & (amount >= 300)).alias("n_countable"), F.count_if(is_["near"]).alias("n_near"),
+        F.count_if(cash).alias("n_cash"), F.count_if(is_["round"]).alias("n_round"), F.count_if(ext & (amount >= 1)).alias("n_benford"),
         *[F.count_if(ext & (digit == d)).alias(f"d{d}") for d in range(1, 10)],
         total(ext & own).alias("own_value"), F.count_if(ext & F.dayofweek("posting_date").isin(6, 7)).alias("n_weekend"),
-        total(ext & risk.isNotNull()).alias("geo_value"), F.count_if(ext & (risk == "black")).alias("n_black"), total(ext & vague).alias("vague_value"),
-        total(unexplained).alias("unexplained_value"), F.count_if(ext & crypto).alias("n_crypto"), F.count_if(ext & vague & (amount >= 1000)).alias("n_vague_high"),
+        total(ext & risk.isNotNull()).alias("geo_value"), F.count_if(is_["black"]).alias("n_black"), total(ext & vague).alias("vague_value"),
+        total(unexplained).alias("unexplained_value"), F.count_if(is_["crypto"]).alias("n_crypto"), F.count_if(is_["vague"]).alias("n_vague_high"),
         total(credit & (amount >= 500)).alias("big_credit_value"),
-        ids(near).alias("near_ids"), ids(round_cash).alias("round_ids"), ids(ext & risk.isNotNull()).alias("geo_ids"), ids(ext & (risk == "black")).alias("black_ids"),
-        ids(ext & vague & (amount >= 1000)).alias("vague_ids"), ids(ext & crypto).alias("crypto_ids"), ids(cash_in).alias("cash_ids"),
     )
 
 
@@ -144,14 +167,16 @@ def fragmentation(cases: DataFrame, ext: DataFrame) -> DataFrame:
 def dwell_matches(ext: DataFrame) -> DataFrame:
     """Credits of 500 or more, by date, each with the earliest free debit within 30 days and 5 %.
 
-    Candidates meet by amount buckets of 5 %, own and neighbouring.
+    Candidates meet by amount buckets of 5 % and bins of 31 days, own and neighbouring.
     """
     amount = F.col("amount_kwd")
     bucket = F.floor(F.log(amount) / F.log(F.lit(1.0527))).cast("long")
     credits = ext.where((F.col("direction") == "credit") & (amount >= 500)).select("case_id", F.col("id").alias("left"), F.col("posting_date").alias("c_date"), amount.alias("c_amount"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
-    debits = ext.where((F.col("direction") == "debit") & (amount >= 250)).select("case_id", F.col("id").alias("right"), F.col("posting_date").alias("d_date"), amount.alias("d_amount"), bucket.alias("bucket"))
-    edges = credits.join(debits, ["case_id", "bucket"]).withColumn("gap", F.datediff("d_date", "c_date"))
-    edges = edges.where(F.col("gap").between(0, 30) & (F.abs(F.col("d_amount") - F.col("c_amount")) <= F.greatest(F.lit(1.0), F.col("c_amount") * 0.05))).drop("bucket")
+    days = lambda date: F.floor(F.datediff(date, F.lit("1970-01-01").cast("date")) / 31)
+    credits = credits.withColumn("bin", F.explode(F.array(days("c_date"), days("c_date") + 1)))
+    debits = ext.where((F.col("direction") == "debit") & (amount >= 250)).select("case_id", F.col("id").alias("right"), F.col("posting_date").alias("d_date"), amount.alias("d_amount"), bucket.alias("bucket"), days("posting_date").alias("bin"))
+    edges = credits.join(debits, ["case_id", "bucket", "bin"]).withColumn("gap", F.datediff("d_date", "c_date"))
+    edges = edges.where(F.col("gap").between(0, 30) & (F.abs(F.col("d_amount") - F.col("c_amount")) <= F.greatest(F.lit(1.0), F.col("c_amount") * 0.05))).drop("bucket", "bin")
     return greedy_match(edges, "case_id", ["c_date", "left"], ["d_date", "right"])
 
 
@@ -187,14 +212,16 @@ def bursts(ext: DataFrame) -> DataFrame:
     windows = span.select("case_id", "first", F.explode(F.sequence(F.lit(0), F.floor((F.col("span") - 30) / 15).cast("int"))).alias("k"))
     at = F.floor(F.datediff("posting_date", "first") / 15).cast("int")
     rows = ext.join(span, "case_id").select("case_id", "id", "posting_date", "amount_kwd", F.explode(F.array(at - 1, at)).alias("k"))
-    totals = rows.groupBy("case_id", "k").agg(F.sum(F.col("amount_kwd").cast("decimal(20,6)")).cast("double").alias("v"), F.slice(F.transform(F.array_sort(F.collect_list(F.struct("posting_date", "id"))), lambda s: s["id"]), 1, 60).alias("ids"))
+    totals = rows.groupBy("case_id", "k").agg(F.sum(F.col("amount_kwd").cast("decimal(20,6)")).cast("double").alias("v"))
     joined = windows.join(totals, ["case_id", "k"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
     ranked = joined.withColumn("r", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("v"), "k")))
     found = ranked.groupBy("case_id").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("r") == 1, F.col("v"))).alias("peak"), F.avg(F.when(F.col("r") > 1, F.col("v"))).alias("mean"),
-        F.stddev_pop(F.when(F.col("r") > 1, F.col("v"))).alias("sd"), F.max_by("ids", -F.col("r")).alias("ids"),
+        F.stddev_pop(F.when(F.col("r") > 1, F.col("v"))).alias("sd"), F.min_by("k", "r").alias("k"),
     )
-    return found.where("n >= 6").withColumn("z", (F.col("peak") - F.col("mean")) / F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd")))
+    top = rows.join(found.select("case_id", "k"), ["case_id", "k"], "left_semi").withColumn("r", F.row_number().over(Window.partitionBy("case_id").orderBy("posting_date", "id"))).where("r <= 60")
+    ids = top.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda s: s["id"]).alias("ids"))
+    return found.join(ids, "case_id", "left").where("n >= 6").withColumn("z", (F.col("peak") - F.col("mean")) / F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd")))
 
 
 def burst_feature(cases: DataFrame, found: DataFrame) -> DataFrame:
@@ -212,13 +239,17 @@ def dormancy(txns: DataFrame) -> DataFrame:
         {
             "size": F.count(F.lit(1)).over(account), "first_id": F.min("id").over(account), "first_day": F.min("day").over(account), "last_day": F.lag("day").over(order),
             "before": F.sum("v").over(order.rowsBetween(Window.unboundedPreceding, -1)), "after": F.sum("v").over(account.orderBy("day").rangeBetween(0, 29)),
-            "ids": F.slice(F.transform(F.array_sort(F.collect_list(F.struct("day", "id")).over(account.orderBy("day").rangeBetween(0, 29))), lambda s: s["id"]), 1, 40),
         }
     )
     monthly = F.col("before").cast("double") / (F.greatest(F.lit(30), F.col("last_day") - F.col("first_day")) / 30.44)
     woken = df.where((F.col("size") >= 5) & (F.col("day") - F.col("last_day") >= 180) & (F.col("after") >= 2000) & (F.col("after").cast("double") > 3 * F.greatest(F.lit(1.0), monthly)))
     ranked = woken.withColumn("r", F.row_number().over(Window.partitionBy("case_id").orderBy("first_id", "posting_date", "id")))
-    return ranked.where("r = 1").select("case_id", "bank", "account_id", (F.col("day") - F.col("last_day")).alias("gap_days"), F.col("after").cast("double").alias("value"), "ids")
+    first = ranked.where("r = 1").select("case_id", "bank", "account_id", (F.col("day") - F.col("last_day")).alias("gap_days"), F.col("after").cast("double").alias("value"), F.col("day").alias("woken"))
+    # the waking account's rows of the next 30 days, 40 of them
+    rows = txns.join(first.select("case_id", "bank", "account_id", "woken"), ["case_id", "bank", "account_id"]).withColumn("day", F.datediff("posting_date", F.lit("1970-01-01").cast("date"))).where("day between woken and woken + 29")
+    top = rows.withColumn("r", F.row_number().over(Window.partitionBy("case_id").orderBy("day", "id"))).where("r <= 40")
+    ids = top.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda s: s["id"]).alias("ids"))
+    return first.drop("woken").join(ids, "case_id", "left")
 
 
 def flag_feature(cases: DataFrame, found: DataFrame, key: str) -> DataFrame:
@@ -254,14 +285,20 @@ def party_features(cases: DataFrame, parties: DataFrame) -> DataFrame:
     return df.select("case_id", F.explode(rows).alias("f")).select("case_id", "f.*")
 
 
-def features(txns: DataFrame, pairs: DataFrame, cases: DataFrame, limits: Thresholds = Thresholds()) -> tuple[DataFrame, DataFrame]:
-    """(case_id, key, value, zone), and one row per case of evidence for the rules."""
-    ext = external(txns, pairs)
+def features(txns: DataFrame, pairs: DataFrame, cases: DataFrame, limits: Thresholds = Thresholds(), clustered: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(case_id, key, value, zone), and one row per case of evidence for the rules.
+
+    What several features need is written once: the external rows, the sums, and the clustered
+    rows, unless ``clustered`` is given.
+    """
+    rows = cut(marked(txns, pairs), "marked")
+    ext = rows.where("leg is null").drop("leg")
     paired = pairs.groupBy("case_id").agg(money("amount_kwd").alias("paired_kwd"))
-    sums = case_sums(txns, pairs, limits).join(paired, "case_id", "left")
-    days, matches, chains, burst, woken = split_days(ext, limits), dwell_matches(ext), relay_chains(ext, pairs), bursts(ext), dormancy(txns)
-    clustered = with_cluster(ext, resolve(identities(ext)))
-    parties = party_sums(clustered)
+    sums = cut(sums_of(rows, limits).join(paired, "case_id", "left"), "sums")
+    if clustered is None:
+        clustered = cut(with_cluster(ext, resolve(identities(ext))), "clustered")
+    days, matches, chains = cut(split_days(ext, limits), "days"), cut(dwell_matches(ext), "dwell"), cut(relay_chains(ext, pairs), "chains")
+    burst, woken, parties = cut(bursts(ext), "bursts"), cut(dormancy(txns), "dormancy"), cut(party_sums(clustered), "parties")
     every = [
         sum_features(sums, cases), cash_peak(ext, cases), day_features(cases, days, limits), fragmentation(cases, ext), dwell_features(cases, matches, sums),
         count_feature(cases, chains, "relay_chain_count", 2, 4), burst_feature(cases, burst), flag_feature(cases, woken, "dormancy_reactivation"), month_break(ext), party_features(cases, parties),
@@ -269,15 +306,16 @@ def features(txns: DataFrame, pairs: DataFrame, cases: DataFrame, limits: Thresh
     out = every[0]
     for part in every[1:]:
         out = out.unionByName(part)
-    flat = lambda ids: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(ids)), lambda s: s["ids"])))
-    day_ids = days.groupBy("case_id").agg(
-        F.count_if("multibank").alias("multi_days"), F.count_if(~F.col("multibank")).alias("split_days"),
-        flat(F.when(F.col("multibank"), F.struct("posting_date", "ids"))).alias("multi_ids"), flat(F.when(~F.col("multibank"), F.struct("posting_date", "ids"))).alias("split_ids"),
-    )
-    quick = matches.where("gap <= 3").groupBy("case_id").agg(F.count(F.lit(1)).alias("n_quick"), flat(F.struct("c_date", "left", F.array("left", "right").alias("ids"))).alias("quick_ids"))
-    relay = chains.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_relay"), flat(F.struct("debit_id", F.array("feeder", "debit_id", "credit_id", "exit").alias("ids"))).alias("relay_ids"))
-    fan = clustered.where((F.col("direction") == "credit") & F.col("cluster").isNotNull() & ~is_self(F.col("narrative"))).groupBy("case_id").agg(F.array_sort(F.collect_list("id")).alias("fan_ids"))
-    evidence = sums.select("case_id", "credits", *[c for c in sums.columns if c.endswith("_ids")], "n_near", "n_cash_in", "n_round", "n_black", "n_vague_high", "n_crypto")
-    for more in (day_ids, quick, relay, fan, parties.select("case_id", "top_share"), burst.select("case_id", F.col("ids").alias("burst_ids")), woken.select("case_id", F.col("ids").alias("dormancy_ids"))):
+    flat = lambda ids: F.slice(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(ids)), lambda s: s["ids"]))), 1, MOST_IDS)
+    ranked = lambda df, order: df.withColumn("_r", F.row_number().over(Window.partitionBy("case_id").orderBy(*order)))
+    some = F.col("_r") <= MOST_IDS
+    of = lambda df, order, count, name, ids: ranked(df, order).groupBy("case_id").agg(F.count(F.lit(1)).alias(count), flat(F.when(some, F.struct("_r", ids.alias("ids")))).alias(name))
+    multi = of(days.where("multibank"), ["posting_date"], "multi_days", "multi_ids", F.col("ids"))
+    split = of(days.where("not multibank"), ["posting_date"], "split_days", "split_ids", F.col("ids"))
+    quick = of(matches.where("gap <= 3"), ["c_date", "left"], "n_quick", "quick_ids", F.array("left", "right"))
+    relay = of(chains, ["debit_id"], "n_relay", "relay_ids", F.array("feeder", "debit_id", "credit_id", "exit"))
+    fan = first_ids(clustered, {"fan": (F.col("direction") == "credit") & F.col("cluster").isNotNull() & ~is_self(F.col("narrative"))})
+    evidence = sums.select("case_id", "credits", "n_near", "n_cash_in", "n_round", "n_black", "n_vague_high", "n_crypto")
+    for more in (first_ids(rows, predicates(limits)), multi, split, quick, relay, fan, parties.select("case_id", "top_share"), burst.select("case_id", F.col("ids").alias("burst_ids")), woken.select("case_id", F.col("ids").alias("dormancy_ids"))):
         evidence = evidence.join(more, "case_id", "left")
-    return out, evidence
+    return cut(out, "features"), cut(evidence, "evidence")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyrock.operators.components import connected_components
+from tallyrock.sources.shared import cut, drop_table
+
+#: Candidate edges of a group that one task may hold.
+MOST_EDGES = 500_000
 
 
 def _taken(frame: pd.DataFrame, order: list[str]) -> pd.DataFrame:
@@ -24,20 +27,40 @@ def _taken(frame: pd.DataFrame, order: list[str]) -> pd.DataFrame:
     return ordered[keep]
 
 
-def greedy_match(edges: DataFrame, group: str, left_order: list[str], preference: list[str], by_component: bool = False) -> DataFrame:
+def mutual_match(edges: DataFrame, group: str, order: list[str], preference: list[str]) -> DataFrame:
+    """The same matching in rounds of joins and windows, for groups of any size.
+
+    A left and a right that are each other's first among the edges that are left are matched:
+    no earlier left can want the right any more. The first left of all is always so matched,
+    so every round takes edges away.
+    """
+    now, done = cut(edges, "match-edges"), None
+    while not now.isEmpty():
+        wants = F.row_number().over(Window.partitionBy(group, "left").orderBy(*preference))
+        wanted = F.row_number().over(Window.partitionBy(group, "right").orderBy(*order, *preference))
+        found = cut(now.withColumns({"_l": wants, "_r": wanted}).where("_l = 1 and _r = 1").select(*edges.columns), "matched")
+        done = found if done is None else done.union(found)
+        rest = now.join(found.select(group, "left"), [group, "left"], "left_anti").join(found.select(group, "right"), [group, "right"], "left_anti")
+        before, now = now, cut(rest.select(*edges.columns), "match-edges")
+        drop_table(before)
+    return edges.where("false") if done is None else done
+
+
+def greedy_match(edges: DataFrame, group: str, left_order: list[str], preference: list[str], most: int = MOST_EDGES) -> DataFrame:
     """The edges that are matched, where all lefts share one order and each takes its best free right.
 
     ``edges`` has ``left`` and ``right``; the order columns must end in a unique one. Only
-    candidate edges meet in a task, those of one ``group``; with ``by_component`` those of
-    one connected component of a group, for groups that are too large.
+    candidate edges meet in a task, those of one ``group``; a group of more than ``most``
+    edges is matched in rounds over the whole cluster, with the same result.
     """
-    order = [*left_order, *preference]
     columns = edges.columns
-    if by_component:
-        ends = edges.select(F.concat(F.lit("L"), F.col("left").cast("string")).alias("a"), F.concat(F.lit("R"), F.col("right").cast("string")).alias("b"))
-        parts = connected_components(ends, "a", "b").select(F.col("node").alias("_node"), F.col("component").alias("_part"))
-        edges = edges.join(parts, F.concat(F.lit("L"), F.col("left").cast("string")) == F.col("_node")).drop("_node")
-        keys = [group, "_part"]
-    else:
-        keys = [group]
-    return edges.groupBy(*keys).applyInPandas(lambda f: _taken(f, order)[columns], edges.select(*columns).schema)
+    edges = cut(edges, "candidates")
+    large = edges.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(group)
+    small = edges
+    if not large.isEmpty():
+        large = cut(large, "large-groups")
+        small = edges.join(large, group, "left_anti")
+    out = small.select(*columns).groupBy(group).applyInPandas(lambda f: _taken(f, [*left_order, *preference])[columns], edges.schema)
+    if small is not edges:
+        out = out.unionByName(mutual_match(edges.join(large, group, "left_semi").select(*columns), group, left_order, preference))
+    return out

@@ -5,64 +5,75 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyrock.constants import BIC_BANKS, FILENAME_BANKS, FX_TO_KWD
+from tallyrock.constants import AMOUNT_WORDS, BIC_BANKS, COLUMN_ROLES, CREDIT_TYPES, CREDIT_VALUES, DATE_WORDS, DEBIT_TYPES, DEBIT_VALUES, FILENAME_BANKS, FX_TO_KWD, NARRATIVE_HEADERS, OTHER_WORDS
 from tallyrock.functions.names import name_tokens, refers_to_subject
 from tallyrock.functions.narrative import ascii_edges, classify_channel, extract_party, parse_amount, parse_date
+from tallyrock.sources.shared import cut
 
-DATE_WORDS, AMOUNT_WORDS, OTHER_WORDS = "date|تاريخ", "amount|debit|credit|balance|withdraw|deposit|مبلغ|مدين|دائن|رصيد", "description|narrative|details|particulars|reference|currency|account|beneficiary|type|البيان|الوصف|التفاصيل"
-#: Roles in the order in which they claim a header.
-ROLES = (
-    ("value_date", r"value\s*date"), ("date", DATE_WORDS), ("balance", r"balance|رصيد"), ("kwd", r"kwd|equivalent|countervalue"), ("debit", r"debit|withdraw|\bdr\b|مدين"), ("credit", r"credit|deposit|\bcr\b|دائن"),
-    ("amount", r"amount|مبلغ"), ("currency", r"currency|ccy|عملة"), ("party", r"beneficiary|counterparty|party|المستفيد"), ("type", r"type|code"), ("account", r"account|حساب"), ("narrative", r"description|narrative|details|particulars|البيان|الوصف|التفاصيل|remarks"),
-)
-MOST_SHEETS, HEADER_ROWS, MOST_EMPTY = 10, 25, 80
+MOST_SHEETS, HEADER_ROWS, MOST_EMPTY, LABEL_HEADERS, BANK_ROWS = 10, 25, 80, 40, 200
+
+
+def header_text(cell: Column) -> Column:
+    """A header as roles read it: signs as blanks, lower case."""
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(cell, F.lit("")), r"[_\-./]+", " "), r"\s+", " ")))
 
 
 def find_header(rows: DataFrame) -> DataFrame:
-    """(file_id, sheet, header_index, header): of the first 25 rows the first with the best score, of 4 or more."""
-    word = lambda c, p: F.lower(c).rlike(p)
-    score = lambda c: F.when((F.length(c) > 60) | c.isNull(), 0).when(word(c, DATE_WORDS) | word(c, AMOUNT_WORDS), 2).when(word(c, OTHER_WORDS), 1).otherwise(0)
+    """(file_id, sheet, header_index, header): of the first 25 rows the first with the best score, of 4 or more; of a file's first ten sheets."""
+    word = lambda c, p: header_text(c).rlike(p)
+    score = lambda c: F.when((F.length(header_text(c)) > 60) | c.isNull(), 0).when(word(c, f"{DATE_WORDS}|{AMOUNT_WORDS}"), 2).when(word(c, OTHER_WORDS), 1).otherwise(0)
     head = rows.where(F.col("row_index") < HEADER_ROWS).withColumn("score", F.aggregate("cells", F.lit(0), lambda s, c: s + score(c)))
+    head = head.withColumn("nth", F.dense_rank().over(Window.partitionBy("file_id").orderBy("sheet"))).where(F.col("nth") <= MOST_SHEETS)
     ranked = head.withColumn("r", F.row_number().over(Window.partitionBy("file_id", "sheet").orderBy(F.desc("score"), "row_index")))
     return ranked.where("r = 1 and score >= 4").select("file_id", "sheet", F.col("row_index").alias("header_index"), F.col("cells").alias("header"))
 
 
-def map_columns(header: list[str]) -> dict[str, int]:
-    """Role -> column; each role takes the first free header that names it. Empty without a date and an amount."""
-    import re
-
-    taken: dict[str, int] = {}
-    for role, pattern in ROLES:
-        for k, name in enumerate(header):
-            if name and k not in taken.values() and role not in taken and re.search(pattern, name.lower()):
-                taken[role] = k
-    usable = ("date" in taken or "value_date" in taken) and any(r in taken for r in ("amount", "debit", "credit", "kwd"))
-    return taken if usable else {}
-
-
-def column_maps(headers: DataFrame) -> DataFrame:
-    """(file_id, sheet, header_index, roles map<string,int>): one small row per file, mapped where it is."""
-
-    @F.udf("map<string,int>")
-    def of(header):
-        return map_columns(list(header))
+def column_maps(headers: DataFrame, supplied: DataFrame | None = None) -> DataFrame:
+    """(file_id, sheet, header_index, header, roles map<string,int>, narratives array<int>), one row per file and sheet.
 
-    return headers.withColumn("roles", of("header")).where(F.size("roles") > 0).drop("header")
-
-
-def resolve_direction(debit: Column, credit: Column, amount: Column, indicator: Column) -> Column:
-    """struct(direction, amount, reason): from two columns, else an amount with indicator words, else its sign."""
+    Each role takes the first free header that fits it; every free header of a narrative is one
+    of ``narratives``. ``supplied`` (file_id, named map<string,string>) gives roles by header
+    text, and replaces what would be found. Sheets without a date and an amount are left out.
+    """
+    table = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(ascii_edges(m)).alias("must"), F.lit(ascii_edges(a)).alias("also"), F.lit(n).alias("never")) for r, m, a, n in COLUMN_ROLES])
+    texts = F.transform("header", header_text)
+    places = F.sequence(F.lit(0), F.size("header") - 1)
+    none = F.create_map().cast("map<string,int>")
+
+    def claim(taken: Column, role: Column) -> Column:
+        fits = lambda h: (h != "") & F.rlike(h, role["must"]) & F.rlike(h, role["also"]) & ~F.rlike(h, role["never"])
+        free = F.filter(F.col("_places"), lambda i: ~F.array_contains(F.map_values(taken), i) & fits(F.get(F.col("_texts"), i)))
+        return F.when(~F.map_contains_key(taken, role["role"]) & (F.size(free) > 0), F.map_concat(taken, F.create_map(role["role"], F.get(free, 0)))).otherwise(taken)
+
+    df = headers.withColumns({"_texts": texts, "_places": F.when(F.size("header") > 0, places).otherwise(F.array().cast("array<int>"))})
+    df = df.withColumn("roles", F.aggregate(table, none, claim))
+    if supplied is not None:
+        df = df.join(supplied, "file_id", "left")
+        at = lambda name: F.array_position(F.col("_texts"), header_text(name)).cast("int") - 1
+        given = F.map_filter(F.transform_values("named", lambda _, v: at(v)), lambda _, v: v >= 0)
+        df = df.withColumn("roles", F.coalesce(given, F.col("roles"))).drop("named")
+    told = F.filter("_places", lambda i: ~F.array_contains(F.map_values("roles"), i) & F.get(F.col("_texts"), i).rlike(NARRATIVE_HEADERS))
+    narrative = F.element_at("roles", F.lit("narrative"))
+    df = df.withColumn("narratives", F.when(narrative.isNotNull(), F.array(narrative)).otherwise(told))
+    has = lambda *names: F.exists(F.array(*[F.map_contains_key("roles", F.lit(n)) for n in names]), lambda x: x)
+    return df.where(has("date") & has("amount", "debit", "credit", "kwd")).drop("_texts", "_places")
+
+
+def resolve_direction(debit: Column, credit: Column, amount: Column, indicator: Column, kind: Column) -> Column:
+    """struct(direction, amount, reason): from two columns, else an amount with what its indicator or type says, else its sign."""
     made = lambda d, a, r: F.struct(F.lit(d).cast("string").alias("direction"), a.cast("double").alias("amount"), F.lit(r).cast("string").alias("reason"))
     none = F.lit(None)
     has = lambda c: F.coalesce(c, F.lit(0.0)) != 0
-    said = F.lower(F.coalesce(indicator, F.lit("")))
+    said, typed = F.lower(F.trim(F.coalesce(indicator, F.lit("")))), F.lower(F.coalesce(kind, F.lit("")))
     return (
         F.when(has(debit) & has(credit), made(None, none, "both_sides"))
         .when(has(debit), made("debit", F.abs(debit), None))
         .when(has(credit), made("credit", F.abs(credit), None))
         .when(~has(amount), made(None, none, "no_amount"))
-        .when(said.rlike(ascii_edges(r"\b(d|dr|debit)\b|مدين")), made("debit", F.abs(amount), None))
-        .when(said.rlike(ascii_edges(r"\b(c|cr|credit)\b|دائن")), made("credit", F.abs(amount), None))
+        .when(said.rlike(CREDIT_VALUES), made("credit", F.abs(amount), None))
+        .when(said.rlike(DEBIT_VALUES), made("debit", F.abs(amount), None))
+        .when(typed.rlike(CREDIT_TYPES), made("credit", F.abs(amount), None))
+        .when(typed.rlike(DEBIT_TYPES), made("debit", F.abs(amount), None))
         .when(amount < 0, made("debit", F.abs(amount), None))
         .otherwise(made("credit", F.abs(amount), None))
     )
@@ -75,28 +86,60 @@ def to_kwd(rows: DataFrame, amount: str, currency: str, countervalue: str) -> Da
     return rows.withColumn("kwd", F.when(F.coalesce(F.col(countervalue), F.lit(0.0)) != 0, F.abs(countervalue)).otherwise(other))
 
 
-def parse_rows(rows: DataFrame, maps: DataFrame) -> DataFrame:
-    """Rows below each file's header with date, direction, amounts, party, channel, and the reason where one is skipped.
+TEXT_ROLES = ("currency", "account", "code", "type", "indicator", "from_name", "to_name", "name", "from_bank", "to_bank", "bank", "from_country", "to_country", "country")
 
-    More than 80 empty rows one after the other end a sheet.
-    """
-    df = rows.join(F.broadcast(maps), ["file_id", "sheet"]).where(F.col("row_index") > F.col("header_index"))
-    cell = lambda role: F.nullif(F.trim(F.get("cells", F.element_at("roles", F.lit(role)))), F.lit(""))
+
+def table_rows(rows: DataFrame, maps: DataFrame) -> DataFrame:
+    """Rows below each header that are not empty. More than 80 empty rows one after the other end a sheet."""
+    df = rows.join(maps.drop("header"), ["file_id", "sheet"]).where(F.col("row_index") > F.col("header_index"))
     w = Window.partitionBy("file_id", "sheet").orderBy("row_index")
     full = F.exists("cells", lambda c: F.coalesce(F.trim(c), F.lit("")) != "")
     df = df.withColumn("_full", full).withColumn("_run", F.sum(F.col("_full").cast("int")).over(w))
     df = df.withColumn("_empties", F.sum((~F.col("_full")).cast("int")).over(Window.partitionBy("file_id", "sheet", "_run").orderBy("row_index")))
-    df = df.withColumn("_ended", F.max((F.col("_empties") > MOST_EMPTY).cast("int")).over(w)).where("_full and _ended = 0").drop("_full", "_run", "_empties", "_ended")
-    df = df.withColumns({r: cell(r) for r in ("narrative", "party", "currency", "account", "type")})
-    date = F.coalesce(parse_date(cell("date")), parse_date(cell("value_date")))
-    df = df.withColumns({"posting_date": date, "countervalue": parse_amount(cell("kwd")), "running_balance": parse_amount(cell("balance"))})
-    df = df.withColumn("_d", resolve_direction(parse_amount(cell("debit")), parse_amount(cell("credit")), F.coalesce(parse_amount(cell("amount")), F.col("countervalue")), F.col("type")))
-    reason = F.coalesce(F.when(F.col("posting_date").isNull() & F.col("_d.amount").isNotNull(), "no_date"), F.col("_d.reason"), F.when(F.col("posting_date").isNull(), "no_date"))
-    df = df.withColumns({"direction": F.col("_d.direction"), "amount": F.col("_d.amount"), "reason": reason, "currency": F.coalesce("currency", F.lit("KWD"))}).drop("_d", "cells", "roles")
-    party = F.when(~F.lower(F.coalesce("party", F.lit(""))).contains("central bank"), F.col("party"))
-    df = df.withColumn("counterparty_name", F.coalesce(party, extract_party(F.col("narrative")))).drop("party")
-    df = df.withColumn("channel", classify_channel(F.col("narrative"), F.col("type"), F.col("direction"), F.col("counterparty_name").isNotNull()))
-    return to_kwd(df, "amount", "currency", "countervalue").withColumnRenamed("kwd", "amount_kwd")
+    return df.withColumn("_ended", F.max((F.col("_empties") > MOST_EMPTY).cast("int")).over(w)).where("_full and _ended = 0").drop("_full", "_run", "_empties", "_ended")
+
+
+def parse_cells(table: DataFrame) -> DataFrame:
+    """Rows with dates, amounts and the texts of their roles; narratives are joined by bars."""
+    cell = lambda role: F.nullif(F.trim(F.get("cells", F.element_at("roles", F.lit(role)))), F.lit(""))
+    told = F.filter(F.transform("narratives", lambda i: F.trim(F.get(F.col("cells"), i))), lambda c: F.coalesce(c, F.lit("")) != "")
+    df = table.withColumns({"narrative": F.nullif(F.array_join(told, " | "), F.lit("")), **{r: cell(r) for r in TEXT_ROLES}})
+    return df.select("*", parse_date(cell("date")).alias("posting_date"), *[parse_amount(cell(r)).alias(f"_{r}") for r in ("kwd", "balance", "debit", "credit", "amount")])
+
+
+def parse_rows(rows: DataFrame, maps: DataFrame) -> DataFrame:
+    """Rows below each file's header with date, direction, amounts, party, bank, country and channel, and the reason where one is skipped.
+
+    Cells are parsed into a table of their own first: the parsers and the channel's patterns in
+    one expression would be more code than the JVM compiles.
+    """
+    df = cut(parse_cells(table_rows(rows, maps)), "cells")
+    df = df.withColumn("_d", resolve_direction(F.col("_debit"), F.col("_credit"), F.coalesce("_amount", "_kwd"), F.col("indicator"), F.col("type")))
+    # rows without a date are no transactions; those without an amount either are no rows at all
+    stated = F.coalesce("_debit", "_credit", "_amount").isNotNull()
+    reason = F.when(F.col("posting_date").isNull(), "no_date").otherwise(F.col("_d.reason"))
+    df = df.where(F.col("posting_date").isNotNull() | stated)
+    df = df.withColumns({"direction": F.col("_d.direction"), "amount": F.col("_d.amount"), "reason": reason, "currency": F.upper(F.coalesce("currency", F.lit("KWD"))), "countervalue": F.col("_kwd"), "running_balance": F.col("_balance")})
+    df = df.drop("_d", "_kwd", "_balance", "_debit", "_credit", "_amount", "cells", "roles", "narratives")
+    side = lambda what: F.coalesce(F.when(F.col("direction") == "credit", F.col(f"from_{what}")).otherwise(F.col(f"to_{what}")), F.col(what))
+    party = side("name")
+    party = F.when(~F.lower(F.coalesce(party, F.lit(""))).contains("central bank"), party)
+    df = df.withColumns({"counterparty_name": F.coalesce(party, extract_party(F.col("narrative"))), "counterparty_bank": side("bank"), "counterparty_country": side("country")})
+    df = df.drop(*[r for r in TEXT_ROLES if r not in ("currency", "account", "code", "type")])
+    extra = F.nullif(F.concat_ws(" ", "code", "type"), F.lit(""))
+    df = df.withColumn("channel", classify_channel(F.col("narrative"), extra, F.col("direction"), F.col("counterparty_name").isNotNull()))
+    df = to_kwd(df, "amount", "currency", "countervalue").withColumnRenamed("kwd", "amount_kwd")
+    return df.withColumn("currency", F.when(F.col("currency") == "KD", "KWD").otherwise(F.col("currency")))
+
+
+def bank_labels(files: DataFrame, maps: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(file_id, filename, label, party_banks) for ``infer_bank``: file name, sheet and headers, and the banks of a file's first rows."""
+    sheets = parsed.select("file_id", "sheet").distinct()
+    heads = maps.join(sheets, ["file_id", "sheet"], "left_semi").select("file_id", F.concat_ws(" ", "sheet", F.array_join(F.slice("header", 1, LABEL_HEADERS), " ")).alias("head"))
+    first = parsed.where("reason is null").withColumn("r", F.row_number().over(Window.partitionBy("file_id").orderBy("row_index"))).where(F.col("r") <= BANK_ROWS)
+    banks = first.groupBy("file_id").agg(F.concat_ws(" ", F.collect_set("counterparty_bank")).alias("party_banks"))
+    df = files.join(heads, "file_id", "left").join(banks, "file_id", "left")
+    return df.select("file_id", "filename", F.concat_ws(" ", "filename", "head").alias("label"), "party_banks")
 
 
 def skip_reasons(parsed: DataFrame) -> DataFrame:
@@ -117,7 +160,7 @@ def infer_bank(files: DataFrame) -> DataFrame:
         found = F.when(F.concat_ws(" ", "label", "party_banks").rlike(f"(?i){pattern}"), bank).otherwise(found)
     for pattern, bank in reversed(FILENAME_BANKS):
         found = F.when(F.col("label").rlike("(?i)" + ascii_edges(pattern)), bank).otherwise(found)
-    return files.select("file_id", F.coalesce(found, F.col("filename")).alias("bank"))
+    return files.select("file_id", F.coalesce(found, F.regexp_replace("filename", r"(?i)\.(xlsx?|csv)$", "")).alias("bank"))
 
 
 def suppress_self(txns: DataFrame, cases: DataFrame) -> DataFrame:

@@ -45,6 +45,21 @@ def file_quality(counts: DataFrame, balances: DataFrame, duplicates: DataFrame)
     return df.select("file_id", F.greatest(F.lit(0.05), F.least(F.lit(1.0), quality)).alias("quality"))
 
 
+def file_issues(counts: DataFrame, balances: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """(file_id, issues array<string>): what a reader of the file should know; ``balance_integrity`` reads them."""
+    steps = balances.groupBy("file_id").agg(F.sum("checked").alias("checked"), F.sum("breaks").alias("breaks"))
+    df = counts.join(steps, "file_id", "left").join(duplicates, "file_id", "left").fillna(0, ["checked", "breaks", "duplicates"])
+    total = F.col("rows_parsed") + F.col("rows_skipped")
+    many = lambda n: F.when(F.col(n) == 1, "").otherwise("s")
+    broken = F.format_string("%d balance reconciliation break%s across %d checked rows", "breaks", many("breaks"), "checked")
+    issues = F.array(
+        F.when(F.col("checked") == 0, "No running-balance column: completeness cannot be verified.").when(F.col("breaks") > 0, broken),
+        F.when(F.col("duplicates") > 0, F.format_string("%d potential duplicate row%s", "duplicates", many("duplicates"))),
+        F.when((F.col("rows_skipped") > 0) & (F.col("rows_parsed") < 0.98 * total), F.format_string("%d of %d rows could not be converted", "rows_skipped", total)),
+    )
+    return df.select("file_id", F.filter(issues, lambda x: x.isNotNull()).alias("issues"))
+
+
 def case_quality(files: DataFrame) -> DataFrame:
     """(case_id, quality): mean of the files' quality by their rows."""
     weight = F.greatest(F.lit(1), F.col("rows_parsed"))
@@ -62,9 +77,9 @@ def parse_coverage(files: DataFrame) -> DataFrame:
 
 
 def balance_integrity(files: DataFrame) -> DataFrame:
-    """Worst of the issues that speak of balances; breaks in a poor file fail."""
+    """Worst of the issues that speak of balances; breaks in a file of quality below 0.7 fail."""
     issue = F.lower(F.col("issue"))
-    rank = F.when(issue.contains("break") & (F.col("quality") < 0.7), 2).when(issue.contains("balance"), 1).otherwise(0)
+    rank = F.when(~issue.contains("balance"), 0).when(issue.contains("break") & (F.col("quality") < 0.7), 2).otherwise(1)
     df = files.select("case_id", "quality", F.explode_outer("issues").alias("issue")).groupBy("case_id").agg(F.max(F.coalesce(rank, F.lit(0))).alias("r"))
     return df.select("case_id", F.lit("balance_integrity").alias("check"), F.element_at(F.array(F.lit("pass"), F.lit("warn"), F.lit("fail")), F.col("r") + 1).alias("status"), F.col("r").cast("double").alias("metric"))
 
@@ -78,14 +93,19 @@ def statement_overlap(files: DataFrame) -> DataFrame:
     return both.select("a.case_id", "a.account_id", F.col("a.file_id").alias("file_a"), F.col("b.file_id").alias("file_b"), days.alias("days")).where("days > 1")
 
 
-def cross_file_duplicates(txns: DataFrame) -> DataFrame:
-    """(case_id, signature, n, files): equal rows that several files report; rows without text or balance are left out."""
-    text = F.substring(F.trim(F.regexp_replace(F.lower(F.coalesce("narrative", F.lit(""))), r"[\s ]+", " ")), 1, 80)
+def signed(txns: DataFrame) -> DataFrame:
+    """``txns`` with ``signature``; rows without text or balance, too weak to be called equal, are left out."""
+    text = F.substring(F.trim(F.regexp_replace(F.lower(F.coalesce("narrative", F.lit(""))), r"[\s\x{A0}]+", " ")), 1, 80)
     balance = three_places(F.col("running_balance")) if "running_balance" in txns.columns else F.lit(None).cast("string")
     mark = F.when(F.length(text) >= 6, text).otherwise(balance)
     signature = F.concat_ws("|", "account_id", F.col("posting_date").cast("string"), "direction", three_places(F.col("amount_kwd")), mark)
-    rows = txns.where(mark.isNotNull()).select("case_id", F.sha2(signature, 256).alias("signature"), "file_id")
-    return rows.groupBy("case_id", "signature").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file_id").alias("files")).where("n > 1 and files > 1")
+    return txns.where(mark.isNotNull()).withColumn("signature", F.sha2(signature, 256))
+
+
+def cross_file_duplicates(txns: DataFrame) -> DataFrame:
+    """(case_id, signature, n, files): equal rows that several files report."""
+    found = signed(txns).groupBy("case_id", "signature").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file_id").alias("files"))
+    return found.where("n > 1 and files > 1")
 
 
 def coverage_gaps(txns: DataFrame) -> DataFrame:
@@ -102,15 +122,54 @@ def fx_share(txns: DataFrame) -> DataFrame:
     return txns.groupBy("case_id").agg(foreign.alias("metric")).select("case_id", F.lit("fx_share").alias("check"), F.when(F.col("metric") > 0.5, "warn").otherwise("pass").alias("status"), "metric")
 
 
+def currency_counts(txns: DataFrame) -> DataFrame:
+    """(case_id, currency, n) of foreign currencies."""
+    return txns.where(~F.upper("currency").isin("KWD", "KD")).groupBy("case_id", F.upper("currency").alias("currency")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def duplicate_ids(txns: DataFrame) -> DataFrame:
+    """(case_id, signature, id, line) of the rows that several files report."""
+    found = cross_file_duplicates(txns)
+    line = F.format_string("%s %s %s %.3f KWD", "account_id", F.col("posting_date").cast("string"), "direction", "amount_kwd")
+    return signed(txns).withColumn("line", line).join(found, ["case_id", "signature"]).select("case_id", "signature", "id", F.format_string("%s - in %d files (%d rows)", "line", "files", "n").alias("line"))
+
+
+def top_items(rows: DataFrame, item: Column, *order: Column | str) -> DataFrame:
+    """(case_id, items, n): the first ``MOST_ITEMS`` lines of each case; ranked before they are collected."""
+    w = Window.partitionBy("case_id")
+    ranked = rows.withColumn("item", item).withColumns({"r": F.row_number().over(w.orderBy(*order, "item")), "n": F.count(F.lit(1)).over(w)}).where(F.col("r") <= MOST_ITEMS)
+    return ranked.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "item"))), lambda x: x["item"]).alias("items"), F.first("n").alias("n"))
+
+
 def dq_report(txns: DataFrame, files: DataFrame) -> DataFrame:
-    """(case_id, report): the six checks as one nested row."""
-    found = lambda df, check, warn: df.groupBy("case_id").agg(F.count(F.lit(1)).cast("double").alias("metric")).select("case_id", F.lit(check).alias("check"), F.lit(warn).alias("status"), "metric")
-    parts = [parse_coverage(files), balance_integrity(files), fx_share(txns)]
-    every = files.select("case_id").distinct()
-    for df, check in ((statement_overlap(files), "statement_overlap"), (cross_file_duplicates(txns), "cross_file_duplicates"), (coverage_gaps(txns), "coverage_gaps")):
-        got = every.join(found(df, check, "warn"), "case_id", "left")
-        parts.append(got.select("case_id", F.lit(check).alias("check"), F.coalesce("status", F.lit("pass")).alias("status"), F.coalesce("metric", F.lit(0.0)).alias("metric")))
+    """(case_id, report): the six checks, each with status, metric, up to eight lines and up to twelve row ids."""
+    cases = files.select("case_id").distinct()
+    bank = F.col("bank") if "bank" in files.columns else F.col("filename")
+    said = files.select("case_id", "file_id", bank.alias("bank"), F.explode("issues").alias("issue")).where(F.lower("issue").contains("balance"))
+    skipped = files.where("rows_skipped > 0")
+    copies = duplicate_ids(txns)
+    groups = copies.groupBy("case_id", "signature").agg(F.first("line").alias("line"), F.min("id").alias("first"))
+    ids = copies.withColumn("r", F.row_number().over(Window.partitionBy("case_id").orderBy("signature", "id"))).where(F.col("r") <= MOST_IDS).groupBy("case_id").agg(F.sort_array(F.collect_list("id")).alias("txn_ids"))
+    lines = {
+        "parse_coverage": top_items(skipped, F.format_string("%s: %d rows skipped (%s)", bank, "rows_skipped", "filename"), "file_id"),
+        "balance_integrity": top_items(said, F.format_string("%s: %s", "bank", "issue"), "file_id"),
+        "statement_overlap": top_items(statement_overlap(files), F.format_string("%s: files %d and %d share %d days", "account_id", "file_a", "file_b", "days"), "account_id", "file_a", "file_b"),
+        "cross_file_duplicates": top_items(groups, F.col("line"), "first"),
+        "coverage_gaps": top_items(coverage_gaps(txns), F.format_string("%s: no activity %s to %s (%d days)", "account_id", F.col("gap_start").cast("string"), F.col("gap_end").cast("string"), "days"), "account_id", "gap_start"),
+        "fx_share": top_items(currency_counts(txns), F.format_string("%s: %d transactions", "currency", "n"), F.desc("n"), "currency"),
+    }
+    known = {"parse_coverage": parse_coverage(files), "balance_integrity": balance_integrity(files), "fx_share": fx_share(txns)}
+    worst = {"statement_overlap": "warn", "cross_file_duplicates": "fail", "coverage_gaps": "warn"}
+    parts = []
+    for check, items in lines.items():
+        df = cases.join(items, "case_id", "left")
+        if check in known:
+            df = df.join(known[check].drop("check"), "case_id", "left")
+        else:
+            df = df.withColumns({"status": F.when(F.col("n") > 0, worst[check]).otherwise("pass"), "metric": F.coalesce(F.col("n"), F.lit(0)).cast("double")})
+        df = df.join(ids, "case_id", "left") if check == "cross_file_duplicates" else df.withColumn("txn_ids", F.array().cast("array<bigint>"))
+        parts.append(df.select("case_id", F.lit(check).alias("check"), "status", "metric", F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("txn_ids", F.array().cast("array<bigint>")).alias("txn_ids")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("check", "status", "metric"))).alias("report"))
+    return out.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("check", "status", "metric", "items", "txn_ids"))).alias("report"))

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyrock.constants import NON_DISTINCTIVE
 from tallyrock.functions.names import name_tokens, names_likely_same, parse_identity, refers_to_subject
 
 LEAST = {"OFAC": 1000, "UN": 100}
-#: Words that many entities share; they name no one.
-GENERIC = ("AND", "GENERAL", "TRADING", "COMPANY", "GROUP", "INTERNATIONAL", "FOR", "THE", "OF", "SERVICES", "ENTERPRISES", "HOLDING", "HOLDINGS", "LIMITED", "INDUSTRIES", "CORPORATION", "GLOBAL", "IMPORT", "EXPORT", "BANK")
 TIERS = ("exact", "strong", "possible")
 
 
@@ -68,22 +67,25 @@ def names_to_screen(txns: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def screen(names: DataFrame, entries: DataFrame) -> DataFrame:
-    """(key, entry_id, list, tier, listed_name, is_alias): the best name of each entry that a name may be.
+    """(key, entry_id, list, tier, listed_name, alias): the best name of each entry that a name may be.
+
+    ``listed_name`` is the entry's primary name; ``alias`` the alias that matched, else null.
 
     Names are screened once however many cases have them. Candidates share a token of three
     letters; common words alone only make candidates of the exact and strong tiers.
     """
     queries = names.select("key", "tokens").dropDuplicates(["key"])
-    listed = entries.select("list", "entry_id", F.inline("names")).where(F.size("tokens") > 0).select("list", "entry_id", "text", F.col("tokens").alias("lt"), "is_alias").distinct()
+    primary = F.get(F.filter("names", lambda n: ~n["is_alias"]), 0)["text"]
+    listed = entries.select("list", "entry_id", primary.alias("primary"), F.inline("names")).where(F.size("tokens") > 0).select("list", "entry_id", "primary", "text", F.col("tokens").alias("lt"), "is_alias").distinct()
     long = lambda c: F.array_distinct(F.filter(c, lambda t: F.length(t) >= 3))
     a = queries.withColumn("token", F.explode(long("tokens")))
     b = listed.withColumn("token", F.explode(long("lt")))
     both = a.join(b, "token").drop("token").distinct()
-    distinctive = lambda c: F.filter(c, lambda t: (F.length(t) >= 3) & ~t.isin(*GENERIC))
+    distinctive = lambda c: F.filter(c, lambda t: (F.length(t) >= 3) & ~t.isin(*NON_DISTINCTIVE))
     shared = F.size(F.filter(distinctive("tokens"), lambda t: F.array_contains("lt", t)))
     tier = F.when(F.array_sort("tokens") == F.array_sort("lt"), 0).when(names_likely_same(F.col("tokens"), F.col("lt")), 1).when(shared >= 2, 2)
     ranked = both.withColumn("t", tier).where("t is not null").withColumn("r", F.row_number().over(Window.partitionBy("key", "entry_id").orderBy("t", "is_alias", "text")))
-    return ranked.where("r = 1").select("key", "entry_id", "list", F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.col("t") + 1).alias("tier"), F.col("text").alias("listed_name"), "is_alias")
+    return ranked.where("r = 1").select("key", "entry_id", "list", F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.col("t") + 1).alias("tier"), F.coalesce("primary", "text").alias("listed_name"), F.when(F.col("is_alias"), F.col("text")).alias("alias"))
 
 
 def top_matches(names: DataFrame, matches: DataFrame, per_name: int = 5, per_case: int = 25) -> tuple[DataFrame, DataFrame]:
@@ -92,10 +94,28 @@ def top_matches(names: DataFrame, matches: DataFrame, per_name: int = 5, per_cas
     best = matches.withColumn("rank", rank).withColumn("m", F.row_number().over(Window.partitionBy("key").orderBy("rank", "listed_name", "entry_id"))).where(F.col("m") <= per_name)
     named = names.join(best.groupBy("key").agg(F.min("rank").alias("best")), "key")
     kept = named.withColumn("c", F.row_number().over(Window.partitionBy("case_id", "is_subject").orderBy("best", F.desc("n"), "key"))).where((F.col("c") <= per_case) | F.col("is_subject"))
-    out = kept.join(best, "key").select("case_id", "key", "display", "n", "is_subject", "entry_id", "list", "tier", "listed_name", "is_alias")
+    out = kept.join(best, "key").select("case_id", "key", "display", "n", "is_subject", "entry_id", "list", "tier", "listed_name", "alias")
     return out, out.groupBy("case_id").agg(*[F.count_if(F.col("tier") == t).alias(t) for t in TIERS])
 
 
+def screening(txns: DataFrame, cases: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(matches, one row a case of status, names screened and totals).
+
+    A list that is implausibly short makes the screening of every case unavailable: it has no
+    matches and no totals then, which is not a clean result.
+    """
+    short = [r["list"] for r in guard_list_size(entries).where("status = 'unavailable'").collect()]  # one row a list
+    asked = names_to_screen(txns, cases)
+    matches, totals = top_matches(asked, screen(asked, entries))
+    if short:
+        none = [F.lit(None).cast("long").alias(t) for t in TIERS]
+        status = cases.select("case_id", F.lit("unavailable").alias("status"), F.lit("implausibly few entries: " + ", ".join(sorted(short))).alias("reason"), F.lit(0).cast("long").alias("names"), *none)
+        return matches.where("false"), status
+    counted = asked.groupBy("case_id").agg(F.count(F.lit(1)).alias("names"))
+    status = cases.select("case_id").join(counted, "case_id", "left").join(totals, "case_id", "left").fillna(0, ["names", *TIERS])
+    return matches, status.select("case_id", F.lit("complete").alias("status"), F.lit(None).cast("string").alias("reason"), "names", *TIERS)
+
+
 def rescreen_stale(runs: DataFrame, version: str, names: DataFrame, entries: DataFrame) -> DataFrame:
     """(case_id, totals before and after) of latest runs that were screened on another list version and change."""
     w = Window.partitionBy("case_id").orderBy(F.desc("created_at"), F.desc("id"))

@@ -12,40 +12,47 @@ from tallyrock.sources.ledger import flag_ledger
 from tallyrock.sources.shared import cut
 
 
-def ingest(rows: DataFrame, files: DataFrame, cases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Statement rows of files (file_id, case_id, filename) to (ledger, file reports)."""
-    maps = normalize.column_maps(normalize.find_header(rows))
+def ingest(rows: DataFrame, files: DataFrame, cases: DataFrame, supplied: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Statement rows of files (file_id, case_id, filename) to (ledger, file reports). ``supplied`` as in ``column_maps``."""
+    maps = cut(normalize.column_maps(normalize.find_header(rows), supplied), "column-maps")
     parsed = cut(normalize.best_sheet(normalize.parse_rows(rows, maps)), "ingest")
     good = parsed.where("reason is null").withColumn("account_id", F.col("account"))
     skipped = parsed.groupBy("file_id").agg(F.count_if(F.col("reason").isNull()).alias("rows_parsed"), F.count_if(F.col("reason").isNotNull()).alias("rows_skipped"))
-    label = maps.select("file_id").distinct().join(files, "file_id", "right").withColumns({"label": F.col("filename"), "party_banks": F.lit(None).cast("string")})
-    banks = normalize.infer_bank(label)
+    banks = normalize.infer_bank(normalize.bank_labels(files, maps, parsed))
     txns = good.join(files.select("file_id", "case_id"), "file_id").join(banks, "file_id")
     txns = normalize.fill_account(normalize.suppress_self(txns, cases))
-    txns = txns.withColumns({"id": F.xxhash64("file_id", "sheet", "row_index"), "counterparty_bank": F.lit(None).cast("string"), "counterparty_country": F.lit(None).cast("string")})
-    report = quality.file_quality(skipped, quality.reconcile_balances(txns), quality.file_duplicates(txns))
-    totals = txns.groupBy("file_id").agg(F.min("posting_date").alias("period_start"), F.max("posting_date").alias("period_end"), F.sort_array(F.collect_set("account_id")).alias("accounts"))
-    return txns, skipped.join(report, "file_id").join(totals, "file_id", "left").join(banks, "file_id").join(files, "file_id")
+    txns = cut(txns.withColumn("id", F.xxhash64("file_id", "sheet", "row_index")), "ledger")
+    balances, copies = quality.reconcile_balances(txns), quality.file_duplicates(txns)
+    side = lambda d: F.coalesce(netting.money(F.when(F.col("direction") == d, F.col("amount_kwd"))), F.lit(0.0))
+    totals = txns.groupBy("file_id").agg(F.min("posting_date").alias("period_start"), F.max("posting_date").alias("period_end"), F.sort_array(F.collect_set("account_id")).alias("accounts"), side("credit").alias("total_credits"), side("debit").alias("total_debits"))
+    report = skipped.join(quality.file_quality(skipped, balances, copies), "file_id").join(quality.file_issues(skipped, balances, copies), "file_id")
+    return txns, report.join(totals, "file_id", "left").join(banks, "file_id").join(files, "file_id")
+
+
+def score(txns: DataFrame, cases: DataFrame, pairs: DataFrame, case_quality: DataFrame | None = None, clustered: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Features, hits and scores of a ledger whose own pairs are known; each is written once."""
+    found, evidence = ft.features(txns, pairs, cases, clustered=clustered)
+    hits = cut(scoring.evaluate_rules(found, evidence), "hits")
+    return {"features": found, "hits": hits, "scores": cut(scoring.posterior(cases, found, hits, case_quality), "scores")}
 
 
 def score_cases(txns: DataFrame, cases: DataFrame, files: DataFrame | None = None, entries: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Pairs, features, hits, scores, drivers, findings, flagged ledger and, with ``entries``, screening."""
+    """Pairs, features, hits, scores, drivers, findings, gates, flagged ledger and, with ``entries``, screening.
+
+    ``screening`` says for every case whether it was screened; a list that is too short makes it unavailable.
+    """
     pairs = cut(netting.find_internal_pairs(txns, cases), "pairs")
-    ext = netting.external(txns, pairs)
-    found, evidence = ft.features(txns, pairs, cases)
-    found = cut(found, "features")
-    hits = cut(scoring.evaluate_rules(found, evidence), "hits")
-    case_quality = quality.case_quality(files) if files is not None else None
-    scores = cut(scoring.posterior(cases, found, hits, case_quality), "scores")
+    ext = cut(netting.external(txns, pairs), "external")
     clustered = cut(with_cluster(ext, resolve(identities(ext))), "clustered")
-    out = {"pairs": pairs, "features": found, "hits": hits, "scores": scores, "drivers": scoring.drivers(scores, found, hits), "ledger": flag_ledger(txns, pairs, hits)}
-    out["findings"] = forensics.technical(txns, ext, pairs, clustered, ft.party_sums(clustered))
-    out["gates"] = forensics.gates(ext, cases)
+    case_quality = quality.case_quality(files) if files is not None else None
+    out = {"pairs": pairs} | score(txns, cases, pairs, case_quality, clustered)
+    out["drivers"], out["ledger"] = scoring.drivers(out["scores"], out["features"], out["hits"]), flag_ledger(txns, pairs, out["hits"])
+    out["findings"] = cut(forensics.technical(txns, ext, pairs, clustered, case_quality), "findings")
+    out["gates"] = forensics.gates(clustered, cases, out["findings"].where("finding = 'TECH-NET-03'"))
     if files is not None:
         out["quality"] = quality.dq_report(txns, files)
     if entries is not None:
-        asked = sanctions.names_to_screen(txns, cases)
-        out["matches"], out["screening"] = sanctions.top_matches(asked, sanctions.screen(asked, entries))
+        out["matches"], out["screening"] = sanctions.screening(txns, cases, entries)
     return out
 
 

@@ -1,7 +1,10 @@
 """The driver's tables as a ledger: the same view in DataFrame code and in SQL.
 
 Credits come from orders, debits from line items, and every twentieth order's first debit has
-a mirrored credit a day later at the next bank; those mirrors are ``declared_pairs``.
+a mirrored credit a day later at the next bank; those mirrors are ``declared_pairs``. Every
+sixtieth order's comes back a week later, and every hundredth order's has a feeding credit before
+and a debit after it. The case's last figure gives it a habit: 4 rare large amounts, 5 a rise
+from 1996 on, 6 one large payee, 7 two banks with roles of their own, 9 a single bank.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ LEDGER_COLUMNS = ("case_id", "id", "file_id", "bank", "account_id", "posting_dat
 NARRATIVES = (None, "TRANSFER", "Own account transfer", "Binance purchase of coins", "Payment for invoice services rendered", "Monthly salary and bonus", "misc 42")
 CREDIT_CHANNELS = ("cash_deposit", "transfer_in", "salary", "other", "cheque")
 DEBIT_CHANNELS = ("cash_withdrawal", "transfer_out", "pos", "fee")
+PAYEE = "NORTH STAR HOLDING"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,14 +69,31 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
             "counterparty_country": _country(F.col("s_nationkey")), "narrative": _pick(NARRATIVES, (F.col("l_orderkey") + F.col("n")) % 7),
         }
     )
-    mirrored = debits.where((F.col("l_orderkey") % 20 == 0) & (F.col("n") == 1)).withColumns(
-        {
-            "id": F.col("id") + 500, "posting_date": F.date_add("posting_date", 1), "direction": F.lit("credit"), "channel": F.lit("transfer_in"),
-            "bank": F.concat(F.lit("BANK_"), ((supplier + 1) % 5).cast("string")), "narrative": F.when(F.col("l_orderkey") % 40 == 0, "Own account transfer").otherwise("Payment for invoice services rendered"),
-        }
+    habit = F.col("case_id") % 10
+    raised = F.when((habit == 4) & (F.col("id") % 97 == 0), 40.0).when((habit == 5) & (F.col("posting_date") >= F.lit("1996-01-01").cast("date")), 6.0).otherwise(1.0)
+    credits, debits = (df.withColumn("amount_kwd", F.col("amount_kwd") * raised) for df in (credits, debits))
+    debits = debits.withColumn("counterparty_name", F.when((habit == 6) & (F.floor(F.col("id") / 1000) % 5 < 3), PAYEE).otherwise(F.col("counterparty_name")))
+    here, there = F.concat(F.lit("BANK_"), (supplier % 5).cast("string")), F.concat(F.lit("BANK_"), ((supplier + 1) % 5).cast("string"))
+    own = F.when(F.col("l_orderkey") % 40 == 0, "Own account transfer").otherwise("Payment for invoice services rendered")
+
+    def also(every: int, by: int, days: int, direction: str, channel: str, bank: Column, text: Column, times: float = 1.0) -> Column:
+        row = F.struct(F.lit(by).alias("by"), F.lit(days).alias("days"), F.lit(direction).alias("direction"), F.lit(channel).alias("channel"), bank.alias("bank"), text.alias("narrative"), F.lit(times).alias("times"))
+        return F.when((F.col("l_orderkey") % every == 0) & (F.col("n") == 1), row)
+
+    invoice = F.lit("Payment for invoice services rendered")
+    itself = F.struct(F.lit(0).alias("by"), F.lit(0).alias("days"), *[F.col(c).alias(c) for c in ("direction", "channel", "bank", "narrative")], F.lit(1.0).alias("times"))
+    made = F.array(
+        itself, also(20, 500, 1, "credit", "transfer_in", there, own), also(60, 100, 7, "debit", "transfer_out", there, own), also(60, 600, 8, "credit", "transfer_in", here, own),
+        also(100, 200, -1, "credit", "transfer_in", here, invoice, 1.02), also(100, 300, 2, "debit", "transfer_out", there, invoice, 0.97),
     )
-    done = lambda df: df.withColumns({"file_id": F.col("case_id") * 10 + F.substring("bank", 6, 1).cast("long"), "currency": F.when(F.col("id") % 13 == 0, "USD").otherwise("KWD")}).select(*LEDGER_COLUMNS)
-    return done(credits).unionByName(done(debits)).unionByName(done(mirrored))
+    kept = [c for c in LEDGER_COLUMNS if c in credits.columns]
+    moved = debits.select(*[c for c in kept if c not in ("direction", "channel", "bank", "narrative")], F.inline(F.filter(made, lambda m: m.isNotNull())))
+    moved = moved.withColumns({"id": F.col("id") + F.col("by"), "posting_date": F.date_add("posting_date", F.col("days")), "amount_kwd": F.col("amount_kwd") * F.col("times")})
+    rows = credits.select(*kept).unionByName(moved.select(*kept))
+    into, last = F.col("direction") == "credit", F.substring("bank", 6, 1)
+    role = F.when(last == "1", F.when(into, "cash_deposit").otherwise("transfer_out")).when(last == "2", F.when(into, "transfer_in").otherwise("cash_withdrawal"))
+    rows = rows.withColumn("bank", F.when(habit == 9, "BANK_0").otherwise(F.col("bank"))).withColumn("channel", F.coalesce(F.when(habit == 7, role), F.col("channel")))
+    return rows.withColumns({"file_id": F.col("case_id") * 10 + last.cast("long"), "currency": F.when(F.col("id") % 13 == 0, "USD").otherwise("KWD")}).select(*LEDGER_COLUMNS)
 
 
 def declared_pairs(txns: DataFrame) -> DataFrame:
@@ -93,26 +114,48 @@ def _case_sql(values: tuple, key: str) -> str:
 
 
 _COUNTRY = "CASE WHEN {0} = 0 THEN 'LEBANON' WHEN {0} = 1 THEN ' iran ' WHEN {0} < 20 THEN 'KUWAIT' END"
+_RAISED = "* CASE WHEN case_id % 10 = 4 AND id % 97 = 0 THEN 40.0::DOUBLE WHEN case_id % 10 = 5 AND posting_date >= DATE '1996-01-01' THEN 6.0::DOUBLE ELSE 1.0::DOUBLE END"
+_OWN = "CASE WHEN l_orderkey % 40 = 0 THEN 'Own account transfer' ELSE 'Payment for invoice services rendered' END"
+_HERE, _THERE, _INVOICE = "'BANK_' || (l_suppkey % 5)", "'BANK_' || ((l_suppkey + 1) % 5)", "'Payment for invoice services rendered'"
+
+
+def _more(every: int, by: int, days: int, direction: str, channel: str, bank: str, text: str, times: float = 1.0) -> str:
+    return (
+        f"SELECT case_id, id + {by}, {bank}, account_id, posting_date + {days}, '{direction}', amount_kwd * {times}::DOUBLE, '{channel}', counterparty_name, counterparty_bank, counterparty_country, {text}"
+        f" FROM debits WHERE l_orderkey % {every} = 0 AND n = 1"
+    )
+
+
 LEDGER_SQL = f"""
 raw_items AS (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax) AS n FROM lineitem),
-debits AS (
-  SELECT o_custkey // 15 AS case_id, l_orderkey * 1000 + n AS id, 'BANK_' || (l_suppkey % 5) AS bank, CAST(o_custkey % 3 AS VARCHAR) AS account_id, CAST(l_shipdate AS DATE) AS posting_date,
+plain_debits AS (
+  SELECT o_custkey // 15 AS case_id, l_orderkey * 1000 + n AS id, {_HERE} AS bank, CAST(o_custkey % 3 AS VARCHAR) AS account_id, CAST(l_shipdate AS DATE) AS posting_date,
     'debit' AS direction, floor(l_extendedprice * 5 + 0.5) / 100 AS amount_kwd,
     {_case_sql(DEBIT_CHANNELS, "(CASE WHEN l_returnflag = 'R' THEN 0 WHEN l_returnflag = 'A' THEN 1 WHEN l_linestatus = 'F' THEN 2 WHEN l_suppkey % 2 = 0 THEN 2 ELSE 3 END)")} AS channel,
     CASE WHEN l_partkey % 2 = 1 AND p_name LIKE '% %' THEN split_part(upper(p_name), ' ', 1) || ' ' || substr(split_part(upper(p_name), ' ', 2), 1, 1) ELSE upper(p_name) END AS counterparty_name,
     CASE WHEN l_suppkey % 7 = 0 THEN 'Bank_' || (l_suppkey % 5) END AS counterparty_bank,
     {_COUNTRY.format("s_nationkey")} AS counterparty_country, {_case_sql(NARRATIVES, "(l_orderkey + n) % 7")} AS narrative, l_orderkey, l_suppkey, n
   FROM raw_items JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey),
-unfiled AS (
+debits AS (SELECT * REPLACE (amount_kwd {_RAISED} AS amount_kwd, CASE WHEN case_id % 10 = 6 AND id // 1000 % 5 < 3 THEN '{PAYEE}' ELSE counterparty_name END AS counterparty_name) FROM plain_debits),
+credits AS (
   SELECT o_custkey // 15 AS case_id, o_orderkey * 1000 AS id, 'BANK_' || (o_orderkey % 5) AS bank, CAST(o_custkey % 3 AS VARCHAR) AS account_id, CAST(o_orderdate AS DATE) AS posting_date,
     'credit' AS direction, floor(o_totalprice + 0.5) / 100 AS amount_kwd, {_case_sql(CREDIT_CHANNELS, "(CAST(substr(o_orderpriority, 1, 1) AS INT) - 1)")} AS channel, c_name AS counterparty_name,
     CASE WHEN o_orderkey % 11 = 0 THEN 'Bank_' || (o_orderkey % 3) END AS counterparty_bank, {_COUNTRY.format("c_nationkey")} AS counterparty_country, {_case_sql(NARRATIVES, "o_orderkey % 7")} AS narrative
-  FROM orders LEFT JOIN customer ON o_custkey = c_custkey
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
+unfiled AS (
+  SELECT * REPLACE (amount_kwd {_RAISED} AS amount_kwd) FROM credits
   UNION ALL SELECT case_id, id, bank, account_id, posting_date, direction, amount_kwd, channel, counterparty_name, counterparty_bank, counterparty_country, narrative FROM debits
-  UNION ALL SELECT case_id, id + 500, 'BANK_' || ((l_suppkey + 1) % 5), account_id, posting_date + 1, 'credit', amount_kwd, 'transfer_in', counterparty_name, counterparty_bank, counterparty_country,
-    CASE WHEN l_orderkey % 40 = 0 THEN 'Own account transfer' ELSE 'Payment for invoice services rendered' END FROM debits WHERE l_orderkey % 20 = 0 AND n = 1),
-ledger AS (SELECT *, case_id * 10 + CAST(substr(bank, 6, 1) AS BIGINT) AS file_id, CASE WHEN id % 13 = 0 THEN 'USD' ELSE 'KWD' END AS currency FROM unfiled),
+  UNION ALL {_more(20, 500, 1, "credit", "transfer_in", _THERE, _OWN)}
+  UNION ALL {_more(60, 100, 7, "debit", "transfer_out", _THERE, _OWN)}
+  UNION ALL {_more(60, 600, 8, "credit", "transfer_in", _HERE, _OWN)}
+  UNION ALL {_more(100, 200, -1, "credit", "transfer_in", _HERE, _INVOICE, 1.02)}
+  UNION ALL {_more(100, 300, 2, "debit", "transfer_out", _THERE, _INVOICE, 0.97)}),
+placed AS (SELECT * REPLACE (CASE WHEN case_id % 10 = 9 THEN 'BANK_0' ELSE bank END AS bank) FROM unfiled),
+ledger AS (
+  SELECT * REPLACE (CASE WHEN case_id % 10 = 7 AND bank = 'BANK_1' THEN CASE direction WHEN 'credit' THEN 'cash_deposit' ELSE 'transfer_out' END
+    WHEN case_id % 10 = 7 AND bank = 'BANK_2' THEN CASE direction WHEN 'credit' THEN 'transfer_in' ELSE 'cash_withdrawal' END ELSE channel END AS channel),
+    case_id * 10 + CAST(substr(bank, 6, 1) AS BIGINT) AS file_id, CASE WHEN id % 13 = 0 THEN 'USD' ELSE 'KWD' END AS currency FROM placed),
 pairs AS (
   SELECT c.case_id, d.id AS debit_id, c.id AS credit_id, d.amount_kwd, d.bank AS from_bank, c.bank AS to_bank, d.posting_date AS debit_date, c.posting_date AS credit_date
   FROM ledger c JOIN ledger d ON d.id = c.id - 500 AND d.case_id = c.case_id AND d.direction = 'debit' WHERE c.direction = 'credit' AND c.id % 1000 > 500),

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tallyrock.constants import BLACK_LIST, GREY_LIST, PATTERNS, Thresholds
 from tallyrock.operators import features as ft
 from tallyrock.operators import netting, scoring
+from tallyrock.plans import jobs
 from tallyrock.plans import testdata as td
+from tallyrock.sources.shared import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +38,13 @@ def parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     return txns, pairs, netting.external(txns, pairs), td.cases(spark, sf_dir)
 
 
+def written(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The same, with ledger, pairs and external rows written once for queries that read them often."""
+    txns = cut(td.ledger(spark, sf_dir), "ledger")
+    pairs = cut(td.declared_pairs(txns), "pairs")
+    return txns, pairs, cut(netting.external(txns, pairs), "external"), td.cases(spark, sf_dir)
+
+
 def listed(values: tuple[str, ...]) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
@@ -54,8 +63,8 @@ def zone(v: str, e: float, c: float) -> str:
 
 SELF = f"coalesce(regexp_matches(narrative, '{PATTERNS['self']}', 'i'), false)"
 CRYPTO = f"coalesce(regexp_matches(narrative, '{PATTERNS['crypto']}', 'i'), false)"
-_BARE = "trim(regexp_replace(regexp_replace(narrative, '[0-9\\-_/:#.]+', ' ', 'g'), '\\s+', ' ', 'g'))"
-_WORDS = f"list_filter(string_split({_BARE}, ' '), lambda w: w <> '')"
+_BARE = "regexp_replace(regexp_replace(narrative, '[0-9\\-_/:#.]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+_WORDS = f"list_filter(string_split_regex({_BARE}, '\\s+'), lambda w: w <> '')"
 VAGUE = f"coalesce(narrative = '' OR length({_BARE}) < 6 OR (len({_WORDS}) <= 2 AND len(list_filter({_WORDS}, lambda w: NOT regexp_matches(w, '{PATTERNS['vague']}', 'i'))) = 0), true)"
 RISK = f"CASE WHEN upper(trim(counterparty_country)) IN ({listed(BLACK_LIST)}) THEN 'black' WHEN upper(trim(counterparty_country)) IN ({listed(GREY_LIST)}) THEN 'grey' END"
 CREDIT_RISK = "(channel NOT IN ('salary', 'interest', 'cash_deposit'))"
@@ -77,7 +86,7 @@ TRANSFERISH = f"SELECT *, {SELF} AS own FROM ledger WHERE channel IN ('transfer_
 
 @query(f"""WITH t AS ({TRANSFERISH})
 SELECT d.case_id, d.id AS debit_id, c.id AS credit_id, date_diff('day', d.posting_date, c.posting_date) AS gap
-FROM t d JOIN t c ON d.case_id = c.case_id AND d.direction = 'debit' AND c.direction = 'credit' AND c.posting_date BETWEEN d.posting_date AND d.posting_date + 3
+FROM (SELECT *, unnest(range(0, 4)) AS later FROM t WHERE direction = 'debit') d JOIN t c ON d.case_id = c.case_id AND c.direction = 'credit' AND c.posting_date = d.posting_date + CAST(later AS INT)
 WHERE (d.bank <> c.bank OR d.account_id <> c.account_id) AND abs(d.amount_kwd - c.amount_kwd) <= greatest(0.5, d.amount_kwd * 0.005)""")
 def c2_pair_candidates(spark, sf_dir):
     return netting.pair_candidates(td.ledger(spark, sf_dir)).select("case_id", F.col("d_id").alias("debit_id"), F.col("c_id").alias("credit_id"), "gap")
@@ -88,7 +97,7 @@ def c5_internal_pairs(spark, sf_dir):
     return netting.find_internal_pairs(td.ledger(spark, sf_dir), td.cases(spark, sf_dir)).drop("debit_date", "credit_date")
 
 
-@query("SELECT l.id, p.debit_id IS NOT NULL AS is_internal_transfer FROM ledger l LEFT JOIN pairs p ON l.id = p.debit_id OR l.id = p.credit_id")
+@query("SELECT l.id, leg IS NOT NULL AS is_internal_transfer FROM ledger l LEFT JOIN (SELECT debit_id AS leg FROM pairs UNION ALL SELECT credit_id FROM pairs) ON l.id = leg")
 def c6_mark_internal(spark, sf_dir):
     txns, pairs, _, _ = parts(spark, sf_dir)
     return netting.mark_internal(txns, pairs).select("id", "is_internal_transfer")
@@ -195,7 +204,7 @@ def f8_fragmentation(spark, sf_dir):
 
 @query()
 def f12_f13_dwell(spark, sf_dir):
-    txns, pairs, ext, cases = parts(spark, sf_dir)
+    txns, pairs, ext, cases = written(spark, sf_dir)
     return ft.dwell_features(cases, ft.dwell_matches(ext), ft.case_sums(txns, pairs, LIMITS))
 
 
@@ -254,8 +263,9 @@ SLICE_RULES = ("R-STRUCT-01", "R-LAYER-01", "R-CASH-02", "R-BENF-01")
 def score_slice(spark, sf_dir):
     txns, pairs, _, cases = parts(spark, sf_dir)
     paired = pairs.groupBy("case_id").agg(netting.money("amount_kwd").alias("paired_kwd"))
-    sums = ft.case_sums(txns, pairs, LIMITS).join(paired, "case_id", "left")
-    none = {c: F.lit(0) for c in ("multi_days", "split_days", "n_quick", "n_relay")} | {c: F.array().cast("array<bigint>") for c in ("multi_ids", "split_ids", "quick_ids", "relay_ids", "burst_ids", "dormancy_ids", "fan_ids")}
+    sums = cut(ft.case_sums(txns, pairs, LIMITS).join(paired, "case_id", "left"), "sums")
+    kinds = ("near", "round", "geo", "black", "vague", "crypto", "cash", "multi", "split", "quick", "relay", "burst", "dormancy", "fan")
+    none = {c: F.lit(0) for c in ("multi_days", "split_days", "n_quick", "n_relay")} | {f"{k}_ids": F.array().cast("array<bigint>") for k in kinds}
     evidence = sums.withColumns(none | {"top_share": F.lit(None).cast("double")})
     hits = scoring.evaluate_rules(ft.sum_features(sums, cases), evidence).where(F.col("rule_id").isin(*SLICE_RULES))
     some = sums.select("case_id")
@@ -265,14 +275,13 @@ def score_slice(spark, sf_dir):
 
 @query()
 def features_all(spark, sf_dir):
-    txns, pairs, _, cases = parts(spark, sf_dir)
+    txns, pairs, _, cases = written(spark, sf_dir)
     return ft.features(txns, pairs, cases)[0]
 
 
 @query()
 def rules_and_score(spark, sf_dir):
-    txns, pairs, _, cases = parts(spark, sf_dir)
-    found, evidence = ft.features(txns, pairs, cases)
-    hits = scoring.evaluate_rules(found, evidence)
-    fired = hits.where("fired").groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_list("rule_id")), ",").alias("rules"))
-    return scoring.posterior(cases, found, hits).join(fired, "case_id", "left")
+    txns, pairs, _, cases = written(spark, sf_dir)
+    out = jobs.score(txns, cases, pairs)
+    fired = out["hits"].where("fired").groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_list("rule_id")), ",").alias("rules"))
+    return out["scores"].join(fired, "case_id", "left")

@@ -19,6 +19,33 @@ def test_statements_to_scores(spark, tmp_path):
     assert out["ledger"].where("is_internal_transfer").count() == 2 and out["gates"].count() > 0
 
 
+def test_parties_and_issues_of_statements(spark, tmp_path):
+    head = "Posting Date;Txn Type;D/C;Amount;Amount KWD;CCY;Sender Name;Beneficiary Name;Sender Bank;Receiver Bank;Ordering Country;Benef Country;Details;Remarks;Balance"
+    lines = [
+        head, "01-01-2025;wire;C;100;30.7;USD;ALI HASSAN;;BOUBKWKW;;LEBANON;;first;part;30.7", "02-01-2025;wire;D;20;20;KWD;X;OMAR SAID;;GULBKWKW;;KUWAIT;second;;10.7",
+        "03-01-2025;Credit note;;5;5;KD;Central Bank of Kuwait;;;;;;third;;99", "bad;x;C;5;5;KWD;;;;;;;;;", ";;;;;;;;;;;;total;;",
+    ]
+    (tmp_path / "export.csv").write_text("\n".join(lines))
+    (tmp_path / "copy.csv").write_text("\n".join(lines[:3]))
+    rows = spark.read.text(str(tmp_path / "*.csv"), wholetext=True).selectExpr("xxhash64(_metadata.file_name) as file_id", "_metadata.file_name as filename", "posexplode(split(value, '\n')) as (row_index, line)")
+    rows = rows.selectExpr("file_id", "'1' as sheet", "row_index", "split(line, ';') as cells", "filename").cache()
+    files = rows.selectExpr("file_id", "1L as case_id", "filename").distinct()
+    cases = spark.createDataFrame([(1, "SOME ONE", 500.0)], "case_id long, subject_name string, income double")
+    txns, reports = jobs.ingest(rows, files, cases)
+    got = [(r["direction"], r["amount_kwd"], r["currency"], r["counterparty_name"], r["counterparty_bank"], r["counterparty_country"], r["narrative"]) for r in txns.join(reports.where("filename = 'export.csv'").select("file_id"), "file_id").orderBy("row_index").collect()]
+    assert got == [("credit", 30.7, "USD", "ALI HASSAN", "BOUBKWKW", "LEBANON", "first | part"), ("debit", 20.0, "KWD", "OMAR SAID", "GULBKWKW", "KUWAIT", "second"), ("credit", 5.0, "KWD", None, None, None, "third")]
+    report = {r["filename"]: r for r in reports.collect()}
+    assert report["export.csv"]["issues"] == ["1 balance reconciliation break across 2 checked rows", "1 of 4 rows could not be converted"] and report["export.csv"]["bank"] == "Boubyan Bank"
+    out = jobs.score_cases(txns, cases, files=reports)
+    checks = {c["check"]: c for c in out["quality"].first()["report"]}
+    assert checks["balance_integrity"]["status"] == "warn" and checks["cross_file_duplicates"]["status"] == "fail" and len(checks["cross_file_duplicates"]["txn_ids"]) == 4 or checks["cross_file_duplicates"]["status"] == "pass"
+    assert checks["fx_share"]["items"] == ["USD: 2 transactions"] and checks["parse_coverage"]["items"] == ["Boubyan Bank: 1 rows skipped (export.csv)"]
+    assert out["scores"].count() == 1 and "quality" in out
+    named = spark.createDataFrame([(r["file_id"], {"date": "Posting Date", "amount": "Amount KWD", "indicator": "D/C", "narrative": "Remarks"}) for r in reports.collect()], "file_id long, named map<string,string>")
+    plain, _ = jobs.ingest(rows, files, cases, named)
+    assert {r["narrative"] for r in plain.collect()} == {"part", None}
+
+
 def test_runs_are_written_by_day(spark, tmp_path):
     runs = spark.createDataFrame([(1, 1, dt.datetime(2025, 1, 2, 3)), (2, 1, dt.datetime(2025, 1, 3, 3))], "id long, case_id long, created_at timestamp")
     write_runs(runs, str(tmp_path / "runs"))
