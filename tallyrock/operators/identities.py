@@ -38,8 +38,10 @@ def variant_edges(names: DataFrame) -> DataFrame:
 
 def resolve(names: DataFrame) -> DataFrame:
     """(scope, key, cluster): cluster is the least key of the names joined to one party."""
-    ends = variant_edges(names).select(F.struct("scope", F.col("a").alias("key")).alias("a"), F.struct("scope", F.col("b").alias("key")).alias("b"))
-    found = connected_components(ends, "a", "b").select("node.scope", "node.key", F.col("component.key").alias("cluster"))
+    end = lambda c: F.concat_ws("|", F.col("scope").cast("string"), F.col(c))
+    key = lambda c: F.regexp_extract(c, r"^[^|]*\|(.*)$", 1)
+    found = connected_components(variant_edges(names).select(end("a").alias("a"), end("b").alias("b")), "a", "b")
+    found = found.select(F.split("node", r"\|", 2)[0].cast(dict(names.dtypes)["scope"]).alias("scope"), key("node").alias("key"), key("component").alias("cluster"))
     return names.select("scope", "key").distinct().join(found, ["scope", "key"], "left").withColumn("cluster", F.coalesce("cluster", "key"))
 
 
