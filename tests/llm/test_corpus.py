@@ -288,15 +288,6 @@ def test_pitman_yor(docs, none):
     assert pitman_yor.scored(none, learned).count() == 0
 
 
-def test_words_and_unknown_sum_to_one(spark, docs):
-    words = pitman_yor.vocabulary(docs, "text", pitman_yor.F.lit(True)).cache()
-    total, distinct = words.agg(pitman_yor.F.sum("c")).first()[0], words.count()
-    models = pitman_yor.trained(words, 1, 2, 7)
-    known = pitman_yor.word_scores(words, models, 2, total, distinct, 7).toPandas()
-    unknown = sum((pitman_yor.WORD_STRENGTH + pitman_yor.WORD_DISCOUNT * m.tables) / (distinct + 1) / (pitman_yor.WORD_STRENGTH + total) for m in models[-2:]) / 2
-    assert (10 ** known["lp"]).sum() + unknown == pytest.approx(1, abs=0.02)
-
-
 def test_warc_round_trip(spark, tmp_path):
     warc.register(spark)
     big = "x" * 2000
