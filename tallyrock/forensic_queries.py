@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyrock.functions.names import name_tokens
@@ -9,6 +10,7 @@ from tallyrock.operators import features as ft
 from tallyrock.operators import forensics, sanctions
 from tallyrock.operators.identities import identities, resolve, with_cluster
 from tallyrock.plans import testdata as td
+from tallyrock.sources.shared import cut
 from tallyrock.queries import money, parts, query, r3, written
 
 HEAD = ("case_id", "finding", "severity", "metric")
@@ -114,30 +116,56 @@ def t5_funnel(spark, sf_dir):
 
 
 def entries(spark, sf_dir):
-    """Every seventh part's name as a listed entity."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 7 = 0")
-    names = F.array(F.struct(F.upper("p_name").alias("text"), name_tokens(F.col("p_name")).alias("tokens"), F.lit(False).alias("is_alias")))
-    return p.select(F.lit("UN").alias("list"), F.col("p_partkey").cast("string").alias("entry_id"), F.lit("entity").alias("type"), F.array().cast("array<string>").alias("programs"), names.alias("names"))
-
-
-@query("SELECT list, n, CASE WHEN n < least_n THEN 'unavailable' ELSE 'complete' END AS status FROM (SELECT 'UN' AS list, (SELECT count(*) FROM part WHERE p_partkey % 7 = 0) AS n, 100 AS least_n UNION ALL SELECT 'OFAC', 0, 1000)")
+    """The first two words of all parts' names as listed entities, each with an alias made of the next one, and all suppliers."""
+    words = F.split(F.upper("p_name"), " ")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.array_join(F.slice(words, 1, 2), " ").alias("name")).distinct()
+    p = p.withColumn("alias", F.concat(F.lead("name").over(Window.orderBy("name")), F.lit(" OVERSEAS")))  # a few hundred names
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_name").alias("name"), F.lit(None).cast("string").alias("alias"))
+    named = lambda c, alias: F.struct(c.alias("text"), name_tokens(c).alias("tokens"), F.lit(alias).alias("is_alias"))
+    names = F.filter(F.array(named(F.col("name"), False), F.when(F.col("alias").isNotNull(), named(F.col("alias"), True))), lambda n: n.isNotNull())
+    return p.union(s).select(F.lit("UN").alias("list"), F.col("name").alias("entry_id"), F.lit("entity").alias("type"), F.array().cast("array<string>").alias("programs"), names.alias("names"))
+
+
+LISTED = """listed AS (SELECT name, lead(name) OVER (ORDER BY name) || ' OVERSEAS' AS alias FROM (SELECT DISTINCT trim(split_part(upper(p_name), ' ', 1) || ' ' || split_part(upper(p_name), ' ', 2)) AS name FROM part)
+UNION ALL SELECT s_name, NULL FROM supplier)"""
+_COVERED = "len(list_filter({0}, lambda x: len(list_filter({1}, lambda y: x = y OR (length(x) <= 2 AND starts_with(y, x)) OR (length(x) > 2 AND length(y) <= 2 AND starts_with(x, y)))) = 0)) = 0"
+_TOKENS = "list_filter(string_split_regex(regexp_replace(upper({0}), '[^A-Z0-9 ]', ' ', 'g'), ' +'), lambda t: t <> '')"
+#: Names of a case with their counts, without its subject's own, and the subject.
+ASKED = f"""named AS (SELECT case_id, array_to_string({_TOKENS.format('counterparty_name')}, ' ') AS name, count(*) AS n FROM ledger WHERE counterparty_name IS NOT NULL GROUP BY ALL),
+subject AS (SELECT case_id, array_to_string({_TOKENS.format('subject_name')}, ' ') AS subject FROM cases),
+asked AS (SELECT case_id, name, n, false AS is_subject FROM named JOIN subject USING (case_id) WHERE NOT ({_COVERED.format("string_split(name, ' ')", "string_split(subject, ' ')")}) UNION ALL SELECT case_id, subject, 0, true FROM subject)"""
+SCREENED = f"""{ASKED}, {LISTED}, l AS (SELECT name AS entry_id, array_to_string({_TOKENS.format('name')}, ' ') AS text, name AS shown, false AS is_alias FROM listed UNION ALL SELECT name, alias, alias, true FROM listed WHERE alias IS NOT NULL),
+q AS (SELECT DISTINCT name FROM asked), t AS (SELECT q.name, entry_id, text, is_alias, string_split(q.name, ' ') AS a, string_split(text, ' ') AS b FROM
+ (SELECT DISTINCT q.name, entry_id, text, is_alias FROM (SELECT name, unnest(string_split(name, ' ')) AS token FROM q) q JOIN (SELECT *, unnest(string_split(text, ' ')) AS token FROM l) l USING (token) WHERE length(token) >= 3) q),
+r AS (SELECT *, CASE WHEN list_sort(a) = list_sort(b) THEN 0 WHEN len(list_filter(list_intersect(a, b), lambda x: length(x) >= 3)) > 0 AND {_COVERED.format('a', 'b')} AND {_COVERED.format('b', 'a')} THEN 1
+ WHEN len(list_filter(a, lambda x: length(x) >= 3 AND list_contains(b, x) AND x NOT IN ('AND', 'THE', 'FOR', 'OF', 'BIN', 'IBN', 'ABU', 'ABD', 'UMM', 'GENERAL', 'TRADING', 'INTERNATIONAL', 'GROUP'))) >= 2 THEN 2 END AS tier FROM t),
+m AS (SELECT name, entry_id, tier, is_alias, text FROM r WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY name, entry_id ORDER BY tier, is_alias, text) = 1)"""
+
+
+@query(f"WITH {LISTED} SELECT list, n, CASE WHEN n < least_n THEN 'unavailable' ELSE 'complete' END AS status FROM (SELECT 'UN' AS list, (SELECT count(*) FROM listed) AS n, 100 AS least_n UNION ALL SELECT 'OFAC', 0, 1000)")
 def s5_guard_list_size(spark, sf_dir):
     return sanctions.guard_list_size(entries(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {ASKED} SELECT case_id, 'name:' || name AS key, n, is_subject FROM asked")
 def x1_names_to_screen(spark, sf_dir):
-    return sanctions.names_to_screen(td.ledger(spark, sf_dir), td.cases(spark, sf_dir))
+    return sanctions.names_to_screen(td.ledger(spark, sf_dir), td.cases(spark, sf_dir)).select("case_id", "key", "n", "is_subject")
 
 
-@query("""WITH l AS (SELECT CAST(p_partkey AS VARCHAR) AS entry_id, list_sort(string_split(upper(p_name), ' ')) AS lt FROM part WHERE p_partkey % 7 = 0), n AS (SELECT DISTINCT counterparty_name AS c FROM ledger WHERE direction = 'debit')
-SELECT 'name:' || c AS key, entry_id FROM n JOIN l ON list_sort(string_split(c, ' ')) = lt WHERE len(list_filter(lt, lambda t: length(t) >= 3)) > 0""")
-def x2_screen_exact(spark, sf_dir):
-    names = sanctions.names_to_screen(td.ledger(spark, sf_dir), td.cases(spark, sf_dir))
-    return sanctions.screen(names, entries(spark, sf_dir)).where("tier = 'exact'").select("key", "entry_id")
+@query(f"WITH {SCREENED} SELECT 'name:' || name AS key, entry_id, ['exact', 'strong', 'possible'][tier + 1] AS tier, entry_id AS listed_name, CASE WHEN is_alias THEN text END AS alias FROM m")
+def x2_screen(spark, sf_dir):
+    names = cut(sanctions.names_to_screen(td.ledger(spark, sf_dir), td.cases(spark, sf_dir)), "asked")
+    return sanctions.screen(names, entries(spark, sf_dir)).select("key", "entry_id", "tier", "listed_name", "alias")
 
 
-@query()
+@query(f"""WITH {SCREENED}, top AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY name ORDER BY tier, entry_id) <= 5), best AS (SELECT name, min(tier) AS best FROM top GROUP BY name),
+kept AS (SELECT case_id, name, is_subject FROM asked JOIN best USING (name) QUALIFY is_subject OR row_number() OVER (PARTITION BY case_id, is_subject ORDER BY best, n DESC, name) <= 25)
+SELECT case_id, count(*) FILTER (tier = 0) AS exact, count(*) FILTER (tier = 1) AS strong, count(*) FILTER (tier = 2) AS possible FROM kept JOIN top USING (name) GROUP BY case_id""")
 def x3_top_matches(spark, sf_dir):
-    names = sanctions.names_to_screen(td.ledger(spark, sf_dir), td.cases(spark, sf_dir))
+    names = cut(sanctions.names_to_screen(td.ledger(spark, sf_dir), td.cases(spark, sf_dir)), "asked")
     return sanctions.top_matches(names, sanctions.screen(names, entries(spark, sf_dir)))[1]
+
+
+@query()
+def x4_screening_status(spark, sf_dir):
+    return sanctions.screening(td.ledger(spark, sf_dir), td.cases(spark, sf_dir), entries(spark, sf_dir))[1]

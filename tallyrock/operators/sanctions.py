@@ -71,16 +71,29 @@ def screen(names: DataFrame, entries: DataFrame) -> DataFrame:
 
     ``listed_name`` is the entry's primary name; ``alias`` the alias that matched, else null.
 
-    Names are screened once however many cases have them. Candidates share a token of three
-    letters; common words alone only make candidates of the exact and strong tiers.
+    Names are screened once however many cases have them. Candidates meet so that words that
+    many names share bring no pairs of their own: equal sets of tokens meet by the set; names
+    that are alike but for initials by their first letters and a shared token of three letters,
+    where one of the two has a token of at most two; and those that share two distinctive tokens
+    by each two of them.
     """
-    queries = names.select("key", "tokens").dropDuplicates(["key"])
+    queries = names.select("key", "tokens").dropDuplicates(["key"]).where(F.exists("tokens", lambda t: F.length(t) >= 3))
     primary = F.get(F.filter("names", lambda n: ~n["is_alias"]), 0)["text"]
     listed = entries.select("list", "entry_id", primary.alias("primary"), F.inline("names")).where(F.size("tokens") > 0).select("list", "entry_id", "primary", "text", F.col("tokens").alias("lt"), "is_alias").distinct()
-    long = lambda c: F.array_distinct(F.filter(c, lambda t: F.length(t) >= 3))
-    a = queries.withColumn("token", F.explode(long("tokens")))
-    b = listed.withColumn("token", F.explode(long("lt")))
-    both = a.join(b, "token").drop("token").distinct()
+    rare = lambda c: F.array_sort(F.array_distinct(F.filter(c, lambda t: (F.length(t) >= 3) & ~t.isin(*NON_DISTINCTIVE))))
+    joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), " ")
+    short = lambda c: F.exists(c, lambda t: F.length(t) <= 2)
+
+    def blocks(tokens: str, initials: Column) -> Column:
+        two = F.flatten(F.transform(rare(tokens), lambda x, i: F.transform(F.filter(rare(tokens), lambda y: y > x), lambda y: F.concat(F.lit("2:"), x, F.lit(" "), y))))
+        letters = joined(F.transform(tokens, lambda t: F.substring(t, 1, 1)))
+        near = F.transform(F.array_distinct(F.filter(tokens, lambda t: F.length(t) >= 3)), lambda t: F.concat(initials, letters, F.lit(" "), t))
+        return F.concat(F.array(F.concat(F.lit("=:"), joined(tokens))), two, near)
+
+    # "s:" asks a side without short tokens for those with one; "f:" is the other way round, both where both have one
+    a = queries.select("*", F.explode(F.array_distinct(F.concat(blocks("tokens", F.lit("s:")), F.when(short("tokens"), blocks("tokens", F.lit("f:"))).otherwise(F.array().cast("array<string>"))))).alias("block"))
+    b = listed.select("*", F.explode(F.array_distinct(F.concat(blocks("lt", F.lit("f:")), F.when(short("lt"), blocks("lt", F.lit("s:"))).otherwise(F.array().cast("array<string>"))))).alias("block"))
+    both = a.join(b, "block").drop("block").distinct()
     distinctive = lambda c: F.filter(c, lambda t: (F.length(t) >= 3) & ~t.isin(*NON_DISTINCTIVE))
     shared = F.size(F.filter(distinctive("tokens"), lambda t: F.array_contains("lt", t)))
     tier = F.when(F.array_sort("tokens") == F.array_sort("lt"), 0).when(names_likely_same(F.col("tokens"), F.col("lt")), 1).when(shared >= 2, 2)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyrock.functions.names import name_tokens, names_likely_same
 from tallyrock.operators.netting import money
 
 CASH = ("cash_deposit", "cash_withdrawal")
@@ -93,14 +94,23 @@ def top_neighbours(edges: DataFrame, most: int = 8) -> DataFrame:
     return ranked.where(F.col("rank") <= most)
 
 
-def search_transactions(txns: DataFrame, case_id: int | None = None, bank: str | None = None, channel: str | None = None, direction: str | None = None, ids: list[int] | None = None, text: str | None = None, sort: str = "date", page: int = 1, size: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(one page of the rows found, a frame with their count). ``sort`` is date, amount or id; at most 500 ids."""
+MOST_ASKED = 500
+
+
+def search_transactions(txns: DataFrame, case_id: int | None = None, bank: str | None = None, channel: str | None = None, direction: str | None = None, ids: list[int] | None = None, text: str | None = None, sort: str = "date", page: int = 1, size: int = 50, flagged: bool | None = None, internal: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """(one page of the rows found, a frame with their count). ``sort`` is date, amount or id; more than 500 ids are an error."""
     df = txns
+    if flagged is not None:
+        df = df.where((F.coalesce(F.size("flags"), F.lit(0)) > 0) == flagged)
+    if internal is not None:
+        df = df.where(F.coalesce("is_internal_transfer", F.lit(False)) == internal)
     for name, value in (("case_id", case_id), ("bank", bank), ("channel", channel), ("direction", direction)):
         if value is not None:
             df = df.where(F.col(name) == value)
     if ids is not None:
-        df = df.where(F.col("id").isin(ids[:500]))
+        if len(ids) > MOST_ASKED:
+            raise ValueError(f"more than {MOST_ASKED} ids")
+        df = df.where(F.col("id").isin(ids))
     if text:
         like = "%" + text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") + "%"
         columns = ("narrative", "counterparty_name", "counterparty_bank", "account_id")
@@ -137,11 +147,13 @@ def compare_runs(base: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def rule_performance(runs: DataFrame, dispositions: DataFrame) -> DataFrame:
-    """Per rule over latest runs: cases fired, and how they were decided."""
+    """Per rule over latest runs: cases fired, how they were decided, and the share decided that was escalated; most fired first."""
     fired = latest_runs(runs).select(F.col("id").alias("run_id"), "case_id", F.inline("rule_hits")).where("fired").select("run_id", "case_id", "rule_id")
     df = fired.join(dispositions.select("run_id", "decision"), "run_id", "left")
     count = lambda d: F.count_if(F.col("decision") == d).alias(d)
-    return df.groupBy("rule_id").agg(F.count(F.lit(1)).alias("fired"), count("escalate"), count("watchlist"), count("close"), F.count_if(F.col("decision").isNull()).alias("undecided"))
+    found = df.groupBy("rule_id").agg(F.count(F.lit(1)).alias("fired"), count("escalate"), count("watchlist"), count("close"), F.count_if(F.col("decision").isNull()).alias("undecided"))
+    decided = F.col("fired") - F.col("undecided")
+    return found.withColumns({"decided": decided, "escalated_share": F.try_divide("escalate", decided)}).orderBy(F.desc("fired"), "rule_id")
 
 
 def upsert_disposition(dispositions: DataFrame, new: DataFrame) -> DataFrame:
@@ -150,12 +162,24 @@ def upsert_disposition(dispositions: DataFrame, new: DataFrame) -> DataFrame:
     return dispositions.unionByName(new).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def portfolio_summary(cases: DataFrame, txns: DataFrame, runs: DataFrame) -> DataFrame:
-    """One row: cases, transactions, value, and latest runs by band."""
-    bands = latest_runs(runs).groupBy(F.lit(1).alias("k")).agg(*[F.count_if(F.col("band") == b).alias(b.lower()) for b in ("Low", "Moderate", "Elevated", "High", "Critical")])
-    n = cases.groupBy(F.lit(1).alias("k")).agg(F.count(F.lit(1)).alias("cases"))
-    t = txns.groupBy(F.lit(1).alias("k")).agg(F.count(F.lit(1)).alias("transactions"), money("amount_kwd").alias("value"))
-    return n.join(t, "k", "left").join(bands, "k", "left").drop("k")
+def portfolio_summary(cases: DataFrame, txns: DataFrame, runs: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """One row: cases beyond intake, files and their mean quality, transactions, value, and latest runs by band."""
+    k = F.lit(1).alias("k")
+    bands = latest_runs(runs).groupBy(k).agg(*[F.count_if(F.col("band") == b).alias(b.lower()) for b in ("Low", "Moderate", "Elevated", "High", "Critical")])
+    open_ = F.coalesce(F.col("status") != "intake", F.lit(True)) if "status" in cases.columns else F.lit(True)
+    n = cases.groupBy(k).agg(F.count_if(open_).alias("cases"))
+    t = txns.groupBy(k).agg(F.count(F.lit(1)).alias("transactions"), money("amount_kwd").alias("value"))
+    out = n.join(t, "k", "left").join(bands, "k", "left")
+    if files is not None:
+        out = out.join(files.groupBy(k).agg(F.count(F.lit(1)).alias("files"), (F.floor(F.avg("quality") * 1000 + 0.5) / 1000).alias("quality")), "k", "left")
+    return out.drop("k")
+
+
+def newest_runs(runs: DataFrame, cases: DataFrame, dispositions: DataFrame, most: int = 8) -> DataFrame:
+    """The newest runs with their subjects and decisions."""
+    top = runs.orderBy(F.desc("created_at"), F.desc("id")).limit(most).select("id", "case_id", "created_at", "probability", "band")
+    decided = dispositions.select(F.col("run_id").alias("id"), "decision")
+    return top.join(cases.select("case_id", "subject_name"), "case_id", "left").join(decided, "id", "left")
 
 
 def case_stats(cases: DataFrame, txns: DataFrame, runs: DataFrame, dispositions: DataFrame) -> DataFrame:
@@ -164,18 +188,55 @@ def case_stats(cases: DataFrame, txns: DataFrame, runs: DataFrame, dispositions:
     return cases.select("case_id").join(counted, "case_id", "left").join(last, "case_id", "left").fillna({"files": 0, "txn_count": 0, "banks": 0})
 
 
-def counterparty_intel(clustered: DataFrame, most: int = 200) -> DataFrame:
-    """Clusters over the whole portfolio that stand in two cases or more, by cases, then value."""
-    credit = F.col("direction") == "credit"
-    by = clustered.where("cluster is not null").groupBy("cluster", "case_id").agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(money(F.when(credit, F.col("amount_kwd"))), F.lit(0.0)).alias("inflow"), F.coalesce(money(F.when(~credit, F.col("amount_kwd"))), F.lit(0.0)).alias("outflow")
-    )
-    found = by.groupBy("cluster").agg(F.count(F.lit(1)).alias("cases"), F.sum("n").alias("n"), money("inflow").alias("inflow"), money("outflow").alias("outflow")).where("cases >= 2")
-    return found.orderBy(F.desc("cases"), F.desc(F.col("inflow") + F.col("outflow")), "cluster").limit(most)
+def counterparty_intel(clustered: DataFrame, cases: DataFrame, names: DataFrame, most: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(clusters, their rows by case) of parties that stand in two cases or more of the portfolio.
+
+    ``clustered`` are external rows with ``cluster``, ``names`` (cluster, display, kind). A cluster
+    that may be the subject of a case names that case in ``subject_of``; such come first, then
+    those of most cases, then of most value. A row by case has counts, sums and flagged rows.
+    """
+    credit, amount = F.col("direction") == "credit", F.col("amount_kwd")
+    total = lambda when: F.coalesce(money(F.when(when, amount)), F.lit(0.0))
+    flagged = F.count_if(F.size("flags") > 0) if "flags" in clustered.columns else F.count_if(F.lit(False))
+    by = clustered.where("cluster is not null").groupBy("cluster", "case_id").agg(F.count(F.lit(1)).alias("n"), money(amount).alias("total"), total(credit).alias("inflow"), total(~credit).alias("outflow"), flagged.alias("flagged"))
+    found = by.groupBy("cluster").agg(F.count(F.lit(1)).alias("cases"), F.sum("n").alias("n"), money("total").alias("total"), money("inflow").alias("inflow"), money("outflow").alias("outflow")).where("cases >= 2").join(names, "cluster")
+    # a name can only be a subject's where they share a token of three letters
+    tokens = lambda df, text, name: df.withColumn(name, name_tokens(F.col(text))).withColumn("token", F.explode(F.array_distinct(F.filter(name, lambda t: F.length(t) >= 3))))
+    a = tokens(found.where("kind = 'name'").select("cluster", "display"), "display", "ta")
+    b = tokens(cases.select(F.col("case_id").alias("subject_case"), "subject_name"), "subject_name", "tb")
+    same = a.join(b, "token").where(names_likely_same(F.col("ta"), F.col("tb"))).groupBy("cluster").agg(F.sort_array(F.collect_set("subject_case")).alias("subject_of"))
+    ranked = found.join(same, "cluster", "left").withColumn("subject_of", F.coalesce("subject_of", F.array().cast("array<bigint>")))
+    top = ranked.orderBy(F.desc(F.size("subject_of")), F.desc("cases"), F.desc("total"), "cluster").limit(most)
+    status = F.col("status") if "status" in cases.columns else F.lit("unknown")
+    rows = by.join(top.select("cluster"), "cluster", "left_semi").join(cases.select("case_id", "subject_name", status.alias("status")), "case_id", "left")
+    return top, rows
 
 
 def citation_audit(sections: DataFrame, txns: DataFrame) -> DataFrame:
-    """(case_id, section, checked, valid): transaction ids that a text cites as ``[txn N]``, and those that exist in its case."""
-    cited = sections.select("case_id", "section", F.explode_outer(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?i)\[txns?[: #]*(\d+)\]"), F.lit(1)))).alias("id")).withColumn("id", F.col("id").try_cast("long"))
+    """(case_id, section, checked, valid): transaction ids that a text cites as ``[txn N]``, or ``ids`` lists, and those that exist in its case."""
+    told = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(?i)\[txns?[: #]*(\d+)\]"), F.lit(1)), lambda x: x.try_cast("long"))
+    given = F.coalesce("ids", F.array().cast("array<bigint>")) if "ids" in sections.columns else F.array().cast("array<bigint>")
+    cited = sections.select("case_id", "section", F.explode_outer(F.concat(F.array_distinct(told), F.array_distinct(given))).alias("id"))
     known = txns.select("case_id", "id", F.lit(True).alias("known"))
     return cited.join(known, ["case_id", "id"], "left").groupBy("case_id", "section").agg(F.count("id").alias("checked"), F.count_if("known").alias("valid"))
+
+
+def plain(text: Column) -> Column:
+    """Letters and digits of a reference, in lower case, other runs as one blank."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
+def value_audit(quotes: DataFrame, features: DataFrame) -> DataFrame:
+    """(case_id, section, checked, valid) of quoted (case_id, section, feature, value): valid within 0.01 or 1 % of the case's feature."""
+    known = features.select("case_id", plain(F.col("key")).alias("k"), F.col("value").alias("actual")).where("actual is not null")
+    df = quotes.where("feature is not null and value is not null").withColumn("k", plain(F.col("feature"))).join(known, ["case_id", "k"], "left")
+    right = F.coalesce(F.abs(F.col("value") - F.col("actual")) <= F.greatest(F.lit(0.01), F.abs("actual") * 0.01), F.lit(False))
+    return df.groupBy("case_id", "section").agg(F.count(F.lit(1)).alias("checked"), F.count_if(right).alias("valid"))
+
+
+def reference_audit(references: DataFrame, known: DataFrame) -> DataFrame:
+    """(case_id, section, checked, valid) of (case_id, section, reference): valid where a ``known`` name (case_id, name) holds it or is held by it; under four letters always."""
+    names = known.select("case_id", plain(F.col("name")).alias("name")).where(F.length("name") >= 4).distinct().groupBy("case_id").agg(F.collect_list("name").alias("names"))
+    ref = plain(F.col("reference"))
+    good = (F.length(ref) < 4) | F.coalesce(F.exists("names", lambda n: n.contains(ref) | ref.contains(n)), F.lit(False))
+    return references.where("reference is not null").join(names, "case_id", "left").groupBy("case_id", "section").agg(F.count(F.lit(1)).alias("checked"), F.count_if(good).alias("valid"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyrock.operators import features as ft
 from tallyrock.operators import forensics, netting, normalize, quality, sanctions, scoring, views
-from tallyrock.operators.identities import identities, resolve, with_cluster
+from tallyrock.operators.identities import cluster_display, identities, resolve, with_cluster
 from tallyrock.sources.ledger import flag_ledger
 from tallyrock.sources.shared import cut
 
@@ -56,11 +56,20 @@ def score_cases(txns: DataFrame, cases: DataFrame, files: DataFrame | None = Non
     return out
 
 
+def shared_counterparties(external: DataFrame, cases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parties of several cases over one index of all spellings; see ``views.counterparty_intel``."""
+    names = cut(identities(external, scope=None), "identities")
+    clusters = cut(resolve(names), "clusters")
+    shown = cluster_display(names, clusters).select("cluster", "display", "kind")
+    return views.counterparty_intel(with_cluster(external, clusters, scope=None), cases, shown)
+
+
 def portfolio(runs: DataFrame, dispositions: DataFrame, txns: DataFrame, cases: DataFrame) -> dict[str, DataFrame]:
     """Rule performance, shared counterparties, summary and case statistics."""
-    known = resolve(identities(txns, scope=None))
+    external = txns.where("internal_pair_id is null") if "internal_pair_id" in txns.columns else txns
+    clusters, by_case = shared_counterparties(external, cases)
     return {
-        "rules": views.rule_performance(runs, dispositions), "counterparties": views.counterparty_intel(with_cluster(txns, known, scope=None)),
+        "rules": views.rule_performance(runs, dispositions), "counterparties": clusters, "counterparty_cases": by_case, "newest": views.newest_runs(runs, cases, dispositions),
         "summary": views.portfolio_summary(cases, txns, runs), "cases": views.case_stats(cases, txns, runs, dispositions),
     }
 

@@ -9,7 +9,7 @@ from tallyrock.functions import names, narrative
 from tallyrock.operators import features as ft
 from tallyrock.operators import quality as dq
 from tallyrock.operators import views
-from tallyrock.operators.identities import identities, resolve, with_cluster
+from tallyrock.plans import jobs
 from tallyrock.plans import testdata as td
 from tallyrock.queries import ORACLES, QUERIES, TRANSFERISH, listed, money, parts, query, r3  # noqa: F401
 
@@ -64,7 +64,7 @@ def r10_network_nodes(spark, sf_dir):
     return views.network_nodes(own_cluster(td.ledger(spark, sf_dir))).select("case_id", "node", "inflow", "outflow", "n")
 
 
-EDGES = f"""{ENDS}, f AS (SELECT e.*, p.debit_id AS pair FROM e LEFT JOIN pairs p ON e.id = p.debit_id OR e.id = p.credit_id),
+EDGES = f"""{ENDS}, f AS (SELECT e.*, p.debit_id AS pair FROM e LEFT JOIN (SELECT debit_id AS leg, debit_id FROM pairs UNION ALL SELECT credit_id, debit_id FROM pairs) p ON e.id = p.leg),
 x AS (SELECT case_id, CASE WHEN direction = 'credit' THEN other ELSE account END AS source, CASE WHEN direction = 'credit' THEN account ELSE other END AS target, amount_kwd FROM f WHERE pair IS NULL),
 y AS (SELECT case_id, pair, max(CASE WHEN direction = 'debit' THEN account END) AS source, max(CASE WHEN direction = 'credit' THEN account END) AS target, max(amount_kwd) AS v FROM f WHERE pair IS NOT NULL GROUP BY ALL),
 edges AS (SELECT case_id, source, target, 'flow' AS kind, {money('amount_kwd')} AS value, count(*) AS n FROM x WHERE source IS NOT NULL AND target IS NOT NULL GROUP BY ALL
@@ -84,9 +84,9 @@ def r12_network_budget(spark, sf_dir):
     return views.network_budget(views.network_nodes(clustered), views.network_edges(clustered, pairs))[1]
 
 
-@query("SELECT id, CAST(posting_date AS VARCHAR) AS posting_date, amount_kwd FROM ledger WHERE case_id = 3 AND direction = 'debit' AND (narrative ILIKE '%own%' OR counterparty_name ILIKE '%own%' OR counterparty_bank ILIKE '%own%' OR account_id ILIKE '%own%') ORDER BY amount_kwd DESC, id LIMIT 50")
+@query("SELECT id, CAST(posting_date AS VARCHAR) AS posting_date, amount_kwd FROM ledger WHERE direction = 'debit' AND (narrative ILIKE '%own%' OR counterparty_name ILIKE '%own%' OR counterparty_bank ILIKE '%own%' OR account_id ILIKE '%own%') ORDER BY amount_kwd DESC, id LIMIT 50")
 def r13_search(spark, sf_dir):
-    page, _ = views.search_transactions(td.ledger(spark, sf_dir), case_id=3, direction="debit", text="own", sort="amount")
+    page, _ = views.search_transactions(td.ledger(spark, sf_dir), direction="debit", text="own", sort="amount")
     return page.select("id", F.col("posting_date").cast("string").alias("posting_date"), "amount_kwd")
 
 
@@ -102,7 +102,7 @@ def r1_latest_runs(spark, sf_dir):
     return views.latest_runs(td.runs(spark, sf_dir)).select("id", "case_id", F.col("created_at").cast("string").alias("created_at"), "probability", "band")
 
 
-@run_query("""SELECT rule_id, count(*) AS fired, count(*) FILTER (decision = 'escalate') AS escalate, count(*) FILTER (decision = 'watchlist') AS watchlist, count(*) FILTER (decision = 'close') AS close, count(*) FILTER (decision IS NULL) AS undecided
+@run_query("""SELECT rule_id, count(*) AS fired, count(*) FILTER (decision = 'escalate') AS escalate, count(*) FILTER (decision = 'watchlist') AS watchlist, count(*) FILTER (decision = 'close') AS close, count(*) FILTER (decision IS NULL) AS undecided, count(decision) AS decided, count(*) FILTER (decision = 'escalate') / nullif(count(decision), 0) AS escalated_share
 FROM latest l JOIN hits h ON h.run_id = l.id AND h.fired LEFT JOIN dispositions d ON d.run_id = l.id GROUP BY rule_id""")
 def r2_rule_performance(spark, sf_dir):
     return views.rule_performance(td.runs(spark, sf_dir), td.dispositions(spark, sf_dir))
@@ -110,15 +110,17 @@ def r2_rule_performance(spark, sf_dir):
 
 @query()
 def r3_counterparty_intel(spark, sf_dir):
-    ext = parts(spark, sf_dir)[2]
-    found = resolve(identities(ext, scope=None))
-    return views.counterparty_intel(with_cluster(ext, found, scope=None))
+    ext, cases = parts(spark, sf_dir)[2:]
+    return jobs.shared_counterparties(ext, cases)[1].select("cluster", "case_id", "subject_name", "n", "total", "inflow", "outflow")
 
 
-@run_query(f"""SELECT (SELECT count(*) FROM cases) AS cases, (SELECT count(*) FROM ledger) AS transactions, (SELECT {money('amount_kwd')} FROM ledger) AS value,
+@run_query(f"""SELECT (SELECT count(*) FROM cases WHERE case_id % 11 <> 0) AS cases, (SELECT count(DISTINCT file_id) FROM ledger) AS files, (SELECT floor(avg(n % 7 / 7.0) * 1000 + 0.5) / 1000 FROM (SELECT count(*) AS n FROM ledger GROUP BY file_id)) AS quality, (SELECT count(*) FROM ledger) AS transactions, (SELECT {money('amount_kwd')} FROM ledger) AS value,
  {", ".join(f"(SELECT count(*) FROM latest WHERE band = '{b}') AS {b.lower()}" for b in ('Low', 'Moderate', 'Elevated', 'High', 'Critical'))}""")
 def r4_portfolio_summary(spark, sf_dir):
-    return views.portfolio_summary(td.cases(spark, sf_dir), td.ledger(spark, sf_dir), td.runs(spark, sf_dir))
+    cases = td.cases(spark, sf_dir).withColumn("status", F.when(F.col("case_id") % 11 == 0, "intake").otherwise("open"))
+    txns = td.ledger(spark, sf_dir)
+    files = txns.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).withColumn("quality", (F.col("n") % 7) / 7.0)
+    return views.portfolio_summary(cases, txns, td.runs(spark, sf_dir), files)
 
 
 @run_query("""SELECT c.case_id, coalesce(files, 0) AS files, coalesce(txn_count, 0) AS txn_count, coalesce(banks, 0) AS banks, l.id AS run_id, l.band, d.decision FROM cases c
@@ -150,14 +152,11 @@ def s9_upsert_disposition(spark, sf_dir):
     return views.upsert_disposition(old, new).select("run_id", "decision")
 
 
-AUDIT = "SELECT case_id, bank AS section, string_agg('see [txn ' || CAST(CASE WHEN id % 5 = 0 THEN id + 999 ELSE id END AS VARCHAR) || ']', ' ') AS text FROM ledger WHERE id % 997 < 40 GROUP BY ALL"
-
-
-@query("WITH c AS (SELECT DISTINCT case_id, bank AS section, CASE WHEN id % 5 = 0 THEN id + 999 ELSE id END AS cited FROM ledger WHERE id % 997 < 40) SELECT c.case_id, section, count(*) AS checked, count(l.id) AS valid FROM c LEFT JOIN ledger l ON l.case_id = c.case_id AND l.id = cited GROUP BY ALL")
+@query("WITH c AS (SELECT DISTINCT case_id, bank || strftime(posting_date, ' %Y-%m') AS section, CASE WHEN id % 5 = 0 THEN id + 999 ELSE id END AS cited FROM ledger) SELECT c.case_id, section, count(*) AS checked, count(l.id) AS valid FROM c LEFT JOIN ledger l ON l.case_id = c.case_id AND l.id = cited GROUP BY ALL")
 def r17_citation_audit(spark, sf_dir):
     txns = td.ledger(spark, sf_dir)
     cited = F.when(F.col("id") % 5 == 0, F.col("id") + 999).otherwise(F.col("id"))
-    texts = txns.where("id % 997 < 40").groupBy("case_id", F.col("bank").alias("section")).agg(F.concat_ws(" ", F.collect_list(F.format_string("see [txn %d]", cited))).alias("text"))
+    texts = txns.groupBy("case_id", F.concat_ws(" ", "bank", F.date_format("posting_date", "yyyy-MM")).alias("section")).agg(F.concat_ws(" ", F.collect_list(F.format_string("see [txn %d]", cited))).alias("text"))
     return views.citation_audit(texts, txns)
 
 
@@ -238,6 +237,6 @@ def n8_to_kwd(spark, sf_dir):
     return to_kwd(rows, "amount_kwd", "currency", "countervalue").select("id", F.col("kwd"))
 
 
-@query("SELECT id, 'name:' || upper(trim(regexp_replace(regexp_replace(counterparty_name, '[^A-Za-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))) AS key FROM ledger WHERE direction = 'credit'")
+@query("SELECT id, 'name:' || upper(trim(regexp_replace(regexp_replace(counterparty_name, '[^A-Za-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))) AS key FROM ledger")
 def i2_parse_identity(spark, sf_dir):
-    return td.ledger(spark, sf_dir).where("direction = 'credit'").select("id", names.parse_identity(F.col("counterparty_name"))["key"].alias("key"))
+    return td.ledger(spark, sf_dir).select("id", names.parse_identity(F.col("counterparty_name"))["key"].alias("key"))
