@@ -15,7 +15,8 @@ benchmark, which is why it may be broadcast; what it lets through too much, the
 Defined results: a null or empty text has no words and no hits; a null or empty item has no
 window. Repeated document rows each get a row (they are told apart by their place in the
 input). Repeated items count once per distinct item id; a null item id has windows, but is
-not listed. Empty tables give empty results or no hits.
+not listed. Empty tables give empty results or no hits. Texts are read whole, however long;
+other columns are not read.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ fingerprint, so a large group of copies makes no large shard. A tree reports lin
 
 Defined results: a null or empty text has fingerprint zero and links like any other.
 Repeated rows each get a row. A null id gets a row; it is never the smallest id. A component
-that has only null ids has a null component_id. Empty tables give empty results.
+that has only null ids has a null component_id. Empty tables give empty results. Texts are
+read whole, however long; other columns are not read.
 """
 
 from __future__ import annotations

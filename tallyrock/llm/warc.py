@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 
 from tallyrock.llm.text import table
-from tallyrock.sources.shared import new_path
+from tallyrock.sources.shared import cut, new_path
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, payload_length long, payload binary, headers map<string,string>"
 WRITTEN = ("record_id", "record_type", "target_uri", "date", "refers_to", "payload_digest", "payload_length")
@@ -42,6 +42,8 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A page's payload of fewer bytes is always stored.
 LEAST_REVISIT = 1000
+#: Bytes of headers beyond which a file is taken for no archive.
+MOST_HEADER = 1 << 20
 
 
 def _files(path: str):
@@ -114,7 +116,7 @@ class _Plain:
         data = self.rest
         while (end := data.lstrip(b"\r\n").find(b"\r\n\r\n")) < 0:
             more = self.more()
-            if not more:
+            if not more or len(data) > MOST_HEADER:
                 return None
             data += more
         data = data.lstrip(b"\r\n")
@@ -175,7 +177,8 @@ def records(file, packed: bool, wanted, payloads: bool = True) -> Iterator[tuple
     """Headers and block of each record whose headers ``wanted`` accepts; block None without ``payloads``."""
     source = _Packed(file) if packed else _Plain(file)
     while (headers := source.headers()) is not None:
-        size = int(headers.get("content-length", "0"))
+        length = headers.get("content-length", "0")
+        size = int(length) if length.isascii() and length.isdigit() else 0
         if not wanted(headers):
             source.skip(size)
         elif payloads:
@@ -224,13 +227,15 @@ class WarcReader(DataSourceReader):
         return "warc-type" in headers and all(headers.get(NAMES[n].lower()) in v for n, v in self.only.items())
 
     def read(self, partition):
+        if partition is None:  # a folder without archives
+            return
         files, _ = _files(self.path)
         with files.open_input_file(partition.path) as f:
             for headers, block in records(f, partition.path.endswith(".gz"), self.wanted, self.payloads):
                 if block is not None and headers.get("content-type", "").startswith("application/http"):
                     block = block.partition(b"\r\n\r\n")[2]
                 values = [headers.get(NAMES[n].lower()) for n in WRITTEN]
-                values[-1] = int(values[-1]) if values[-1] is not None else None
+                values[-1] = int(values[-1]) if (values[-1] or "").isdigit() else None
                 yield (*values, block, headers)
 
 
@@ -298,12 +303,14 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url: str = "url", ht
     """Records of pages: a copy of a payload of ``least`` bytes or more is a revisit of the largest id's response.
 
     A null html is an empty payload. Rows that repeat the largest id are all responses; a
-    null id is smaller than any other.
+    null id is smaller than any other. Other columns are not read. Only digests that occur
+    twice or more are joined, so that Spark can broadcast them where they are few.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url).alias("target_uri"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumns({"payload_length": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
-    largest = rows.where(F.col("payload_length") >= least).groupBy("payload_digest", "payload_length").agg(F.max("id").alias("first"))
-    largest = largest.select(F.concat_ws(":", "payload_digest", "payload_length").alias("same"), "first")
+    largest = rows.where(F.col("payload_length") >= least).groupBy("payload_digest", "payload_length").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written, so that Spark knows its size and shuffles no payload for few copies
+    largest = cut(largest.select(F.concat_ws(":", "payload_digest", "payload_length").alias("same"), "first"), "warc-copies")
     own = F.concat_ws(":", F.lit("own"), F.col("id").cast("string"), "payload_digest")
     rows = rows.withColumn("same", F.when(F.col("payload_length") >= least, F.concat_ws(":", "payload_digest", "payload_length")).otherwise(own))
     rows = rows.join(largest, "same", "left").withColumn("again", F.coalesce(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.lit(False)))

@@ -307,3 +307,81 @@ def test_warc_round_trip(spark, tmp_path):
     (tmp_path / "plain" / "x.warc").write_bytes(data + b"WARC/1.1\r\nWARC-Type: cut")
     assert [(r["record_id"], bytes(r["payload"])) for r in spark.read.format("warc").load(str(tmp_path / "plain")).collect()] == [("<a>", b"p1"), ("<b>", b"p2")]
     assert hashlib.sha1(big.encode()).hexdigest() == rows["<urn:page:1>"]["payload_digest"].removeprefix("sha1:")
+
+
+def test_warc_of_odd_rows(spark, tmp_path):
+    warc.register(spark)
+    big = "é" * 600
+    rows = [(1, "u", big, "x"), (1, "u", big, "x"), (None, "u", big, "x"), (0, None, big, "x"), (2, "u", None, "x"), (2, "u", "", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, record_type string").repartition(2)
+    path = f"file://{tmp_path}/odd"
+    warc.page_records(pages).write.format("warc").mode("append").save(path)
+    back = spark.read.format("warc").load(path).where("record_type in ('response', 'revisit')").collect()
+    assert sorted((r["record_id"], r["record_type"], r["refers_to"] or "") for r in back) == sorted(
+        [("<urn:page:1>", "response", "")] * 2 + [("<urn:page:>", "revisit", "<urn:page:1>"), ("<urn:page:0>", "revisit", "<urn:page:1>")] + [("<urn:page:2>", "response", "")] * 2
+    )
+    none = f"file://{tmp_path}/none"
+    warc.page_records(pages.where("false")).write.format("warc").mode("append").save(none)
+    assert spark.read.format("warc").load(none).where("record_type in ('response', 'revisit')").count() == 0
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "a.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <x>\r\nContent-Length: many\r\n\r\n" + warc.record({"record_type": "response", "record_id": "<b>"}, b"p"))
+    (tmp_path / "bad" / "b.warc").write_bytes(b"no archive\n\n" * 300_000)
+    assert [r["record_id"] for r in spark.read.format("warc").load(str(tmp_path / "bad")).collect()] == ["<x>", "<b>"]
+
+
+LICENCE_WORDS = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
+
+
+def test_licence_bases_against_brute_force(docs):
+    """The base columns of every text by a plain search of words."""
+    for r in licences.scanned(docs).collect():
+        words = [w.encode() for w in alnum(dict(TEXTS)[r["doc_id"]])]
+        places = [(k, label) for label, phrase in LICENCE_WORDS.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == [w.encode() for w in phrase.split()]]
+        assert (r["n_words"], r["n_base"]) == (len(words), len(places)) and list(r["base_labels"]) == sorted({x for _, x in places})
+        assert (r["first_word"], r["last_word"]) == ((min(places)[0], max(places)[0]) if places else (None, None))
+
+
+def test_chains_against_every_chain():
+    """The best chain of matches, by trying all of them."""
+    import random
+
+    def every(pieces, k, gap):
+        yield pieces[k][1]
+        for j, (s, n, e) in enumerate(pieces):
+            start, length, end = pieces[k]
+            over = max(0, s + n - start, e - (end - length))
+            if (s + n, e) <= (start + length, end) and j != k and s + n >= start - gap and e < end and s < start and over < length:
+                for best in every(pieces, j, gap):
+                    yield best + length - over
+
+    r = random.Random(7)
+    for _ in range(300):
+        pieces = sorted({(r.randrange(20), n, n + r.randrange(12)) for n in [r.randrange(1, 6) for _ in range(6)]}, key=lambda p: (p[0] + p[1], p[2]))
+        most = max(c for k in range(len(pieces)) for c in every(pieces, k, 3))
+        cover, first, last = licences.Scanner._chain(list(pieces), 30, 3)
+        assert cover == most / 30 and first <= last
+
+
+def test_language_is_the_smallest_by_plain_zstandard(spark):
+    """Predictions of all rows by compressing each text with each dictionary, one by one."""
+    import random
+
+    import zstandard
+
+    r = random.Random(3)
+    pools = {"en": "the and of to house river water walking", "de": "der und von zu haus fluss wasser gehen"}
+    rows = [(k, " ".join(r.choice(pools[lang].split()) for _ in range(r.randrange(5, 60))), lang) for k in range(40) for lang in [("en", "de")[k % 2]]]
+    rows += [(50, "word " * 200_000, "en"), (51, "und", None), (52, "wasser river", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    contents = language.dictionaries(docs.where("doc_id < 30"))
+    packers = {}
+    for lang, content in contents.items():
+        data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data.precompute_compress(level=language.LEVEL)
+        packers[lang] = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=data, write_content_size=False, write_dict_id=False)
+    out = {x["doc_id"]: x for x in language.predicted(docs, contents).collect()}
+    for k, t, _ in rows:
+        sizes = {g: len(p.compress(language.letters(t))) for g, p in packers.items()}
+        assert out[k]["lang_pred"] == min(sizes, key=sizes.get)  # of equal sizes the language with more rows
+        small, large = sorted(sizes.values())
+        assert out[k]["score"] == pytest.approx(1 - small / large) and out[k]["accepted"] == (1 - small / large >= language.MARGIN)
