@@ -144,6 +144,14 @@ RULES = (
     Rule("R-BENF-01", "statistical", 0.4, 0.05),
 )
 
+# The features in their order, by which equal ones are admitted as evidence.
+FEATURE_KEYS = (
+    "total_turnover_kwd", "income_multiple", "cash_share", "cash_to_income_peak", "near_threshold_density", "same_day_multibank_cash_days", "aggregate_threshold_evasion",
+    "bank_fragmentation_index", "round_number_share", "benford_mad", "pass_through_ratio", "dwell_median_days", "quick_out_share", "relay_chain_count", "internal_circulation_share",
+    "velocity_burst_z", "dormancy_reactivation", "weekend_share", "structural_break_factor", "counterparty_concentration_hhi", "fan_in_count", "high_risk_geo_share",
+    "narrative_vagueness_share", "unexplained_inflow_share", "crypto_exposure_count",
+)
+
 # The rule that already counts a feature's signal.
 COVERED_BY = {
     "near_threshold_density": "R-STRUCT-01", "same_day_multibank_cash_days": "R-STRUCT-02", "aggregate_threshold_evasion": "R-STRUCT-03",

@@ -5,9 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ITEM = "array<struct<label:string,value:double,country:string>>"
-SECTIONS = ("securities", "accounts", "debts", "real_estate", "vehicles", "other_assets", "businesses")
-SCHEMA = "case_id long, declarant struct<name:string,civil_id:string,phone:string,occupation:string,nationality:string,residence:string,salary:double>, " + ", ".join(f"{s} {ITEM}" for s in SECTIONS)
+# The sections of a form, and which of its fields is which column of an item.
+SECTION_FIELDS = {
+    "minorChildren": {"label": "name", "kind": "relation", "id_type": "idType", "id_number": "idNumber", "date_text": "dateOfBirth"},
+    "realEstate": {"owner_name": "ownerName", "label": "location", "kind": "propertyType", "area_sqm": "areaSqm", "ownership_pct": "ownershipPct"},
+    "usufructRights": {"owner_name": "beneficiaryName", "label": "location", "kind": "usageType", "area_sqm": "areaSqm"},
+    "securities": {"owner_name": "ownerName", "label": "company", "kind": "instrumentType", "country": "companyCountry", "quantity": "quantityOrPct", "listed": "listed"},
+    "bankAccountsAndDeposits": {"owner_name": "ownerName", "label": "institution", "kind": "kind", "country": "institutionCountry", "value": "valueKwd"},
+    "debtsOwed": {"owner_name": "debtorName", "label": "creditor", "country": "creditorCountry", "value": "amountKwd", "date_text": "finalRepaymentDate"},
+    "valuableMovables": {"owner_name": "ownerName", "label": "description", "item_count": "count", "value": "totalValueKwd"},
+}
+# The form's printed examples: the owner, a company, and the cells of each example row.
+EXAMPLE_OWNER, EXAMPLE_COMPANY, EXAMPLE_CHILDREN = "أحمد محمد فهد", "أولاد محمد فهد", ("خالد", "بدر")
+EXAMPLE_CELLS = (
+    ("realEstate", {"label": "حطين", "area_sqm": 500, "ownership_pct": 50}),
+    ("realEstate", {"label": "لندن", "area_sqm": 200, "ownership_pct": 25}),
+    ("usufructRights", {"label": "الجليعة", "area_sqm": 2000}),
+    ("usufructRights", {"label": "الفحيحيل", "area_sqm": 500}),
+    ("securities", {"label": "زين", "quantity": ("2000",), "kind": "اسهم"}),
+    ("securities", {"quantity": ("50%", "50"), "kind": "حصة"}),
+    ("bankAccountsAndDeposits", {"label": "الوطني", "value": 10000, "kind": "حساب"}),
+    ("bankAccountsAndDeposits", {"label": "بوبيان", "value": 50000, "kind": "وديعة"}),
+    ("debtsOwed", {"label": "الوطني", "value": 15000}),
+    ("debtsOwed", {"label": "الائتمان", "value": 60000}),
+    ("valuableMovables", {"label": "سيارات", "item_count": 2, "value": 25000}),
+    ("valuableMovables", {"label": "ساعات", "item_count": 5, "value": 12000}),
+)
+CIVIL_ID_KIND = "مدنية"
+
+NUMBERS, FLAGS = ("area_sqm", "ownership_pct", "value", "item_count"), ("listed",)
+TEXTS = ("owner_name", "label", "kind", "country", "quantity", "date_text", "id_type", "id_number")
+_EVERY = "uncertain:boolean,corrected:boolean,page:int,asWritten:string,alternates:array<string>,notes:string"
+_KIND = lambda c: "double" if c in NUMBERS else "boolean" if c in FLAGS else "string"
+SECTIONS = tuple(SECTION_FIELDS)
+SCHEMA = (
+    "case_id long, declarant struct<name:string,civil_id:string,phone:string,home_phone:string,work_phone:string,occupation:string,nationality:string,residence:string,salary:double>, sectionsMarkedNone array<string>, "
+    + ", ".join(f"{name} array<struct<{','.join(f'{f}:{_KIND(c)}' for c, f in fields.items())},{_EVERY}>>" for name, fields in SECTION_FIELDS.items())
+)
 
 
 def read_declarations(spark: SparkSession, path: str) -> DataFrame:
@@ -15,22 +49,31 @@ def read_declarations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def declaration_items(forms: DataFrame) -> DataFrame:
-    """(case_id, section, row_index, label, value, country) of all sections; rows without a label go."""
-    parts = [forms.select("case_id", F.lit(s).alias("section"), F.posexplode(s).alias("row_index", "i")) for s in SECTIONS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out.select("case_id", "section", "row_index", F.nullif(F.trim("i.label"), F.lit("")).alias("label"), F.col("i.value").alias("value"), F.nullif(F.trim("i.country"), F.lit("")).alias("country")).where("label is not null")
+    """(case_id, section, row_index, typed columns, reading marks) of all sections; rows without a label go, others keep their index."""
+    clean = lambda c: F.nullif(F.trim(c), F.lit(""))
+
+    def section(name: str) -> DataFrame:
+        rows = forms.select("case_id", F.lit(name).alias("section"), F.posexplode(name).alias("row_index", "i"))
+        made = {c: (clean(F.col(f"i.{f}")) if _KIND(c) == "string" else F.col(f"i.{f}")) for c, f in SECTION_FIELDS[name].items()}
+        marks = [F.coalesce(F.col(f"i.{m}"), F.lit(False)).alias(m) for m in ("uncertain", "corrected")]
+        rest = [F.col("i.page").alias("page"), clean(F.col("i.asWritten")).alias("as_written"), F.coalesce("i.alternates", F.array().cast("array<string>")).alias("alternates"), clean(F.col("i.notes")).alias("notes")]
+        typed = [made.get(c, F.lit(None)).cast(_KIND(c)).alias(c) for c in (*TEXTS, *NUMBERS, *FLAGS)]
+        return rows.select("case_id", "section", "row_index", *typed, *marks, *rest)
+
+    out = section(SECTIONS[0])
+    for name in SECTIONS[1:]:
+        out = out.unionByName(section(name))
+    return out.where("label is not null")
 
 
 def declarants(forms: DataFrame) -> DataFrame:
     text = lambda c: F.nullif(F.trim(f"declarant.{c}"), F.lit("")).alias(c)
-    return forms.select("case_id", *[text(c) for c in ("name", "civil_id", "phone", "occupation", "nationality", "residence")], "declarant.salary")
+    return forms.select("case_id", *[text(c) for c in ("name", "civil_id", "phone", "home_phone", "work_phone", "occupation", "nationality", "residence")], "declarant.salary")
 
 
 def profile_from_declaration(forms: DataFrame) -> DataFrame:
     d = declarants(forms)
-    countries = declaration_items(forms).where(F.col("section").isin("securities", "accounts", "debts")).groupBy("case_id").agg(F.sort_array(F.collect_set("country")).alias("held"))
+    countries = declaration_items(forms).where(F.col("section").isin("securities", "bankAccountsAndDeposits", "debtsOwed")).groupBy("case_id").agg(F.sort_array(F.collect_set("country")).alias("held"))
     every = F.array_distinct(F.filter(F.concat(F.array("nationality", "residence"), F.coalesce("held", F.array().cast("array<string>"))), lambda c: c.isNotNull()))
     return d.join(countries, "case_id", "left").select("case_id", F.col("name").alias("subject_name"), "occupation", F.when(F.col("salary") > 0, F.col("salary")).alias("income"), every.alias("expected_countries"))
 
@@ -87,16 +130,54 @@ def scrub_placeholders(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.when(~noted(c), F.col(c)) for c in columns})
 
 
-def drop_example_rows(items: DataFrame, examples: DataFrame) -> DataFrame:
-    """Items without those copied from the form's printed examples (section, key of the label)."""
-    keyed = items.withColumn("_k", arabic_key(F.col("label")))
-    return keyed.join(F.broadcast(examples.select("section", arabic_key(F.col("label")).alias("_k")).distinct()), ["section", "_k"], "left_anti").drop("_k")
+def is_example() -> Column:
+    """Whether an item repeats one of the form's printed examples.
+
+    The printed owner with two copied cells, or all of three or more copied cells, or a place
+    holder that only examples have.
+    """
+    key = lambda c: arabic_key(F.coalesce(F.col(c), F.lit("")))
+    has = lambda c, text: key(c).contains(arabic_key(F.lit(text)))
+    owner = has("owner_name", EXAMPLE_OWNER)
+    out = F.lit(False)
+    for section, cells in EXAMPLE_CELLS:
+        same = [has(c, v) if isinstance(v, str) else key(c).isin(*v) if isinstance(v, tuple) else F.coalesce(F.abs(F.col(c) - v) < 0.5, F.lit(False)) for c, v in cells.items()]
+        hits = sum((x.cast("int") for x in same), F.lit(0))
+        out = out | ((F.col("section") == section) & ((owner & (hits >= 2)) | (F.lit(len(same) >= 3) & (hits == len(same)))))
+    marked = lambda c: F.coalesce(western_digits(F.col(c)).rlike("[xX×٭]{2,}"), F.lit(False))
+    child = marked("id_number") | marked("date_text") | (has("label", EXAMPLE_OWNER) & (has("label", EXAMPLE_CHILDREN[0]) | has("label", EXAMPLE_CHILDREN[1])))
+    out = out | ((F.col("section") == "minorChildren") & child) | ((F.col("section") == "securities") & has("label", EXAMPLE_COMPANY))
+    return out | ((F.col("section") == "debtsOwed") & marked("date_text"))
+
+
+def drop_example_rows(items: DataFrame) -> DataFrame:
+    """Items without those copied from the form's printed examples."""
+    return items.where(~is_example())
 
 
 def flag_uncertain(people: DataFrame) -> DataFrame:
-    """Declarants with implausible ids, phones and names marked, and a salary of 0 as null."""
-    bad = {"civil_id": F.col("civil_id").isNotNull() & civil_id(F.col("civil_id")).isNull(), "phone": F.col("phone").isNotNull() & kuwait_phone(F.col("phone")).isNull(), "name": misread_name(F.col("name"))}
-    return people.withColumns({"uncertain": F.array_compact(F.array(*[F.when(v, k) for k, v in bad.items()])), "salary": F.when(F.col("salary") != 0, F.col("salary"))})
+    """Declarants with implausible ids, phones and names marked, ids and phones cleaned, and a salary of 0 as null."""
+    phones = [c for c in ("phone", "home_phone", "work_phone") if c in people.columns]
+    bad = {"civil_id": F.col("civil_id").isNotNull() & civil_id(F.col("civil_id")).isNull(), "name": misread_name(F.col("name"))}
+    bad |= {c: F.col(c).isNotNull() & kuwait_phone(F.col(c)).isNull() for c in phones}
+    marks = F.array_compact(F.array(*[F.when(v, k) for k, v in bad.items()]))
+    cleaned = {"civil_id": F.coalesce(civil_id(F.col("civil_id")), F.col("civil_id"))} | {c: F.when(bad[c], western_digits(F.col(c))).otherwise(F.col(c)) for c in phones}
+    return people.withColumns({"uncertain": marks, "salary": F.when(F.col("salary") != 0, F.col("salary"))} | cleaned)
+
+
+def flag_uncertain_items(items: DataFrame) -> DataFrame:
+    """Items whose owner's or child's name, civil id or kind is implausible are marked; civil ids are cleaned."""
+    name = F.when(F.col("section") == "minorChildren", F.col("label")).otherwise(F.col("owner_name"))
+    civil = (F.col("section") == "minorChildren") & arabic_key(F.coalesce("id_type", F.lit(""))).contains(arabic_key(F.lit(CIVIL_ID_KIND))) & F.col("id_number").isNotNull()
+    wrong = civil & civil_id(F.col("id_number")).isNull()
+    two = F.col("section").isin("bankAccountsAndDeposits", "realEstate") & two_options(F.col("kind"))
+    return items.withColumns({"uncertain": F.col("uncertain") | misread_name(name) | wrong | two, "id_number": F.when(civil & ~wrong, civil_id(F.col("id_number"))).otherwise(F.col("id_number"))})
+
+
+def none_ticks(forms: DataFrame, items: DataFrame) -> DataFrame:
+    """(case_id, section) of sections that were ticked as none; a tick beside rows that are left is dropped."""
+    ticks = forms.select("case_id", F.explode(F.array_distinct("sectionsMarkedNone")).alias("section")).where(F.col("section").isin(*SECTIONS))
+    return ticks.join(items.select("case_id", "section").distinct(), ["case_id", "section"], "left_anti")
 
 
 def intake_queue(cases: DataFrame, disclosures: DataFrame, people: DataFrame) -> DataFrame:

@@ -22,28 +22,28 @@ def _value(name: str) -> Column:
 
 
 def read_ofac(spark: SparkSession, sdn_path: str, alt_path: str) -> DataFrame:
-    """(list, entry_id, type, programs, names array<struct<text,tokens,is_alias>>); aliases are unlike in tokens."""
+    """(list, entry_id, type, programs, names array<struct<text,tokens,is_alias>>, reference, listed_on, remarks); aliases are unlike in tokens."""
     sdn = _csv(spark, sdn_path)
-    main = sdn.select(F.trim("_c0").alias("n"), _value("_c1").alias("name"), F.coalesce(F.lower(_value("_c2")), F.lit("entity")).alias("type"), F.split(F.coalesce(_value("_c3"), F.lit("")), r"\] \[").alias("programs")).where("n rlike '^[0-9]+$' and name is not null")
+    main = sdn.select(F.trim("_c0").alias("n"), _value("_c1").alias("name"), F.coalesce(F.lower(_value("_c2")), F.lit("entity")).alias("type"), F.split(F.coalesce(_value("_c3"), F.lit("")), r"\] \[").alias("programs"), (_value("_c11") if "_c11" in sdn.columns else F.lit(None).cast("string")).alias("remarks")).where("n rlike '^[0-9]+$' and name is not null")
     kind = F.lower(F.regexp_replace("_c2", "[^A-Za-z]", ""))
     alt = _csv(spark, alt_path).where(kind.isin("aka", "fka", "nka")).select(F.trim("_c0").alias("n"), _value("_c3").alias("text")).where("text is not null")
     alt = alt.withColumn("tokens", name_tokens(F.col("text"))).where(F.size("tokens") > 0).groupBy("n", "tokens").agg(F.min("text").alias("text"))
     alt = alt.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("text", "tokens", F.lit(True).alias("is_alias")))).alias("aliases"))
     own = F.array(F.struct(F.col("name").alias("text"), name_tokens(F.col("name")).alias("tokens"), F.lit(False).alias("is_alias")))
-    return main.join(alt, "n", "left").select(F.lit("OFAC").alias("list"), F.concat(F.lit("SDN-"), "n").alias("entry_id"), "type", "programs", F.when(F.col("aliases").isNull(), own).otherwise(F.concat(own, F.filter("aliases", lambda a: a["tokens"] != name_tokens(F.col("name"))))).alias("names"))
+    return main.join(alt, "n", "left").select(F.lit("OFAC").alias("list"), F.concat(F.lit("SDN-"), "n").alias("entry_id"), "type", "programs", F.when(F.col("aliases").isNull(), own).otherwise(F.concat(own, F.filter("aliases", lambda a: a["tokens"] != name_tokens(F.col("name"))))).alias("names"), *[F.lit(None).cast("string").alias(c) for c in ("reference", "listed_on")], "remarks")
 
 
 def read_un_list(spark: SparkSession, path: str) -> DataFrame:
     """Individuals and entities of the consolidated XML list, in the columns of ``read_ofac``."""
-    person = "DATAID string, FIRST_NAME string, SECOND_NAME string, THIRD_NAME string, FOURTH_NAME string, UN_LIST_TYPE string, INDIVIDUAL_ALIAS array<struct<ALIAS_NAME:string>>"
-    firm = "DATAID string, FIRST_NAME string, UN_LIST_TYPE string, ENTITY_ALIAS array<struct<ALIAS_NAME:string>>"
+    person = "DATAID string, FIRST_NAME string, SECOND_NAME string, THIRD_NAME string, FOURTH_NAME string, UN_LIST_TYPE string, REFERENCE_NUMBER string, LISTED_ON string, COMMENTS1 string, INDIVIDUAL_ALIAS array<struct<ALIAS_NAME:string>>"
+    firm = "DATAID string, FIRST_NAME string, UN_LIST_TYPE string, REFERENCE_NUMBER string, LISTED_ON string, COMMENTS1 string, ENTITY_ALIAS array<struct<ALIAS_NAME:string>>"
     read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
 
     def shaped(df: DataFrame, kind: str, parts: list[str], alias: str) -> DataFrame:
         made = lambda text, is_alias: F.struct(text.alias("text"), name_tokens(text).alias("tokens"), F.lit(is_alias).alias("is_alias"))
         known = F.filter(F.coalesce(F.col(alias), F.array().cast("array<struct<ALIAS_NAME:string>>")), lambda a: F.coalesce(F.trim(a["ALIAS_NAME"]), F.lit("")) != "")
         names = F.concat(F.array(made(F.concat_ws(" ", *[F.trim(p) for p in parts]), False)), F.transform(known, lambda a: made(F.trim(a["ALIAS_NAME"]), True)))
-        return df.select(F.lit("UN").alias("list"), F.concat(F.lit("UN-"), "DATAID").alias("entry_id"), F.lit(kind).alias("type"), F.array("UN_LIST_TYPE").alias("programs"), names.alias("names"))
+        return df.select(F.lit("UN").alias("list"), F.concat(F.lit("UN-"), "DATAID").alias("entry_id"), F.lit(kind).alias("type"), F.filter(F.array(F.trim("UN_LIST_TYPE")), lambda x: x.isNotNull()).alias("programs"), names.alias("names"), *[F.nullif(F.trim(c), F.lit("")).alias(n) for c, n in (("REFERENCE_NUMBER", "reference"), ("LISTED_ON", "listed_on"), ("COMMENTS1", "remarks"))])
 
     people = shaped(read("INDIVIDUAL", person), "individual", ["FIRST_NAME", "SECOND_NAME", "THIRD_NAME", "FOURTH_NAME"], "INDIVIDUAL_ALIAS")
     return people.unionByName(shaped(read("ENTITY", firm), "entity", ["FIRST_NAME"], "ENTITY_ALIAS"))

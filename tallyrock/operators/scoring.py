@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyrock.constants import COVERED_BY, RULES, Thresholds
+from tallyrock.constants import COVERED_BY, FEATURE_KEYS, RULES, Thresholds
 from tallyrock.operators.features import round3
 
 KEYS = (
@@ -61,11 +61,11 @@ def rule_evidence(hits: DataFrame) -> DataFrame:
 
 
 def residual_evidence(features: DataFrame, hits: DataFrame) -> DataFrame:
-    """Hot features that no fired rule covers: at most three critical ones, then elevated ones in what room is left."""
+    """Hot features that no fired rule covers: at most three critical ones, then elevated ones in what room is left, each in the features' order."""
     cover = F.element_at(F.create_map(*[F.lit(x) for kv in COVERED_BY.items() for x in kv]), F.col("key"))
     hot = features.where(F.col("zone").isin("elevated", "critical")).withColumn("rule_id", F.coalesce(cover, F.lit("")))
     left = hot.join(hits.where("fired").select("case_id", "rule_id"), ["case_id", "rule_id"], "left_anti")
-    order = Window.partitionBy("case_id", "zone").orderBy("key")
+    order = Window.partitionBy("case_id", "zone").orderBy(F.array_position(F.array(*[F.lit(k) for k in FEATURE_KEYS]), F.col("key")), "key")
     left = left.withColumns({"r": F.row_number().over(order), "critical": F.count_if(F.col("zone") == "critical").over(Window.partitionBy("case_id"))})
     room = F.when(F.col("zone") == "critical", 3).otherwise(6 - 2 * F.least(F.col("critical"), F.lit(3)))
     return left.where(F.col("r") <= room).select("case_id", "key", "zone", F.when(F.col("zone") == "critical", 0.3).otherwise(0.15).alias("added"))

@@ -19,9 +19,11 @@ def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(path)
 
 
-def read_jdbc(spark: SparkSession, name: str, url: str, table: str, parts: int = 16, upper: int = 1_000_000, **options: str) -> DataFrame:
-    """The same from a database, read in ``parts`` ranges of the case."""
-    reader = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn="case_id", lowerBound="0", upperBound=str(upper), numPartitions=str(parts), **options)
+def read_jdbc(spark: SparkSession, name: str, url: str, table: str, parts: int = 16, **options: str) -> DataFrame:
+    """The same from a database, read in ``parts`` ranges between its least and largest case."""
+    ends = spark.read.format("jdbc").options(url=url, query=f"SELECT min(case_id) AS low, max(case_id) AS high FROM {table}", **options).load().first()
+    low, upper = ends[0] or 0, (ends[1] or 0) + 1
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn="case_id", lowerBound=str(low), upperBound=str(upper), numPartitions=str(parts), **options)
     df = reader.load()
     wanted = spark.createDataFrame([], SCHEMAS[name]).schema
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted])
@@ -36,7 +38,7 @@ def read_statement_rows(spark: SparkSession, path: str, width: int = 40) -> Data
     rows = spark.read.schema(schema).option("multiLine", True).csv(path).select("*", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"))
     cells = F.array(*[F.col(f"_c{k}") for k in range(width)])
     first = rows.groupBy("path").agg(F.min("at").alias("first"))
-    named = rows.join(F.broadcast(first), "path")
+    named = rows.join(first, "path")
     return named.select(F.xxhash64("path").alias("file_id"), F.lit("1").alias("sheet"), (F.col("at") - F.col("first")).cast("int").alias("row_index"), cells.alias("cells"), F.element_at(F.split("path", "/"), -1).alias("filename"))
 
 

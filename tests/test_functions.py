@@ -200,7 +200,12 @@ def test_statement_rows(spark):
 
 
 def test_declarations(spark):
-    form = '{"case_id": 1, "declarant": {"name": " A ", "nationality": "Kuwait", "salary": 900}, "accounts": [{"label": "x", "value": 5, "country": "UK"}, {"label": " ", "value": 1}], "vehicles": [{"label": "car", "value": 7}]}'
+    form = (
+        '{"case_id": 1, "declarant": {"name": " A ", "civil_id": "12", "phone": "+965 9999 8888", "nationality": "Kuwait", "salary": 900}, "sectionsMarkedNone": ["realEstate", "debtsOwed"], '
+        '"bankAccountsAndDeposits": [{"institution": "x", "valueKwd": 5, "institutionCountry": "UK", "kind": "a / b"}, {"institution": " ", "valueKwd": 1}, {"institution": "البنك الوطني", "valueKwd": 10000, "kind": "حساب"}], '
+        '"realEstate": [{"ownerName": "أحمد محمد فهد", "location": "حطين", "areaSqm": 500, "ownershipPct": 10}, {"ownerName": "سالم", "location": "حطين", "areaSqm": 500}], '
+        '"minorChildren": [{"name": "سالم", "idType": "بطاقة مدنية", "idNumber": "٢٨٨٠١٠١٠٠٠٠١"}, {"name": "Bob", "idNumber": "28xxxx"}], "valuableMovables": [{"description": "car", "totalValueKwd": 7, "count": 1}]}'
+    )
     import tempfile
 
     path = tempfile.mkdtemp() + "/f.json"
@@ -208,7 +213,14 @@ def test_declarations(spark):
         f.write(form)
     forms = declarations.read_declarations(spark, path)
     items = declarations.declaration_items(forms)
-    assert {(r["section"], r["n"], r["total"]) for r in declarations.section_totals(items).collect()} == {("accounts", 1, 5.0), ("vehicles", 1, 7.0)}
+    assert {(r["section"], r["row_index"], r["label"]) for r in items.where("section = 'bankAccountsAndDeposits'").collect()} == {("bankAccountsAndDeposits", 0, "x"), ("bankAccountsAndDeposits", 2, "البنك الوطني")}
+    left = declarations.flag_uncertain_items(declarations.drop_example_rows(items)).collect()
+    assert {(r["section"], r["row_index"], r["uncertain"]) for r in left} == {("bankAccountsAndDeposits", 0, True), ("realEstate", 1, False), ("minorChildren", 0, False), ("valuableMovables", 0, False)}
+    assert [r["id_number"] for r in left if r["section"] == "minorChildren"] == ["288010100001"]
+    assert [tuple(r) for r in declarations.none_ticks(forms, items).collect()] == [(1, "debtsOwed")]
+    person = declarations.flag_uncertain(declarations.declarants(forms)).first()
+    assert person["uncertain"] == ["civil_id", "name"] and person["phone"] == "+965 9999 8888"
+    assert {(r["section"], r["n"], r["total"]) for r in declarations.section_totals(items.where("value is not null")).collect()} == {("bankAccountsAndDeposits", 2, 10005.0), ("valuableMovables", 1, 7.0)}
     p = declarations.profile_from_declaration(forms).first()
     assert (p["subject_name"], p["income"], p["expected_countries"]) == ("A", 900.0, ["Kuwait", "UK"])
     assert values(spark, ["٢٥/١٢/٢٠٢٠", "2020/1/2", "soon"], declarations.form_date) == ["2020-12-25", "2020-01-02", "soon"]
