@@ -116,18 +116,19 @@ def t5_funnel(spark, sf_dir):
 
 
 def entries(spark, sf_dir):
-    """The first two words of all parts' names as listed entities, each with an alias made of the next one, and all suppliers."""
+    """The first two words of all parts' names as listed entities, each with an alias made of the next one, all suppliers, and all customers on the other list."""
     words = F.split(F.upper("p_name"), " ")
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.array_join(F.slice(words, 1, 2), " ").alias("name")).distinct()
     p = p.withColumn("alias", F.concat(F.lead("name").over(Window.orderBy("name")), F.lit(" OVERSEAS")))  # a few hundred names
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_name").alias("name"), F.lit(None).cast("string").alias("alias"))
     named = lambda c, alias: F.struct(c.alias("text"), name_tokens(c).alias("tokens"), F.lit(alias).alias("is_alias"))
     names = F.filter(F.array(named(F.col("name"), False), F.when(F.col("alias").isNotNull(), named(F.col("alias"), True))), lambda n: n.isNotNull())
-    return p.union(s).select(F.lit("UN").alias("list"), F.col("name").alias("entry_id"), F.lit("entity").alias("type"), F.array().cast("array<string>").alias("programs"), names.alias("names"))
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_name").alias("name"), F.lit(None).cast("string").alias("alias"), F.lit("OFAC").alias("list"))
+    return p.union(s).withColumn("list", F.lit("UN")).union(c).select("list", F.col("name").alias("entry_id"), F.lit("entity").alias("type"), F.array().cast("array<string>").alias("programs"), names.alias("names"))
 
 
-LISTED = """listed AS (SELECT name, lead(name) OVER (ORDER BY name) || ' OVERSEAS' AS alias FROM (SELECT DISTINCT trim(split_part(upper(p_name), ' ', 1) || ' ' || split_part(upper(p_name), ' ', 2)) AS name FROM part)
-UNION ALL SELECT s_name, NULL FROM supplier)"""
+LISTED = """listed AS (SELECT 'UN' AS list, name, lead(name) OVER (ORDER BY name) || ' OVERSEAS' AS alias FROM (SELECT DISTINCT trim(split_part(upper(p_name), ' ', 1) || ' ' || split_part(upper(p_name), ' ', 2)) AS name FROM part)
+UNION ALL SELECT 'UN', s_name, NULL FROM supplier UNION ALL SELECT 'OFAC', c_name, NULL FROM customer)"""
 _COVERED = "len(list_filter({0}, lambda x: len(list_filter({1}, lambda y: x = y OR (length(x) <= 2 AND starts_with(y, x)) OR (length(x) > 2 AND length(y) <= 2 AND starts_with(x, y)))) = 0)) = 0"
 _TOKENS = "list_filter(string_split_regex(regexp_replace(upper({0}), '[^A-Z0-9 ]', ' ', 'g'), ' +'), lambda t: t <> '')"
 #: Names of a case with their counts, without its subject's own, and the subject.
@@ -142,7 +143,7 @@ r AS (SELECT *, CASE WHEN list_sort(a) = list_sort(b) THEN 0 WHEN len(list_filte
 m AS (SELECT name, entry_id, tier, is_alias, text FROM r WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY name, entry_id ORDER BY tier, is_alias, text) = 1)"""
 
 
-@query(f"WITH {LISTED} SELECT list, n, CASE WHEN n < least_n THEN 'unavailable' ELSE 'complete' END AS status FROM (SELECT 'UN' AS list, (SELECT count(*) FROM listed) AS n, 100 AS least_n UNION ALL SELECT 'OFAC', 0, 1000)")
+@query(f"WITH {LISTED} SELECT list, n, CASE WHEN n < least_n THEN 'unavailable' ELSE 'complete' END AS status FROM (SELECT list, count(*) AS n, CASE list WHEN 'UN' THEN 100 ELSE 1000 END AS least_n FROM listed GROUP BY list)")
 def s5_guard_list_size(spark, sf_dir):
     return sanctions.guard_list_size(entries(spark, sf_dir))
 
@@ -158,14 +159,21 @@ def x2_screen(spark, sf_dir):
     return sanctions.screen(names, entries(spark, sf_dir)).select("key", "entry_id", "tier", "listed_name", "alias")
 
 
-@query(f"""WITH {SCREENED}, top AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY name ORDER BY tier, entry_id) <= 5), best AS (SELECT name, min(tier) AS best FROM top GROUP BY name),
-kept AS (SELECT case_id, name, is_subject FROM asked JOIN best USING (name) QUALIFY is_subject OR row_number() OVER (PARTITION BY case_id, is_subject ORDER BY best, n DESC, name) <= 25)
-SELECT case_id, count(*) FILTER (tier = 0) AS exact, count(*) FILTER (tier = 1) AS strong, count(*) FILTER (tier = 2) AS possible FROM kept JOIN top USING (name) GROUP BY case_id""")
+TOTALS = f"""{SCREENED}, top AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY name ORDER BY tier, entry_id) <= 5), best AS (SELECT name, min(tier) AS best FROM top GROUP BY name),
+kept AS (SELECT case_id, name, is_subject FROM asked JOIN best USING (name) QUALIFY is_subject OR row_number() OVER (PARTITION BY case_id, is_subject ORDER BY best, n DESC, name) <= 25),
+totals AS (SELECT case_id, count(*) FILTER (tier = 0) AS exact, count(*) FILTER (tier = 1) AS strong, count(*) FILTER (tier = 2) AS possible FROM kept JOIN top USING (name) GROUP BY case_id)"""
+
+
+@query(f"WITH {TOTALS} SELECT case_id, exact, strong, possible FROM totals")
 def x3_top_matches(spark, sf_dir):
     names = cut(sanctions.names_to_screen(td.ledger(spark, sf_dir), td.cases(spark, sf_dir)), "asked")
     return sanctions.top_matches(names, sanctions.screen(names, entries(spark, sf_dir)))[1]
 
 
-@query()
+@query(f"""WITH {TOTALS}, short AS (SELECT string_agg(list, ', ' ORDER BY list) AS names FROM (SELECT list FROM listed GROUP BY list HAVING count(*) < CASE list WHEN 'UN' THEN 100 ELSE 1000 END)),
+n AS (SELECT case_id, count(*) AS n FROM asked GROUP BY case_id)
+SELECT c.case_id, CASE WHEN short.names IS NULL THEN 'complete' ELSE 'unavailable' END AS status, 'implausibly few entries: ' || short.names AS reason, CASE WHEN short.names IS NULL THEN coalesce(n, 0) ELSE 0 END AS names,
+ CASE WHEN short.names IS NULL THEN coalesce(exact, 0) END AS exact, CASE WHEN short.names IS NULL THEN coalesce(strong, 0) END AS strong, CASE WHEN short.names IS NULL THEN coalesce(possible, 0) END AS possible
+FROM cases c LEFT JOIN n USING (case_id) LEFT JOIN totals USING (case_id), short""")
 def x4_screening_status(spark, sf_dir):
     return sanctions.screening(td.ledger(spark, sf_dir), td.cases(spark, sf_dir), entries(spark, sf_dir))[1]

@@ -46,6 +46,22 @@ def test_parties_and_issues_of_statements(spark, tmp_path):
     assert {r["narrative"] for r in plain.collect()} == {"part", None}
 
 
+def test_portfolio(spark):
+    rows = [(c, k, d, v, n, [] if k % 2 else ["R"]) for k, (c, d, v, n) in enumerate([(1, "credit", 10.0, "ANWAR H"), (2, "debit", 20.0, "ANWAR HAMAD"), (2, "credit", 5.0, "OTHER MAN"), (3, "debit", 7.0, "ANWAR HAMAD"), (3, "debit", 1.0, "Account 123X"), (1, "debit", 2.0, "Account 123X")])]
+    txns = spark.createDataFrame(rows, "case_id long, id long, direction string, amount_kwd double, counterparty_name string, flags array<string>").withColumns({"file_id": jobs.F.lit(1), "bank": jobs.F.lit("B")})
+    cases = spark.createDataFrame([(1, "X Y", "open"), (2, "Z", "open"), (3, "MR ANWAR HAMAD", "intake")], "case_id long, subject_name string, status string")
+    hit = [{"rule_id": "R-1", "fired": True, "weight": 1.0}]
+    runs = spark.createDataFrame([(1, 1, dt.datetime(2025, 1, 2), 0.9, "Critical", hit), (2, 2, dt.datetime(2025, 1, 3), 0.1, "Moderate", hit)], "id long, case_id long, created_at timestamp, probability double, band string, rule_hits array<struct<rule_id:string,fired:boolean,weight:double>>")
+    decided = spark.createDataFrame([(1, 1, "escalate")], "id long, run_id long, decision string")
+    out = jobs.portfolio(runs, decided, txns, cases)
+    top = out["counterparties"].collect()
+    assert [(r["display"], r["cases"], r["n"], r["total"], r["subject_of"]) for r in top] == [("ANWAR HAMAD", 3, 3, 37.0, [3]), ("Account 123X", 2, 2, 3.0, [])]
+    by_case = {(r["cluster"], r["case_id"]): r for r in out["counterparty_cases"].collect()}
+    assert len(by_case) == 5 and by_case[top[0]["cluster"], 3]["status"] == "intake" and by_case[top[0]["cluster"], 1]["flagged"] == 1
+    assert (r := out["rules"].first())["fired"] == 2 and r["decided"] == 1 and r["escalated_share"] == 1.0
+    assert out["summary"].first()["cases"] == 2 and [r["id"] for r in out["newest"].orderBy(jobs.F.desc("created_at")).collect()] == [2, 1]
+
+
 def test_runs_are_written_by_day(spark, tmp_path):
     runs = spark.createDataFrame([(1, 1, dt.datetime(2025, 1, 2, 3)), (2, 1, dt.datetime(2025, 1, 3, 3))], "id long, case_id long, created_at timestamp")
     write_runs(runs, str(tmp_path / "runs"))
