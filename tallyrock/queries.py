@@ -38,11 +38,16 @@ def parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     return txns, pairs, netting.external(txns, pairs), td.cases(spark, sf_dir)
 
 
-def written(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The same, with ledger, pairs and external rows written once for queries that read them often."""
+def with_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ledger, declared pairs, cases), the first two written once for queries that read them often."""
     txns = cut(td.ledger(spark, sf_dir), "ledger")
-    pairs = cut(td.declared_pairs(txns), "pairs")
-    return txns, pairs, cut(netting.external(txns, pairs), "external"), td.cases(spark, sf_dir)
+    return txns, cut(td.declared_pairs(txns), "pairs"), td.cases(spark, sf_dir)
+
+
+def written(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The same as ``parts``, with ledger, pairs and external rows written once."""
+    txns, pairs, cases = with_pairs(spark, sf_dir)
+    return txns, pairs, cut(netting.external(txns, pairs), "external"), cases
 
 
 def listed(values: tuple[str, ...]) -> str:
@@ -165,7 +170,7 @@ SUM_CTE = f"sums AS ({SUMS}), s AS (SELECT sums.*, income, coalesce(paired, 0.0)
 
 @query(f"WITH {SUM_CTE} {SUM_FEATURES}")
 def f_sum_features(spark, sf_dir):
-    txns, pairs, _, cases = parts(spark, sf_dir)
+    txns, pairs, cases = with_pairs(spark, sf_dir)
     paired = pairs.groupBy("case_id").agg(netting.money("amount_kwd").alias("paired_kwd"))
     return ft.sum_features(ft.case_sums(txns, pairs, LIMITS).join(paired, "case_id", "left"), cases)
 
@@ -223,7 +228,7 @@ t AS (SELECT w.case_id, k, coalesce(CAST(sum(CAST(amount_kwd AS DECIMAL(20,6)))
 r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY v DESC, k) AS r FROM t)
 SELECT case_id, count(*) AS n, max(v) AS peak, floor((max(v) - avg(v) FILTER (r > 1)) / CASE WHEN stddev_pop(v) FILTER (r > 1) = 0 THEN 1 ELSE stddev_pop(v) FILTER (r > 1) END * 1000 + 0.5) / 1000 AS z FROM r GROUP BY case_id HAVING count(*) >= 6""")
 def f16_bursts(spark, sf_dir):
-    return ft.bursts(parts(spark, sf_dir)[2]).select("case_id", "n", "peak", ft.round3(F.col("z")).alias("z"))
+    return ft.bursts(written(spark, sf_dir)[2]).select("case_id", "n", "peak", ft.round3(F.col("z")).alias("z"))
 
 
 @query("""WITH a AS (SELECT *, count(*) OVER (PARTITION BY case_id, bank, account_id) AS size, min(id) OVER (PARTITION BY case_id, bank, account_id) AS first_id, min(posting_date) OVER (PARTITION BY case_id, bank, account_id) AS first_day,
@@ -261,7 +266,7 @@ SLICE_RULES = ("R-STRUCT-01", "R-LAYER-01", "R-CASH-02", "R-BENF-01")
 
 @query(SLICE)
 def score_slice(spark, sf_dir):
-    txns, pairs, _, cases = parts(spark, sf_dir)
+    txns, pairs, cases = with_pairs(spark, sf_dir)
     paired = pairs.groupBy("case_id").agg(netting.money("amount_kwd").alias("paired_kwd"))
     sums = cut(ft.case_sums(txns, pairs, LIMITS).join(paired, "case_id", "left"), "sums")
     kinds = ("near", "round", "geo", "black", "vague", "crypto", "cash", "multi", "split", "quick", "relay", "burst", "dormancy", "fan")
@@ -275,13 +280,13 @@ def score_slice(spark, sf_dir):
 
 @query()
 def features_all(spark, sf_dir):
-    txns, pairs, _, cases = written(spark, sf_dir)
+    txns, pairs, cases = with_pairs(spark, sf_dir)
     return ft.features(txns, pairs, cases)[0]
 
 
 @query()
 def rules_and_score(spark, sf_dir):
-    txns, pairs, _, cases = written(spark, sf_dir)
+    txns, pairs, cases = with_pairs(spark, sf_dir)
     out = jobs.score(txns, cases, pairs)
     fired = out["hits"].where("fired").groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_list("rule_id")), ",").alias("rules"))
     return out["scores"].join(fired, "case_id", "left")

@@ -77,7 +77,10 @@ def r11_network_edges(spark, sf_dir):
     return views.network_edges(own_cluster(txns), pairs)
 
 
-@query()
+@query(f"""WITH {EDGES}, s AS (SELECT case_id, account AS node, direction = 'credit' AS i, amount_kwd FROM e UNION ALL SELECT case_id, other, direction = 'debit', amount_kwd FROM e WHERE other IS NOT NULL),
+nodes AS (SELECT case_id, node, node LIKE 'cp|%' AS cp, {money('CASE WHEN i THEN amount_kwd END')} AS inflow, {money('CASE WHEN NOT i THEN amount_kwd END')} AS outflow FROM s GROUP BY ALL),
+kept AS (SELECT case_id, node FROM nodes QUALIFY NOT cp OR row_number() OVER (PARTITION BY case_id, cp ORDER BY inflow + outflow DESC, node) <= 60)
+SELECT case_id, source, target, kind, value, n FROM edges WHERE (case_id, source) IN (SELECT case_id, node FROM kept) AND (case_id, target) IN (SELECT case_id, node FROM kept)""")
 def r12_network_budget(spark, sf_dir):
     txns, pairs, _, _ = parts(spark, sf_dir)
     clustered = own_cluster(txns)
