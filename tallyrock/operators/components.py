@@ -28,7 +28,8 @@ def _united(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             a, b = root(u), root(v)
             if a != b:
                 up[max(a, b)] = min(a, b)
-    yield pd.DataFrame({"node": list(up), "component": [root(x) for x in up]})
+    if up:
+        yield pd.DataFrame({"node": list(up), "component": [root(x) for x in up]})
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

@@ -89,6 +89,9 @@ def to_kwd(rows: DataFrame, amount: str, currency: str, countervalue: str) -> Da
 TEXT_ROLES = ("currency", "account", "code", "type", "indicator", "from_name", "to_name", "name", "from_bank", "to_bank", "bank", "from_country", "to_country", "country")
 
 
+AMOUNT_ROLES = ("kwd", "balance", "debit", "credit", "amount")
+
+
 def table_rows(rows: DataFrame, maps: DataFrame) -> DataFrame:
     """Rows below each header that are not empty. More than 80 empty rows one after the other end a sheet."""
     df = rows.join(maps.drop("header"), ["file_id", "sheet"]).where(F.col("row_index") > F.col("header_index"))
@@ -104,7 +107,10 @@ def parse_cells(table: DataFrame) -> DataFrame:
     cell = lambda role: F.nullif(F.trim(F.get("cells", F.element_at("roles", F.lit(role)))), F.lit(""))
     told = F.filter(F.transform("narratives", lambda i: F.trim(F.get(F.col("cells"), i))), lambda c: F.coalesce(c, F.lit("")) != "")
     df = table.withColumns({"narrative": F.nullif(F.array_join(told, " | "), F.lit("")), **{r: cell(r) for r in TEXT_ROLES}})
-    return df.select("*", parse_date(cell("date")).alias("posting_date"), *[parse_amount(cell(r)).alias(f"_{r}") for r in ("kwd", "balance", "debit", "credit", "amount")])
+    # one parser for all amounts, and one for the date: five copies of it would be more code than the JVM compiles
+    amounts = F.transform(F.array(*[cell(r) for r in AMOUNT_ROLES]), parse_amount)
+    df = df.withColumns({"_amounts": amounts, "posting_date": F.get(F.transform(F.array(cell("date")), parse_date), 0)})
+    return df.select("*", *[F.get("_amounts", k).alias(f"_{r}") for k, r in enumerate(AMOUNT_ROLES)]).drop("_amounts")
 
 
 def parse_rows(rows: DataFrame, maps: DataFrame) -> DataFrame:

@@ -100,6 +100,8 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7), (200, None)]
     # one task, and rounds over the cluster
     one, got = ({r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b", one_task=n).collect()} for n in (100, 0))
+    none = spark.createDataFrame([], "a string, b string")
+    assert connected_components(none, "a", "b").count() == connected_components(none, "a", "b", one_task=0).count() == 0
     assert one == got == dict.fromkeys(range(41), 0) | {100: 100, 101: 100}
 
 
