@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrock.llm.text import alnum_words, table
+from tallyrock.sources.shared import cut
 
 SPAN, GRAM = 10, 5
 #: Bits of the filter that is broadcast (512 KB).
@@ -112,12 +113,9 @@ def bitmap(grams: DataFrame, bits: int) -> np.ndarray:
 
 def hits(docs: DataFrame, items: DataFrame, id_col: str, text: str, item_col: str, item_text: str, span: int, gram: int, bits: int) -> DataFrame:
     """(row, id, n_words, item, first, last): runs [first, last) of document words inside occurrences of item windows; item null: none."""
-    known = item_grams(items, item_col, item_text, span, gram).persist()
-    try:
-        packed = bitmap(known, bits)
-        short = tuple(-r["n"] for r in known.where("n < 0").select("n").distinct().collect())  # at most span - 1 lengths
-    finally:
-        known.unpersist()
+    known = cut(item_grams(items, item_col, item_text, span, gram), "item-grams")
+    packed = bitmap(known, bits)
+    short = tuple(-r["n"] for r in known.where("n < 0").select("n").distinct().collect())  # at most span - 1 lengths
     shared = docs.sparkSession.sparkContext.broadcast(packed)
     last = np.uint64(bits - 1)
 
