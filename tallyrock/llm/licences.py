@@ -14,6 +14,7 @@ score is the largest cover of any template, and at least 0.5 where a base phrase
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -155,12 +156,10 @@ class Scanner:
     def _chain(pieces: list[tuple[int, int, int]], size: int, max_gap: int) -> tuple[float, int, int]:
         pieces.sort(key=lambda p: (p[0] + p[1], p[2]))
         best: list[tuple[int, int]] = []
-        low = 0
+        ends = [start + length for start, length, _ in pieces]
         for k, (start, length, end) in enumerate(pieces):
             own = (length, start)
-            while pieces[low][0] + pieces[low][1] < start - max_gap:
-                low += 1
-            for j in range(low, k):
+            for j in range(bisect_left(ends, start - max_gap), k):
                 s, n, e = pieces[j]
                 over = max(0, s + n - start, e - (end - length))
                 if e < end and s < start and over < length and best[j][0] + length - over > own[0]:
