@@ -103,6 +103,11 @@ def parse_headers(data: bytes) -> dict[str, str]:
     return out
 
 
+def count_of(value: str | None) -> int | None:
+    """A header's number of bytes; None for what no file can hold."""
+    return int(value) if value and value.isascii() and value.isdigit() and len(value) <= 18 else None
+
+
 class _Plain:
     """Record bytes of an uncompressed archive, in order."""
 
@@ -133,7 +138,10 @@ class _Plain:
         return data[:size]
 
     def skip(self, size: int) -> None:
-        self.body(size)
+        beyond = size - len(self.rest)
+        self.rest = self.rest[size:]
+        if beyond > 0:
+            self.file.seek(min(self.file.tell() + beyond, self.file.size()))
 
 
 class _Packed(_Plain):
@@ -177,8 +185,7 @@ def records(file, packed: bool, wanted, payloads: bool = True) -> Iterator[tuple
     """Headers and block of each record whose headers ``wanted`` accepts; block None without ``payloads``."""
     source = _Packed(file) if packed else _Plain(file)
     while (headers := source.headers()) is not None:
-        length = headers.get("content-length", "0")
-        size = int(length) if length.isascii() and length.isdigit() else 0
+        size = count_of(headers.get("content-length")) or 0
         if not wanted(headers):
             source.skip(size)
         elif payloads:
@@ -235,7 +242,7 @@ class WarcReader(DataSourceReader):
                 if block is not None and headers.get("content-type", "").startswith("application/http"):
                     block = block.partition(b"\r\n\r\n")[2]
                 values = [headers.get(NAMES[n].lower()) for n in WRITTEN]
-                values[-1] = int(values[-1]) if (values[-1] or "").isdigit() else None
+                values[-1] = count_of(values[-1])
                 yield (*values, block, headers)
 
 

@@ -327,6 +327,13 @@ def test_warc_of_odd_rows(spark, tmp_path):
     (tmp_path / "bad" / "a.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <x>\r\nContent-Length: many\r\n\r\n" + warc.record({"record_type": "response", "record_id": "<b>"}, b"p"))
     (tmp_path / "bad" / "b.warc").write_bytes(b"no archive\n\n" * 300_000)
     assert [r["record_id"] for r in spark.read.format("warc").load(str(tmp_path / "bad")).collect()] == ["<x>", "<b>"]
+    (tmp_path / "hostile").mkdir()
+    head = lambda name, more: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <{name}>\r\n{more}\r\n\r\n".encode()
+    odd = head("a", "X-Payload-Length: ²\r\nContent-Length: 0") + head("b", "Content-Length: " + "9" * 5000) + head("c", f"X-Payload-Length: {'1' * 30}\r\nContent-Length: 3") + b"abc\r\n\r\n"
+    (tmp_path / "hostile" / "a.warc").write_bytes(odd + warc.record({"record_type": "request", "record_id": "<r>"}, b"x" * 300_000) + warc.record({"record_type": "response", "record_id": "<d>"}, b"p"))
+    back = spark.read.format("warc").load(str(tmp_path / "hostile")).where("record_type = 'response'").collect()
+    assert [(r["record_id"], r["payload_length"], bytes(r["payload"])) for r in back] == [("<a>", None, b""), ("<b>", None, b""), ("<c>", None, b"abc"), ("<d>", 1, b"p")]
+
 
 
 LICENCE_WORDS = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
