@@ -37,25 +37,48 @@ from tallyrock.llm.text import LOWER, LOWER_BYTES, UPPER, table
 from tallyrock.operators.components import connected_components
 from tallyrock.sources.shared import cut, drop_table
 
-SHINGLE, PERCENT, SEED = 5, 80, 42
+SHINGLE, PERCENT = 5, 80
 HOT, PART, LEADERS = 256, 1024, 2
-#: Bits of the narrowest and the widest bitmap, and words of bitmaps that are compared at once.
-NARROW, WIDE, AT_ONCE = 64, 1 << 15, 1 << 20
+#: An odd multiplier of rolling sums, its inverse modulo 2^64, and shingles that a task passes on at once.
+BASE = 0xD1342543DE82EF95
+INVERSE = pow(BASE, -1, 1 << 64)
+SENT = 1 << 20
+#: Bits of the narrowest and the widest bitmap, words of bitmaps that are compared at once, and sets of a tile that is compared together with others.
+NARROW, WIDE, AT_ONCE, FEW = 64, 1 << 15, 1 << 20, 128
 
 
-def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """The distinct shingles' hashes, sorted."""
-    from xxhash import xxh64_intdigest
+_powers = np.ones((2, 1), np.uint64)
+
+
+def powers(n: int) -> np.ndarray:
+    """The first ``n`` or more powers of the multiplier and of its inverse."""
+    global _powers
+    if _powers.shape[1] < n:
+        steps = np.repeat(np.array([[BASE], [INVERSE]], np.uint64), 1 << n.bit_length(), axis=1)
+        steps[:, 0] = 1
+        _powers = np.cumprod(steps, axis=1)
+    return _powers
+
 
-    words = (text or "").encode("utf-8", "replace").translate(LOWER_BYTES).split()
-    if not words:
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct shingles' hashes, sorted: mixed differences of rolling sums over the words' bytes."""
+    line = b" ".join((text or "").encode("utf-8", "replace").translate(LOWER_BYTES).split())
+    if not line:
         return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return np.array([xxh64_intdigest(joined, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[:-shingle])).tolist()
-    return np.unique(np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64))
+    data = np.frombuffer(line, np.uint8)
+    up, down = powers(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(data * up[: len(data)], out=sums[1:])
+    blanks = np.nonzero(data == 32)[0]
+    starts, ends = np.concatenate(([0], blanks + 1)), np.append(blanks, len(data))
+    if len(starts) > shingle:
+        starts, ends = starts[: 1 - shingle], ends[shingle - 1 :]
+    else:
+        starts, ends = starts[:1], ends[-1:]
+    mixed = (sums[ends] - sums[starts]) * down[starts]
+    for shift, by in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53), (33, 1)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(by)
+    return np.unique(mixed)
 
 
 def first_places(n: int, percent: int) -> int:
@@ -72,8 +95,8 @@ def band_ends(percent: int, most: int = 1 << 40) -> list[int]:
 
 
 def bitmap_width(least: int) -> int:
-    """Bits of a band's bitmaps, twice the sizes of its sets or more, up to the widest."""
-    return min(WIDE, max(NARROW, 1 << (2 * least).bit_length()))
+    """Bits of a band's bitmaps, more than its least size, up to the widest."""
+    return min(WIDE, max(NARROW, 1 << least.bit_length()))
 
 
 def bitmap(hashes: np.ndarray, bits: int) -> bytes:
@@ -109,10 +132,20 @@ def all_places(texts: DataFrame, shingle: int) -> DataFrame:
     """(shingle, node) of every shingle of (node, _text)."""
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def sent() -> pd.DataFrame:
+            return pd.DataFrame({"shingle": np.concatenate(hashes).view(np.int64), "node": np.repeat(nodes, [len(h) for h in hashes])})
+
         for frame in frames:
+            nodes, hashes, held = [], [], 0
             for node, text in zip(frame["node"], frame["_text"], strict=True):
-                hashes = shingle_hashes(text, shingle)
-                yield pd.DataFrame({"shingle": hashes.view(np.int64), "node": np.full(len(hashes), node)})
+                nodes.append(node)
+                hashes.append(shingle_hashes(text, shingle))
+                held += len(hashes[-1])
+                if held > SENT:
+                    yield sent()
+                    nodes, hashes, held = [], [], 0
+            if nodes:
+                yield sent()
 
     return texts.mapInPandas(of, "shingle long, node long")
 
@@ -127,20 +160,23 @@ def ordered_places(sets: DataFrame, texts: DataFrame, shingle: int, percent: int
     asked = places.join(often, "shingle", "left_semi").select("node").distinct()
     counted = all_places(texts.join(asked, "node", "left_semi"), shingle).groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > hot)
     last = cut(counted.select("shingle").union(often).distinct(), "jaccard-last")
-    moved = cut(places.join(last, "shingle", "left_semi").select("node", "n").distinct(), "jaccard-moved")
-    whole = texts.join(moved, "node")
-    marks = all_places(whole.select("node", "_text"), shingle).join(last, "shingle", "left_semi").groupBy("node").agg(F.collect_list("shingle").alias("last"))
+    moved = cut(places.join(last, "shingle", "left_semi").select("node").distinct(), "jaccard-moved")
+    whole = texts.join(moved, "node", "left_semi")
+    marks = all_places(whole, shingle).join(last, "shingle", "left_semi").groupBy("node").agg(F.collect_list("shingle").alias("last"))
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for node, text, back in zip(frame["node"], frame["_text"], frame["last"], strict=True):
+            sizes, firsts = [], []
+            for text, back in zip(frame["_text"], frame["last"], strict=True):
                 hashes = shingle_hashes(text, shingle)
                 late = np.isin(hashes, np.asarray(back, np.int64).view(np.uint64))
-                chosen = np.concatenate((hashes[~late], hashes[late]))[: first_places(len(hashes), percent)]
-                yield pd.DataFrame({"shingle": chosen.view(np.int64), "node": np.full(len(chosen), node), "n": np.full(len(chosen), len(hashes))})
+                sizes.append(len(hashes))
+                firsts.append(np.concatenate((hashes[~late], hashes[late]))[: first_places(len(hashes), percent)].view(np.int64))
+            yield pd.DataFrame({"node": frame["node"], "n": sizes, "first": firsts})
 
-    anew = whole.join(marks, "node").select("node", "_text", "last").mapInPandas(of, "shingle long, node long, n long")
-    return sets.join(moved.select("node"), "node", "left_anti").select(F.explode("first").alias("shingle"), "node", "n").union(anew)
+    anew = cut(whole.join(marks, "node").select("node", "_text", "last").mapInPandas(of, "node long, n long, first array<long>"), "jaccard-anew")
+    ordered = sets.select("node", "n", "first").join(moved, "node", "left_anti").union(anew)
+    return ordered.select(F.explode("first").alias("shingle"), "node", "n")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -184,101 +220,174 @@ def leader_pairs(places: DataFrame, turn: int, percent: int) -> DataFrame:
 
 
 def signed(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(node, band, own, lower): a set's band of sizes and its bitmaps as wide as that band and the one below ask for."""
+    """(node, own, lower): a set's bitmaps as wide as its band of sizes and the one below ask for."""
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ends = band_ends(percent)
         for frame in frames:
-            bands, own, lower = [], [], []
+            own, lower = [], []
             for text in frame["_text"]:
                 hashes = shingle_hashes(text, shingle)
                 band = bisect_right(ends, len(hashes)) - 1
-                bands.append(band)
                 own.append(bitmap(hashes, bitmap_width(ends[band])))
                 lower.append(bitmap(hashes, bitmap_width(ends[max(0, band - 1)])))
-            yield pd.DataFrame({"node": frame["node"], "band": bands, "own": own, "lower": lower})
-
-    return texts.mapInPandas(of, "node long, band int, own binary, lower binary")
+            yield pd.DataFrame({"node": frame["node"], "own": own, "lower": lower})
+
+    return texts.mapInPandas(of, "node long, own binary, lower binary")
+
+
+def _may_be_alike(x: dict, i: np.ndarray, j: np.ndarray, bits_i: np.ndarray, bits_j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which, bound) of the pairs of rows i and j whose overlap may be large enough."""
+    apart = np.bitwise_count(bits_i ^ bits_j).sum(axis=-1, dtype=np.int64)
+    both = x["n"][i] + x["n"][j]
+    bound = (both - apart) // 2
+    good = np.nonzero((100 + percent) * bound >= percent * both)[0]
+    return good, bound[good]
+
+
+def _columns(frame: pd.DataFrame) -> dict:
+    return {c: frame[c].to_numpy() for c in ("node", "n", "class")} | {"member": frame["member"].to_numpy(bool), "bits": frame["bits"].to_numpy()}
+
+
+def _best(tile: np.ndarray, a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, bound: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, tiles): the ``budget`` best pairs of each two classes of a tile, and the tiles that have more."""
+    a, b, x, y = np.minimum(a, b), np.maximum(a, b), np.minimum(x, y), np.maximum(x, y)
+    order = np.lexsort((b, a, -bound, y, x, tile))
+    kinds = np.stack((tile, x, y))[:, order]
+    first = np.concatenate(([True], (kinds[:, 1:] != kinds[:, :-1]).any(axis=0)))[: len(order)]
+    place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    kept = place < budget
+    return np.stack((a, b), axis=1)[order[kept]], np.unique(tile[order[~kept]])
+
+
+def _small_tiles(frame: pd.DataFrame, tile: np.ndarray, percent: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of whole tiles of few rows: each row is compared with the one so many places behind it, for all tiles at once."""
+    x, found = _columns(frame), []
+    for band in np.unique(frame["band"].to_numpy()):
+        rows = np.nonzero(frame["band"].to_numpy() == band)[0]
+        bits = np.frombuffer(b"".join(x["bits"][rows]), "<u8").reshape(len(rows), -1)
+        size = max(1, AT_ONCE // bits.shape[1])
+        left = np.arange(len(rows))
+        for apart in range(1, len(rows)):
+            left = left[left + apart < len(rows)]
+            left = left[tile[rows[left]] == tile[rows[left + apart]]]
+            if not len(left):
+                break
+            i, j = rows[left], rows[left + apart]
+            n, m = x["n"][i], x["n"][j]
+            fit = np.nonzero(x["member"][i] & (x["class"][i] != x["class"][j]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)))[0]
+            for at in range(0, len(fit), size):
+                some = fit[at : at + size]
+                good, bound = _may_be_alike(x, i[some], j[some], bits[left[some]], bits[left[some] + apart], percent)
+                found.append((i[some][good], j[some][good], bound))
+    if not found:
+        return np.empty((0, 2), np.int64), np.empty(0, np.int64)
+    i, j, bound = map(np.concatenate, zip(*found, strict=True))
+    return _best(tile[i], x["node"][i], x["node"][j], x["class"][i], x["class"][j], bound, budget)
 
 
 class _Tile:
     """Sets of a part of a tile that are held."""
 
     def __init__(self, held: pd.DataFrame) -> None:
-        self.node, self.n, self.kind = (held[c].to_numpy() for c in ("node", "n", "class"))
-        self.bits = np.frombuffer(b"".join(held["bits"]), "<u8").reshape(len(held), -1)
+        self.held = _columns(held)
+        self.bits = np.frombuffer(b"".join(self.held["bits"]), "<u8").reshape(len(held), -1)
 
-    def within(self, asking: pd.DataFrame, own: bool, percent: int) -> Iterator[tuple]:
-        """(a, b, class of a, class of b, bound) of pairs of two classes whose overlap may be large enough."""
+    def pairs(self, asking: pd.DataFrame, own: bool, percent: int, budget: int) -> tuple[np.ndarray, bool]:
+        """The best pairs of held and asking sets, and whether there are more."""
+        held, x, found = self.held, _columns(asking), []
         size = max(1, AT_ONCE // max(1, self.bits.size))
         for at in range(0, len(asking), size):
-            some = asking.iloc[at : at + size]
-            node, n, kind = (some[c].to_numpy()[:, None] for c in ("node", "n", "class"))
-            bits = np.frombuffer(b"".join(some["bits"]), "<u8").reshape(len(some), 1, -1)
-            apart = np.bitwise_count(bits ^ self.bits).sum(axis=2, dtype=np.int64)
-            bound = (n + self.n - apart) // 2
-            good = (kind != self.kind) & ((100 + percent) * bound >= percent * (n + self.n)) & (100 * np.minimum(n, self.n) >= percent * np.maximum(n, self.n))
+            n, kind, node = (x[c][at : at + size, None] for c in ("n", "class", "node"))
+            fit = (kind != held["class"]) & (100 * np.minimum(n, held["n"]) >= percent * np.maximum(n, held["n"]))
             if own:
-                good &= node > self.node
-            i, j = np.nonzero(good)
-            yield from zip(node[i, 0].tolist(), self.node[j].tolist(), kind[i, 0].tolist(), self.kind[j].tolist(), bound[i, j].tolist(), strict=True)
-
-
-def _chosen(pairs: list[tuple], budget: int) -> list[tuple]:
-    """The ``budget`` best pairs of each two classes, and a row of -1 if there are more."""
-    used: dict[tuple, int] = {}
-    out, more = [], False
-    for a, b, x, y, _ in sorted(pairs, key=lambda p: (-p[4], p[0], p[1])):
-        both = (min(x, y), max(x, y))
-        used[both] = used.get(both, 0) + 1
-        if used[both] <= budget:
-            out.append((min(a, b), max(a, b)))
-        else:
-            more = True
-    return out + [(-1, -1)] * more
+                fit &= node > held["node"]
+            i, j = np.nonzero(fit)
+            bits = np.frombuffer(b"".join(x["bits"][at : at + size]), "<u8").reshape(len(n), -1)
+            both = {"n": np.concatenate((n[:, 0], held["n"]))}
+            for k in range(0, len(i), max(1, AT_ONCE // bits.shape[1])):
+                p, q = (v[k : k + max(1, AT_ONCE // bits.shape[1])] for v in (i, j))
+                good, bound = _may_be_alike(both, p, q + len(n), bits[p], self.bits[q], percent)
+                found.append((p[good] + at, q[good], bound))
+        if not found:
+            return np.empty((0, 2), np.int64), False
+        i, j, bound = map(np.concatenate, zip(*found, strict=True))
+        out, more = _best(np.zeros(len(i), np.int64), x["node"][i], held["node"][j], x["class"][i], held["class"][j], bound, budget)
+        return out, len(more) > 0
 
 
 def _pairs_of(frames: Iterator[pd.DataFrame], keys: list[str], percent: int, budget: int) -> Iterator[pd.DataFrame]:
-    """Parts arrive as runs of rows, those to hold before those that ask; a run may go on in the next frame."""
+    """Parts arrive as runs of rows, those to hold before those that ask; the last run of a frame may go on in the next.
+
+    Whole runs of few rows are compared together; the others one by one.
+    """
     key, rows, tile = None, [], None
+    out: list = []
+
+    def add(pairs: np.ndarray, more: bool, shingle: int) -> None:
+        out.append(pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "shingle": None}))
+        if more:
+            out.append(pd.DataFrame({"a": [None], "b": [None], "shingle": [shingle]}))
 
-    def held() -> list[tuple]:
+    def held() -> None:
         nonlocal tile
         frame = pd.concat(rows)
         tile = _Tile(frame)
-        return _chosen(list(tile.within(frame, True, percent)), budget)
+        add(*tile.pairs(frame, True, percent, budget), key[0])
+
+    def ended() -> None:
+        nonlocal key, rows, tile
+        if rows and not tile:
+            held()
+        key, rows, tile = None, [], None
 
     for frame in frames:
-        out = []
-        for k, run in frame.groupby(keys, sort=False):
-            if k != key:
-                out += held() if rows and not tile else []
-                key, rows, tile = k, [], None
+        names = frame[keys].to_numpy(np.int64)
+        starts = np.concatenate(([0], np.nonzero((names[1:] != names[:-1]).any(axis=1))[0] + 1, [len(frame)]))
+        sizes = np.diff(starts)
+        whole = sizes <= FEW
+        whole[[0, -1]] = False  # may have begun before, or go on
+        if whole.any():
+            inside = np.repeat(whole, sizes)
+            tiles = np.repeat(np.arange(len(sizes)), sizes)[inside]
+            pairs, more = _small_tiles(frame[inside], tiles, percent, budget)
+            add(pairs, False, 0)
+            for t in more:
+                add(pairs[:0], True, names[starts[t], 0])
+        for t in np.nonzero(~whole)[0]:
+            run = frame.iloc[starts[t] : starts[t + 1]]
+            if key is None or tuple(names[starts[t]]) != key:
+                ended()
+                key = tuple(names[starts[t]])
             member = run["member"].to_numpy(bool)
             if member.any():
                 rows.append(run[member])
             if not member.all() and rows:
-                out += [] if tile else held()
-                out += _chosen(list(tile.within(run[~member], False, percent)), budget)
-        yield pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
-    if rows and not tile:
-        yield pd.DataFrame(np.array(held(), np.int64).reshape(-1, 2), columns=["a", "b"])
+                if not tile:
+                    held()
+                add(*tile.pairs(run[~member], False, percent, budget), key[0])
+        if out:
+            yield pd.concat(out).astype({"a": "Int64", "b": "Int64", "shingle": "Int64"})
+        out.clear()
+    ended()
+    if out:
+        yield pd.concat(out).astype({"a": "Int64", "b": "Int64", "shingle": "Int64"})
 
 
 def tile_pairs(places: DataFrame, signatures: DataFrame, percent: int, part: int, budget: int) -> DataFrame:
-    """(a, b): pairs of tiles whose bitmaps let them be alike, up to ``budget`` of two classes in a part; (-1, -1) where there are more."""
-    rows = places.join(signatures, "node")
-    own = F.struct("band", F.lit(True).alias("home"), F.col("own").alias("bits"))
-    below = F.struct((F.col("band") - 1).alias("band"), F.lit(False).alias("home"), F.col("lower").alias("bits"))
-    rows = rows.select("shingle", "node", "n", "class", F.explode(F.array(own, below)).alias("_t")).select("shingle", "node", "n", "class", "_t.*").where("band >= 0")
+    """(a, b, shingle): pairs of tiles whose bitmaps let them be alike, up to ``budget`` of two classes in a part; the shingles of tiles that have more."""
+    band = F.size(F.filter(F.array(*[F.lit(e) for e in band_ends(percent)]), lambda e: e <= F.col("n"))) - 1
+    homes = F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band - 1).alias("band"), F.lit(False).alias("home")))
+    rows = places.select("shingle", "node", "n", "class", F.explode(homes).alias("_t")).select("shingle", "node", "n", "class", "_t.*")
     sizes = rows.groupBy("shingle", "band").agg(F.ceil(F.count_if("home") / part).cast("int").alias("parts"), F.min("class").alias("_low"), F.max("class").alias("_high"))
     rows = rows.join(sizes.where("parts > 0 AND _low < _high").drop("_low", "_high"), ["shingle", "band"])
-    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    rows = rows.withColumn("mine", F.when(F.col("home"), mine).otherwise(F.col("parts") - 1)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("mine"))))
+    mine = F.when(F.col("home"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).otherwise(F.col("parts") - 1)
+    rows = rows.join(signatures, "node").select("shingle", "band", "node", "n", "class", "home", F.when(F.col("home"), F.col("own")).otherwise(F.col("lower")).alias("bits"), mine.alias("mine"))
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("mine"))))
     keys = ["shingle", "band", "part"]
     rows = rows.select(*keys, (F.col("home") & (F.col("part") == F.col("mine"))).alias("member"), "node", "n", "class", "bits")
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, F.desc("member"), "node")
-    return dealt.mapInPandas(lambda frames: _pairs_of(frames, keys, percent, budget), "a long, b long").distinct()
+    return dealt.mapInPandas(lambda frames: _pairs_of(frames, keys, percent, budget), "a long, b long, shingle long").distinct()
 
 
 def links_of(places: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, part: int = PART, leaders: int = LEADERS) -> DataFrame | None:
@@ -298,13 +407,14 @@ def links_of(places: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percen
     tested, budget = None, 1
     while True:
         found = cut(tile_pairs(left, signatures, percent, part, budget), "jaccard-pairs")
-        pairs = found.where("a >= 0")
+        pairs = found.where("a is not null").select("a", "b")
         near = verified(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), texts, shingle, percent)
         tested = pairs if tested is None else tested.union(pairs).distinct()
         links = near if links is None else links.union(near)
-        if found.where("a < 0").isEmpty():
+        more = found.where("shingle is not null").select("shingle").distinct()
+        if more.isEmpty():
             return links
-        left, budget = cut(with_class(left.select("shingle", "node", "n"), links), "jaccard-left"), budget * 4
+        left, budget = cut(with_class(left.join(more, "shingle", "left_semi").select("shingle", "node", "n"), links), "jaccard-left"), budget * 4
 
 
 def components_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, hot: int = HOT, part: int = PART, leaders: int = LEADERS) -> DataFrame:
