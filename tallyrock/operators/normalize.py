@@ -33,7 +33,9 @@ def column_maps(headers: DataFrame, supplied: DataFrame | None = None) -> DataFr
 
     Each role takes the first free header that fits it; every free header of a narrative is one
     of ``narratives``. ``supplied`` (file_id, named map<string,string>) gives roles by header
-    text, and replaces what would be found. Sheets without a date and an amount are left out.
+    text, and replaces what would be found; where ``named`` is null, roles are found. Sheets
+    without a date and an amount are left out. ``supplied`` may have credit_values array<string>: an
+    indicator that is none of them then means a debit.
     """
     table = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(ascii_edges(m)).alias("must"), F.lit(ascii_edges(a)).alias("also"), F.lit(n).alias("never")) for r, m, a, n in COLUMN_ROLES])
     texts = F.transform("header", header_text)
@@ -51,7 +53,7 @@ def column_maps(headers: DataFrame, supplied: DataFrame | None = None) -> DataFr
         df = df.join(supplied, "file_id", "left")
         at = lambda name: F.array_position(F.col("_texts"), header_text(name)).cast("int") - 1
         given = F.map_filter(F.transform_values("named", lambda _, v: at(v)), lambda _, v: v >= 0)
-        df = df.withColumn("roles", F.coalesce(given, F.col("roles"))).drop("named")
+        df = df.withColumn("roles", F.coalesce(given, F.col("roles"))).drop("named", "bank_label")
     told = F.filter("_places", lambda i: ~F.array_contains(F.map_values("roles"), i) & F.get(F.col("_texts"), i).rlike(NARRATIVE_HEADERS))
     narrative = F.element_at("roles", F.lit("narrative"))
     df = df.withColumn("narratives", F.when(narrative.isNotNull(), F.array(narrative)).otherwise(told))
@@ -59,17 +61,24 @@ def column_maps(headers: DataFrame, supplied: DataFrame | None = None) -> DataFr
     return df.where(has("date") & has("amount", "debit", "credit", "kwd")).drop("_texts", "_places")
 
 
-def resolve_direction(debit: Column, credit: Column, amount: Column, indicator: Column, kind: Column) -> Column:
-    """struct(direction, amount, reason): from two columns, else an amount with what its indicator or type says, else its sign."""
+def resolve_direction(debit: Column, credit: Column, amount: Column, indicator: Column, kind: Column, credit_values: Column | None = None) -> Column:
+    """struct(direction, amount, reason): from two columns, else an amount with what its indicator or type says, else its sign.
+
+    Where ``credit_values`` are given, an indicator is a credit if it is one of them, else a debit.
+    """
     made = lambda d, a, r: F.struct(F.lit(d).cast("string").alias("direction"), a.cast("double").alias("amount"), F.lit(r).cast("string").alias("reason"))
     none = F.lit(None)
     has = lambda c: F.coalesce(c, F.lit(0.0)) != 0
     said, typed = F.lower(F.trim(F.coalesce(indicator, F.lit("")))), F.lower(F.coalesce(kind, F.lit("")))
+    given = F.coalesce(F.transform(credit_values, lambda v: F.lower(v)) if credit_values is not None else F.lit(None).cast("array<string>"), F.array().cast("array<string>"))
+    told = (F.size(given) > 0) & (said != "")
     return (
         F.when(has(debit) & has(credit), made(None, none, "both_sides"))
         .when(has(debit), made("debit", F.abs(debit), None))
         .when(has(credit), made("credit", F.abs(credit), None))
         .when(~has(amount), made(None, none, "no_amount"))
+        .when(told & F.array_contains(given, said), made("credit", F.abs(amount), None))
+        .when(told, made("debit", F.abs(amount), None))
         .when(said.rlike(CREDIT_VALUES), made("credit", F.abs(amount), None))
         .when(said.rlike(DEBIT_VALUES), made("debit", F.abs(amount), None))
         .when(typed.rlike(CREDIT_TYPES), made("credit", F.abs(amount), None))
@@ -120,7 +129,7 @@ def parse_rows(rows: DataFrame, maps: DataFrame) -> DataFrame:
     one expression would be more code than the JVM compiles.
     """
     df = cut(parse_cells(table_rows(rows, maps)), "cells")
-    df = df.withColumn("_d", resolve_direction(F.col("_debit"), F.col("_credit"), F.coalesce("_amount", "_kwd"), F.col("indicator"), F.col("type")))
+    df = df.withColumn("_d", resolve_direction(F.col("_debit"), F.col("_credit"), F.coalesce("_amount", "_kwd"), F.col("indicator"), F.col("type"), F.col("credit_values") if "credit_values" in df.columns else None)).drop("credit_values")
     # rows without a date are no transactions; those without an amount either are no rows at all
     stated = F.coalesce("_debit", "_credit", "_amount").isNotNull()
     reason = F.when(F.col("posting_date").isNull(), "no_date").otherwise(F.col("_d.reason"))
@@ -148,6 +157,28 @@ def bank_labels(files: DataFrame, maps: DataFrame, parsed: DataFrame) -> DataFra
     return df.select("file_id", "filename", F.concat_ws(" ", "filename", "head").alias("label"), "party_banks")
 
 
+#: What a report says of rows that are no transactions.
+REASONS = {
+    "no_date": "row without a parsable date (subtotal/footer)", "both_sides": "row with both debit and credit amounts",
+    "no_amount": "row without a monetary amount (non-financial entry)", "no_direction": "row with no direction evidence",
+}
+NOTED_ROLES = ("date", "amount", "kwd", "debit", "credit", "indicator", "type", "balance", "account", "currency")
+
+
+def mapping_notes(maps: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(file_id, notes array<string>) of the sheets that were taken: where the header stands, the columns' roles, and the rows skipped by reason."""
+    taken = maps.join(parsed.select("file_id", "sheet").distinct(), ["file_id", "sheet"], "left_semi")
+    head = lambda i: F.trim(F.get("header", i))
+    roles = F.array(*[F.when(F.map_contains_key("roles", F.lit(r)), F.concat(F.lit(f"{r}="), head(F.element_at("roles", F.lit(r))))) for r in NOTED_ROLES])
+    told = F.concat(F.lit("narrative=["), F.array_join(F.transform("narratives", head), ", "), F.lit("]"))
+    columns = F.concat(F.lit("Column map: "), F.array_join(F.filter(F.concat(roles, F.array(F.when(F.size("narratives") > 0, told))), lambda x: x.isNotNull()), ", "))
+    found = taken.select("file_id", F.array_compact(F.array(F.when(F.col("header_index") > 0, F.concat(F.lit("Header detected on sheet row "), F.col("header_index") + 1, F.lit("."))), columns)).alias("_head"))
+    said = F.coalesce(*[F.when(F.col("reason") == k, v) for k, v in REASONS.items()], "reason")
+    skipped = F.concat(F.lit("Skipped "), "n", F.when(F.col("n") == 1, " row: ").otherwise(" rows: "), said, F.lit("."))
+    lines = skip_reasons(parsed).groupBy("file_id").agg(F.sort_array(F.collect_list(skipped)).alias("_skipped"))
+    return found.join(lines, "file_id", "left").select("file_id", F.concat("_head", F.coalesce("_skipped", F.array().cast("array<string>"))).alias("notes"))
+
+
 def skip_reasons(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("reason").isNotNull()).groupBy("file_id", "reason").agg(F.count(F.lit(1)).alias("n"))
 

@@ -13,12 +13,18 @@ from tallyrock.sources.shared import cut
 
 
 def ingest(rows: DataFrame, files: DataFrame, cases: DataFrame, supplied: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Statement rows of files (file_id, case_id, filename) to (ledger, file reports). ``supplied`` as in ``column_maps``."""
+    """Statement rows of files (file_id, case_id, filename) to (ledger, file reports).
+
+    ``supplied`` as in ``column_maps``; its bank_label, where it has one, names a file's bank.
+    """
     maps = cut(normalize.column_maps(normalize.find_header(rows), supplied), "column-maps")
     parsed = cut(normalize.best_sheet(normalize.parse_rows(rows, maps)), "ingest")
     good = parsed.where("reason is null").withColumn("account_id", F.col("account"))
     skipped = parsed.groupBy("file_id").agg(F.count_if(F.col("reason").isNull()).alias("rows_parsed"), F.count_if(F.col("reason").isNotNull()).alias("rows_skipped"))
     banks = normalize.infer_bank(normalize.bank_labels(files, maps, parsed))
+    if supplied is not None and "bank_label" in supplied.columns:
+        given = supplied.select("file_id", F.nullif(F.trim("bank_label"), F.lit("")).alias("_given"))
+        banks = banks.join(given, "file_id", "left").select("file_id", F.coalesce("_given", "bank").alias("bank"))
     txns = good.join(files.select("file_id", "case_id"), "file_id").join(banks, "file_id")
     txns = normalize.fill_account(normalize.suppress_self(txns, cases))
     txns = cut(txns.withColumn("id", F.xxhash64("file_id", "sheet", "row_index")), "ledger")
@@ -26,6 +32,7 @@ def ingest(rows: DataFrame, files: DataFrame, cases: DataFrame, supplied: DataFr
     side = lambda d: F.coalesce(netting.money(F.when(F.col("direction") == d, F.col("amount_kwd"))), F.lit(0.0))
     totals = txns.groupBy("file_id").agg(F.min("posting_date").alias("period_start"), F.max("posting_date").alias("period_end"), F.sort_array(F.collect_set("account_id")).alias("accounts"), side("credit").alias("total_credits"), side("debit").alias("total_debits"))
     report = skipped.join(quality.file_quality(skipped, balances, copies), "file_id").join(quality.file_issues(skipped, balances, copies), "file_id")
+    report = report.join(normalize.mapping_notes(maps, parsed), "file_id", "left")
     return txns, report.join(totals, "file_id", "left").join(banks, "file_id").join(files, "file_id")
 
 

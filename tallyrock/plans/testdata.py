@@ -201,3 +201,76 @@ dispositions AS (SELECT c_custkey AS id, c_custkey AS run_id, CASE WHEN c_custke
 def with_runs(sql: str) -> str:
     body = sql.strip()
     return "WITH " + LEDGER_SQL.strip() + ", " + RUNS_SQL.strip() + (", " + body[5:] if body.upper().startswith("WITH ") else "\n" + body)
+
+
+#: Banks of the statements by the ledger's last figure; the last is none that a name tells.
+STATEMENT_BANKS = ("boubyan", "nbk", "kfh", "gulf", "other")
+WIDE = 51
+
+
+def _places(amount: Column) -> Column:
+    return (F.floor(amount * 1000 + 0.5) / 1000).cast("decimal(20,3)")
+
+
+def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(statement, k, line): the ledger as bank statements of three layouts, line ``k`` of each.
+
+    Comma: debit and credit columns below a title. Semicolon: an indicator, and both amounts. Tab: signed amounts
+    behind 51 columns that say nothing. Every fiftieth row is followed by one without a date, every seventieth by one
+    that is no payment.
+    """
+    rows = ledger(spark, sf_dir).withColumn("layout", F.col("file_id") % 3)
+    bad = F.array(F.lit(0), F.when(F.col("id") % 50 == 0, 1), F.when(F.col("id") % 70 == 0, 2))
+    rows = rows.withColumn("bad", F.explode(F.array_compact(bad)))
+    bank = _pick(STATEMENT_BANKS, F.col("file_id") % 10)
+    heads = F.when(F.col("layout") == 0, 2).otherwise(1)
+    rows = rows.withColumn("statement", F.concat(bank, F.lit("-"), F.col("file_id").cast("string")))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("statement").orderBy("posting_date", "id", "bad")) - 1 + heads)
+    into, none, foreign = F.col("direction") == "credit", F.lit(""), F.col("currency") == "USD"
+    text = lambda c: F.coalesce(F.col(c), none)
+    money = _places(F.col("amount_kwd"))
+    grouped = F.concat(F.lit('"'), F.format_number(money, 3), F.lit('"'))
+    day = lambda f: F.when(F.col("bad") == 1, "n/a").otherwise(F.date_format("posting_date", f))
+    unpaid = F.col("bad") == 2
+    comma = F.concat_ws(",", day("dd/MM/yyyy"), text("narrative"), F.when(~into | unpaid, grouped).otherwise(none), F.when(into | unpaid, grouped).otherwise(none), "currency", "account_id", text("counterparty_name"), text("counterparty_bank"), text("counterparty_country"))
+    other = F.when(unpaid, "0").otherwise(F.when(foreign, _places(F.col("amount_kwd") / 0.307)).otherwise(money).cast("string"))
+    value = F.when(unpaid, "0").otherwise(money.cast("string"))
+    names = [F.when(into == side, text(c)).otherwise(none) for c in ("counterparty_name", "counterparty_bank", "counterparty_country") for side in (True, False)]
+    semicolon = F.concat_ws(";", day("yyyy-MM-dd"), F.when(into, "C").otherwise("D"), other, value, "currency", *names, text("narrative"), "account_id")
+    signed = F.when(unpaid, "0").otherwise(F.when(into, money.cast("string")).otherwise(F.concat(F.lit("("), money.cast("string"), F.lit(")"))))
+    tab = F.concat_ws("\t", day("dd MMM yyyy"), *[F.lit("-")] * WIDE, signed, "currency", text("narrative"), "account_id", text("counterparty_name"), text("counterparty_bank"), text("counterparty_country"))
+    body = rows.select("statement", "k", F.when(F.col("layout") == 0, comma).when(F.col("layout") == 1, semicolon).otherwise(tab).alias("line"))
+    first = {
+        0: ["Statement of account", "Posting Date,Description,Debit,Credit,Currency,Account No,Counterparty,Counterparty Bank,Counterparty Country"],
+        1: ["Txn Date;D/C;Amount;Amount KWD;CCY;Sender Name;Beneficiary Name;Sender Bank;Receiver Bank;Ordering Country;Benef Country;Details;Account Number"],
+        2: ["\t".join(["Transaction Date", *[f"X{k}" for k in range(WIDE)], "Amount", "Currency", "Remarks", "Account ID", "Payee", "Bank", "Country"])],
+    }
+    head = _pick(tuple("\n".join(first[k]) for k in range(3)), F.col("layout"))
+    heads = rows.select("statement", "layout").distinct().select("statement", F.posexplode(F.split(head, "\n")).alias("k", "line"))
+    return body.unionByName(heads)
+
+
+def write_statements(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """A file for each statement, its lines in order."""
+    lines = statement_lines(spark, sf_dir).repartition("statement").sortWithinPartitions("statement", "k")
+    lines.select("statement", "line").write.partitionBy("statement").text(path)
+
+
+_BANK_OF = "CASE " + " ".join(f"WHEN file_id % 10 = {k} THEN '{b}'" for k, b in enumerate(STATEMENT_BANKS)) + " END"
+STATEMENTS_SQL = f"""
+lines AS (
+  SELECT *, {_BANK_OF} || '-' || file_id AS statement, CAST(CAST(floor(amount_kwd * 1000 + 0.5) / 1000 AS DECIMAL(20,3)) AS DOUBLE) AS value,
+    CAST(CAST(floor(amount_kwd / 0.307 * 1000 + 0.5) / 1000 AS DECIMAL(20,3)) AS DOUBLE) AS usd,
+    row_number() OVER (PARTITION BY file_id ORDER BY posting_date, id, bad) - 1 + CASE WHEN file_id % 3 = 0 THEN 2 ELSE 1 END AS k
+  FROM (SELECT *, unnest(list_filter([0, CASE WHEN id % 50 = 0 THEN 1 END, CASE WHEN id % 70 = 0 THEN 2 END], lambda x: x IS NOT NULL)) AS bad FROM ledger)),
+statements AS (
+  SELECT l.*, CASE WHEN file_id % 3 = 1 AND currency = 'USD' THEN usd ELSE value END AS paid, CASE WHEN file_id % 3 <> 1 AND currency = 'USD' THEN value * 0.307::DOUBLE ELSE value END AS kwd,
+    CASE WHEN counterparty_name <> subject_name OR subject_name IS NULL THEN counterparty_name END AS party,
+    CASE file_id % 10 WHEN 0 THEN 'Boubyan Bank' WHEN 1 THEN 'National Bank of Kuwait' WHEN 2 THEN 'Kuwait Finance House' WHEN 3 THEN 'Gulf Bank' ELSE statement END AS label
+  FROM lines l LEFT JOIN cases USING (case_id))"""
+
+
+def with_statements(sql: str) -> str:
+    """A query over the view's tables and ``statements``, the rows that statements of it hold."""
+    body = sql.strip()
+    return "WITH " + LEDGER_SQL.strip() + "," + STATEMENTS_SQL + (", " + body[5:] if body.upper().startswith("WITH ") else "\n" + body)

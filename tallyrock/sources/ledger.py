@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyrock.sources.shared import cut
+
 SCHEMAS = {
     "ledger": "case_id long, id long, file_id long, bank string, account_id string, row_index int, posting_date date, direction string, amount double, amount_kwd double, currency string, channel string, counterparty_name string, counterparty_bank string, counterparty_country string, narrative string, running_balance double, is_internal_transfer boolean, internal_pair_id long, flags array<string>",
     "cases": "case_id long, subject_name string, declared_occupation string, income double, declared_business_activity string, expected_countries array<string>, notes string, status string",
@@ -29,17 +33,67 @@ def read_jdbc(spark: SparkSession, name: str, url: str, table: str, parts: int =
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted])
 
 
-def read_statement_rows(spark: SparkSession, path: str, width: int = 40) -> DataFrame:
-    """(file_id, sheet, row_index, cells, filename) of delimited exports; a file is one sheet.
+#: Signs that may part the cells of a line.
+SEPARATORS = (",", ";", "\t", "|")
+SEPARATOR_ROWS = 10
+
+
+def _cells(line: Column, sep: str) -> Column:
+    """Cells of a record; quoted ones may hold the separator, line ends and doubled quotes. Empty cells are null."""
+    part = re.escape(sep)
+    raw = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(f'{part}("[^"]*+(?:""[^"]*+)*+"|[^{part}]*)'), F.lit(1))
+    plain = lambda c: F.when(c.startswith('"') & (F.length(c) > 1), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
+    return F.transform(raw, lambda c: F.nullif(plain(c), F.lit("")))
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """``lines`` (path, block, at, value) with row_index, the line's place in its file: its place in its split and the lines of the splits before."""
+    splits = lines.groupBy("path", "block").agg(F.min("at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.withColumn("_before", F.coalesce(before, F.lit(0)))
+    return lines.join(splits, ["path", "block"]).select("path", "value", (F.col("at") - F.col("_first") + F.col("_before")).cast("int").alias("row_index"))
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """Lines whose quotes stay open joined with those that follow, as (path, row_index, value) of whole records.
+
+    Only files that have such a line are put in order for it.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = lines.withColumn("_quotes", quotes)
+    odd = cut(lines.where("_quotes % 2 = 1").select("path").distinct(), "statement-files")
+    if odd.isEmpty():
+        return lines.drop("_quotes")
+    order = Window.partitionBy("path").orderBy("row_index")
+    begins = (F.coalesce(F.sum("_quotes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2 == 0).cast("int")
+    some = lines.join(odd, "path", "left_semi").withColumn("_begins", begins).withColumn("_record", F.sum("_begins").over(order))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "value"))), lambda x: x["value"]), "\n")
+    joined = some.groupBy("path", "_record").agg(text.alias("value")).select("path", "value", (F.col("_record") - 1).cast("int").alias("row_index"))
+    return lines.join(odd, "path", "left_anti").select("path", "value", "row_index").unionByName(joined)
+
+
+def read_statement_rows(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """(file_id, sheet, row_index, cells, filename, path) of delimited exports with any number of columns; a file is one sheet.
 
-    ``file_id`` is a hash of the path. Rows keep the order of their file: each file is one split.
+    ``file_id`` is a hash of the path. Rows keep the order of their file, which may be read in
+    several splits. Without ``sep`` the separator is the sign that is most frequent in a file's
+    first rows. The name of a file that Spark wrote is that of its folder.
     """
-    schema = ", ".join(f"_c{k} string" for k in range(width))
-    rows = spark.read.schema(schema).option("multiLine", True).csv(path).select("*", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"))
-    cells = F.array(*[F.col(f"_c{k}") for k in range(width)])
-    first = rows.groupBy("path").agg(F.min("at").alias("first"))
-    named = rows.join(first, "path")
-    return named.select(F.xxhash64("path").alias("file_id"), F.lit("1").alias("sheet"), (F.col("at") - F.col("first")).cast("int").alias("row_index"), cells.alias("cells"), F.element_at(F.split("path", "/"), -1).alias("filename"))
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    rows = _records(_numbered(cut(read, "statement-lines")))
+    rows = rows.withColumn("value", F.when(F.col("row_index") == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")))
+    if sep is None:
+        bare = F.regexp_replace("value", '"[^"]*"', "")
+        count = lambda s: F.sum(F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit(""))))
+        most = F.greatest(*[F.struct(count(s).alias("n"), F.lit(-k).alias("k")) for k, s in enumerate(SEPARATORS)])
+        found = rows.where(F.col("row_index") < SEPARATOR_ROWS).groupBy("path").agg((-most["k"]).alias("_sep"))
+        cells = F.coalesce(*[F.when(F.col("_sep") == k, _cells(F.col("value"), s)) for k, s in enumerate(SEPARATORS)])
+        rows = rows.join(found, "path").withColumn("cells", cells)
+    else:
+        rows = rows.withColumn("cells", _cells(F.col("value"), sep))
+    steps = F.split("path", "/")
+    folder, name = F.regexp_extract(F.element_at(steps, -2), "([^=]*)$", 1), F.element_at(steps, -1)
+    return rows.select(F.xxhash64("path").alias("file_id"), F.lit("1").alias("sheet"), "row_index", "cells", F.when(name.startswith("part-"), folder).otherwise(name).alias("filename"), "path")
 
 
 def write_runs(runs: DataFrame, path: str) -> None:

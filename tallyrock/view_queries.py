@@ -208,10 +208,14 @@ P = {k: v.replace("'", "''") for k, v in PATTERNS.items()}
 _IS = lambda n: f"(t <> '' AND regexp_matches(t, '{P[n]}', 'i'))"
 
 
-@query(f"""WITH t AS (SELECT id, direction = 'credit' AS cr, counterparty_bank IS NOT NULL AS cp, lower(trim(coalesce(narrative, '') || ' ' || coalesce(channel, ''))) AS t FROM ledger)
-SELECT id, CASE WHEN cr AND {_IS('cash_deposit')} THEN 'cash_deposit' WHEN NOT cr AND {_IS('atm')} THEN 'cash_withdrawal' WHEN cr AND {_IS('salary')} THEN 'salary' WHEN NOT cr AND {_IS('pos')} THEN 'pos' WHEN {_IS('cheque')} THEN 'cheque'
+#: The channel of a row with cr (is a credit), cp (has a party) and t (its texts in lower case).
+CHANNEL = f"""CASE WHEN cr AND {_IS('cash_deposit')} THEN 'cash_deposit' WHEN NOT cr AND {_IS('atm')} THEN 'cash_withdrawal' WHEN cr AND {_IS('salary')} THEN 'salary' WHEN NOT cr AND {_IS('pos')} THEN 'pos' WHEN {_IS('cheque')} THEN 'cheque'
  WHEN {_IS('interest')} THEN 'interest' WHEN NOT cr AND {_IS('fee')} THEN 'fee' WHEN {_IS('transfer')} THEN CASE WHEN cr THEN 'transfer_in' ELSE 'transfer_out' END WHEN {_IS('cash')} THEN CASE WHEN cr THEN 'cash_deposit' ELSE 'cash_withdrawal' END
- WHEN cr AND NOT cp AND {_IS('deposit')} THEN 'cash_deposit' WHEN NOT cr AND NOT cp AND {_IS('withdrawal')} THEN 'cash_withdrawal' WHEN cp THEN CASE WHEN cr THEN 'transfer_in' ELSE 'transfer_out' END ELSE 'other' END AS channel FROM t""")
+ WHEN cr AND NOT cp AND {_IS('deposit')} THEN 'cash_deposit' WHEN NOT cr AND NOT cp AND {_IS('withdrawal')} THEN 'cash_withdrawal' WHEN cp THEN CASE WHEN cr THEN 'transfer_in' ELSE 'transfer_out' END ELSE 'other' END"""
+
+
+@query(f"""WITH t AS (SELECT id, direction = 'credit' AS cr, counterparty_bank IS NOT NULL AS cp, lower(trim(coalesce(narrative, '') || ' ' || coalesce(channel, ''))) AS t FROM ledger)
+SELECT id, {CHANNEL} AS channel FROM t""")
 def n9_classify_channel(spark, sf_dir):
     txns = td.ledger(spark, sf_dir)
     return txns.select("id", narrative.classify_channel(F.col("narrative"), F.col("channel"), F.col("direction"), F.col("counterparty_bank").isNotNull()).alias("channel"))
