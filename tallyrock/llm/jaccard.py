@@ -30,12 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyrock.llm.text import LOWER, LOWER_BYTES, UPPER, table
 from tallyrock.operators.components import connected_components
-from tallyrock.sources.shared import cut, drop_table
+from tallyrock.sources.shared import cut
 
 SHINGLE, PERCENT = 5, 80
 HOT, PART, LEADERS = 256, 1024, 2
@@ -43,6 +43,8 @@ HOT, PART, LEADERS = 256, 1024, 2
 BASE = 0xD1342543DE82EF95
 INVERSE = pow(BASE, -1, 1 << 64)
 SENT = 1 << 20
+#: Numbers of sets that are broadcast, 16 MB.
+BROADCAST = 1 << 20
 #: Bits of the narrowest and the widest bitmap, words of bitmaps that are compared at once, and sets of a tile that is compared together with others.
 NARROW, WIDE, AT_ONCE, FEW = 64, 1 << 15, 1 << 20, 128
 
@@ -110,22 +112,35 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def with_sets(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(_key, _id, high, low, n, first) of (_key, _id, _text): the digest of a set, its size and the least hashes in its first places."""
+    """(_key, _id, high, low, n, first, own, lower) of (_key, _id, _text).
+
+    The digest of a set, its size, the least hashes, as many as it has first places, and its bitmaps as
+    wide as its band of sizes and the one below ask for.
+    """
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_digest
 
+        ends = band_ends(percent)
         for frame in frames:
-            digests, sizes, firsts = [], [], []
+            digests, sizes, firsts, own, lower = [], [], [], [], []
             for text in frame["_text"]:
                 hashes = shingle_hashes(text, shingle)
                 digests.append(np.frombuffer(xxh3_128_digest(hashes.tobytes()), ">i8"))
                 sizes.append(len(hashes))
                 firsts.append(hashes[: first_places(len(hashes), percent)].view(np.int64))
+                band = max(0, bisect_right(ends, len(hashes)) - 1)
+                own.append(bitmap(hashes, bitmap_width(ends[band])))
+                lower.append(bitmap(hashes, bitmap_width(ends[max(0, band - 1)])))
             high, low = np.array(digests, dtype=np.int64).reshape(-1, 2).T
-            yield frame[["_key", "_id"]].assign(high=high, low=low, n=sizes, first=firsts)
+            yield frame[["_key", "_id"]].assign(high=high, low=low, n=sizes, first=firsts, own=own, lower=lower)
+
+    return rows.mapInPandas(of, f"_key long, _id {dict(rows.dtypes)['_id']}, high long, low long, n long, first array<long>, own binary, lower binary")
 
-    return rows.mapInPandas(of, f"_key long, _id {dict(rows.dtypes)['_id']}, high long, low long, n long, first array<long>")
+
+def some_texts(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``texts`` of ``nodes``, which are distinct and written; so few that each executor can hold them do not make texts move."""
+    return texts.join(F.broadcast(nodes) if nodes.count() <= BROADCAST else nodes, "node", "left_semi")
 
 
 def all_places(texts: DataFrame, shingle: int) -> DataFrame:
@@ -151,32 +166,36 @@ def all_places(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def ordered_places(sets: DataFrame, texts: DataFrame, shingle: int, percent: int, hot: int) -> DataFrame:
-    """(shingle, node, n): the first places of all sets, in an order that has hot shingles last. ``sets``: (node, n, first)."""
-    places = sets.select(F.explode("first").alias("shingle"), "node", "n")
-    often = cut(places.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > hot).select("shingle"), "jaccard-often")
+    """(shingle, node): the first places of all sets, in an order that has hot shingles last. ``sets``: (node, n, first).
+
+    Shingles are counted by half of their hash: which ones stand last is free, as long as it is the same for all sets.
+    """
+    places = sets.select(F.explode("first").alias("shingle"), "node")
+    half = (F.col("shingle").bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int").alias("half")
+    counted = lambda rows: rows.groupBy(half).agg(F.count(F.lit(1)).cast("int").alias("sets")).where(F.col("sets") > hot).select("half")
+    often = cut(counted(places), "jaccard-often")
     if often.isEmpty():
         return places
     # the texts of sets that have one are counted in full; sets with any such shingle in a first place are ordered anew
-    asked = places.join(often, "shingle", "left_semi").select("node").distinct()
-    counted = all_places(texts.join(asked, "node", "left_semi"), shingle).groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > hot)
-    last = cut(counted.select("shingle").union(often).distinct(), "jaccard-last")
-    moved = cut(places.join(last, "shingle", "left_semi").select("node").distinct(), "jaccard-moved")
-    whole = texts.join(moved, "node", "left_semi")
-    marks = all_places(whole, shingle).join(last, "shingle", "left_semi").groupBy("node").agg(F.collect_list("shingle").alias("last"))
+    having = lambda rows, halves: rows.withColumn("half", half).join(halves, "half", "left_semi")
+    asked = cut(having(places, often).select("node").distinct(), "jaccard-asked")
+    last = cut(counted(all_places(some_texts(texts, asked), shingle)).union(often).distinct(), "jaccard-last")
+    moved = cut(having(places, last).select("node").distinct(), "jaccard-moved")
+    whole = some_texts(texts, moved)
+    marks = having(all_places(whole, shingle), last).groupBy("node").agg(F.collect_list("shingle").alias("last"))
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            sizes, firsts = [], []
+            firsts = []
             for text, back in zip(frame["_text"], frame["last"], strict=True):
                 hashes = shingle_hashes(text, shingle)
                 late = np.isin(hashes, np.asarray(back, np.int64).view(np.uint64))
-                sizes.append(len(hashes))
                 firsts.append(np.concatenate((hashes[~late], hashes[late]))[: first_places(len(hashes), percent)].view(np.int64))
-            yield pd.DataFrame({"node": frame["node"], "n": sizes, "first": firsts})
+            yield pd.DataFrame({"node": frame["node"], "first": firsts})
 
-    anew = cut(whole.join(marks, "node").select("node", "_text", "last").mapInPandas(of, "node long, n long, first array<long>"), "jaccard-anew")
-    ordered = sets.select("node", "n", "first").join(moved, "node", "left_anti").union(anew)
-    return ordered.select(F.explode("first").alias("shingle"), "node", "n")
+    anew = cut(whole.join(marks, "node").select("node", "_text", "last").mapInPandas(of, "node long, first array<long>"), "jaccard-anew")
+    ordered = sets.select("node", "first").join(moved, "node", "left_anti").union(anew)
+    return ordered.select(F.explode("first").alias("shingle"), "node")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -194,11 +213,32 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
                 good.append(100 * both >= percent * (len(ours) + len(theirs) - both))
             yield frame.loc[np.array(good, bool), ["a", "b"]]
 
-    left = texts.select(F.col("node").alias("a"), F.col("_text").alias("_left"))
-    rows = pairs.join(left, "a").join(texts.withColumnRenamed("node", "b"), "b").select("a", "b", "_left", "_text")
+    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-nodes")
+    needed = some_texts(texts, nodes)
+    left = needed.select(F.col("node").alias("a"), F.col("_text").alias("_left"))
+    rows = pairs.join(left, "a").join(needed.withColumnRenamed("node", "b"), "b").select("a", "b", "_left", "_text")
     return cut(rows.mapInPandas(of, "a long, b long"), "jaccard-links")
 
 
+def within_bound(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of ``pairs`` whose bitmaps let them be alike."""
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = lambda x: int.from_bytes(x, "little")
+        for frame in frames:
+            good = []
+            for n, own, lower, m, other, below in zip(*(frame[c] for c in ("n", "own", "lower", "_n", "_own", "_lower")), strict=True):
+                # bitmaps of one width are those of one band or, for neighbours, of the lower one
+                x, y = (own, other) if len(own) == len(other) else (lower, other) if len(lower) == len(other) else (own, below)
+                bound = (n + m - (number(x) ^ number(y)).bit_count()) // 2 if len(x) == len(y) else min(n, m)
+                good.append((100 + percent) * bound >= percent * (n + m))
+            yield frame.loc[np.array(good, bool), ["a", "b"]]
+
+    a = sets.select(F.col("node").alias("a"), "n", "own", "lower")
+    b = sets.select(F.col("node").alias("b"), F.col("n").alias("_n"), F.col("own").alias("_own"), F.col("lower").alias("_lower"))
+    return pairs.join(a, "a").join(b, "b").mapInPandas(of, "a long, b long")
+
+
 def with_class(places: DataFrame, links: DataFrame | None) -> DataFrame:
     """(shingle, node, n, class) of the shingles whose sets are of several classes."""
     if links is None:
@@ -219,23 +259,6 @@ def leader_pairs(places: DataFrame, turn: int, percent: int) -> DataFrame:
     return best.select("_best.a", "b")
 
 
-def signed(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(node, own, lower): a set's bitmaps as wide as its band of sizes and the one below ask for."""
-
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ends = band_ends(percent)
-        for frame in frames:
-            own, lower = [], []
-            for text in frame["_text"]:
-                hashes = shingle_hashes(text, shingle)
-                band = bisect_right(ends, len(hashes)) - 1
-                own.append(bitmap(hashes, bitmap_width(ends[band])))
-                lower.append(bitmap(hashes, bitmap_width(ends[max(0, band - 1)])))
-            yield pd.DataFrame({"node": frame["node"], "own": own, "lower": lower})
-
-    return texts.mapInPandas(of, "node long, own binary, lower binary")
-
-
 def _may_be_alike(x: dict, i: np.ndarray, j: np.ndarray, bits_i: np.ndarray, bits_j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(which, bound) of the pairs of rows i and j whose overlap may be large enough."""
     apart = np.bitwise_count(bits_i ^ bits_j).sum(axis=-1, dtype=np.int64)
@@ -390,25 +413,24 @@ def tile_pairs(places: DataFrame, signatures: DataFrame, percent: int, part: int
     return dealt.mapInPandas(lambda frames: _pairs_of(frames, keys, percent, budget), "a long, b long, shingle long").distinct()
 
 
-def links_of(places: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, part: int = PART, leaders: int = LEADERS) -> DataFrame | None:
-    """(a, b): links between sets that connect each component; None if there is none. ``places``: (shingle, node, n)."""
-    twice = places.groupBy("shingle").agg(F.count(F.lit(1)).alias("_sets")).where("_sets > 1").select("shingle")
-    places = cut(places.join(twice, "shingle", "left_semi"), "jaccard-places")
+def links_of(places: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, part: int = PART, leaders: int = LEADERS) -> DataFrame:
+    """(a, b): links between sets that connect each component. ``places``: (shingle, node); ``sets``: (node, n, own, lower)."""
+    together = F.count(F.lit(1)).over(Window.partitionBy("shingle"))
+    places = places.withColumn("_sets", together).where("_sets > 1").drop("_sets")
+    places = cut(places.join(sets.select("node", "n"), "node"), "jaccard-places")
     links, left = None, places.withColumn("class", F.col("node"))
     for turn in range(leaders):
-        near = verified(leader_pairs(left, turn, percent), texts, shingle, percent)
+        near = verified(cut(within_bound(leader_pairs(left, turn, percent), sets, percent), "jaccard-pairs"), texts, shingle, percent)
         links = near if links is None else links.union(near)
-        before, left = left, cut(with_class(places, links), "jaccard-left")
-        if turn:
-            drop_table(before)
+        left = cut(with_class(places, links), "jaccard-left")
         if left.isEmpty():
             return links
-    signatures = cut(signed(texts.join(left.select("node").distinct(), "node", "left_semi"), shingle, percent), "jaccard-bitmaps")
+    signatures = sets.select("node", "own", "lower")
     tested, budget = None, 1
     while True:
         found = cut(tile_pairs(left, signatures, percent, part, budget), "jaccard-pairs")
-        pairs = found.where("a is not null").select("a", "b")
-        near = verified(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), texts, shingle, percent)
+        pairs = found.where("a is not null").select("a", "b").distinct()
+        near = verified(cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "jaccard-untested"), texts, shingle, percent)
         tested = pairs if tested is None else tested.union(pairs).distinct()
         links = near if links is None else links.union(near)
         more = found.where("shingle is not null").select("shingle").distinct()
@@ -423,8 +445,8 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text", s
     rows = cut(with_sets(keyed.select("_key", "_id", "_text"), shingle, percent), "jaccard-sets")
     sets = cut(rows.where("n > 0").groupBy("high", "low").agg(F.min("_key").alias("node"), F.min("_id").alias("least")), "jaccard-distinct")
     texts = keyed.select(F.col("_key").alias("node"), "_text")
-    once = rows.join(sets.select(F.col("node").alias("_key")), "_key", "left_semi").select(F.col("_key").alias("node"), "n", "first")
-    links = links_of(ordered_places(once, texts, shingle, percent, hot), texts, shingle, percent, part, leaders)
+    once = rows.join(sets.select(F.col("node").alias("_key")), "_key", "left_semi").select(F.col("_key").alias("node"), "n", "first", "own", "lower")
+    links = links_of(ordered_places(once, texts, shingle, percent, hot), once.drop("first"), texts, shingle, percent, part, leaders)
     classes = connected_components(links, "a", "b")
     classed = sets.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
     least = classed.groupBy("class").agg(F.min("least").alias("_least"))
