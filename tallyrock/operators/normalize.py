@@ -37,18 +37,22 @@ def column_maps(headers: DataFrame, supplied: DataFrame | None = None) -> DataFr
     without a date and an amount are left out. ``supplied`` may have credit_values array<string>: an
     indicator that is none of them then means a debit.
     """
-    table = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(ascii_edges(m)).alias("must"), F.lit(ascii_edges(a)).alias("also"), F.lit(n).alias("never")) for r, m, a, n in COLUMN_ROLES])
-    texts = F.transform("header", header_text)
-    places = F.sequence(F.lit(0), F.size("header") - 1)
-    none = F.create_map().cast("map<string,int>")
+    # files of one layout share their header; patterns are literal, so each is compiled once
+    known = headers.select("header").distinct().withColumn("_texts", F.transform("header", header_text))
+    places = F.when(F.size("header") > 0, F.sequence(F.lit(0), F.size("header") - 1)).otherwise(F.array().cast("array<int>"))
+
+    def fitting(must: str, also: str, never: str) -> Column:
+        fits = lambda h: (h != "") & h.rlike(ascii_edges(must)) & h.rlike(ascii_edges(also)) & ~h.rlike(never)
+        return F.filter("_places", lambda i: fits(F.get(F.col("_texts"), i)))
 
     def claim(taken: Column, role: Column) -> Column:
-        fits = lambda h: (h != "") & F.rlike(h, role["must"]) & F.rlike(h, role["also"]) & ~F.rlike(h, role["never"])
-        free = F.filter(F.col("_places"), lambda i: ~F.array_contains(F.map_values(taken), i) & fits(F.get(F.col("_texts"), i)))
-        return F.when(~F.map_contains_key(taken, role["role"]) & (F.size(free) > 0), F.map_concat(taken, F.create_map(role["role"], F.get(free, 0)))).otherwise(taken)
+        free = F.get(F.filter(role["fits"], lambda i: ~F.array_contains(F.map_values(taken), i)), 0)
+        return F.when(~F.map_contains_key(taken, role["role"]) & free.isNotNull(), F.map_concat(taken, F.create_map(role["role"], free))).otherwise(taken)
 
-    df = headers.withColumns({"_texts": texts, "_places": F.when(F.size("header") > 0, places).otherwise(F.array().cast("array<int>"))})
-    df = df.withColumn("roles", F.aggregate(table, none, claim))
+    fits = F.array(*[F.struct(F.lit(r).alias("role"), fitting(m, x, n).alias("fits")) for r, m, x, n in COLUMN_ROLES])
+    known = known.withColumn("_places", places).withColumn("_fits", fits)
+    known = cut(known.withColumn("roles", F.aggregate("_fits", F.create_map().cast("map<string,int>"), claim)).drop("_fits"), "headers")
+    df = headers.join(known, "header")
     if supplied is not None:
         df = df.join(supplied, "file_id", "left")
         at = lambda name: F.array_position(F.col("_texts"), header_text(name)).cast("int") - 1
