@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from tallyrock.operators.features import round3
 from tallyrock.operators.matching import greedy_match
+from tallyrock.operators.medians import exact_median
 from tallyrock.operators.netting import money
+from tallyrock.sources.shared import cut
 
 
 def severity(critical: Column, high: Column) -> Column:
@@ -51,17 +53,12 @@ def matched_ids(matches: DataFrame, most: int) -> DataFrame:
     return ranked.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), money(F.least("l_amount", "r_amount")).alias("v"), F.flatten(F.transform(pairs, lambda s: F.array(s["left"], s["right"]))).alias("ids"))
 
 
-def ids_by_value(value: str = "amount_kwd", most: int = 30) -> Column:
-    """Transaction ids, the largest first."""
-    return F.slice(F.transform(F.array_sort(F.collect_list(F.struct((-F.col(value)).alias("v"), "id"))), lambda s: s["id"]), 1, most)
-
-
 def amount_outliers(ext: DataFrame) -> DataFrame:
     """Modified z-score of 4 or more among at least six rows of a bank and direction, 500 or more; the twelve strongest."""
     key = ["case_id", "bank", "direction"]
-    mid = ext.groupBy(*key).agg(F.median("amount_kwd").alias("mid"), F.count(F.lit(1)).alias("n")).where("n >= 6")
+    mid = exact_median(ext, key, "amount_kwd", least=6).withColumnRenamed("median", "mid")
     rows = ext.join(mid, key).withColumn("off", F.abs(F.col("amount_kwd") - F.col("mid")))
-    mad = rows.groupBy(*key).agg(F.median("off").alias("mad")).where("mad > 0")
+    mad = exact_median(rows, key, "off").withColumnRenamed("median", "mad").drop("n").where("mad > 0")
     rows = rows.join(mad, key).withColumn("z", 0.6745 * F.col("off") / F.col("mad")).where("z >= 4 and amount_kwd >= 500")
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("z"), "id"))).where("r <= 12")
     top = ranked.groupBy("case_id").agg(F.max("z").alias("z"), F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda s: s["id"]).alias("ids"))
@@ -84,12 +81,14 @@ def behaviour_change(ext: DataFrame) -> DataFrame:
 
 
 def concentration(clustered: DataFrame) -> DataFrame:
-    """Concentration of a direction with three parties and 3000 or more; the more concentrated direction."""
-    by = clustered.where("cluster is not null").groupBy("case_id", "direction", "cluster").agg(money("amount_kwd").alias("v"), ids_by_value(most=20).alias("ids"))
+    """Concentration of a direction with three parties and 3000 or more; the more concentrated direction. Ids: its largest party's 20 largest."""
+    named = clustered.where("cluster is not null")
+    by = named.groupBy("case_id", "direction", "cluster").agg(money("amount_kwd").alias("v"))
     by = by.withColumn("total", F.sum("v").over(Window.partitionBy("case_id", "direction"))).withColumn("p", F.col("v") / F.col("total"))
-    sides = by.groupBy("case_id", "direction").agg(F.count(F.lit(1)).alias("n"), F.first("total").alias("total"), F.sum(F.col("p") * F.col("p")).alias("hhi"), F.max("p").alias("top"), F.max_by("ids", F.struct("v", "cluster")).alias("ids")).where("n >= 3 and total >= 3000")
+    sides = by.groupBy("case_id", "direction").agg(F.count(F.lit(1)).alias("n"), F.first("total").alias("total"), F.sum(F.col("p") * F.col("p")).alias("hhi"), F.max("p").alias("top"), F.max_by("cluster", F.struct("v", "cluster")).alias("cluster")).where("n >= 3 and total >= 3000")
     best = sides.withColumn("r", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc(F.greatest("hhi", "top")), "direction"))).where("r = 1 and (hhi >= 0.35 or top >= 0.5)")
-    return finding(best, "TECH-NET-01", (F.col("top") >= 0.75) & (F.col("total") >= 10000), F.col("hhi") >= 0.5, F.col("hhi"), "ids")
+    ids = largest_ids(named.join(best.select("case_id", "direction", "cluster"), ["case_id", "direction", "cluster"], "left_semi"), 20)
+    return finding(best.join(ids, "case_id"), "TECH-NET-01", (F.col("top") >= 0.75) & (F.col("total") >= 10000), F.col("hhi") >= 0.5, F.col("hhi"), "ids")
 
 
 def _near(ext: DataFrame, left: Column, right: Column, first_day: int, last_day: int, share: float, cross_bank: bool) -> DataFrame:
@@ -124,44 +123,48 @@ def funnel(clustered: DataFrame) -> DataFrame:
     return finding(df, "TECH-NET-02", (F.col("fan_in") >= 30) & (F.col("top_share") >= 0.7), (F.col("fan_in") >= 15) & (F.col("top_share") >= 0.5), F.col("fan_in"), "ids")
 
 
-def _loops_of(frame):
-    """Pairs of one unordered account pair by date: each takes the first later free one back, within 30 days and 10 %."""
-    rows = frame.sort_values(["debit_date", "pair_id"], kind="stable").to_dict("records")
-    used: set = set()
-    out = []
-    for i, a in enumerate(rows):
-        if a["pair_id"] in used:
-            continue
-        for b in rows[i + 1 :]:
-            days = (b["debit_date"] - a["debit_date"]).days
-            if days > 30:
-                break
-            big = max(a["amount_kwd"], b["amount_kwd"])
-            if b["pair_id"] not in used and a["src"] == b["dst"] and a["dst"] == b["src"] and days > 0 and abs(a["amount_kwd"] - b["amount_kwd"]) / big <= 0.1:
-                used |= {a["pair_id"], b["pair_id"]}
-                out.append((a["case_id"], min(a["amount_kwd"], b["amount_kwd"]), [a["debit_id"], a["credit_id"], b["debit_id"], b["credit_id"]]))
-                break
-    import pandas as pd
-
-    return pd.DataFrame(out, columns=["case_id", "v", "ids"])
+#: Days within which money comes back, the variance it may have, and the loops whose four ids are shown.
+LOOP_DAYS, LOOP_SHARE, LOOPS_SHOWN = 30, 0.1, 8
 
 
-def return_loops(txns: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Own transfers that come back to the account they left, 3000 or more."""
+def loop_edges(txns: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(case_id, left, l_date, right, r_date, amount, ids): pairs and those that later go back, joined by accounts, month and amount bucket."""
     account = F.concat_ws("|", "bank", "account_id")
     at = txns.select("case_id", "id", account.alias("account"))
     df = pairs.select("case_id", "pair_id", "debit_id", "credit_id", "amount_kwd", "debit_date")
     df = df.join(at.select("case_id", F.col("id").alias("debit_id"), F.col("account").alias("src")), ["case_id", "debit_id"]).join(at.select("case_id", F.col("id").alias("credit_id"), F.col("account").alias("dst")), ["case_id", "credit_id"])
-    df = df.where("src <> dst").withColumns({"lo": F.least("src", "dst"), "hi": F.greatest("src", "dst")})
-    loops = df.groupBy("case_id", "lo", "hi").applyInPandas(_loops_of, "case_id long, v double, ids array<bigint>")
-    found = loops.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), money("v").alias("v"), F.slice(F.flatten(F.array_sort(F.collect_list("ids"))), 1, 30).alias("ids"))
+    span = F.floor(F.datediff("debit_date", F.lit("1970-01-01").cast("date")) / LOOP_DAYS)
+    # amounts within the variance lie in one bucket or in neighbours
+    bucket = F.floor(F.log("amount_kwd") / F.log(F.lit(1.001 / (1 - LOOP_SHARE))))
+    df = cut(df.where("src <> dst").withColumns({"span": span, "bucket": bucket, "ids": F.array("debit_id", "credit_id")}), "own-moves")
+    a = df.select("case_id", "src", "dst", F.col("pair_id").alias("left"), F.col("debit_date").alias("l_date"), F.col("amount_kwd").alias("x"), F.col("ids").alias("l_ids"), F.explode(F.array("span", F.col("span") + 1)).alias("span"), "bucket")
+    a = a.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, "bucket", F.col("bucket") + 1)))
+    b = df.select("case_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "span", "bucket", F.col("pair_id").alias("right"), F.col("debit_date").alias("r_date"), F.col("amount_kwd").alias("y"), F.col("ids").alias("r_ids"))
+    days = F.datediff("r_date", "l_date")
+    both = a.join(b, ["case_id", "src", "dst", "span", "bucket"]).where(days.between(1, LOOP_DAYS) & (F.abs(F.col("x") - F.col("y")) / F.greatest("x", "y") <= LOOP_SHARE))
+    return both.select("case_id", "left", "l_date", "right", "r_date", F.least("x", "y").alias("amount"), F.concat("l_ids", "r_ids").alias("ids"))
+
+
+def return_loops(txns: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Own transfers that come back to the account they left within 30 days and 10 %, 3000 or more; each transfer in one loop.
+
+    By date each takes the first later one back that is free. Ids: those of the first loops by date.
+    """
+    got = greedy_match(loop_edges(txns, pairs), "case_id", ["l_date", "left"], ["r_date", "right"], shared=True)
+    ranked = got.withColumn("r", F.row_number().over(Window.partitionBy("case_id").orderBy("l_date", "left"))).withColumn("shown", F.when(F.col("r") <= LOOPS_SHOWN, F.struct("r", "ids")))
+    ids = F.slice(F.flatten(F.transform(F.array_sort(F.collect_list("shown")), lambda s: s["ids"])), 1, 30)
+    found = ranked.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), money("amount").alias("v"), ids.alias("ids"))
     return finding(found.where("v >= 3000"), "TECH-NET-03", (F.col("n") >= 4) | (F.col("v") >= 50000), (F.col("n") >= 2) | (F.col("v") >= 15000), F.col("n"), "ids")
 
 
 def bridging(clustered: DataFrame) -> DataFrame:
-    """Parties with 1000 or more at two banks or more."""
-    by = clustered.where("cluster is not null").groupBy("case_id", "cluster").agg(F.count_distinct("bank").alias("banks"), money("amount_kwd").alias("v"), ids_by_value().alias("ids")).where("banks >= 2 and v >= 1000")
-    df = by.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.max("banks").alias("banks"), money("v").alias("v"), F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("v")).alias("v"), "cluster", "ids"))), lambda s: s["ids"])), 1, 30).alias("ids"))
+    """Parties with 1000 or more at two banks or more. Ids: the largest party's rows by amount, then the next one's, up to 30."""
+    named = clustered.where("cluster is not null")
+    by = named.groupBy("case_id", "cluster").agg(F.count_distinct("bank").alias("banks"), money("amount_kwd").alias("v")).where("banks >= 2 and v >= 1000")
+    w = Window.partitionBy("case_id").orderBy(F.desc("v"), "cluster", F.desc("amount_kwd"), "id")
+    shown = named.select("case_id", "cluster", "id", "amount_kwd").join(by.select("case_id", "cluster", "v"), ["case_id", "cluster"]).withColumn("r", F.row_number().over(w)).where("r <= 30")
+    ids = shown.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda s: s["id"]).alias("ids"))
+    df = by.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.max("banks").alias("banks"), money("v").alias("v")).join(ids, "case_id")
     return finding(df, "TECH-XB-01", (F.col("banks") >= 3) | (F.col("v") >= 20000), (F.col("n") >= 2) | (F.col("v") >= 8000), F.col("n"), "ids")
 
 
@@ -223,8 +226,8 @@ def gates(clustered: DataFrame, cases: DataFrame, loops: DataFrame | None = None
     """
     ext, named = clustered, clustered.where("cluster is not null")
     group = ["case_id", "bank", "direction"]
-    mid = ext.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.median("amount_kwd").alias("mid")).where("n >= 6").drop("n")
-    spread = ext.join(mid, group).groupBy(*group).agg(F.median(F.abs(F.col("amount_kwd") - F.col("mid"))).alias("mad"))
+    mid = exact_median(ext, group, "amount_kwd", least=6).withColumnRenamed("median", "mid").drop("n")
+    spread = exact_median(ext.join(mid, group).withColumn("off", F.abs(F.col("amount_kwd") - F.col("mid"))), group, "off").withColumnRenamed("median", "mad").drop("n")
     peers = spread.where("mad > 0").groupBy("case_id").agg(F.count(F.lit(1)).alias("peers"))
     counted = lambda cond, name: F.count_if(F.expr(cond)).alias(name)
     base = ext.groupBy("case_id").agg(

@@ -59,11 +59,15 @@ def network_nodes(clustered: DataFrame, flags: Column | None = None) -> DataFram
     sides = lambda node, credit: ends.where(F.col(node).isNotNull()).select("case_id", F.col(node).alias("node"), (F.col("direction") == credit).alias("in_"), "amount_kwd", "id", "flagged", "counterparty_country", "account_id")
     rows = sides("account", "credit").unionByName(sides("other", "debit"))
     kind = F.when(F.col("node") == "cash", "cash").when(F.col("node").startswith("acct|"), "account").otherwise("counterparty")
+    # ranked before they are collected, so no node's rows are all held
+    few = rows.where("flagged").select("case_id", "node", "id").withColumn("r", F.row_number().over(Window.partitionBy("case_id", "node").orderBy("id"))).where("r <= 8")
+    ids = few.groupBy("case_id", "node").agg(F.sort_array(F.collect_list("id")).alias("flagged_ids"))
     out = rows.groupBy("case_id", "node").agg(
         F.coalesce(money(F.when(F.col("in_"), F.col("amount_kwd"))), F.lit(0.0)).alias("inflow"), F.coalesce(money(F.when(~F.col("in_"), F.col("amount_kwd"))), F.lit(0.0)).alias("outflow"),
-        F.count(F.lit(1)).alias("n"), F.count_if("flagged").alias("flagged"), F.slice(F.array_sort(F.collect_list(F.when(F.col("flagged"), F.col("id")))), 1, 8).alias("flagged_ids"),
+        F.count(F.lit(1)).alias("n"), F.count_if("flagged").alias("flagged"),
         F.min_by("counterparty_country", F.when(F.col("counterparty_country").isNotNull(), F.col("id"))).alias("country"), F.first("account_id").alias("account_id"),
     )
+    out = out.join(ids, ["case_id", "node"], "left").withColumn("flagged_ids", F.coalesce("flagged_ids", F.array().cast("array<bigint>")))
     digits = F.regexp_replace(F.coalesce("account_id", F.lit("")), "[^0-9]", "")
     return out.withColumns({"kind": kind, "tail": F.when(kind == "account", F.right(digits, F.lit(4))), "country": F.when(kind == "counterparty", F.col("country"))}).drop("account_id")
 

@@ -90,12 +90,72 @@ def test_greedy_match_against_one_pass(spark):
                 if b not in taken and (g, a) not in {(x, y) for x, y, _ in expected}:
                     taken.add(b)
                     expected.add((g, a, b))
-    # one task a group; rounds over the cluster for groups that are too large for one
+    # whole groups; groups taken apart into components
     for most in (1000, 10):
         got = matching.greedy_match(df.repartition(7), "g", ["left"], ["p", "right"], most=most)
         assert {(x["g"], x["left"], x["right"]) for x in got.collect()} == expected
 
 
+def test_greedy_match_of_one_kind_and_long_chains(spark):
+    import random
+
+    r = random.Random(8)
+    edges = sorted({(min(a, b), max(a, b)) for a, b in ((r.randrange(30), r.randrange(30)) for _ in range(90)) if a != b})
+    used, expected = set(), set()
+    for a, b in edges:
+        if a not in used and b not in used:
+            used |= {a, b}
+            expected.add((a, b))
+    df = spark.createDataFrame([(1, a, b) for a, b in edges], "g long, left long, right long")
+    for most in (1000, 10):
+        got = matching.greedy_match(df.repartition(5), "g", ["left"], ["right"], most=most, shared=True)
+        assert {(x["left"], x["right"]) for x in got.collect()} == expected
+    # equal amounts on many days: each left may take the next four rights, and gets its own
+    n = 100_000
+    chain = spark.range(n).selectExpr("1L as g", "id as left", "explode(sequence(id, id + 3)) as right")
+    for most in (1 << 30, 1000):
+        got = matching.greedy_match(chain, "g", ["left"], ["right"], most=most)
+        assert got.count() == n and got.where("left <> right").isEmpty()
+
+
+def test_exact_medians_of_large_groups(spark):
+    import random
+    import statistics
+
+    from tallyrock.operators.medians import exact_median
+
+    r = random.Random(2)
+    groups = {"a": [r.lognormvariate(3, 2) for _ in range(1001)], "b": [r.random() for _ in range(500)], "c": [5.0] * 300, "d": [1.0, 2.0], "e": [1.0] * 50 + [1e9] * 50, "f": [3.0]}
+    rows = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in [*vs, None]], "g string, v double").repartition(6)
+    for most, ranges in ((1 << 20, 1024), (20, 4)):
+        got = {x["g"]: (x["median"], x["n"]) for x in exact_median(rows, ["g"], "v", least=2, most=most, ranges=ranges).collect()}
+        assert got == {g: (statistics.median(vs), len(vs)) for g, vs in groups.items() if g != "f"}
+
+
+def test_return_loops_against_one_pass(spark):
+    import random
+
+    r = random.Random(6)
+    moves = [(k, r.choice("AB"), dt.date(2026, 1, 1) + dt.timedelta(r.randrange(70)), r.choice((5000.0, 5300.0, 4600.0, 6000.0))) for k in range(60)]
+    rows, pairs = [], []
+    for k, source, day, amount in moves:
+        other = "B" if source == "A" else "A"
+        rows += [(source, "1", day.isoformat(), "debit", amount, None), (other, "1", day.isoformat(), "credit", amount, None)]
+        pairs.append((1, k, 2 * k + 1, 2 * k + 2, amount, day))
+    used, ids, value = set(), [], 0.0
+    ordered = sorted(moves, key=lambda m: (m[2], m[0]))
+    for i, a in enumerate(ordered):
+        for b in ordered[i + 1 :]:
+            if a[0] not in used and b[0] not in used and a[1] != b[1] and 0 < (b[2] - a[2]).days <= 30 and abs(a[3] - b[3]) / max(a[3], b[3]) <= 0.1:
+                used |= {a[0], b[0]}
+                ids += [2 * a[0] + 1, 2 * a[0] + 2, 2 * b[0] + 1, 2 * b[0] + 2]
+                value += min(a[3], b[3])
+                break
+    known = spark.createDataFrame(pairs, "case_id long, pair_id long, debit_id long, credit_id long, amount_kwd double, debit_date date")
+    loop = forensics.return_loops(ledger(spark, rows), known).first()
+    assert (loop["metric"], loop["txn_ids"]) == (len(used) / 2, ids[:30])
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7), (200, None)]
     # one task, and rounds over the cluster
