@@ -158,15 +158,24 @@ ledger AS (
     case_id * 10 + CAST(substr(bank, 6, 1) AS BIGINT) AS file_id, CASE WHEN id % 13 = 0 THEN 'USD' ELSE 'KWD' END AS currency FROM placed),
 pairs AS (
   SELECT c.case_id, d.id AS debit_id, c.id AS credit_id, d.amount_kwd, d.bank AS from_bank, c.bank AS to_bank, d.posting_date AS debit_date, c.posting_date AS credit_date
-  FROM ledger c JOIN ledger d ON d.id = c.id - 500 AND d.case_id = c.case_id AND d.direction = 'debit' WHERE c.direction = 'credit' AND c.id % 1000 > 500),
-ext AS (SELECT * FROM ledger WHERE id NOT IN (SELECT debit_id FROM pairs) AND id NOT IN (SELECT credit_id FROM pairs)),
+  FROM (SELECT *, id - 500 AS mirrored FROM ledger WHERE direction = 'credit' AND id % 1000 > 500) c JOIN (SELECT * FROM ledger WHERE direction = 'debit') d ON d.id = c.mirrored AND d.case_id = c.case_id),
+legs AS (SELECT debit_id AS id FROM pairs UNION ALL SELECT credit_id FROM pairs),
+ext AS (SELECT * FROM ledger ANTI JOIN legs USING (id)),
 cases AS (SELECT c_custkey // 15 AS case_id, min(c_name) AS subject_name, CASE WHEN c_custkey // 15 % 7 <> 0 THEN CAST(800 + (c_custkey // 15 % 10) * 150 AS DOUBLE) END AS income FROM customer GROUP BY c_custkey // 15)"""
 
 
+def _over(tables: str, sql: str) -> str:
+    """``sql``, which may have a WITH of its own, over more common tables."""
+    body = sql.strip()
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return start + tables.strip() + ", " + body[len(start) :]
+    return "WITH " + tables.strip() + "\n" + body
+
+
 def with_ledger(sql: str) -> str:
     """A query over the view's tables ledger, pairs, ext and cases."""
-    body = sql.strip()
-    return "WITH " + LEDGER_SQL.strip() + (", " + body[5:] if body.upper().startswith("WITH ") else "\n" + body)
+    return _over(LEDGER_SQL, sql)
 
 
 RULE_IDS = ("R-GEO-01", "R-VEL-01", "R-CASH-01")
@@ -199,8 +208,7 @@ dispositions AS (SELECT c_custkey AS id, c_custkey AS run_id, CASE WHEN c_custke
 
 
 def with_runs(sql: str) -> str:
-    body = sql.strip()
-    return "WITH " + LEDGER_SQL.strip() + ", " + RUNS_SQL.strip() + (", " + body[5:] if body.upper().startswith("WITH ") else "\n" + body)
+    return _over(LEDGER_SQL.strip() + ", " + RUNS_SQL.strip(), sql)
 
 
 #: Banks of the statements by the ledger's last figure; the last is none that a name tells.
@@ -272,5 +280,4 @@ statements AS (
 
 def with_statements(sql: str) -> str:
     """A query over the view's tables and ``statements``, the rows that statements of it hold."""
-    body = sql.strip()
-    return "WITH " + LEDGER_SQL.strip() + "," + STATEMENTS_SQL + (", " + body[5:] if body.upper().startswith("WITH ") else "\n" + body)
+    return _over(LEDGER_SQL.strip() + "," + STATEMENTS_SQL, sql)

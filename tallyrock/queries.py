@@ -247,12 +247,6 @@ def f19_month_break(spark, sf_dir):
     return ft.month_break(parts(spark, sf_dir)[2])
 
 
-@query()
-def f20_f22_parties(spark, sf_dir):
-    ext = parts(spark, sf_dir)[2]
-    return ft.party_sums(ft.with_cluster(ext, ft.resolve(ft.identities(ext))))
-
-
 # The minimum slice: four rules on the sums' features, and their score.
 SLICE = f"""WITH {SUM_CTE}, f AS ({SUM_FEATURES}), w AS (SELECT s.case_id, n_near, n_round, credits, max(CASE WHEN key = 'near_threshold_density' AND zone <> 'gated' THEN value END) AS near, max(CASE WHEN key = 'pass_through_ratio' THEN value END) AS flow,
  max(CASE WHEN key = 'pass_through_ratio' THEN zone END) AS flow_zone, max(CASE WHEN key = 'round_number_share' AND zone <> 'gated' THEN value END) AS rounds, max(CASE WHEN key = 'benford_mad' AND zone <> 'gated' THEN value END) AS benford FROM s JOIN f USING (case_id) GROUP BY ALL),
