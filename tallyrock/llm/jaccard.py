@@ -11,7 +11,7 @@ hashes of all shingles.
 Only components are asked for, so pairs whose sets are in one class already need no test. In ``LEADERS`` rounds each set
 is tested against the leader it meets in most tiles, one pair a set. What still meets in tiles of
 several classes is compared in full: every two classes of a tile test their best pairs first, in
-later rounds four times as many, until all pairs within the bound are tested or in one class.
+later rounds sixteen times as many, until all pairs within the bound are tested or in one class.
 
 Shingles in the first places of more than ``HOT`` sets are counted over all sets that have one, and stand last in the
 order, so a passage that many texts share makes no tile of them unless it is most of each. A
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyrock.llm.text import LOWER, LOWER_BYTES, UPPER, table
@@ -38,13 +38,13 @@ from tallyrock.operators.components import connected_components
 from tallyrock.sources.shared import cut
 
 SHINGLE, PERCENT = 5, 80
-HOT, PART, LEADERS = 256, 1024, 2
+HOT, PART, LEADERS, MORE = 256, 1024, 2, 16
 #: An odd multiplier of rolling sums, its inverse modulo 2^64, and shingles that a task passes on at once.
 BASE = 0xD1342543DE82EF95
 INVERSE = pow(BASE, -1, 1 << 64)
 SENT = 1 << 20
-#: Numbers of sets that are broadcast, 16 MB.
-BROADCAST = 1 << 20
+#: Numbers of sets that are broadcast, 16 MB, and halves of hot hashes that tasks are given, 512 KB.
+BROADCAST, GIVEN = 1 << 20, 1 << 17
 #: Bits of the narrowest and the widest bitmap, words of bitmaps that are compared at once, and sets of a tile that is compared together with others.
 NARROW, WIDE, AT_ONCE, FEW = 64, 1 << 15, 1 << 20, 128
 
@@ -165,36 +165,71 @@ def all_places(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInPandas(of, "shingle long, node long")
 
 
-def ordered_places(sets: DataFrame, texts: DataFrame, shingle: int, percent: int, hot: int) -> DataFrame:
-    """(shingle, node): the first places of all sets, in an order that has hot shingles last. ``sets``: (node, n, first).
+def _half(shingle: Column) -> Column:
+    return (shingle.bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int").alias("half")
+
+
+def _halves(hashes: np.ndarray) -> np.ndarray:
+    """The same numbers as ``_half`` gives."""
+    return ((hashes & np.uint64((1 << 32) - 1)).astype(np.int64) - (1 << 31)).astype(np.int32)
+
+
+def _given(halves: DataFrame) -> np.ndarray | None:
+    """``halves`` as an array, if they are few."""
+    return np.array([r["half"] for r in halves.collect()], np.int32) if halves.count() <= GIVEN else None
+
+
+def having_any(sets: DataFrame, halves: DataFrame) -> DataFrame:
+    """(node) of the sets with one of ``halves`` in a first place."""
+    given = _given(halves)
+    if given is None:
+        places = sets.select(F.explode("first").alias("shingle"), "node").withColumn("half", _half(F.col("shingle")))
+        return places.join(halves, "half", "left_semi").select("node").distinct()
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            firsts = [np.asarray(f, np.int64).view(np.uint64) for f in frame["first"]]
+            hit = np.isin(_halves(np.concatenate([*firsts, np.empty(0, np.uint64)])), given)
+            ends = np.cumsum([0, *map(len, firsts)])
+            before = np.concatenate(([0], np.cumsum(hit)))
+            yield frame.loc[before[ends[1:]] > before[ends[:-1]], ["node"]]
+
+    return sets.select("node", "first").mapInPandas(of, "node long")
 
-    Shingles are counted by half of their hash: which ones stand last is free, as long as it is the same for all sets.
-    """
-    places = sets.select(F.explode("first").alias("shingle"), "node")
-    half = (F.col("shingle").bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int").alias("half")
-    counted = lambda rows: rows.groupBy(half).agg(F.count(F.lit(1)).cast("int").alias("sets")).where(F.col("sets") > hot).select("half")
-    often = cut(counted(places), "jaccard-often")
-    if often.isEmpty():
-        return places
-    # the texts of sets that have one are counted in full; sets with any such shingle in a first place are ordered anew
-    having = lambda rows, halves: rows.withColumn("half", half).join(halves, "half", "left_semi")
-    asked = cut(having(places, often).select("node").distinct(), "jaccard-asked")
-    last = cut(counted(all_places(some_texts(texts, asked), shingle)).union(often).distinct(), "jaccard-last")
-    moved = cut(having(places, last).select("node").distinct(), "jaccard-moved")
-    whole = some_texts(texts, moved)
-    marks = having(all_places(whole, shingle), last).groupBy("node").agg(F.collect_list("shingle").alias("last"))
+
+def _anew(whole: DataFrame, halves: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, first) of (node, _text): first places with the shingles of ``halves`` last."""
+    given = _given(halves)
+    if given is None:
+        marks = all_places(whole, shingle).withColumn("half", _half(F.col("shingle"))).join(halves, "half", "left_semi")
+        whole = whole.join(marks.groupBy("node").agg(F.collect_list("half").alias("last")), "node")
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             firsts = []
-            for text, back in zip(frame["_text"], frame["last"], strict=True):
+            for text, last in zip(frame["_text"], [given] * len(frame) if given is not None else frame["last"], strict=True):
                 hashes = shingle_hashes(text, shingle)
-                late = np.isin(hashes, np.asarray(back, np.int64).view(np.uint64))
+                late = np.isin(_halves(hashes), np.asarray(last, np.int32))
                 firsts.append(np.concatenate((hashes[~late], hashes[late]))[: first_places(len(hashes), percent)].view(np.int64))
             yield pd.DataFrame({"node": frame["node"], "first": firsts})
 
-    anew = cut(whole.join(marks, "node").select("node", "_text", "last").mapInPandas(of, "node long, first array<long>"), "jaccard-anew")
-    ordered = sets.select("node", "first").join(moved, "node", "left_anti").union(anew)
+    return whole.mapInPandas(of, "node long, first array<long>")
+
+
+def ordered_places(sets: DataFrame, texts: DataFrame, shingle: int, percent: int, hot: int) -> DataFrame:
+    """(shingle, node): the first places of all sets, in an order that has hot shingles last. ``sets``: (node, n, first).
+
+    Shingles are counted by half of their hash: which ones stand last is free, as long as it is the same for all sets.
+    """
+    counted = lambda rows: rows.groupBy(_half(F.col("shingle"))).agg(F.count(F.lit(1)).cast("int").alias("sets")).where(F.col("sets") > hot).select("half")
+    often = cut(counted(sets.select(F.explode("first").alias("shingle"))), "jaccard-often")
+    ordered = sets.select("node", "first")
+    if not often.isEmpty():
+        # the texts of sets that have one are counted in full; sets with any such shingle in a first place are ordered anew
+        asked = cut(having_any(sets, often), "jaccard-asked")
+        last = cut(counted(all_places(some_texts(texts, asked), shingle)).union(often).distinct(), "jaccard-last")
+        moved = cut(having_any(sets, last), "jaccard-moved")
+        ordered = ordered.join(moved, "node", "left_anti").union(cut(_anew(some_texts(texts, moved), last, shingle, percent), "jaccard-anew"))
     return ordered.select(F.explode("first").alias("shingle"), "node")
 
 
@@ -436,7 +471,7 @@ def links_of(places: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int
         more = found.where("shingle is not null").select("shingle").distinct()
         if more.isEmpty():
             return links
-        left, budget = cut(with_class(left.join(more, "shingle", "left_semi").select("shingle", "node", "n"), links), "jaccard-left"), budget * 4
+        left, budget = cut(with_class(left.join(more, "shingle", "left_semi").select("shingle", "node", "n"), links), "jaccard-left"), budget * MORE
 
 
 def components_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, hot: int = HOT, part: int = PART, leaders: int = LEADERS) -> DataFrame:

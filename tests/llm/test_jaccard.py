@@ -56,10 +56,12 @@ def test_edited_copies_and_odd_rows(spark):
     assert found(spark, rows) == brute(rows)
 
 
-def test_hot_shingles_parts_and_no_leaders(spark):
+def test_hot_shingles_parts_and_no_leaders(spark, monkeypatch):
     rows = texts(2)
     want = brute(rows)
     assert found(spark, rows, hot=4) == want
+    monkeypatch.setattr(jaccard, "GIVEN", 0)
+    monkeypatch.setattr(jaccard, "BROADCAST", 0)
     assert found(spark, rows, hot=4, part=3, leaders=0) == want
 
 
