@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyrock.forensic_queries import TOTALS, entries
+from tallyrock.operators import quality, sanctions, views
 from tallyrock.plans import jobs
 from tallyrock.plans import testdata as td
 from tallyrock.queries import ORACLES, QUERIES
-from tallyrock.sources.ledger import read_statement_rows
+from tallyrock.sources.ledger import SCHEMAS, merge_flags, read_statement_rows, read_table, write_ledger, write_runs
 from tallyrock.sources.shared import cut, new_path
 from tallyrock.view_queries import CHANNEL
 
@@ -63,3 +65,164 @@ def j1_file_reports(spark, sf_dir):
         F.col("filename").alias("statement"), "bank", "rows_parsed", "rows_skipped", skipped("row without a parsable date").alias("no_date"), skipped("row with both").alias("both_sides"), skipped("row without a monetary").alias("no_amount"),
         day("period_start"), day("period_end"), "total_credits", "total_debits", F.array_join("accounts", ",").alias("accounts"), (F.floor(F.col("quality") * 1000000 + 0.5) / 1000000).alias("quality"),
     )
+
+
+R6 = lambda expr: f"floor(({expr}) * 1000000 + 0.5) / 1000000"
+
+
+def six(col) -> F.Column:
+    return F.floor(col * 1000000 + 0.5) / 1000000
+
+
+def files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, file reports), each written once."""
+    rows = cut(td.reported_rows(spark, sf_dir), "reported")
+    return rows, cut(td.bank_files(rows), "files")
+
+
+@query(td.with_files(f"""WITH q AS (SELECT case_id, sum(quality * greatest(1, rows_parsed)) / sum(greatest(1, rows_parsed)) AS q FROM files GROUP BY case_id)
+SELECT case_id, {R6('q')} AS quality, CASE WHEN q < 0.7 THEN printf('Consolidated data quality %.2f is below the 0.70 gate', q) END AS issue FROM q"""))
+def q4_case_quality(spark, sf_dir):
+    return quality.case_quality(files(spark, sf_dir)[1]).withColumn("quality", six(F.col("quality")))
+
+
+PARSED = """p AS (SELECT case_id, sum(rows_parsed) / sum(rows_parsed + rows_skipped) AS v FROM files GROUP BY case_id)"""
+
+
+@query(td.with_files(f"WITH {PARSED} SELECT case_id, 'parse_coverage' AS \"check\", CASE WHEN v >= 0.98 THEN 'pass' WHEN v >= 0.9 THEN 'warn' ELSE 'fail' END AS status, {R6('v')} AS metric FROM p"))
+def q5_parse_coverage(spark, sf_dir):
+    return quality.parse_coverage(files(spark, sf_dir)[1]).withColumn("metric", six(F.col("metric")))
+
+
+BALANCE = """b AS (SELECT case_id, max(CASE WHEN issue IS NULL OR lower(issue) NOT LIKE '%balance%' THEN 0 WHEN lower(issue) LIKE '%break%' AND quality < 0.7 THEN 2 ELSE 1 END) AS r FROM files GROUP BY case_id)"""
+
+
+@query(td.with_files(f"WITH {BALANCE} SELECT case_id, 'balance_integrity' AS \"check\", ['pass', 'warn', 'fail'][r + 1] AS status, CAST(r AS DOUBLE) AS metric FROM b"))
+def q6_balance_integrity(spark, sf_dir):
+    return quality.balance_integrity(files(spark, sf_dir)[1])
+
+
+OVERLAP = """u AS (SELECT case_id, file_id, period_start, period_end, unnest(accounts) AS account_id FROM files),
+o AS (SELECT a.case_id, a.account_id, a.file_id AS file_a, b.file_id AS file_b, date_diff('day', greatest(a.period_start, b.period_start), least(a.period_end, b.period_end)) AS days FROM u a JOIN u b ON a.case_id = b.case_id AND a.account_id = b.account_id AND a.file_id < b.file_id)"""
+
+
+@query(td.with_files(f"WITH {OVERLAP} SELECT case_id, account_id, file_a, file_b, days FROM o WHERE days > 1"))
+def q7_statement_overlap(spark, sf_dir):
+    return quality.statement_overlap(files(spark, sf_dir)[1])
+
+
+#: The six checks of a case, each with its lines and row ids.
+REPORT = f"""{PARSED}, {BALANCE}, {OVERLAP}, g AS (SELECT case_id, bank, account_id, posting_date, lag(posting_date) OVER w AS before, date_diff('day', min(posting_date) OVER (PARTITION BY case_id, bank, account_id), max(posting_date) OVER (PARTITION BY case_id, bank, account_id)) AS span
+  FROM (SELECT DISTINCT case_id, bank, account_id, posting_date FROM reported) WINDOW w AS (PARTITION BY case_id, bank, account_id ORDER BY posting_date)),
+gaps AS (SELECT *, date_diff('day', before, posting_date) AS days FROM g WHERE span >= 60 AND date_diff('day', before, posting_date) > 45),
+marked AS (SELECT *, substr(trim(regexp_replace(lower(narrative), '\\s+', ' ', 'g')), 1, 80) AS t FROM reported WHERE length(trim(narrative)) >= 6),
+sig AS (SELECT *, sha256(concat_ws('|', account_id, CAST(posting_date AS VARCHAR), direction, printf('%.3f', amount_kwd), t)) AS s, printf('%s %s %s %.3f KWD', account_id, CAST(posting_date AS VARCHAR), direction, amount_kwd) AS line FROM marked WHERE length(t) >= 6),
+twice AS (SELECT case_id, s, count(*) AS n, count(DISTINCT file_id) AS f, min(id) AS first, any_value(line) AS line FROM sig GROUP BY ALL HAVING count(*) > 1 AND count(DISTINCT file_id) > 1),
+ids AS (SELECT case_id, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM (SELECT sig.case_id, id, row_number() OVER (PARTITION BY sig.case_id ORDER BY s, id) AS r FROM sig JOIN twice USING (case_id, s)) WHERE r <= 12 GROUP BY case_id),
+fx AS (SELECT case_id, currency, count(*) AS n FROM reported WHERE currency NOT IN ('KWD', 'KD') GROUP BY ALL), foreign_share AS (SELECT case_id, count(*) FILTER (currency NOT IN ('KWD', 'KD')) / count(*) AS v FROM reported GROUP BY case_id),
+lines AS (
+  SELECT case_id, 'parse_coverage' AS k, printf('%s: %d rows skipped (%s)', bank, rows_skipped, filename) AS item, row_number() OVER (PARTITION BY case_id ORDER BY file_id) AS r FROM files WHERE rows_skipped > 0
+  UNION ALL SELECT case_id, 'balance_integrity', bank || ': ' || issue, row_number() OVER (PARTITION BY case_id ORDER BY file_id) FROM files WHERE lower(issue) LIKE '%balance%'
+  UNION ALL SELECT case_id, 'statement_overlap', printf('%s: files %d and %d share %d days', account_id, file_a, file_b, days), row_number() OVER (PARTITION BY case_id ORDER BY account_id, file_a, file_b) FROM o WHERE days > 1
+  UNION ALL SELECT case_id, 'cross_file_duplicates', printf('%s - in %d files (%d rows)', line, f, n), row_number() OVER (PARTITION BY case_id ORDER BY first) FROM twice
+  UNION ALL SELECT case_id, 'coverage_gaps', printf('%s: no activity %s to %s (%d days)', account_id, CAST(before AS VARCHAR), CAST(posting_date AS VARCHAR), days), row_number() OVER (PARTITION BY case_id ORDER BY account_id, before, printf('%s: no activity %s to %s (%d days)', account_id, CAST(before AS VARCHAR), CAST(posting_date AS VARCHAR), days)) FROM gaps
+  UNION ALL SELECT case_id, 'fx_share', printf('%s: %d transactions', currency, n), row_number() OVER (PARTITION BY case_id ORDER BY n DESC, currency) FROM fx),
+told AS (SELECT case_id, k, string_agg(item, '; ' ORDER BY r) FILTER (r <= 8) AS items, count(*) AS n FROM lines GROUP BY ALL),
+checks AS (SELECT DISTINCT case_id, unnest(['parse_coverage', 'balance_integrity', 'statement_overlap', 'cross_file_duplicates', 'coverage_gaps', 'fx_share']) AS k FROM files),
+report AS (SELECT c.case_id, c.k AS "check", CASE c.k WHEN 'parse_coverage' THEN CASE WHEN p.v >= 0.98 THEN 'pass' WHEN p.v >= 0.9 THEN 'warn' ELSE 'fail' END WHEN 'balance_integrity' THEN ['pass', 'warn', 'fail'][b.r + 1] WHEN 'fx_share' THEN CASE WHEN x.v > 0.5 THEN 'warn' ELSE 'pass' END
+   ELSE CASE WHEN coalesce(t.n, 0) = 0 THEN 'pass' WHEN c.k = 'cross_file_duplicates' THEN 'fail' ELSE 'warn' END END AS status,
+  {R6("CASE c.k WHEN 'parse_coverage' THEN p.v WHEN 'balance_integrity' THEN b.r WHEN 'fx_share' THEN x.v ELSE coalesce(t.n, 0) END")} AS metric, coalesce(t.items, '') AS items, CASE WHEN c.k = 'cross_file_duplicates' THEN coalesce(i.ids, '') ELSE '' END AS txn_ids
+  FROM checks c LEFT JOIN told t ON t.case_id = c.case_id AND t.k = c.k JOIN p ON p.case_id = c.case_id JOIN b ON b.case_id = c.case_id JOIN foreign_share x ON x.case_id = c.case_id LEFT JOIN ids i ON i.case_id = c.case_id)"""
+
+
+def report_rows(report: DataFrame) -> DataFrame:
+    rows = report.select("case_id", F.inline("report"))
+    return rows.select("case_id", "check", "status", six(F.col("metric")).alias("metric"), F.array_join("items", "; ").alias("items"), F.array_join("txn_ids", ",").alias("txn_ids"))
+
+
+@query(td.with_files(f"WITH {REPORT} SELECT * FROM report"))
+def q11_dq_report(spark, sf_dir):
+    return report_rows(quality.dq_report(*files(spark, sf_dir)))
+
+
+@query(td.with_files(f"WITH {REPORT}, latest AS (SELECT c_custkey AS id, c_custkey // 15 AS case_id FROM customer QUALIFY row_number() OVER (PARTITION BY c_custkey // 15 ORDER BY c_custkey % 97 DESC, c_custkey DESC) = 1) SELECT report.* FROM report JOIN latest USING (case_id) WHERE latest.id % 3 <> 0"))
+def j5_backfill_dq(spark, sf_dir):
+    runs = td.runs(spark, sf_dir).withColumn("has_report", F.col("id") % 3 == 0)
+    return report_rows(jobs.backfill_dq(runs, *files(spark, sf_dir)))
+
+
+QUOTES = "quotes AS (SELECT case_id, band AS section, unnest([{'k': 'Cash Share', 'v': CASE WHEN id % 4 = 0 THEN cash_share + 0.5 ELSE cash_share END}, {'k': 'fan_in_count', 'v': fan_in}, {'k': 'no_such', 'v': 1.0}]) AS q FROM runs)"
+
+
+@query(td.with_runs(f"""WITH {QUOTES}, known AS (SELECT case_id, 'cash share' AS k, cash_share AS v FROM latest UNION ALL SELECT case_id, 'fan in count', fan_in FROM latest)
+SELECT q.case_id, section, count(*) AS checked, count(*) FILTER (abs(q.q.v - k.v) <= greatest(0.01, abs(k.v) * 0.01)) AS valid FROM quotes q LEFT JOIN known k ON k.case_id = q.case_id AND k.k = replace(lower(q.q.k), '_', ' ') GROUP BY q.case_id, section"""))
+def r17_value_audit(spark, sf_dir):
+    runs = cut(td.runs(spark, sf_dir), "runs")
+    share = F.get(F.filter("features", lambda f: f["key"] == "cash_share"), 0)["value"]
+    fan = F.get(F.filter("features", lambda f: f["key"] == "fan_in_count"), 0)["value"]
+    made = [("Cash Share", F.when(F.col("id") % 4 == 0, share + 0.5).otherwise(share)), ("fan_in_count", fan), ("no_such", F.lit(1.0))]
+    quotes = runs.select("case_id", F.col("band").alias("section"), F.inline(F.array(*[F.struct(F.lit(k).alias("feature"), v.alias("value")) for k, v in made])))
+    known = views.latest_runs(runs).select("case_id", F.inline("features")).select("case_id", "key", "value")
+    return views.value_audit(quotes, known)
+
+
+TOLD = ("R-GEO-01", "the rule r_vel 01, which fired", "velocity", "vel", "GEO 01", "CASH-01 and more")
+
+
+@query(td.with_runs(f"""WITH told AS (SELECT case_id, band AS section, trim(regexp_replace(lower([{", ".join(f"'{t}'" for t in TOLD)}][id % {len(TOLD)} + 1]), '[^a-z0-9]+', ' ', 'g')) AS r FROM runs),
+known AS (SELECT DISTINCT h.case_id, trim(regexp_replace(lower(rule_id), '[^a-z0-9]+', ' ', 'g')) AS p FROM hits h JOIN latest l ON l.id = h.run_id WHERE fired)
+SELECT case_id, section, count(*) AS checked, count(*) FILTER (length(r) < 4 OR EXISTS (SELECT 1 FROM known k WHERE k.case_id = t.case_id AND (contains(k.p, t.r) OR contains(t.r, k.p)))) AS valid FROM told t GROUP BY ALL"""))
+def r17_reference_audit(spark, sf_dir):
+    runs = cut(td.runs(spark, sf_dir), "runs")
+    told = F.get(F.array(*[F.lit(t) for t in TOLD]), (F.col("id") % len(TOLD)).cast("int"))
+    known = views.latest_runs(runs).select("case_id", F.inline("rule_hits")).where("fired").select("case_id", F.col("rule_id").alias("name"))
+    return views.reference_audit(runs.select("case_id", F.col("band").alias("section"), told.alias("reference")), known)
+
+
+def screened_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs with the list version and totals that they were screened with."""
+    k = F.col("id")
+    return td.runs(spark, sf_dir).withColumns({"list_version": F.when(k % 3 == 0, "v2").when(k % 3 == 1, "v1"), "exact": F.lit(26).cast("long") - k % 2, "strong": F.lit(0).cast("long"), "possible": F.lit(12).cast("long")})
+
+
+@query(td.with_runs(f"""WITH {TOTALS}, stale AS (SELECT case_id, id FROM latest WHERE id % 3 <> 0), moved AS (SELECT s.case_id, 26 - id % 2 AS exact, 0 AS strong, 12 AS possible, coalesce(t.exact, 0) AS new_exact, coalesce(t.strong, 0) AS new_strong, coalesce(t.possible, 0) AS new_possible FROM stale s LEFT JOIN totals t USING (case_id))
+SELECT * FROM moved WHERE exact <> new_exact OR strong <> new_strong OR possible <> new_possible"""))
+def x5_rescreen_stale(spark, sf_dir):
+    """The last version lacked every fifth entry and knew others by fewer names."""
+    new = cut(entries(spark, sf_dir), "entries")
+    mark = F.abs(F.xxhash64("entry_id")) % 5
+    old = new.where(mark != 0).withColumn("names", F.when(mark == 1, F.slice("names", 1, 1)).otherwise(F.col("names")))
+    txns, cases = td.ledger(spark, sf_dir), td.cases(spark, sf_dir)
+    names = cut(sanctions.names_to_screen(txns, cases), "asked")
+    matches = cut(sanctions.screen(names, old), "matches")
+    return jobs.rescreen(screened_runs(spark, sf_dir), txns, cases, new, "v2", (matches, old))
+
+
+@query(td.with_runs("SELECT id, case_id, CAST(created_at AS VARCHAR) AS run_date, probability, band, 1 AS hits FROM runs"))
+def s7_write_runs(spark, sf_dir):
+    """Runs written twice, the second time in two batches of which one is written again."""
+    path = new_path(spark, "runs")
+    runs = td.runs(spark, sf_dir).withColumns({"created_at": F.col("created_at").cast("timestamp"), "rule_hits": F.array(F.struct(F.lit("R-GEO-01").alias("rule_id"), F.lit(True).alias("fired"), F.lit(0.9).alias("weight"), F.array(F.col("id")).alias("txn_ids")))})
+    even, odd = runs.where("id % 2 = 0"), runs.where("id % 2 = 1")
+    for batch, part in (("even", even), ("odd", odd), ("even", even)):
+        write_runs(part.drop("features"), path, batch)
+    return read_table(spark, "runs", path).select("id", "case_id", F.col("created_at").cast("date").cast("string").alias("run_date"), "probability", "band", F.size("rule_hits").cast("long").alias("hits"))
+
+
+@query(td.with_ledger("""WITH legs2 AS (SELECT case_id, debit_id AS id, debit_id AS pair FROM pairs UNION ALL SELECT case_id, credit_id, debit_id FROM pairs),
+flags AS (SELECT case_id, id, CASE WHEN id % 4 = 0 AND case_id % 3 <> 0 THEN CASE WHEN id % 6 = 0 THEN 'R-A,R-B' ELSE 'R-A' END WHEN id % 6 = 0 AND case_id % 3 <> 0 THEN 'R-B' ELSE '' END AS flags FROM ledger)
+SELECT l.case_id, l.id, l.amount_kwd, f.flags, p.pair AS internal_pair_id, p.pair IS NOT NULL AS is_internal_transfer FROM ledger l JOIN flags f USING (case_id, id) LEFT JOIN legs2 p ON p.case_id = l.case_id AND p.id = l.id"""))
+def s8_flag_ledger(spark, sf_dir):
+    """A written ledger whose flags are merged twice: once wrongly for all cases, then rightly for cases in two runs."""
+    path = new_path(spark, "ledger")
+    txns = cut(td.ledger(spark, sf_dir), "ledger")
+    pairs = cut(td.declared_pairs(txns), "pairs")
+    wanted = spark.createDataFrame([], SCHEMAS["ledger"]).schema
+    whole = txns.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in txns.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted])
+    write_ledger(whole, path, 8)
+    of = lambda rule, every: txns.where(F.col("id") % every == 0).groupBy("case_id").agg(F.collect_list("id").alias("txn_ids")).select("case_id", F.lit(rule).alias("rule_id"), (F.col("case_id") % 3 != 0).alias("fired"), "txn_ids")
+    cases, hits = txns.select("case_id").distinct(), of("R-A", 4).unionByName(of("R-B", 6))
+    merge_flags(spark, path, pairs.where("false"), hits.withColumn("fired", F.lit(True)), cases, 8)
+    for part in (0, 1):
+        merge_flags(spark, path, pairs, hits, cases.where(F.col("case_id") % 2 == part), 8)
+    return read_table(spark, "ledger", path).select("case_id", "id", "amount_kwd", F.array_join("flags", ",").alias("flags"), "internal_pair_id", "is_internal_transfer")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 ACCOUNT = ["case_id", "bank", "account_id"]
 MOST_ITEMS, MOST_IDS = 8, 12
+QUALITY_GATE = 0.7
 
 
 def reconcile_balances(rows: DataFrame) -> DataFrame:
@@ -61,9 +62,11 @@ def file_issues(counts: DataFrame, balances: DataFrame, duplicates: DataFrame) -
 
 
 def case_quality(files: DataFrame) -> DataFrame:
-    """(case_id, quality): mean of the files' quality by their rows."""
+    """(case_id, quality, issue): mean of the files' quality by their rows, and what to say of one below the gate."""
     weight = F.greatest(F.lit(1), F.col("rows_parsed"))
-    return files.groupBy("case_id").agg((F.sum(F.col("quality") * weight) / F.sum(weight)).alias("quality"))
+    found = files.groupBy("case_id").agg((F.sum(F.col("quality") * weight) / F.sum(weight)).alias("quality"))
+    said = F.format_string("Consolidated data quality %.2f is below the 0.70 gate", "quality")
+    return found.withColumn("issue", F.when(F.col("quality") < QUALITY_GATE, said))
 
 
 def status(value: Column, ok: float, warn: float) -> Column:
@@ -78,19 +81,28 @@ def parse_coverage(files: DataFrame) -> DataFrame:
 
 def balance_integrity(files: DataFrame) -> DataFrame:
     """Worst of the issues that speak of balances; breaks in a file of quality below 0.7 fail."""
-    issue = F.lower(F.col("issue"))
+    issue = F.lower(F.coalesce("issue", F.lit("")))
     rank = F.when(~issue.contains("balance"), 0).when(issue.contains("break") & (F.col("quality") < 0.7), 2).otherwise(1)
-    df = files.select("case_id", "quality", F.explode_outer("issues").alias("issue")).groupBy("case_id").agg(F.max(F.coalesce(rank, F.lit(0))).alias("r"))
+    df = files.select("case_id", "quality", F.explode_outer("issues").alias("issue")).groupBy("case_id").agg(F.max(rank).alias("r"))
     return df.select("case_id", F.lit("balance_integrity").alias("check"), F.element_at(F.array(F.lit("pass"), F.lit("warn"), F.lit("fail")), F.col("r") + 1).alias("status"), F.col("r").cast("double").alias("metric"))
 
 
 def statement_overlap(files: DataFrame) -> DataFrame:
-    """(case_id, account_id, file_a, file_b, days): files of one account whose periods overlap by more than a day."""
-    one = files.select("case_id", "file_id", F.explode("accounts").alias("account_id"), "period_start", "period_end")
-    a, b = one.alias("a"), one.alias("b")
-    both = a.join(b, (F.col("a.case_id") == F.col("b.case_id")) & (F.col("a.account_id") == F.col("b.account_id")) & (F.col("a.file_id") < F.col("b.file_id")))
-    days = F.datediff(F.least("a.period_end", "b.period_end"), F.greatest("a.period_start", "b.period_start"))
-    return both.select("a.case_id", "a.account_id", F.col("a.file_id").alias("file_a"), F.col("b.file_id").alias("file_b"), days.alias("days")).where("days > 1")
+    """(case_id, account_id, file_a, file_b, days): files of one account whose periods overlap by more than a day.
+
+    In the order of their starts, a file that begins when all before it have ended opens a new
+    run; only files of a run are compared.
+    """
+    one = files.select("case_id", "file_id", F.explode("accounts").alias("account_id"), "period_start", "period_end").where("period_start is not null and period_end is not null")
+    order = Window.partitionBy("case_id", "account_id").orderBy("period_start", "file_id")
+    ended = F.max("period_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(F.datediff(ended, "period_start") <= 1, F.lit(True)).cast("int")
+    runs = one.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(order))
+    key = ["case_id", "account_id", "_run"]
+    side = lambda n: runs.select(*key, F.col("file_id").alias(f"file_{n}"), F.col("period_start").alias(f"start_{n}"), F.col("period_end").alias(f"end_{n}"))
+    both = side("a").join(side("b"), key).where("file_a < file_b")
+    days = F.datediff(F.least("end_a", "end_b"), F.greatest("start_a", "start_b"))
+    return both.select("case_id", "account_id", "file_a", "file_b", days.alias("days")).where("days > 1")
 
 
 def signed(txns: DataFrame) -> DataFrame:

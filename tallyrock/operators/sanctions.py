@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyrock.constants import NON_DISTINCTIVE
 from tallyrock.functions.names import name_tokens, names_likely_same, parse_identity, refers_to_subject
+from tallyrock.sources.shared import cut
 
 LEAST = {"OFAC": 1000, "UN": 100}
 TIERS = ("exact", "strong", "possible")
@@ -129,11 +130,34 @@ def screening(txns: DataFrame, cases: DataFrame, entries: DataFrame) -> tuple[Da
     return matches, status.select("case_id", F.lit("complete").alias("status"), F.lit(None).cast("string").alias("reason"), "names", *TIERS)
 
 
-def rescreen_stale(runs: DataFrame, version: str, names: DataFrame, entries: DataFrame) -> DataFrame:
-    """(case_id, totals before and after) of latest runs that were screened on another list version and change."""
+def changed_entries(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries of ``new`` that ``old`` lacks or has otherwise, list and entry_id of all that differ) of two versions of the lists."""
+    marked = lambda df: df.withColumn("_mark", F.xxhash64(*[F.to_json(F.struct(c)) for c in ("type", "programs", "names")]))
+    key = ["list", "entry_id"]
+    before, after = marked(old).select(*key, F.col("_mark").alias("_was")), marked(new)
+    added = after.join(before, key, "left").where(~F.col("_mark").eqNullSafe(F.col("_was"))).drop("_mark", "_was")
+    gone = before.join(after.select(*key, "_mark"), key, "left").where(~F.col("_mark").eqNullSafe(F.col("_was"))).select(*key)
+    return added, gone.union(added.select(*key)).distinct()
+
+
+def rescreened(names: DataFrame, matches: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """``screen(names, new)`` from ``matches``, which is ``screen(names, old)``: only entries that differ are screened."""
+    added, differ = changed_entries(old, new)
+    kept = matches.join(differ, ["list", "entry_id"], "left_anti").select(*matches.columns)
+    return kept.unionByName(screen(names, cut(added, "changed-entries")).select(*matches.columns))
+
+
+def rescreen_stale(runs: DataFrame, version: str, names: DataFrame, entries: DataFrame, before: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(case_id, totals before and after) of latest runs that were screened on another list version and change.
+
+    ``before``, the matches of the last version and its entries, lets only what differs be screened. A list
+    that is implausibly short changes nothing: its result would be worse than the one that stands.
+    """
     w = Window.partitionBy("case_id").orderBy(F.desc("created_at"), F.desc("id"))
     stale = runs.withColumn("r", F.row_number().over(w)).where("r = 1").where(~F.col("list_version").eqNullSafe(F.lit(version)))
+    if not guard_list_size(entries).where("status = 'unavailable'").isEmpty():
+        stale = stale.where("false")
     some = names.join(stale.select("case_id"), "case_id", "left_semi")
-    _, now = top_matches(some, screen(some, entries))
+    _, now = top_matches(some, screen(some, entries) if before is None else rescreened(some, before[0].join(some.select("key").distinct(), "key", "left_semi"), before[1], entries))
     both = stale.select("case_id", "exact", "strong", "possible").join(now.select("case_id", *[F.col(t).alias(f"new_{t}") for t in TIERS]), "case_id", "left").fillna(0)
     return both.where(" or ".join(f"{t} <> new_{t}" for t in TIERS))

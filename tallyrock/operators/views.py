@@ -238,9 +238,24 @@ def value_audit(quotes: DataFrame, features: DataFrame) -> DataFrame:
     return df.groupBy("case_id", "section").agg(F.count(F.lit(1)).alias("checked"), F.count_if(right).alias("valid"))
 
 
+#: Letters of the pieces by which references and names meet; shorter references are not judged.
+GRAM = 4
+
+
 def reference_audit(references: DataFrame, known: DataFrame) -> DataFrame:
-    """(case_id, section, checked, valid) of (case_id, section, reference): valid where a ``known`` name (case_id, name) holds it or is held by it; under four letters always."""
-    names = known.select("case_id", plain(F.col("name")).alias("name")).where(F.length("name") >= 4).distinct().groupBy("case_id").agg(F.collect_list("name").alias("names"))
-    ref = plain(F.col("reference"))
-    good = (F.length(ref) < 4) | F.coalesce(F.exists("names", lambda n: n.contains(ref) | ref.contains(n)), F.lit(False))
-    return references.where("reference is not null").join(names, "case_id", "left").groupBy("case_id", "section").agg(F.count(F.lit(1)).alias("checked"), F.count_if(good).alias("valid"))
+    """(case_id, section, checked, valid) of (case_id, section, reference): valid where a ``known`` name (case_id, name) holds it or is held by it; under four letters always.
+
+    A text that holds another has the other's first piece of four letters among its own, so the two
+    meet there, and no reference is compared with all names of its case.
+    """
+    asked = references.where("reference is not null").select("case_id", "section", plain(F.col("reference")).alias("r"))
+    names = known.select("case_id", plain(F.col("name")).alias("p")).where(F.length("p") >= GRAM).distinct()
+    distinct = asked.where(F.length("r") >= GRAM).select("case_id", "r").distinct()
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (GRAM - 1)), lambda i: F.substr(F.col(c), i, F.lit(GRAM))))
+    first = lambda c: F.substr(F.col(c), F.lit(1), F.lit(GRAM)).alias("gram")
+    inside = distinct.select("*", first("r")).join(names.select("*", F.explode(grams("p")).alias("gram")), ["case_id", "gram"]).where(F.col("p").contains(F.col("r")))
+    around = names.select("*", first("p")).join(distinct.select("*", F.explode(grams("r")).alias("gram")), ["case_id", "gram"]).where(F.col("r").contains(F.col("p")))
+    good = inside.select("case_id", "r").union(around.select("case_id", "r")).distinct().withColumn("good", F.lit(True))
+    judged = asked.join(good, ["case_id", "r"], "left").withColumn("good", (F.length("r") < GRAM) | F.coalesce("good", F.lit(False)))
+    return judged.groupBy("case_id", "section").agg(F.count(F.lit(1)).alias("checked"), F.count_if("good").alias("valid"))
+

@@ -57,7 +57,7 @@ def score_cases(txns: DataFrame, cases: DataFrame, files: DataFrame | None = Non
     out["findings"] = cut(forensics.technical(txns, ext, pairs, clustered, case_quality), "findings")
     out["gates"] = forensics.gates(clustered, cases, out["findings"].where("finding = 'TECH-NET-03'"))
     if files is not None:
-        out["quality"] = quality.dq_report(txns, files)
+        out["quality"], out["case_quality"] = quality.dq_report(txns, files), case_quality
     if entries is not None:
         out["matches"], out["screening"] = sanctions.screening(txns, cases, entries)
     return out
@@ -81,9 +81,9 @@ def portfolio(runs: DataFrame, dispositions: DataFrame, txns: DataFrame, cases:
     }
 
 
-def rescreen(runs: DataFrame, txns: DataFrame, cases: DataFrame, entries: DataFrame, version: str) -> DataFrame:
-    """Latest runs that were screened on another list version, and whose totals change."""
-    return sanctions.rescreen_stale(runs, version, sanctions.names_to_screen(txns, cases), entries)
+def rescreen(runs: DataFrame, txns: DataFrame, cases: DataFrame, entries: DataFrame, version: str, before: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Latest runs that were screened on another list version, and whose totals change; ``before`` as in ``rescreen_stale``."""
+    return sanctions.rescreen_stale(runs, version, cut(sanctions.names_to_screen(txns, cases), "asked"), entries, before)
 
 
 def backfill_dq(runs: DataFrame, txns: DataFrame, files: DataFrame) -> DataFrame:

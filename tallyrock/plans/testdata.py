@@ -281,3 +281,33 @@ statements AS (
 def with_statements(sql: str) -> str:
     """A query over the view's tables and ``statements``, the rows that statements of it hold."""
     return _over(LEDGER_SQL.strip() + "," + STATEMENTS_SQL, sql)
+
+
+ISSUES = ("No running-balance column: completeness cannot be verified.", "3 balance reconciliation breaks across 20 checked rows", "2 potential duplicate rows")
+
+
+def reported_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger, and every fiftieth row once more as a row of another file."""
+    txns = ledger(spark, sf_dir)
+    return txns.unionByName(txns.where("id % 50 = 0").withColumns({"file_id": F.col("file_id") + 5, "id": F.col("id") + 700_000_000_000}))
+
+
+def bank_files(rows: DataFrame) -> DataFrame:
+    """Reports of the files of ``reported_rows``; quality, skipped rows and issues follow from the file's number."""
+    k = F.col("file_id")
+    found = rows.groupBy("case_id", "file_id").agg(
+        F.min("bank").alias("bank"), F.count(F.lit(1)).alias("rows_parsed"), F.min("posting_date").alias("period_start"), F.max("posting_date").alias("period_end"), F.sort_array(F.collect_set("account_id")).alias("accounts")
+    )
+    issues = F.filter(F.array(*[F.when(k % 4 == n, i) for n, i in enumerate(ISSUES)]), lambda x: x.isNotNull())
+    return found.withColumns({"filename": F.concat(F.lit("file-"), k.cast("string")), "rows_skipped": k % 9, "quality": (F.lit(55) + k % 41) / 100, "issues": issues})
+
+
+FILES_SQL = f"""
+reported AS (SELECT * FROM ledger UNION ALL SELECT * REPLACE (file_id + 5 AS file_id, id + 700000000000 AS id) FROM ledger WHERE id % 50 = 0),
+files AS (SELECT case_id, file_id, min(bank) AS bank, count(*) AS rows_parsed, min(posting_date) AS period_start, max(posting_date) AS period_end, list_sort(list(DISTINCT account_id)) AS accounts, 'file-' || file_id AS filename,
+  file_id % 9 AS rows_skipped, (55 + file_id % 41) / 100 AS quality, CASE file_id % 4 {" ".join(f"WHEN {n} THEN '{i}'" for n, i in enumerate(ISSUES))} END AS issue FROM reported GROUP BY case_id, file_id)"""
+
+
+def with_files(sql: str) -> str:
+    """A query over the view's tables, ``reported`` rows and ``files``."""
+    return _over(LEDGER_SQL.strip() + "," + FILES_SQL, sql)

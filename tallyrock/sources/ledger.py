@@ -96,9 +96,37 @@ def read_statement_rows(spark: SparkSession, path: str, sep: str | None = None)
     return rows.select(F.xxhash64("path").alias("file_id"), F.lit("1").alias("sheet"), "row_index", "cells", F.when(name.startswith("part-"), folder).otherwise(name).alias("filename"), "path")
 
 
-def write_runs(runs: DataFrame, path: str) -> None:
-    """One nested row per case and run, by day of the run."""
-    runs.withColumn("run_date", F.to_date("created_at")).write.mode("append").partitionBy("run_date").parquet(path)
+def _replace(df: DataFrame, path: str, *parts: str) -> None:
+    """Write ``df``; partitions that it has rows of are replaced, others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+
+
+def write_runs(runs: DataFrame, path: str, batch: str = "0") -> None:
+    """One nested row per case and run, by day of the run and batch. A batch that is written again replaces itself."""
+    _replace(runs.withColumns({"run_date": F.to_date("created_at"), "batch": F.lit(batch)}), path, "run_date", "batch")
+
+
+#: Buckets of cases that a written ledger has.
+BUCKETS = 64
+
+
+def write_ledger(txns: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """The ledger by bucket of cases. Buckets that ``txns`` has rows of are replaced, so it must hold all of a bucket's cases."""
+    _replace(txns.withColumn("bucket", F.pmod(F.xxhash64("case_id"), F.lit(buckets)).cast("int")), path, "bucket")
+
+
+def merge_flags(spark: SparkSession, path: str, pairs: DataFrame, hits: DataFrame, scored: DataFrame, buckets: int = BUCKETS) -> None:
+    """Set pair marks and flags of the ``scored`` cases (case_id) anew in a written ledger; all else stays.
+
+    Only the cases' buckets are read and replaced; what replaces them is written apart first, so a job that
+    fails leaves the ledger as it was, and one that runs twice changes nothing more.
+    """
+    cases = scored.select("case_id").distinct().withColumn("bucket", F.pmod(F.xxhash64("case_id"), F.lit(buckets)).cast("int"))
+    old = spark.read.parquet(path).join(cases.select("bucket").distinct(), "bucket", "left_semi")
+    columns = [c for c in old.columns if c != "bucket"]
+    mine = old.join(cases.select("case_id"), "case_id", "left_semi").select(*[c for c in columns if c not in ("flags", "is_internal_transfer", "internal_pair_id")])
+    anew = flag_ledger(mine, pairs, hits).select(*columns)
+    write_ledger(cut(old.join(cases.select("case_id"), "case_id", "left_anti").select(*columns).unionByName(anew), "merged-ledger"), path, buckets)
 
 
 def flag_ledger(txns: DataFrame, pairs: DataFrame, hits: DataFrame) -> DataFrame:
