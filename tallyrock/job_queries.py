@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrock.forensic_queries import TOTALS, entries
-from tallyrock.operators import quality, sanctions, views
+from tallyrock.operators import declarations, quality, sanctions, views
 from tallyrock.plans import jobs
 from tallyrock.plans import testdata as td
 from tallyrock.queries import ORACLES, QUERIES
@@ -226,3 +226,128 @@ def s8_flag_ledger(spark, sf_dir):
     for part in (0, 1):
         merge_flags(spark, path, pairs, hits, cases.where(F.col("case_id") % 2 == part), 8)
     return read_table(spark, "ledger", path).select("case_id", "id", "amount_kwd", F.array_join("flags", ",").alias("flags"), "internal_pair_id", "is_internal_transfer")
+
+
+def lists(spark: SparkSession, sf_dir: str) -> tuple[str, str, str]:
+    """Paths of a list of customers with aliases as quoted files, some fields over two lines, and of one of suppliers and nations as XML."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    k = F.col("c_custkey")
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    empty = F.lit("-0- ")
+    remarks = F.when(k % 5 == 0, quoted(F.concat(F.lit('Phone "'), "c_mktsegment", F.lit('",\nsecond line')))).otherwise(empty)
+    sdn = F.concat_ws(",", k.cast("string"), quoted(F.col("c_name")), F.when(k % 3 == 0, '"individual"').otherwise(empty), F.when(k % 2 == 0, '"SDGT] [IRAN"').otherwise('"SDGT"'), *[empty] * 7, remarks)
+    alt = F.array(
+        F.concat_ws(",", k.cast("string"), k.cast("string"), F.when(k % 4 == 0, '"a.k.a."').otherwise('"low"'), quoted(F.concat(F.lit("Alias, "), "c_name")), empty),
+        F.concat_ws(",", k.cast("string"), k.cast("string"), F.lit('"aka"'), quoted(F.upper(F.replace("c_name", F.lit("#"), F.lit(" ")))), empty), F.concat_ws(",", k.cast("string"), k.cast("string"), F.lit('"fka"'), empty, empty),
+    )
+    paths = tuple(new_path(spark, n) for n in ("sdn", "alt", "un"))
+    customers.select(sdn.alias("value")).write.text(paths[0])
+    customers.select(F.explode(alt).alias("value")).write.text(paths[1])
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    people = suppliers.select(F.col("s_suppkey").cast("string").alias("DATAID"), F.col("s_name").alias("FIRST_NAME"), F.when(F.col("s_suppkey") % 2 == 0, "A & B").alias("SECOND_NAME"), F.col("n_name").alias("FOURTH_NAME"), F.lit("Al-Qaida").alias("UN_LIST_TYPE"),
+        F.concat(F.lit("QDi."), "s_suppkey").alias("REFERENCE_NUMBER"), F.array(F.struct(F.concat("s_name", F.lit(" <junior>")).alias("ALIAS_NAME")), F.struct(F.lit(" ").alias("ALIAS_NAME"))).alias("INDIVIDUAL_ALIAS"))
+    firms = nations.select(F.concat(F.lit("9"), "n_nationkey").alias("DATAID"), F.col("n_name").alias("FIRST_NAME"), F.lit("DPRK").alias("UN_LIST_TYPE"), F.concat(F.lit("2001-01-"), F.lpad(F.col("n_nationkey") + 1, 2, "0")).alias("LISTED_ON"))
+    people.write.format("xml").option("rowTag", "INDIVIDUAL").option("rootTag", "INDIVIDUALS").save(f"{paths[2]}/people")
+    firms.write.format("xml").option("rowTag", "ENTITY").option("rootTag", "ENTITIES").save(f"{paths[2]}/firms")
+    return paths
+
+
+def listed(entries: DataFrame) -> DataFrame:
+    return entries.select("entry_id", "type", F.array_join("programs", "|").alias("programs"), F.array_join(F.transform("names", lambda n: n["text"]), "|").alias("names"), "reference", "listed_on", "remarks")
+
+
+@query("""SELECT 'SDN-' || c_custkey AS entry_id, CASE WHEN c_custkey % 3 = 0 THEN 'individual' ELSE 'entity' END AS type, CASE WHEN c_custkey % 2 = 0 THEN 'SDGT|IRAN' ELSE 'SDGT' END AS programs,
+ c_name || CASE WHEN c_custkey % 4 = 0 THEN '|Alias, ' || c_name ELSE '' END AS names, NULL::VARCHAR AS reference, NULL::VARCHAR AS listed_on, CASE WHEN c_custkey % 5 = 0 THEN 'Phone "' || c_mktsegment || '", second line' END AS remarks FROM customer""")
+def s3_read_ofac(spark, sf_dir):
+    sdn, alt, _ = lists(spark, sf_dir)
+    return listed(sanctions.read_ofac(spark, sdn, alt))
+
+
+@query("""SELECT 'UN-' || s_suppkey AS entry_id, 'individual' AS type, 'Al-Qaida' AS programs, s_name || CASE WHEN s_suppkey % 2 = 0 THEN ' A & B' ELSE '' END || ' ' || n_name || '|' || s_name || ' <junior>' AS names, 'QDi.' || s_suppkey AS reference, NULL AS listed_on, NULL::VARCHAR AS remarks
+FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 'UN-9' || n_nationkey, 'entity', 'DPRK', n_name, NULL, '2001-01-' || lpad((n_nationkey + 1)::VARCHAR, 2, '0'), NULL FROM nation""")
+def s4_read_un_list(spark, sf_dir):
+    return listed(sanctions.read_un_list(spark, f"{lists(spark, sf_dir)[2]}/*"))
+
+
+ARABIC = "٠١٢٣٤٥٦٧٨٩"
+
+
+def form_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(value): a wealth form of every customer as a line of JSON; every fiftieth line is cut off."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    people = spark.read.parquet(f"{sf_dir}/customer.parquet").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    k = F.col("c_custkey")
+    arabic = lambda c: F.translate(c.cast("string"), "0123456789", ARABIC)
+    civil = F.lpad(k.cast("string"), 12, "2")
+    person = F.struct(
+        F.when(k % 5 == 0, "illegible").otherwise(F.concat(F.lit(" "), "c_name", F.lit(" "))).alias("name"), F.when(k % 2 == 1, arabic(civil)).otherwise(civil).alias("civil_id"),
+        F.when(k % 3 == 0, F.concat(F.lit("12"), k)).otherwise(F.concat(F.lit("+965 9999"), F.lpad((k % 10000).cast("string"), 4, "0"))).alias("phone"), F.col("n_name").alias("nationality"),
+        F.when(k % 4 == 0, "1,250").when(k % 4 == 1, "0").when(k % 4 == 2, "-5").otherwise(arabic(900 + k)).alias("salary"),
+    )
+    plots = F.array(F.struct(F.col("c_name").alias("ownerName"), F.concat(F.lit("Plot "), k).alias("location"), arabic(k * 10).alias("areaSqm"), F.when(k % 6 == 0, "150").otherwise("50").alias("ownershipPct")), F.struct(F.lit(None).cast("string").alias("ownerName"), F.lit(" ").alias("location"), F.lit("7").alias("areaSqm"), F.lit("n/a").alias("ownershipPct")))
+    account = lambda name, value, country, kind: F.struct(name.alias("institution"), value.alias("valueKwd"), country.alias("institutionCountry"), kind.alias("kind"))
+    accounts = F.array_compact(F.array(
+        F.when(k % 10 == 0, account(F.lit("الوطني"), F.lit("10000"), F.lit("Kuwait"), F.lit("حساب"))), account(F.concat(F.lit("Bank "), k % 7), F.format_number(k * 100, 0), F.col("n_name"), F.when(k % 8 == 0, "a / b").otherwise("saving")),
+    ))
+    form = F.to_json(F.struct(k.alias("case_id"), person.alias("declarant"), plots.alias("realEstate"), accounts.alias("bankAccountsAndDeposits"), F.array(F.lit("debtsOwed"), F.lit("realEstate")).alias("sectionsMarkedNone")))
+    return people.select(F.when(k % 50 == 0, F.substr(form, F.lit(1), F.lit(60))).otherwise(form).alias("value"))
+
+
+def forms(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame, DataFrame]:
+    """(path of the forms, forms as they are read, their items without printed examples), the latter two written once."""
+    path = new_path(spark, "forms")
+    form_lines(spark, sf_dir).write.text(path)
+    read = cut(declarations.read_declarations(spark, path), "forms")
+    return path, read, cut(declarations.flag_uncertain_items(declarations.drop_example_rows(declarations.declaration_items(read))), "items")
+
+
+FORMS = "f AS (SELECT c_custkey AS k, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 50 <> 0)"
+ITEMS = f"""{FORMS}, items AS (SELECT k AS case_id, 'realEstate' AS section, 0 AS row_index, c_name AS owner_name, 'Plot ' || k AS label, NULL AS kind, NULL AS country, CAST(k * 10 AS DOUBLE) AS area_sqm, CASE WHEN k % 6 <> 0 THEN 50.0::DOUBLE END AS ownership_pct, NULL::DOUBLE AS value, true AS uncertain FROM f
+ UNION ALL SELECT k, 'bankAccountsAndDeposits', CASE WHEN k % 10 = 0 THEN 1 ELSE 0 END, NULL, 'Bank ' || (k % 7), CASE WHEN k % 8 = 0 THEN 'a / b' ELSE 'saving' END, n_name, NULL, NULL, CAST(k * 100 AS DOUBLE), k % 8 = 0 FROM f)"""
+
+
+@query(f"WITH {ITEMS} SELECT * FROM items")
+def d1_declaration_items(spark, sf_dir):
+    return forms(spark, sf_dir)[2].select("case_id", "section", "row_index", "owner_name", "label", "kind", "country", "area_sqm", "ownership_pct", "value", "uncertain")
+
+
+@query(f"""WITH {FORMS} SELECT k AS case_id, CASE WHEN k % 5 <> 0 THEN c_name END AS name, lpad(k::VARCHAR, 12, '2') AS civil_id, CASE WHEN k % 3 = 0 THEN '12' || k ELSE '+965 9999' || lpad((k % 10000)::VARCHAR, 4, '0') END AS phone, n_name AS nationality,
+ CASE k % 4 WHEN 0 THEN 1250.0::DOUBLE WHEN 3 THEN CAST(900 + k AS DOUBLE) END AS salary, concat_ws(',', CASE WHEN k % 5 <> 0 THEN 'name' END, CASE WHEN k % 3 = 0 THEN 'phone' END) AS uncertain, CASE WHEN k % 5 = 0 THEN 'name' ELSE '' END AS noted FROM f""")
+def d2_declarants(spark, sf_dir):
+    people = declarations.scrub_placeholders(declarations.declarants(forms(spark, sf_dir)[1]), ["name", "occupation"])
+    marked = declarations.flag_uncertain(people.withColumn("noted", F.array_join("uncertain", ",")))
+    return marked.select("case_id", "name", "civil_id", "phone", "nationality", "salary", F.array_join("uncertain", ",").alias("uncertain"), "noted")
+
+
+@query(f"WITH {FORMS} SELECT k AS case_id, CASE WHEN k % 5 = 0 THEN 'illegible' ELSE c_name END AS subject_name, CASE k % 4 WHEN 0 THEN 1250.0::DOUBLE WHEN 3 THEN CAST(900 + k AS DOUBLE) END AS income, n_name || CASE WHEN k % 10 = 0 THEN ',Kuwait' ELSE '' END AS expected_countries FROM f")
+def d3_profile(spark, sf_dir):
+    found = declarations.profile_from_declaration(forms(spark, sf_dir)[1])
+    return found.select("case_id", "subject_name", "income", F.array_join("expected_countries", ",").alias("expected_countries"))
+
+
+@query(f"WITH {ITEMS} SELECT case_id, section, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(20,6))) AS DOUBLE) AS total FROM items GROUP BY case_id, section")
+def d4_section_totals(spark, sf_dir):
+    return declarations.section_totals(forms(spark, sf_dir)[2])
+
+
+@query(f"WITH {FORMS} SELECT k AS case_id, 'debtsOwed' AS section FROM f")
+def d9_none_ticks(spark, sf_dir):
+    _, read, items = forms(spark, sf_dir)
+    return declarations.none_ticks(read, items)
+
+
+@query(f"""WITH {FORMS} SELECT c.c_custkey AS case_id, CAST(DATE '2024-01-01' + CAST(c.c_custkey % 97 AS INT) AS VARCHAR) AS uploaded_at, CASE WHEN f.k % 5 <> 0 THEN f.c_name WHEN f.k IS NOT NULL THEN 'illegible' END AS declarant FROM customer c LEFT JOIN f ON f.k = c.c_custkey WHERE c.c_custkey % 2 = 0 AND c.c_custkey % 3 <> 1""")
+def d10_intake_queue(spark, sf_dir):
+    people = declarations.declarants(forms(spark, sf_dir)[1])
+    k = F.col("c_custkey")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    cases = customers.select(k.alias("case_id"), F.when(k % 2 == 0, "intake").otherwise("open").alias("status"))
+    uploads = customers.where(k % 3 != 1).select(k.alias("case_id"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 97).cast("int")).alias("uploaded_at"))
+    return declarations.intake_queue(cases, uploads, people).select("case_id", F.col("uploaded_at").cast("string").alias("uploaded_at"), "declarant")
+
+
+@query("SELECT c_custkey AS case_id FROM customer WHERE c_custkey % 50 = 0")
+def s6_broken_declarations(spark, sf_dir):
+    found = declarations.broken_declarations(spark, forms(spark, sf_dir)[0])
+    return found.select(F.regexp_extract("line", r'"case_id":(\d+)', 1).cast("long").alias("case_id"))

@@ -44,8 +44,64 @@ SCHEMA = (
 )
 
 
+# The limits of what a form may say: rows of a section, characters of a text, and the ranges of numbers.
+MOST_ROWS = {"minorChildren": 15, "realEstate": 25, "usufructRights": 25, "securities": 30, "bankAccountsAndDeposits": 30, "debtsOwed": 25, "valuableMovables": 25}
+MOST_LETTERS = {"owner_name": 160, "kind": 80, "country": 80, "quantity": 60, "date_text": 40, "id_type": 60, "id_number": 60, "label": 200, "asWritten": 300, "notes": 240, "name": 160, "civil_id": 40, "phone": 40, "home_phone": 40, "work_phone": 40, "occupation": 160, "nationality": 80, "residence": 80}
+RANGES = {"area_sqm": (0, 10_000_000), "ownership_pct": (0, 100), "value": (0, 100_000_000), "item_count": (0, 10_000), "salary": (0, 1_000_000), "page": (1, 500)}
+MOST_ALTERNATES, MOST_TICKS = 4, 10
+
+_PEOPLE = ("name", "civil_id", "phone", "home_phone", "work_phone", "occupation", "nationality", "residence", "salary")
+#: The same shape with every value as it was written.
+RAW = (
+    f"case_id string, declarant struct<{','.join(f'{c}:string' for c in _PEOPLE)}>, sectionsMarkedNone array<string>, _broken string, "
+    + ", ".join(f"{name} array<struct<{','.join(f'{f}:string' for f in fields.values())},uncertain:string,corrected:string,page:string,asWritten:string,alternates:array<string>,notes:string>>" for name, fields in SECTION_FIELDS.items())
+)
+
+
+def limited_text(col: Column, most: int) -> Column:
+    return F.nullif(F.substr(F.trim(col), F.lit(1), F.lit(most)), F.lit(""))
+
+
+def limited_number(col: Column, low: float, high: float) -> Column:
+    """A number, or a text of one with Western or Arabic digits and groups of them; null where it is none or out of range."""
+    n = F.regexp_replace(western_digits(col), r"[,\s\u066C\u060C]", "").try_cast("double")
+    return F.when(n.between(low, high), n)
+
+
+def _forms(spark: SparkSession, path: str) -> DataFrame:
+    options = {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"}
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select("value", F.from_json("value", RAW, options).alias("f")).select("value", "f.*")
+
+
 def read_declarations(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).json(path)
+    """Forms of ``SCHEMA`` from JSON, one in each line, coerced field by field; one bad field costs no other.
+
+    Texts are trimmed and cut to their limits, numbers may be texts and are null out of range, sections
+    keep as many rows as a form has room for. Lines that are no forms are in ``broken_declarations``.
+    """
+    def row(name: str, x: Column) -> Column:
+        typed = []
+        for c, f in SECTION_FIELDS[name].items():
+            kind = _KIND(c)
+            value = limited_number(x[f], *RANGES[c]) if kind == "double" else x[f].try_cast("boolean") if kind == "boolean" else limited_text(x[f], MOST_LETTERS[c])
+            typed.append(value.alias(f))
+        page = F.floor(limited_number(x["page"], *RANGES["page"]) + 0.5).cast("int")
+        others = F.slice(F.filter(F.transform(x["alternates"], lambda t: limited_text(t, 200)), lambda t: t.isNotNull()), 1, MOST_ALTERNATES)
+        marks = [F.coalesce(x[m] == "true", F.lit(False)).alias(m) for m in ("uncertain", "corrected")]
+        return F.struct(*typed, *marks, page.alias("page"), limited_text(x["asWritten"], MOST_LETTERS["asWritten"]).alias("asWritten"), others.alias("alternates"), limited_text(x["notes"], MOST_LETTERS["notes"]).alias("notes"))
+
+    person = F.struct(*[(limited_number(F.col(f"declarant.{c}"), *RANGES[c]) if c == "salary" else limited_text(F.col(f"declarant.{c}"), MOST_LETTERS[c])).alias(c) for c in _PEOPLE])
+    shaped = lambda name: F.transform(F.slice(name, 1, MOST_ROWS[name]), lambda x: row(name, x)).alias(name)
+    sections = [shaped(name) for name in SECTIONS]
+    ticks = F.slice(F.filter(F.transform("sectionsMarkedNone", lambda t: limited_text(t, 60)), lambda t: t.isNotNull()), 1, MOST_TICKS)
+    good = _forms(spark, path).where("_broken is null").withColumn("case_id", F.col("case_id").try_cast("long")).where("case_id is not null")
+    return good.select("case_id", F.when(F.col("declarant").isNotNull(), person).alias("declarant"), ticks.alias("sectionsMarkedNone"), *sections)
+
+
+def broken_declarations(spark: SparkSession, path: str) -> DataFrame:
+    """(line) of lines that are no JSON or name no case."""
+    return _forms(spark, path).where(F.col("_broken").isNotNull() | F.col("case_id").try_cast("long").isNull()).select(F.col("value").alias("line"))
 
 
 def declaration_items(forms: DataFrame) -> DataFrame:
@@ -75,7 +131,7 @@ def profile_from_declaration(forms: DataFrame) -> DataFrame:
     d = declarants(forms)
     countries = declaration_items(forms).where(F.col("section").isin("securities", "bankAccountsAndDeposits", "debtsOwed")).groupBy("case_id").agg(F.sort_array(F.collect_set("country")).alias("held"))
     every = F.array_distinct(F.filter(F.concat(F.array("nationality", "residence"), F.coalesce("held", F.array().cast("array<string>"))), lambda c: c.isNotNull()))
-    return d.join(countries, "case_id", "left").select("case_id", F.col("name").alias("subject_name"), "occupation", F.when(F.col("salary") > 0, F.col("salary")).alias("income"), every.alias("expected_countries"))
+    return d.join(countries, "case_id", "left").select("case_id", F.col("name").alias("subject_name"), "occupation", F.col("civil_id").alias("reference"), F.when(F.col("salary") > 0, F.col("salary")).alias("income"), every.alias("expected_countries"))
 
 
 def section_totals(items: DataFrame) -> DataFrame:
