@@ -11,7 +11,7 @@ hashes of all shingles.
 Only components are asked for, so pairs whose sets are in one class already need no test. In ``LEADERS`` rounds each set
 is tested against the leader it meets in most tiles, one pair a set. What still meets in tiles of
 several classes is compared in full: every two classes of a tile test their best pairs first, in
-later rounds sixteen times as many, until all pairs within the bound are tested or in one class.
+later rounds four times as many, until all pairs within the bound are tested or in one class.
 
 Shingles in the first places of more than ``HOT`` sets are counted over all sets that have one, and stand last in the
 order, so a passage that many texts share makes no tile of them unless it is most of each. A
@@ -38,15 +38,15 @@ from tallyrock.operators.components import connected_components
 from tallyrock.sources.shared import cut
 
 SHINGLE, PERCENT = 5, 80
-HOT, PART, LEADERS, MORE = 256, 1024, 2, 16
+HOT, PART, LEADERS, MORE = 256, 1024, 2, 4
 #: An odd multiplier of rolling sums, its inverse modulo 2^64, and shingles that a task passes on at once.
 BASE = 0xD1342543DE82EF95
 INVERSE = pow(BASE, -1, 1 << 64)
 SENT = 1 << 20
 #: Numbers of sets that are broadcast, 16 MB, and halves of hot hashes that tasks are given, 512 KB.
 BROADCAST, GIVEN = 1 << 20, 1 << 17
-#: Bits of the narrowest and the widest bitmap, words of bitmaps that are compared at once, and sets of a tile that is compared together with others.
-NARROW, WIDE, AT_ONCE, FEW = 64, 1 << 15, 1 << 20, 128
+#: Bits of the narrowest bitmap, the size up to which bitmaps are twice as wide, the widest, words of bitmaps that are compared at once, and sets of a tile that is compared together with others.
+NARROW, SMALL, WIDE, AT_ONCE, FEW = 128, 300, 1 << 15, 1 << 20, 128
 
 
 _powers = np.ones((2, 1), np.uint64)
@@ -97,8 +97,8 @@ def band_ends(percent: int, most: int = 1 << 40) -> list[int]:
 
 
 def bitmap_width(least: int) -> int:
-    """Bits of a band's bitmaps, more than its least size, up to the widest."""
-    return min(WIDE, max(NARROW, 1 << least.bit_length()))
+    """Bits of a band's bitmaps: more than its least size, twice as many for small sets, up to the widest."""
+    return min(WIDE, max(NARROW, 1 << (least if least > SMALL else 2 * least).bit_length()))
 
 
 def bitmap(hashes: np.ndarray, bits: int) -> bytes:
@@ -175,8 +175,15 @@ def _halves(hashes: np.ndarray) -> np.ndarray:
 
 
 def _given(halves: DataFrame) -> np.ndarray | None:
-    """``halves`` as an array, if they are few."""
-    return np.array([r["half"] for r in halves.collect()], np.int32) if halves.count() <= GIVEN else None
+    """``halves`` as a sorted array, if they are few."""
+    return np.sort(np.array([r["half"] for r in halves.collect()], np.int32)) if halves.count() <= GIVEN else None
+
+
+def _among(values: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """Whether each value is one of a sorted array's."""
+    if not len(given):
+        return np.zeros(len(values), bool)
+    return given[np.minimum(np.searchsorted(given, values), len(given) - 1)] == values
 
 
 def having_any(sets: DataFrame, halves: DataFrame) -> DataFrame:
@@ -189,7 +196,7 @@ def having_any(sets: DataFrame, halves: DataFrame) -> DataFrame:
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             firsts = [np.asarray(f, np.int64).view(np.uint64) for f in frame["first"]]
-            hit = np.isin(_halves(np.concatenate([*firsts, np.empty(0, np.uint64)])), given)
+            hit = _among(_halves(np.concatenate([*firsts, np.empty(0, np.uint64)])), given)
             ends = np.cumsum([0, *map(len, firsts)])
             before = np.concatenate(([0], np.cumsum(hit)))
             yield frame.loc[before[ends[1:]] > before[ends[:-1]], ["node"]]
@@ -209,7 +216,7 @@ def _anew(whole: DataFrame, halves: DataFrame, shingle: int, percent: int) -> Da
             firsts = []
             for text, last in zip(frame["_text"], [given] * len(frame) if given is not None else frame["last"], strict=True):
                 hashes = shingle_hashes(text, shingle)
-                late = np.isin(_halves(hashes), np.asarray(last, np.int32))
+                late = _among(_halves(hashes), last if given is not None else np.sort(np.asarray(last, np.int32)))
                 firsts.append(np.concatenate((hashes[~late], hashes[late]))[: first_places(len(hashes), percent)].view(np.int64))
             yield pd.DataFrame({"node": frame["node"], "first": firsts})
 
