@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyrock.constants import Thresholds
 from tallyrock.functions.narrative import country_risk, identifiable, is_crypto, is_self, is_vague
-from tallyrock.operators.identities import identities, resolve, with_cluster
+from tallyrock.operators.identities import resolved
 from tallyrock.operators.matching import greedy_match
 from tallyrock.operators.netting import money
 from tallyrock.sources.shared import cut
@@ -296,7 +296,7 @@ def features(txns: DataFrame, pairs: DataFrame, cases: DataFrame, limits: Thresh
     paired = pairs.groupBy("case_id").agg(money("amount_kwd").alias("paired_kwd"))
     sums = cut(sums_of(rows, limits).join(paired, "case_id", "left"), "sums")
     if clustered is None:
-        clustered = cut(with_cluster(ext, resolve(identities(ext))), "clustered")
+        clustered = resolved(ext)[2]
     days, matches, chains = cut(split_days(ext, limits), "days"), cut(dwell_matches(ext), "dwell"), cut(relay_chains(ext, pairs), "chains")
     burst, woken, parties = cut(bursts(ext), "bursts"), cut(dormancy(txns), "dormancy"), cut(party_sums(clustered), "parties")
     every = [

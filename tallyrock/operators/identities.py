@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyrock.functions.names import names_likely_same, parse_identity
 from tallyrock.operators.components import connected_components
+from tallyrock.sources.shared import cut
 
 
 def identities(txns: DataFrame, scope: str | None = "case_id", name: str = "counterparty_name") -> DataFrame:
@@ -56,3 +57,10 @@ def with_cluster(txns: DataFrame, clusters: DataFrame, scope: str | None = "case
     """``txns`` with ``cluster``, null where a name is unusable."""
     keyed = txns.withColumns({"scope": F.col(scope) if scope else F.lit(0), "key": parse_identity(F.col(name))["key"]})
     return keyed.join(clusters, ["scope", "key"], "left").drop("scope", "key")
+
+
+def resolved(txns: DataFrame, scope: str | None = "case_id", name: str = "counterparty_name") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(identities, their clusters, ``txns`` with ``cluster``); each is written once, as all steps read them."""
+    names = cut(identities(txns, scope, name), "identities")
+    clusters = cut(resolve(names), "clusters")
+    return names, clusters, cut(with_cluster(txns, clusters, scope, name), "clustered")

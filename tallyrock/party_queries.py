@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyrock.forensic_queries import HEAD, severity
 from tallyrock.operators import features as ft
-from tallyrock.operators import forensics, views
-from tallyrock.operators.identities import cluster_display, identities, resolve, with_cluster
+from tallyrock.operators import forensics, identities, views
 from tallyrock.queries import QUERIES, SELF, money, query, r3, written
-from tallyrock.sources.shared import cut
 
 
 def _covered(a: str, b: str) -> str:
@@ -30,11 +28,8 @@ resolved AS (SELECT spelled.*, cluster FROM spelled LEFT JOIN parties USING (cas
 
 
 def resolved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(identities, their clusters, external rows with clusters), each written once."""
-    ext = written(spark, sf_dir)[2]
-    names = cut(identities(ext), "identities")
-    clusters = cut(resolve(names), "clusters")
-    return names, clusters, cut(with_cluster(ext, clusters), "clustered")
+    """(identities, their clusters, external rows with clusters)"""
+    return identities.resolved(written(spark, sf_dir)[2])
 
 
 @query(f"WITH RECURSIVE {PARTIES} SELECT case_id AS scope, key, cluster FROM parties")
@@ -47,7 +42,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY case_id, cluster ORDER BY len(li
 SELECT case_id AS scope, cluster, display, 'name' AS kind FROM r WHERE r = 1""")
 def i4_cluster_display(spark, sf_dir):
     names, clusters, _ = resolved(spark, sf_dir)
-    return cluster_display(names, clusters)
+    return identities.cluster_display(names, clusters)
 
 
 @query(f"WITH RECURSIVE {PARTIES} SELECT id, cluster FROM resolved")

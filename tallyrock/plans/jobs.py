@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyrock.operators import features as ft
 from tallyrock.operators import forensics, netting, normalize, quality, sanctions, scoring, views
-from tallyrock.operators.identities import cluster_display, identities, resolve, with_cluster
+from tallyrock.operators.identities import cluster_display, resolved
 from tallyrock.sources.ledger import flag_ledger
 from tallyrock.sources.shared import cut
 
@@ -50,7 +50,7 @@ def score_cases(txns: DataFrame, cases: DataFrame, files: DataFrame | None = Non
     """
     pairs = cut(netting.find_internal_pairs(txns, cases), "pairs")
     ext = cut(netting.external(txns, pairs), "external")
-    clustered = cut(with_cluster(ext, resolve(identities(ext))), "clustered")
+    clustered = resolved(ext)[2]
     case_quality = quality.case_quality(files) if files is not None else None
     out = {"pairs": pairs} | score(txns, cases, pairs, case_quality, clustered)
     out["drivers"], out["ledger"] = scoring.drivers(out["scores"], out["features"], out["hits"]), flag_ledger(txns, pairs, out["hits"])
@@ -65,10 +65,9 @@ def score_cases(txns: DataFrame, cases: DataFrame, files: DataFrame | None = Non
 
 def shared_counterparties(external: DataFrame, cases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parties of several cases over one index of all spellings; see ``views.counterparty_intel``."""
-    names = cut(identities(external, scope=None), "identities")
-    clusters = cut(resolve(names), "clusters")
+    names, clusters, rows = resolved(external, scope=None)
     shown = cluster_display(names, clusters).select("cluster", "display", "kind")
-    return views.counterparty_intel(with_cluster(external, clusters, scope=None), cases, shown)
+    return views.counterparty_intel(rows, cases, shown)
 
 
 def portfolio(runs: DataFrame, dispositions: DataFrame, txns: DataFrame, cases: DataFrame) -> dict[str, DataFrame]:
