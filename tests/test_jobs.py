@@ -100,3 +100,71 @@ def test_given_labels_and_credit_values(spark, tmp_path):
     txns, reports = jobs.ingest(rows, files, cases, named)
     assert sorted((r["direction"], r["amount_kwd"], r["bank"], r["account_id"]) for r in txns.collect()) == [("credit", 5.0, "My Bank", "My Bank - main account"), ("debit", 6.0, "My Bank", "My Bank - main account")]
     assert reports.first()["notes"] == ["Header detected on sheet row 2.", "Column map: date=Date, amount=Amount, indicator=Side, narrative=[Details]", "Skipped 1 row: row without a parsable date (subtotal/footer)."]
+
+
+def entry_rows(version):
+    """Entries of two versions: some go, some come, some change their names."""
+    names = [f"{a} {b}" for a in ("OMAR", "ALI", "SALEM", "NOUR") for b in ("HASSAN", "TRADING", "SAID")]
+    kept = [(k, n) for k, n in enumerate(names) if (k + version) % 4]
+    return [("OFAC", f"E{k}", "entity", [], [{"text": t, "tokens": t.split(), "is_alias": j > 0} for j, t in enumerate([n] + ([f"{n} CO"] if version and k % 3 == 0 else []))]) for k, n in kept]
+
+
+def test_rescreening_of_changes_equals_screening_anew(spark, monkeypatch):
+    from tallyrock.operators import sanctions
+
+    schema = "list string, entry_id string, type string, programs array<string>, names array<struct<text:string,tokens:array<string>,is_alias:boolean>>"
+    old, new = (spark.createDataFrame(entry_rows(v), schema) for v in (0, 1))
+    asked = ["OMAR HASSAN", "ALI H SAID", "SALEM TRADING", "NOUR SAID", "ALI HASSAN OMAR", "NOBODY"]
+    names = spark.createDataFrame([(k % 2, f"name:{n}", n.split(), n, 1, False) for k, n in enumerate(asked)], "case_id long, key string, tokens array<string>, display string, n long, is_subject boolean")
+    rows = lambda df: sorted(tuple(r) for r in df.select("key", "entry_id", "tier", "listed_name").collect())
+    anew = rows(sanctions.screen(names, new))
+    assert rows(sanctions.rescreened(names, sanctions.screen(names, old), old, new)) == anew != rows(sanctions.screen(names, old))
+    runs = spark.createDataFrame([(k, k, dt.datetime(2025, 1, 1), "v1", 0, 0, 0) for k in (0, 1)], "id long, case_id long, created_at timestamp, list_version string, exact long, strong long, possible long")
+    # both lists are far too short to be believed
+    assert sanctions.rescreen_stale(runs, "v2", names, new).isEmpty()
+    monkeypatch.setattr(sanctions, "LEAST", {"OFAC": 1})
+    plain, changed = (sorted(tuple(r) for r in sanctions.rescreen_stale(runs, "v2", names, new, b).collect()) for b in (None, (sanctions.screen(names, old), old)))
+    assert plain == changed and plain
+
+
+def test_references_that_hold_each_other(spark):
+    import random
+    import re
+
+    from tallyrock.operators import views
+
+    r = random.Random(1)
+    text = lambda: "".join(r.choice("ab-1 ") for _ in range(r.randrange(1, 9)))
+    asked, known = [(k % 3, text()) for k in range(200)], [(k % 3, text()) for k in range(30)]
+    norm = lambda t: re.sub("[^a-z0-9]+", " ", t.lower()).strip()
+    good = lambda c, t: len(norm(t)) < 4 or any(x == c and len(norm(p)) >= 4 and (norm(p) in norm(t) or norm(t) in norm(p)) for x, p in known)
+    found = views.reference_audit(spark.createDataFrame([(c, "s", t) for c, t in asked], "case_id long, section string, reference string"), spark.createDataFrame(known, "case_id long, name string"))
+    assert {x["case_id"]: (x["checked"], x["valid"]) for x in found.collect()} == {c: (sum(x == c for x, _ in asked), sum(good(x, t) for x, t in asked if x == c)) for c in range(3)}
+
+
+def test_overlaps_against_all_pairs(spark):
+    import random
+
+    from tallyrock.operators import quality
+
+    r = random.Random(3)
+    day = lambda k: dt.date(2025, 1, 1) + dt.timedelta(k)
+    rows = [(1, k, r.sample(["A", "B", "C"], 2), s, s + r.choice((0, 1, 2, 5, 40))) for k in range(60) for s in [r.randrange(300)]]
+    files = spark.createDataFrame([(c, k, a, day(s), day(e)) for c, k, a, s, e in rows], "case_id long, file_id long, accounts array<string>, period_start date, period_end date")
+    want = {(x, a[1], b[1], min(a[4], b[4]) - max(a[3], b[3])) for a in rows for b in rows if a[1] < b[1] for x in set(a[2]) & set(b[2]) if min(a[4], b[4]) - max(a[3], b[3]) > 1}
+    assert {tuple(x)[1:] for x in quality.statement_overlap(files).collect()} == want
+
+
+def test_sinks_written_again(spark, tmp_path):
+    from tallyrock.sources.ledger import SCHEMAS, merge_flags, read_table, write_ledger
+
+    path = str(tmp_path / "ledger")
+    empty = spark.createDataFrame([], SCHEMAS["ledger"])
+    txns = spark.range(40).selectExpr("id % 4 as case_id", "id")
+    write_ledger(txns.select(*[jobs.F.col(f.name) if f.name in txns.columns else jobs.F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema]), path, 3)
+    pairs = spark.createDataFrame([(1, 7, 1, 5)], "case_id long, pair_id long, debit_id long, credit_id long")
+    hits = spark.createDataFrame([(1, "R", True, [1, 9]), (2, "R", True, [2])], "case_id long, rule_id string, fired boolean, txn_ids array<long>")
+    for _ in range(2):
+        merge_flags(spark, path, pairs, hits, spark.createDataFrame([(1,)], "case_id long"), 3)
+    back = {x["id"]: x for x in read_table(spark, "ledger", path).collect()}
+    assert len(back) == 40 and {k for k, x in back.items() if x["flags"]} == {1, 9} and {k for k, x in back.items() if x["is_internal_transfer"]} == {1, 5}
