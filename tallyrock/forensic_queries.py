@@ -44,13 +44,13 @@ def t3_concentration(spark, sf_dir):
 
 @query()
 def t4_sequences(spark, sf_dir):
-    return forensics.sequences(written(spark, sf_dir)[2])
+    return forensics.sequences(written(spark, sf_dir)[2]).select(*HEAD, F.array_join("txn_ids", ",").alias("ids"))
 
 
 @query()
 def t6_return_loops(spark, sf_dir):
     txns, pairs, _, _ = parts(spark, sf_dir)
-    return forensics.return_loops(txns, pairs)
+    return forensics.return_loops(txns, pairs).select(*HEAD, F.array_join("txn_ids", ",").alias("ids"))
 
 
 @query(f"""WITH b AS (SELECT case_id, counterparty_name AS c, count(DISTINCT bank) AS banks, {money('amount_kwd')} AS v FROM ext WHERE counterparty_name IS NOT NULL GROUP BY ALL HAVING count(DISTINCT bank) >= 2 AND {money('amount_kwd')} >= 1000)
@@ -82,7 +82,7 @@ def t9_role_specialisation(spark, sf_dir):
 
 @query()
 def t10_amount_echoes(spark, sf_dir):
-    return forensics.amount_echoes(written(spark, sf_dir)[2])
+    return forensics.amount_echoes(written(spark, sf_dir)[2]).select(*HEAD, F.array_join("txn_ids", ",").alias("ids"))
 
 
 @query(f"""WITH m AS (SELECT case_id, bank, direction, median(amount_kwd) AS mid FROM ext GROUP BY ALL HAVING count(*) >= 6),
