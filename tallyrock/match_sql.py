@@ -41,11 +41,13 @@ LOOPS = matched(
     f"SELECT a.case_id, a.id AS l, b.id AS r, {BY_DATE} FROM moves a JOIN moves b ON a.case_id = b.case_id AND a.src = b.dst AND a.dst = b.src AND a.src <> a.dst AND {DAYS.format(1, 30)} AND abs(a.amount_kwd - b.amount_kwd) / greatest(a.amount_kwd, b.amount_kwd) <= 0.1", shared=True,
 )
 
-queries.ORACLES["f12_f13_dwell"] = td.with_ledger(f"""WITH RECURSIVE {DWELL}, p AS (SELECT g.case_id, date_diff('day', a.posting_date, b.posting_date) AS gap, a.amount_kwd AS v FROM got g JOIN ext a ON a.id = g.l JOIN ext b ON b.id = g.r),
+queries.PLAIN["f12_f13_dwell"] = (f"""WITH RECURSIVE {DWELL}, p AS (SELECT g.case_id, date_diff('day', a.posting_date, b.posting_date) AS gap, a.amount_kwd AS v FROM got g JOIN ext a ON a.id = g.l JOIN ext b ON b.id = g.r),
 t AS (SELECT case_id, count(*) AS n, median(gap) AS mid, {money('CASE WHEN gap <= 3 THEN v END')} AS quick FROM p GROUP BY case_id), big AS (SELECT case_id, {money('amount_kwd')} AS v FROM ext WHERE direction = 'credit' AND amount_kwd >= 500 GROUP BY case_id),
 s AS (SELECT c.case_id, coalesce(t.n, 0) AS n, t.mid, coalesce(coalesce(t.quick, 0.0) / nullif(big.v, 0), 0.0) AS q FROM cases c LEFT JOIN t USING (case_id) LEFT JOIN big USING (case_id))
 SELECT case_id, 'dwell_median_days' AS key, CASE WHEN n >= 5 THEN {r3('mid')} ELSE 0.0 END AS value, CASE WHEN n < 5 THEN 'gated' WHEN mid <= 1.5 THEN 'critical' WHEN mid <= 3 THEN 'elevated' ELSE 'normal' END AS zone FROM s
 UNION ALL SELECT case_id, 'quick_out_share', {r3('q')}, {zone('q', 0.35, 0.6)} FROM s""")
+queries.ORACLES["f12_f13_dwell"] = td.with_ledger(queries.PLAIN["f12_f13_dwell"])
+QUICK = f"""WITH RECURSIVE {DWELL} SELECT g.case_id, count(*) AS n FROM got g JOIN ext a ON a.id = g.l JOIN ext b ON b.id = g.r WHERE b.posting_date - a.posting_date <= 3 GROUP BY g.case_id"""
 
 queries.ORACLES["t4_sequences"] = td.with_ledger(f"WITH RECURSIVE {SEQUENCES}, {PAIRED}, {shown(12)} SELECT case_id, 'TECH-SEQ-01' AS finding, {severity('n >= 8 OR v >= 30000', 'n >= 4 OR v >= 10000')}, CAST(n AS DOUBLE) AS metric, ids FROM t JOIN i USING (case_id) WHERE n >= 2 AND v >= 3000")
 queries.ORACLES["t10_amount_echoes"] = td.with_ledger(f"WITH RECURSIVE {ECHOES}, {PAIRED}, {shown(15)} SELECT case_id, 'TECH-XB-04' AS finding, {severity('n >= 5 OR v >= 30000', 'n >= 3 OR v >= 10000')}, CAST(n AS DOUBLE) AS metric, ids FROM t JOIN i USING (case_id) WHERE n >= 2 AND v >= 3000")

@@ -16,6 +16,8 @@ from tallyrock.sources.shared import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The same SQL without the ledger view's tables.
+PLAIN: dict[str, str] = {}
 LIMITS = Thresholds()
 
 
@@ -25,7 +27,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = td.with_ledger(sql)
+            ORACLES[f.__name__], PLAIN[f.__name__] = td.with_ledger(sql), sql
         return f
 
     return add
