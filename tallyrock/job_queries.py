@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyrock.forensic_queries import TOTALS, entries
-from tallyrock.operators import declarations, quality, sanctions, views
+from tallyrock.functions.names import name_similarity
+from tallyrock.operators.features import round3
+from tallyrock.operators import declarations, quality, sanctions, scoring, views
 from tallyrock.plans import jobs
 from tallyrock.plans import testdata as td
-from tallyrock.queries import ORACLES, QUERIES
+from tallyrock.queries import ORACLES, QUERIES, with_pairs
 from tallyrock.sources.ledger import SCHEMAS, merge_flags, read_statement_rows, read_table, write_ledger, write_runs
 from tallyrock.sources.shared import cut, new_path
 from tallyrock.view_queries import CHANNEL
@@ -351,3 +353,28 @@ def d10_intake_queue(spark, sf_dir):
 def s6_broken_declarations(spark, sf_dir):
     found = declarations.broken_declarations(spark, forms(spark, sf_dir)[0])
     return found.select(F.regexp_extract("line", r'"case_id":(\d+)', 1).cast("long").alias("case_id"))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Features, hits and scores of the ledger's cases by the quality of their files."""
+    txns, pairs, cases = with_pairs(spark, sf_dir)
+    return jobs.score(txns, cases, pairs, cut(quality.case_quality(files(spark, sf_dir)[1]), "quality"))
+
+
+@query()
+def b3_scores_by_quality(spark, sf_dir):
+    return scored(spark, sf_dir)["scores"].select("case_id", "probability", "log_odds", round3(F.col("shrink")).alias("shrink"), "n_fired")
+
+
+@query()
+def b5_drivers(spark, sf_dir):
+    out = scored(spark, sf_dir)
+    return scoring.drivers(out["scores"], out["features"], out["hits"]).select("case_id", F.inline("drivers")).select("case_id", "r", "source", "label", "contribution")
+
+
+@query(td.with_ledger("""WITH w AS (SELECT DISTINCT case_id, counterparty_name, subject_name, list_distinct(list_filter(string_split_regex(trim(regexp_replace(upper(coalesce(counterparty_name, '')), '[^A-Z ]+', ' ', 'g')), ' +'), lambda x: length(x) > 1)) AS a,
+ list_distinct(list_filter(string_split_regex(trim(regexp_replace(upper(coalesce(subject_name, '')), '[^A-Z ]+', ' ', 'g')), ' +'), lambda x: length(x) > 1)) AS b FROM ledger JOIN cases USING (case_id))
+SELECT case_id, counterparty_name, floor(coalesce(len(list_intersect(a, b)) / nullif(least(len(a), len(b)), 0), 0.0) * 1000 + 0.5) / 1000 AS similarity FROM w"""))
+def i6_name_similarity(spark, sf_dir):
+    rows = td.ledger(spark, sf_dir).join(td.cases(spark, sf_dir), "case_id").select("case_id", "counterparty_name", "subject_name").distinct()
+    return rows.select("case_id", "counterparty_name", round3(name_similarity(F.col("counterparty_name"), F.col("subject_name"))).alias("similarity"))

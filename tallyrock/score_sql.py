@@ -47,10 +47,20 @@ hot AS (SELECT f.* FROM features f WHERE zone IN ('elevated', 'critical') AND NO
 admitted AS (SELECT *, row_number() OVER (PARTITION BY case_id, zone ORDER BY list_position([{", ".join(f"'{k}'" for k in FEATURE_KEYS)}], key), key) AS r, count(*) FILTER (zone = 'critical') OVER (PARTITION BY case_id) AS c FROM hot),
 rest AS (SELECT case_id, CAST(sum(CASE zone WHEN 'critical' THEN 0.3 ELSE 0.15 END) AS DOUBLE) AS rest FROM admitted WHERE r <= CASE zone WHEN 'critical' THEN 3 ELSE 6 - 2 * least(c, 3) END GROUP BY case_id),
 ruled AS (SELECT case_id, CAST(sum(CAST(added AS DECIMAL(20,6))) AS DOUBLE) AS rules, CAST(max(floor) AS DOUBLE) AS floor, count(*) AS n_fired, string_agg(rule_id, ',' ORDER BY rule_id) AS names FROM fired GROUP BY case_id),
-base AS (SELECT c.case_id, coalesce(rest, 0.0) + coalesce(rules, 0.0) AS evidence, coalesce(floor, 0.0) AS least_p, coalesce(n_fired, 0) AS n_fired, names FROM cases c LEFT JOIN ruled USING (case_id) LEFT JOIN rest USING (case_id)),
-odds AS (SELECT *, ln(0.02 / 0.98) + evidence AS o FROM base), raised AS (SELECT *, 1 / (1 + exp(-o)) < least_p AS up FROM odds),
+rated AS (SELECT c.case_id, coalesce(rest, 0.0) + coalesce(rules, 0.0) AS evidence, coalesce(floor, 0.0) AS floor, coalesce(n_fired, 0) AS n_fired, names, coalesce(q.q, 1.0) AS q FROM cases c LEFT JOIN ruled USING (case_id) LEFT JOIN rest USING (case_id) LEFT JOIN known_quality q USING (case_id)),
+base AS (SELECT *, CASE WHEN q >= 0.9 THEN 1.0::DOUBLE ELSE greatest(0.55::DOUBLE, q / 0.9) END AS shrink, CASE WHEN q < 0.7 THEN floor * 0.75 ELSE floor END AS least_p FROM rated),
+odds AS (SELECT *, ln(0.02 / 0.98) + evidence * shrink AS o FROM base), raised AS (SELECT *, 1 / (1 + exp(-o)) < least_p AS up FROM odds),
 scored AS (SELECT *, least(0.97, CASE WHEN up THEN least_p ELSE 1 / (1 + exp(-o)) END) AS p, CASE WHEN up THEN ln(least_p / (1 - least_p)) ELSE o END AS lo FROM raised)"""
 
 ORACLES["features_all"] = td.with_ledger(f"WITH {FEATURES} SELECT * FROM features")
-ORACLES["rules_and_score"] = td.with_ledger(f"""WITH {SCORES} SELECT case_id, floor(p * 10000 + 0.5) / 10000 AS probability, {r3('lo')} AS log_odds, CASE WHEN p < 0.05 THEN 'Low' WHEN p < 0.2 THEN 'Moderate' WHEN p < 0.5 THEN 'Elevated' WHEN p < 0.8 THEN 'High' ELSE 'Critical' END AS band,
- evidence, 1.0::DOUBLE AS shrink, n_fired, names AS rules FROM scored""")
+#: Quality of 1 for all cases, and that of the cases' files.
+ONE = "known_quality AS (SELECT case_id, 1.0::DOUBLE AS q FROM cases)"
+OF_FILES = "known_quality AS (SELECT case_id, sum(quality * greatest(1, rows_parsed)) / sum(greatest(1, rows_parsed)) AS q FROM files GROUP BY case_id)"
+ORACLES["rules_and_score"] = td.with_ledger(f"""WITH {ONE}, {SCORES} SELECT case_id, floor(p * 10000 + 0.5) / 10000 AS probability, {r3('lo')} AS log_odds, CASE WHEN p < 0.05 THEN 'Low' WHEN p < 0.2 THEN 'Moderate' WHEN p < 0.5 THEN 'Elevated' WHEN p < 0.8 THEN 'High' ELSE 'Critical' END AS band,
+ evidence, shrink, n_fired, names AS rules FROM scored""")
+PRIOR = "ln(0.02 / 0.98)"
+ORACLES["b3_scores_by_quality"] = td.with_files(f"WITH {OF_FILES}, {SCORES} SELECT case_id, floor(p * 10000 + 0.5) / 10000 AS probability, {r3('lo')} AS log_odds, {r3('shrink')} AS shrink, n_fired FROM scored")
+ORACLES["b5_drivers"] = td.with_files(f"""WITH {OF_FILES}, {SCORES}, parts AS (SELECT case_id, 'prior' AS source, 'prior' AS label, {PRIOR} AS c FROM base UNION ALL SELECT case_id, 'rule', rule_id, added * shrink FROM fired JOIN base USING (case_id)
+ UNION ALL SELECT case_id, 'feature', key, CASE zone WHEN 'critical' THEN 0.3::DOUBLE ELSE 0.15::DOUBLE END * shrink FROM admitted JOIN base USING (case_id) WHERE r <= CASE zone WHEN 'critical' THEN 3 ELSE 6 - 2 * least(c, 3) END
+ UNION ALL SELECT case_id, 'data_quality', 'data_quality', evidence * shrink - evidence FROM base WHERE shrink < 1 AND evidence > 0), told AS (SELECT case_id, source, label, {r3('c')} AS contribution FROM parts)
+SELECT * FROM (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY abs(contribution) DESC, source, label) AS r, source, label, contribution FROM told) WHERE r <= 16""")
