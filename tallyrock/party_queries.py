@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tallyrock.forensic_queries import HEAD, severity
 from tallyrock.operators import features as ft
 from tallyrock.operators import forensics, identities, views
-from tallyrock.queries import QUERIES, SELF, money, query, r3, written
+from tallyrock.plans import testdata as td
+from tallyrock.queries import ORACLES, SELF, money, query, r3, written
 
 
 def _covered(a: str, b: str) -> str:
@@ -88,4 +89,9 @@ def r10_resolved_nodes(spark, sf_dir):
     return nodes.select("case_id", "node", "kind", "inflow", "outflow", "n", "flagged", F.array_join("flagged_ids", ",").alias("flagged_ids"), "country", "tail")
 
 
-__all__ = ["QUERIES"]
+#: The same over all cases: one scope, so that spellings of several cases meet.
+EVERYWHERE = PARTIES.replace("keys AS (SELECT DISTINCT case_id, key", "keys AS (SELECT DISTINCT 0 AS case_id, key").replace("parties USING (case_id, key)", "(SELECT key, cluster FROM parties) USING (key)")
+
+ORACLES["r3_counterparty_intel"] = td.with_ledger(f"""WITH RECURSIVE {EVERYWHERE}, b AS (SELECT cluster, case_id, count(*) AS n, {money('amount_kwd')} AS total, {money("CASE WHEN direction = 'credit' THEN amount_kwd END")} AS inflow, {money("CASE WHEN direction = 'debit' THEN amount_kwd END")} AS outflow FROM resolved WHERE cluster IS NOT NULL GROUP BY ALL),
+g AS (SELECT cluster, count(*) AS cases, {money('total')} AS total FROM b GROUP BY cluster HAVING count(*) >= 2), top AS (SELECT cluster FROM g ORDER BY cases DESC, total DESC, cluster LIMIT 200)
+SELECT b.cluster, b.case_id, subject_name, n, total, inflow, outflow FROM b JOIN top USING (cluster) LEFT JOIN cases USING (case_id)""")
