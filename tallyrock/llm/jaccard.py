@@ -46,7 +46,7 @@ SENT = 1 << 20
 #: Numbers of sets that are broadcast, 16 MB, and halves of hot hashes that tasks are given, 512 KB.
 BROADCAST, GIVEN = 1 << 20, 1 << 17
 #: Bits of the narrowest bitmap, the size up to which bitmaps are twice as wide, the widest, words of bitmaps that are compared at once, and sets of a tile that is compared together with others.
-NARROW, SMALL, WIDE, AT_ONCE, FEW = 128, 300, 1 << 15, 1 << 20, 128
+NARROW, SMALL, WIDE, AT_ONCE, FEW = 128, 300, 1 << 15, 1 << 19, 64
 
 
 _powers = np.ones((2, 1), np.uint64)
@@ -314,20 +314,31 @@ def _columns(frame: pd.DataFrame) -> dict:
     return {c: frame[c].to_numpy() for c in ("node", "n", "class")} | {"member": frame["member"].to_numpy(bool), "bits": frame["bits"].to_numpy()}
 
 
-def _best(tile: np.ndarray, a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, bound: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs, tiles): the ``budget`` best pairs of each two classes of a tile, and the tiles that have more."""
-    a, b, x, y = np.minimum(a, b), np.maximum(a, b), np.minimum(x, y), np.maximum(x, y)
-    order = np.lexsort((b, a, -bound, y, x, tile))
-    kinds = np.stack((tile, x, y))[:, order]
-    first = np.concatenate(([True], (kinds[:, 1:] != kinds[:, :-1]).any(axis=0)))[: len(order)]
-    place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-    kept = place < budget
-    return np.stack((a, b), axis=1)[order[kept]], np.unique(tile[order[~kept]])
+class _Best:
+    """The ``budget`` best pairs of each two classes of a tile, and the tiles that have more; what is added is reduced at once."""
+
+    def __init__(self, budget: int) -> None:
+        self.budget, self.held, self.more = budget, np.empty((6, 0), np.int64), np.empty(0, np.int64)
+
+    def add(self, tile: np.ndarray, a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, bound: np.ndarray) -> None:
+        if not len(a):
+            return
+        # tile, lesser and greater class, falling bound, pair
+        rows = np.concatenate((self.held, np.stack((tile, np.minimum(x, y), np.maximum(x, y), -bound, np.minimum(a, b), np.maximum(a, b)))), axis=1)
+        rows = rows[:, np.lexsort(rows[::-1])]
+        first = np.concatenate(([True], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)))
+        at = np.arange(rows.shape[1])
+        kept = at - np.maximum.accumulate(np.where(first, at, 0)) < self.budget
+        self.more = np.union1d(self.more, rows[0, ~kept])
+        self.held = rows[:, kept]
+
+    def pairs(self) -> np.ndarray:
+        return self.held[4:].T
 
 
 def _small_tiles(frame: pd.DataFrame, tile: np.ndarray, percent: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """Of whole tiles of few rows: each row is compared with the one so many places behind it, for all tiles at once."""
-    x, found = _columns(frame), []
+    x, best = _columns(frame), _Best(budget)
     for band in np.unique(frame["band"].to_numpy()):
         rows = np.nonzero(frame["band"].to_numpy() == band)[0]
         bits = np.frombuffer(b"".join(x["bits"][rows]), "<u8").reshape(len(rows), -1)
@@ -344,11 +355,9 @@ def _small_tiles(frame: pd.DataFrame, tile: np.ndarray, percent: int, budget: in
             for at in range(0, len(fit), size):
                 some = fit[at : at + size]
                 good, bound = _may_be_alike(x, i[some], j[some], bits[left[some]], bits[left[some] + apart], percent)
-                found.append((i[some][good], j[some][good], bound))
-    if not found:
-        return np.empty((0, 2), np.int64), np.empty(0, np.int64)
-    i, j, bound = map(np.concatenate, zip(*found, strict=True))
-    return _best(tile[i], x["node"][i], x["node"][j], x["class"][i], x["class"][j], bound, budget)
+                p, q = i[some][good], j[some][good]
+                best.add(tile[p], x["node"][p], x["node"][q], x["class"][p], x["class"][q], bound)
+    return best.pairs(), best.more
 
 
 class _Tile:
@@ -360,7 +369,7 @@ class _Tile:
 
     def pairs(self, asking: pd.DataFrame, own: bool, percent: int, budget: int) -> tuple[np.ndarray, bool]:
         """The best pairs of held and asking sets, and whether there are more."""
-        held, x, found = self.held, _columns(asking), []
+        held, x, best = self.held, _columns(asking), _Best(budget)
         size = max(1, AT_ONCE // max(1, self.bits.size))
         for at in range(0, len(asking), size):
             n, kind, node = (x[c][at : at + size, None] for c in ("n", "class", "node"))
@@ -373,12 +382,9 @@ class _Tile:
             for k in range(0, len(i), max(1, AT_ONCE // bits.shape[1])):
                 p, q = (v[k : k + max(1, AT_ONCE // bits.shape[1])] for v in (i, j))
                 good, bound = _may_be_alike(both, p, q + len(n), bits[p], self.bits[q], percent)
-                found.append((p[good] + at, q[good], bound))
-        if not found:
-            return np.empty((0, 2), np.int64), False
-        i, j, bound = map(np.concatenate, zip(*found, strict=True))
-        out, more = _best(np.zeros(len(i), np.int64), x["node"][i], held["node"][j], x["class"][i], held["class"][j], bound, budget)
-        return out, len(more) > 0
+                p, q = p[good] + at, q[good]
+                best.add(np.zeros(len(p), np.int64), x["node"][p], held["node"][q], x["class"][p], held["class"][q], bound)
+        return best.pairs(), len(best.more) > 0
 
 
 def _pairs_of(frames: Iterator[pd.DataFrame], keys: list[str], percent: int, budget: int) -> Iterator[pd.DataFrame]:
