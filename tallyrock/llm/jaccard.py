@@ -513,7 +513,7 @@ WITH RECURSIVE split AS (
   SELECT row_number() OVER () AS uid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
 sets AS (
   SELECT uid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
-    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {SHINGLE} + 2), lambda k: array_to_string(w[k : k + {SHINGLE} - 1], ' ')))) END AS s FROM split),
+    ELSE list_sort(list_distinct(list_transform(list_zip({", ".join(f"w[{k + 1} : len(w) - {SHINGLE - 1 - k}]" for k in range(SHINGLE))}), lambda x: concat_ws(' ', {", ".join(f"x[{k + 1}]" for k in range(SHINGLE))})))) END AS s FROM split),
 kinds AS (SELECT min(uid) AS node, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
 grams AS (SELECT node, n, unnest(s) AS g FROM kinds),
 both_have AS (SELECT a.node AS a, b.node AS b, a.n AS na, b.n AS nb, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.node < b.node GROUP BY ALL),
