@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyrock.forensic_queries import TOTALS, entries
 from tallyrock.functions.names import name_similarity
+from tallyrock.functions.narrative import extract_party
 from tallyrock.operators.features import round3
-from tallyrock.operators import declarations, quality, sanctions, scoring, views
+from tallyrock.operators import declarations, normalize, quality, sanctions, scoring, views
 from tallyrock.plans import jobs
 from tallyrock.plans import testdata as td
 from tallyrock.queries import ORACLES, QUERIES, with_pairs
@@ -378,3 +379,31 @@ SELECT case_id, counterparty_name, floor(coalesce(len(list_intersect(a, b)) / nu
 def i6_name_similarity(spark, sf_dir):
     rows = td.ledger(spark, sf_dir).join(td.cases(spark, sf_dir), "case_id").select("case_id", "counterparty_name", "subject_name").distinct()
     return rows.select("case_id", "counterparty_name", round3(name_similarity(F.col("counterparty_name"), F.col("subject_name"))).alias("similarity"))
+
+
+@query("""SELECT c_custkey AS id, CASE c_custkey % 8 WHEN 0 THEN 'InstaPay ' || (1000000 + c_custkey) WHEN 1 THEN 'SALEM ' || c_mktsegment WHEN 2 THEN 'Account ' || (10000 + c_custkey) WHEN 3 THEN 'Account ' || (20000 + c_custkey) WHEN 4 THEN 'Account ' || (30000 + c_custkey)
+ WHEN 5 THEN 'OMAR ' || c_mktsegment WHEN 6 THEN 'NOUR ' || c_mktsegment END AS party FROM customer""")
+def n10_extract_counterparty(spark, sf_dir):
+    k = F.col("c_custkey")
+    told = [
+        F.concat(F.lit("InstaPay Credit : 865887-"), 1000000 + k), F.concat(F.lit("Transfer from: SALEM "), "c_mktsegment", F.lit(" | ref 5")), F.concat(F.lit("TRANSFER TO "), 10000 + k), F.concat(F.lit("Account transfer from "), 20000 + k),
+        F.concat(F.lit("INTERNAL OPERATIONS To  # "), 30000 + k), F.concat(F.lit("INWARD SWIFT PAYMENT # X | 46000.000 KWD,OMAR "), "c_mktsegment", F.lit(" | z")), F.concat(F.lit("POS PRCH\nNOUR "), "c_mktsegment", F.lit("   SHUWEKH  KWT")), F.lit("Monthly fee"),
+    ]
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    narrative = F.coalesce(*[F.when(k % len(told) == n, t) for n, t in enumerate(told)])
+    return rows.select(k.alias("id"), extract_party(narrative).alias("party"))
+
+
+INDICATORS, KINDS = ("C", "DR", None, "credit note", "سحب"), ("Debit card", "credit", None)
+
+
+@query("""WITH r AS (SELECT c_custkey AS k, c_custkey % 5 = 0 AND c_custkey > 0 AS d, c_custkey % 7 = 0 AND c_custkey > 0 AS c, c_custkey % 11 = 0 AS none, c_custkey % 2 = 0 AS negative, c_custkey % 4 AS i, c_custkey % 3 AS t FROM customer)
+SELECT k AS id, CASE WHEN d AND c THEN NULL WHEN d THEN 'debit' WHEN c THEN 'credit' WHEN none THEN NULL WHEN i IN (0, 3) THEN 'credit' WHEN i = 1 THEN 'debit' WHEN t = 0 THEN 'debit' WHEN t = 1 THEN 'credit' WHEN negative THEN 'debit' ELSE 'credit' END AS direction,
+ CASE WHEN (d AND c) OR (NOT d AND NOT c AND none) THEN NULL ELSE CAST(k AS DOUBLE) END AS amount, CASE WHEN d AND c THEN 'both_sides' WHEN NOT d AND NOT c AND none THEN 'no_amount' END AS reason FROM r""")
+def n6_resolve_direction(spark, sf_dir):
+    k = F.col("c_custkey")
+    value = lambda when, v: F.when(when, v).cast("double")
+    pick = lambda values, n: F.coalesce(*[F.when(k % n == j, v) for j, v in enumerate(values) if v], F.lit(None).cast("string"))
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    found = normalize.resolve_direction(value(k % 5 == 0, k), value(k % 7 == 0, k), value(k % 11 != 0, F.when(k % 2 == 0, -k).otherwise(k)), pick(INDICATORS[:4], 4), pick(KINDS, 3))
+    return rows.select(k.alias("id"), found.alias("f")).select("id", "f.*")
