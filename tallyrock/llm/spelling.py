@@ -52,9 +52,9 @@ def counted_words(docs: DataFrame, id_col: str, text: str, least: int = LEAST_CH
                         run = run[: h % len(run)] + run[h % len(run) + 1 :]
                     counts[run] += n
                 if len(counts) > HELD:
-                    yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+                    yield pd.DataFrame({"word": pd.Series(list(counts), dtype=object), "n": list(counts.values())})
                     counts.clear()
-        yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+        yield pd.DataFrame({"word": pd.Series(list(counts), dtype=object), "n": list(counts.values())})
 
     rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text).alias("_text"))
     return rows.mapInPandas(of, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -200,10 +200,10 @@ def _near_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     index = BidirectionalIndex(words)
                     out += held()
                 out += ask(run.loc[~member, "word"].tolist(), run.loc[~member, "n"].tolist())
-        yield pd.DataFrame(out, columns=["a", "n_a", "b", "n_b"])
+        yield pd.DataFrame(out, columns=["a", "n_a", "b", "n_b"], dtype=object)
     if len(words) > 1 and index is None:
         index = BidirectionalIndex(words)
-        yield pd.DataFrame(list(held()), columns=["a", "n_a", "b", "n_b"])
+        yield pd.DataFrame(list(held()), columns=["a", "n_a", "b", "n_b"], dtype=object)
 
 
 def near_words(words: DataFrame, least: int = LEAST_CHARS, letters: int = LETTERS) -> DataFrame:
@@ -221,7 +221,9 @@ def near_words(words: DataFrame, least: int = LEAST_CHARS, letters: int = LETTER
     asked = F.when(F.col("size") == F.col("short"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))
     rows = rows.withColumn("part", F.explode(asked)).select("right", "short", "shard", "part", (F.col("own") == F.col("part")).alias("member"), "word", "n")
     keys = ["right", "short", "shard", "part"]
-    found = rows.repartition(*keys).sortWithinPartitions(*keys, F.desc("member"), "word").mapInPandas(_near_of, "a string, n_a long, b string, n_b long")
+    # a number of partitions of its own: the rows are few bytes but much work, and Spark would put them into few tasks
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.repartition(parts, *keys).sortWithinPartitions(*keys, F.desc("member"), "word").mapInPandas(_near_of, "a string, n_a long, b string, n_b long")
     there = found.select(F.col("a").alias("word"), F.col("n_a").alias("n"), F.col("b").alias("near"), F.col("n_b").alias("n_near"))
     back = found.select(F.col("b").alias("word"), F.col("n_b").alias("n"), F.col("a").alias("near"), F.col("n_a").alias("n_near"))
     return there.union(back).distinct()
