@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The tables of the innermost ``scratch`` block.
+_tables: ContextVar[list[DataFrame] | None] = ContextVar("tables", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one where it is unset and all tasks run in this process, as in tests."""
@@ -33,6 +39,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    if (tables := _tables.get()) is not None:
+        tables.append(out)
     return out
 
 
@@ -41,3 +49,27 @@ def drop_table(df: DataFrame) -> None:
     spark = df.sparkSession
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._cut_path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that ``cut`` writes in the block are removed at its end, but for those given to what it yields.
+
+    Those belong to the block around it, if there is one. What comes out of a block is such a table, or reads none of it.
+    """
+    tables: list[DataFrame] = []
+    around = _tables.get()
+
+    def keep(table: DataFrame) -> DataFrame:
+        tables.remove(table)
+        if around is not None:
+            around.append(table)
+        return table
+
+    mark = _tables.set(tables)
+    try:
+        yield keep
+    finally:
+        _tables.reset(mark)
+        for table in tables:
+            drop_table(table)
