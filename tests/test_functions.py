@@ -18,6 +18,19 @@ def test_identity_strings(spark):
     assert keys == ["acct:100600XXXX", "ip:6999XXXX", "name:ALBURAIMI AUTO RENT", "name:ALBURAIMI AUTO RENT", "name:ANWAR ALHAMAD", None, None, "name:CO", None]
 
 
+def test_a_spelling_is_parsed_once(spark, monkeypatch):
+    tables, cut = {}, identities.cut
+    monkeypatch.setattr(identities, "cut", lambda df, name: tables.setdefault(name, cut(df, name)))
+    rows = [(k % 3, k, n) for k in range(60) for n in ("ALI HASSAN", "Ali  Hassan", "ALI H", None, "CO", " ")] + [(None, 99, "ALI H")]
+    names, clusters, got = identities.resolved(spark.createDataFrame(rows, "case_id long, id long, counterparty_name string"))
+    assert tables["spellings"].count() == 6 and tables["said"].count() == 13
+    assert {(r["scope"], r["display"], r["n"]) for r in names.where("scope is not null").collect()} == {(c, n, 20) for c in range(3) for n in ("ALI HASSAN", "Ali Hassan", "ALI H", "CO")}
+    assert got.columns == ["case_id", "id", "counterparty_name", "cluster"] and got.count() == len(rows)
+    told = {(r["counterparty_name"], r["cluster"]) for r in got.where("case_id is not null").collect()}
+    assert told == {("ALI HASSAN", "name:ALI H"), ("Ali  Hassan", "name:ALI H"), ("ALI H", "name:ALI H"), ("CO", "name:CO"), (None, None), (" ", None)}
+    assert sorted(got.columns) == sorted(identities.with_cluster(got.drop("cluster"), clusters).columns)
+
+
 def test_variants_of_a_name(spark):
     rows = [(1, n) for n in ("ANWAR H A", "ANWAR H", "ANWAR HAMAD ALI", "MOHAMMED A", "MOHAMMED K", "FAISAL AL MUTAIRI", "FAISAL AL AZMI", "AL RASHID TRADING", "Al Rashid  Trading", "RASHID", "Account 123X")] + [(2, "ANWAR H")]
     df = spark.createDataFrame(rows, "case_id long, counterparty_name string")
