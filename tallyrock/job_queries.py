@@ -195,7 +195,7 @@ def x5_rescreen_stale(spark, sf_dir):
     new = cut(entries(spark, sf_dir), "entries")
     mark = F.abs(F.xxhash64("entry_id")) % 5
     old = new.where(mark != 0).withColumn("names", F.when(mark == 1, F.slice("names", 1, 1)).otherwise(F.col("names")))
-    txns, cases = td.ledger(spark, sf_dir), td.cases(spark, sf_dir)
+    txns, cases = cut(td.ledger(spark, sf_dir), "ledger"), td.cases(spark, sf_dir)
     names = cut(sanctions.names_to_screen(txns, cases), "asked")
     matches = cut(sanctions.screen(names, old), "matches")
     return jobs.rescreen(screened_runs(spark, sf_dir), txns, cases, new, "v2", (matches, old))
