@@ -2,6 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tallyrock import forensic_queries
 from tallyrock.functions import names, narrative
 from tallyrock.operators import declarations, forensics, identities, matching, netting, normalize, sanctions
 from tallyrock.operators.components import connected_components
@@ -301,3 +302,13 @@ def test_declarations(spark):
     assert values(spark, ["٢٥/١٢/٢٠٢٠", "2020/1/2", "soon"], declarations.form_date) == ["2020-12-25", "2020-01-02", "soon"]
     assert values(spark, ["+965 9999 8888", "1234"], declarations.kuwait_phone) == ["99998888", None]
     assert values(spark, ["إدارة-أعمال", None], declarations.arabic_key) == ["اداره اعمال", None]
+
+
+def test_return_loops_query_shows_whole_loops(spark, monkeypatch):
+    loop = (("A", "1", "debit"), ("B", "2", "credit"), ("B", "2", "debit"), ("A", "1", "credit"))
+    txns = ledger(spark, [(b, a, f"2026-{m:02d}-{1 + k // 2:02d}", d, 5000 * 2**m, None) for m in range(1, 10) for k, (b, a, d) in enumerate(loop)])
+    day = lambda i: dt.date(2026, 1 + i // 4, 1 + i % 4 // 2)
+    pairs = spark.createDataFrame([(1, i, i + 1, i + 2, 5000.0 * 2 ** (1 + i // 4), day(i), day(i)) for i in range(0, 36, 2)], "case_id long, pair_id long, debit_id long, credit_id long, amount_kwd double, debit_date date, credit_date date")
+    monkeypatch.setattr(forensic_queries, "parts", lambda *_: (txns, pairs, None, None))
+    found = forensic_queries.t6_return_loops(spark, "").first()
+    assert found["metric"] == 9.0 and found["ids"] == ",".join(str(i) for i in range(1, 29))
