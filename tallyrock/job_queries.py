@@ -359,7 +359,7 @@ def s6_broken_declarations(spark, sf_dir):
 def scored(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Features, hits and scores of the ledger's cases by the quality of their files."""
     txns, pairs, cases = with_pairs(spark, sf_dir)
-    return jobs.score(txns, cases, pairs, cut(quality.case_quality(files(spark, sf_dir)[1]), "quality"))
+    return jobs.score(txns, cases, pairs, cut(quality.case_quality(files(spark, sf_dir)[1]), "quality"), shown=True)
 
 
 @query()

@@ -64,7 +64,9 @@ def file_issues(counts: DataFrame, balances: DataFrame, duplicates: DataFrame) -
 def case_quality(files: DataFrame) -> DataFrame:
     """(case_id, quality, issue): mean of the files' quality by their rows, and what to say of one below the gate."""
     weight = F.greatest(F.lit(1), F.col("rows_parsed"))
-    found = files.groupBy("case_id").agg((F.sum(F.col("quality") * weight) / F.sum(weight)).alias("quality"))
+    # a sum of doubles would depend on the order of the files
+    total = F.sum((F.col("quality") * weight).cast("decimal(30,12)")).cast("double")
+    found = files.groupBy("case_id").agg((total / F.sum(weight)).alias("quality"))
     said = F.format_string("Consolidated data quality %.2f is below the 0.70 gate", "quality")
     return found.withColumn("issue", F.when(F.col("quality") < QUALITY_GATE, said))
 

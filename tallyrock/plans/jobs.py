@@ -36,9 +36,9 @@ def ingest(rows: DataFrame, files: DataFrame, cases: DataFrame, supplied: DataFr
     return txns, report.join(totals, "file_id", "left").join(banks, "file_id").join(files, "file_id")
 
 
-def score(txns: DataFrame, cases: DataFrame, pairs: DataFrame, case_quality: DataFrame | None = None, clustered: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Features, hits and scores of a ledger whose own pairs are known; each is written once."""
-    found, evidence = ft.features(txns, pairs, cases, clustered=clustered)
+def score(txns: DataFrame, cases: DataFrame, pairs: DataFrame, case_quality: DataFrame | None = None, clustered: DataFrame | None = None, shown: bool = False) -> dict[str, DataFrame]:
+    """Features, hits and scores of a ledger whose own pairs are known; each is written once. ``shown`` as in ``features``."""
+    found, evidence = ft.features(txns, pairs, cases, clustered=clustered, shown=shown)
     hits = cut(scoring.evaluate_rules(found, evidence), "hits")
     return {"features": found, "hits": hits, "scores": cut(scoring.posterior(cases, found, hits, case_quality), "scores")}
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyrock import forensic_queries
 from tallyrock.functions import names, narrative
-from tallyrock.operators import declarations, forensics, identities, matching, netting, normalize, sanctions
+from tallyrock.operators import declarations, features, forensics, identities, matching, netting, normalize, quality, sanctions
 from tallyrock.operators.components import connected_components
 
 
@@ -312,3 +312,22 @@ def test_return_loops_query_shows_whole_loops(spark, monkeypatch):
     monkeypatch.setattr(forensic_queries, "parts", lambda *_: (txns, pairs, None, None))
     found = forensic_queries.t6_return_loops(spark, "").first()
     assert found["metric"] == 9.0 and found["ids"] == ",".join(str(i) for i in range(1, 29))
+
+
+def test_zones_of_shown_values(spark):
+    cases = spark.createDataFrame([(1,), (2,)], "case_id long")
+    found = spark.createDataFrame([(1, 2.4996), (2, 2.4994)], "case_id long, z double")
+    parties = spark.createDataFrame([(1, 3, 0.6496, 1), (2, 2, 0.9, 0)], "case_id long, parties long, hhi double, fan_in long")
+    zones = lambda df: {(r["case_id"], r["key"]): (r["value"], r["zone"]) for r in df.collect()}
+    key, hhi = "velocity_burst_z", "counterparty_concentration_hhi"
+    assert zones(features.burst_feature(cases, found)) == {(1, key): (2.5, "normal"), (2, key): (2.499, "normal")}
+    assert zones(features.burst_feature(cases, found, True)) == {(1, key): (2.5, "elevated"), (2, key): (2.499, "normal")}
+    assert zones(features.party_features(cases, parties))[1, hhi] == (0.65, "elevated")
+    assert (shown := zones(features.party_features(cases, parties, True)))[1, hhi] == (0.65, "critical") and shown[2, hhi] == (0.0, "gated")
+
+
+def test_quality_of_a_case_in_any_order(spark):
+    rows = [(1, k, q, n) for k, (q, n) in enumerate([(0.1, 3), (0.7, 1), (0.2, 7), (0.61, 1), (0.93, 5)] * 40)]
+    files = spark.createDataFrame(rows, "case_id long, file_id long, quality double, rows_parsed long")
+    orders = [files.coalesce(1).orderBy(o) for o in ("file_id", F.desc("file_id"), "quality", F.desc("quality"))]
+    assert {quality.case_quality(o).first()["quality"] for o in orders} == {sum(round(100 * q) * n for _, _, q, n in rows) / 100 / sum(n for *_, n in rows)}
