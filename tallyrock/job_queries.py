@@ -319,7 +319,8 @@ def d1_declaration_items(spark, sf_dir):
  CASE k % 4 WHEN 0 THEN 1250.0::DOUBLE WHEN 3 THEN CAST(900 + k AS DOUBLE) END AS salary, concat_ws(',', CASE WHEN k % 5 <> 0 THEN 'name' END, CASE WHEN k % 3 = 0 THEN 'phone' END) AS uncertain, CASE WHEN k % 5 = 0 THEN 'name' ELSE '' END AS noted FROM f""")
 def d2_declarants(spark, sf_dir):
     people = declarations.scrub_placeholders(declarations.declarants(forms(spark, sf_dir)[1]), ["name", "occupation"])
-    marked = declarations.flag_uncertain(people.withColumn("noted", F.array_join("uncertain", ",")))
+    # numbers that Kuwait gives to subscribers; others of eight digits, as 12 and a key of six figures, are misread
+    marked = declarations.flag_uncertain(people.withColumn("noted", F.array_join("uncertain", ",")), first="24569")
     return marked.select("case_id", "name", "civil_id", "phone", "nationality", "salary", F.array_join("uncertain", ",").alias("uncertain"), "noted")
 
 

@@ -211,11 +211,14 @@ def drop_example_rows(items: DataFrame) -> DataFrame:
     return items.where(~is_example())
 
 
-def flag_uncertain(people: DataFrame) -> DataFrame:
-    """Declarants with implausible ids, phones and names marked, ids and phones cleaned, and a salary of 0 as null."""
+def flag_uncertain(people: DataFrame, first: str = "0123456789") -> DataFrame:
+    """Declarants with implausible ids, phones and names marked, ids and phones cleaned, and a salary of 0 as null.
+
+    A phone has eight digits, the first of them one of ``first``.
+    """
     phones = [c for c in ("phone", "home_phone", "work_phone") if c in people.columns]
     bad = {"civil_id": F.col("civil_id").isNotNull() & civil_id(F.col("civil_id")).isNull(), "name": misread_name(F.col("name"))}
-    bad |= {c: F.col(c).isNotNull() & kuwait_phone(F.col(c)).isNull() for c in phones}
+    bad |= {c: F.col(c).isNotNull() & ~F.coalesce(F.substring(kuwait_phone(F.col(c)), 1, 1).isin(*first), F.lit(False)) for c in phones}
     marks = F.array_compact(F.array(*[F.when(v, k) for k, v in bad.items()]))
     cleaned = {"civil_id": F.coalesce(civil_id(F.col("civil_id")), F.col("civil_id"))} | {c: F.when(bad[c], western_digits(F.col(c))).otherwise(F.col(c)) for c in phones}
     return people.withColumns({"uncertain": marks, "salary": F.when(F.col("salary") != 0, F.col("salary"))} | cleaned)

@@ -314,6 +314,13 @@ def test_return_loops_query_shows_whole_loops(spark, monkeypatch):
     assert found["metric"] == 9.0 and found["ids"] == ",".join(str(i) for i in range(1, 29))
 
 
+def test_phones_that_no_subscriber_has(spark):
+    people = spark.createDataFrame([(1, "12100002"), (2, "+965 9999 0001"), (3, "1200001"), (4, None)], "case_id long, phone string").selectExpr("*", "cast(null as string) as name", "cast(null as string) as civil_id", "0D as salary")
+    marks = lambda **o: {r["case_id"]: r["uncertain"] for r in declarations.flag_uncertain(people, **o).collect()}
+    assert marks() == {1: [], 2: [], 3: ["phone"], 4: []}
+    assert marks(first="24569") == {1: ["phone"], 2: [], 3: ["phone"], 4: []}
+
+
 def test_zones_of_shown_values(spark):
     cases = spark.createDataFrame([(1,), (2,)], "case_id long")
     found = spark.createDataFrame([(1, 2.4996), (2, 2.4994)], "case_id long, z double")
