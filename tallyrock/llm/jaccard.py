@@ -10,7 +10,8 @@ hashes of all shingles.
 
 Only components are asked for, so pairs whose sets are in one class already need no test. In ``LEADERS`` rounds each set
 is tested against the leader it meets in most tiles, one pair a set. What still meets in tiles of
-several classes is compared in full: every two classes of a tile test their best pairs first, in
+several classes is compared in full: every two classes of a tile test their best pairs first, but of
+one class no more than ``EACH`` times as many, so that a tile's pairs grow with its classes and not with their square; in
 later rounds four times as many, until all pairs within the bound are tested or in one class.
 
 Shingles in the first places of more than ``HOT`` sets are counted over all sets that have one, and stand last in the
@@ -39,6 +40,8 @@ from tallyrock.sources.shared import cut
 
 SHINGLE, PERCENT = 5, 80
 HOT, PART, LEADERS, MORE = 256, 1024, 2, 4
+#: How many pairs of a class with others a tile may pass on for each that two classes may.
+EACH = 4
 #: An odd multiplier of rolling sums, its inverse modulo 2^64, and shingles that a task passes on at once.
 BASE = 0xD1342543DE82EF95
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -46,7 +49,7 @@ SENT = 1 << 20
 #: Numbers of sets that are broadcast, 16 MB, and halves of hot hashes that tasks are given, 512 KB.
 BROADCAST, GIVEN = 1 << 20, 1 << 17
 #: Bits of the narrowest bitmap, the size up to which bitmaps are twice as wide, the widest, words of bitmaps that are compared at once, and sets of a tile that is compared together with others.
-NARROW, SMALL, WIDE, AT_ONCE, FEW = 128, 300, 1 << 15, 1 << 19, 64
+NARROW, SMALL, WIDE, AT_ONCE, FEW = 512, 300, 1 << 15, 1 << 19, 64
 
 
 _powers = np.ones((2, 1), np.uint64)
@@ -165,6 +168,24 @@ def all_places(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInPandas(of, "shingle long, node long")
 
 
+def all_halves(texts: DataFrame, shingle: int) -> DataFrame:
+    """(half) of every shingle of (node, _text)."""
+
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            halves, held = [], 0
+            for text in frame["_text"]:
+                halves.append(_halves(shingle_hashes(text, shingle)))
+                held += len(halves[-1])
+                if held > SENT:
+                    yield pd.DataFrame({"half": np.concatenate(halves)})
+                    halves, held = [], 0
+            if halves:
+                yield pd.DataFrame({"half": np.concatenate(halves)})
+
+    return texts.select("_text").mapInPandas(of, "half int")
+
+
 def _half(shingle: Column) -> Column:
     return (shingle.bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int").alias("half")
 
@@ -228,13 +249,13 @@ def ordered_places(sets: DataFrame, texts: DataFrame, shingle: int, percent: int
 
     Shingles are counted by half of their hash: which ones stand last is free, as long as it is the same for all sets.
     """
-    counted = lambda rows: rows.groupBy(_half(F.col("shingle"))).agg(F.count(F.lit(1)).cast("int").alias("sets")).where(F.col("sets") > hot).select("half")
-    often = cut(counted(sets.select(F.explode("first").alias("shingle"))), "jaccard-often")
+    counted = lambda halves: halves.groupBy("half").agg(F.count(F.lit(1)).cast("int").alias("sets")).where(F.col("sets") > hot).select("half")
+    often = cut(counted(sets.select(F.explode("first").alias("shingle")).select(_half(F.col("shingle")))), "jaccard-often")
     ordered = sets.select("node", "first")
     if not often.isEmpty():
         # the texts of sets that have one are counted in full; sets with any such shingle in a first place are ordered anew
         asked = cut(having_any(sets, often), "jaccard-asked")
-        last = cut(counted(all_places(some_texts(texts, asked), shingle)).union(often).distinct(), "jaccard-last")
+        last = cut(counted(all_halves(some_texts(texts, asked), shingle)).union(often).distinct(), "jaccard-last")
         moved = cut(having_any(sets, last), "jaccard-moved")
         ordered = ordered.join(moved, "node", "left_anti").union(cut(_anew(some_texts(texts, moved), last, shingle, percent), "jaccard-anew"))
     return ordered.select(F.explode("first").alias("shingle"), "node")
@@ -315,7 +336,7 @@ def _columns(frame: pd.DataFrame) -> dict:
 
 
 class _Best:
-    """The ``budget`` best pairs of each two classes of a tile, and the tiles that have more; what is added is reduced at once."""
+    """The ``budget`` best pairs of each two classes of a tile that are among the ``EACH * budget`` best of either class, and the tiles that have more; what is added is reduced at once."""
 
     def __init__(self, budget: int) -> None:
         self.budget, self.held, self.more = budget, np.empty((6, 0), np.int64), np.empty(0, np.int64)
@@ -330,6 +351,16 @@ class _Best:
         at = np.arange(rows.shape[1])
         kept = at - np.maximum.accumulate(np.where(first, at, 0)) < self.budget
         self.more = np.union1d(self.more, rows[0, ~kept])
+        rows = rows[:, kept]
+        # of each class's pairs, by falling bound, the first ones
+        many = rows.shape[1]
+        tiles, kinds, bounds = np.tile(rows[0], 2), rows[1:3].ravel(), np.tile(rows[3], 2)
+        order = np.lexsort((np.tile(np.arange(many), 2), bounds, kinds, tiles))
+        first = np.concatenate(([True], (tiles[order[1:]] != tiles[order[:-1]]) | (kinds[order[1:]] != kinds[order[:-1]])))
+        at = np.arange(2 * many)
+        kept = np.zeros(many, bool)
+        kept[order[at - np.maximum.accumulate(np.where(first, at, 0)) < EACH * self.budget] % many] = True
+        self.more = np.union1d(self.more, rows[0, ~kept])
         self.held = rows[:, kept]
 
     def pairs(self) -> np.ndarray:
@@ -446,7 +477,7 @@ def _pairs_of(frames: Iterator[pd.DataFrame], keys: list[str], percent: int, bud
 
 
 def tile_pairs(places: DataFrame, signatures: DataFrame, percent: int, part: int, budget: int) -> DataFrame:
-    """(a, b, shingle): pairs of tiles whose bitmaps let them be alike, up to ``budget`` of two classes in a part; the shingles of tiles that have more."""
+    """(a, b, shingle): pairs of tiles whose bitmaps let them be alike, up to ``budget`` of two classes and ``EACH * budget`` of one in a part; the shingles of tiles that have more."""
     band = F.size(F.filter(F.array(*[F.lit(e) for e in band_ends(percent)]), lambda e: e <= F.col("n"))) - 1
     homes = F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band - 1).alias("band"), F.lit(False).alias("home")))
     rows = places.select("shingle", "node", "n", "class", F.explode(homes).alias("_t")).select("shingle", "node", "n", "class", "_t.*")

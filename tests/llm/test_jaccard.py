@@ -92,3 +92,18 @@ def test_bands_hold_all_sizes_that_can_link():
     band = lambda n: max(k for k, e in enumerate(ends) if e <= n)
     for n in range(1, 2000):
         assert band(n * 100 // 80) <= band(n) + 1
+
+
+def test_pairs_of_a_tile_grow_with_its_classes():
+    n = 400
+    at = np.triu_indices(n, 1)
+    best = jaccard._Best(1)
+    for half in np.array_split(np.arange(len(at[0])), 7):
+        a, b = at[0][half], at[1][half]
+        best.add(np.zeros(len(a), np.int64), a, b, a, b, 1000 - (b - a))
+    pairs = {tuple(p) for p in best.pairs()}
+    assert len(pairs) <= jaccard.EACH * n and list(best.more) == [0]
+    assert all((k, k + 1) in pairs for k in range(n - 1))
+    few = jaccard._Best(1)
+    few.add(np.zeros(6, np.int64), *(np.array(x) for x in ([0, 0, 0, 1, 1, 2], [1, 2, 3, 2, 3, 3]) * 2), np.arange(6))
+    assert len(few.pairs()) == 6 and not len(few.more)
