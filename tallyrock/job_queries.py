@@ -34,7 +34,7 @@ def ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     """(statement rows, ledger, file reports) of the statements that the tables make."""
     path = new_path(spark, "statements")
     td.write_statements(spark, sf_dir, path)
-    rows = cut(read_statement_rows(spark, path), "statement-rows")
+    rows = cut(read_statement_rows(spark, path, bundled=True), "statement-rows")
     number = F.regexp_extract("filename", r"-(\d+)$", 1).cast("long")
     files = cut(rows.select("file_id", "filename").distinct().withColumn("case_id", F.floor(number / 10).cast("long")), "statement-files")
     txns, reports = jobs.ingest(rows, files, td.cases(spark, sf_dir))

@@ -72,14 +72,20 @@ def _records(lines: DataFrame) -> DataFrame:
     return lines.join(odd, "path", "left_anti").select("path", "value", "row_index").unionByName(joined)
 
 
-def read_statement_rows(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+def read_statement_rows(spark: SparkSession, path: str, sep: str | None = None, bundled: bool = False) -> DataFrame:
     """(file_id, sheet, row_index, cells, filename, path) of delimited exports with any number of columns; a file is one sheet.
 
     ``file_id`` is a hash of the path. Rows keep the order of their file, which may be read in
     several splits. Without ``sep`` the separator is the sign that is most frequent in a file's
     first rows. The name of a file that Spark wrote is that of its folder.
+
+    ``bundled`` files hold many exports each, so that exports by the hundred thousand need not be files of their own:
+    every line begins with its export's name and a tab, and an export's lines stand together in one file.
     """
     read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    if bundled:
+        name = F.substring_index("value", "\t", 1)
+        read = read.select(F.substr("value", F.length(name) + 2).alias("value"), F.concat("path", F.lit("/"), name).alias("path"), "block", "at")
     rows = _records(_numbered(cut(read, "statement-lines")))
     rows = rows.withColumn("value", F.when(F.col("row_index") == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")))
     if sep is None:

@@ -91,6 +91,24 @@ def test_order_of_a_file_in_many_splits(spark, tmp_path):
     assert len(rows) == 20_000 and all(r["cells"][0] == str(r["row_index"]) for r in rows)
 
 
+def test_bundled_exports_read_as_their_files(spark, tmp_path):
+    exports = {"a-1": 'Date;Details;Amount\n05/01/2025;"two\nlines; and\ttab";"1,234.5"\n\n06/01/2025;;3', "b-2": "\n".join(f"{k},{k + 1}" for k in range(3000)), "c-3": "\ufeffDate\tAmount\n1\t2"}
+    (tmp_path / "one").mkdir()
+    (tmp_path / "all").mkdir()
+    for name, text in exports.items():
+        (tmp_path / "one" / name).write_text(text)
+    (tmp_path / "all" / "part-0").write_text("\n".join(f"{n}\t{line}" for n in ("a-1", "b-2") for line in exports[n].split("\n")))
+    (tmp_path / "all" / "part-1").write_text("\n".join(f"c-3\t{line}" for line in exports["c-3"].split("\n")))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5k")
+    try:
+        of = lambda df: sorted((r["filename"], r["row_index"], r["cells"]) for r in df.collect())
+        rows = read_statement_rows(spark, str(tmp_path / "all"), bundled=True).cache()
+        assert of(rows) == of(read_statement_rows(spark, str(tmp_path / "one"))) and rows.select("file_id").distinct().count() == 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_given_labels_and_credit_values(spark, tmp_path):
     (tmp_path / "a.csv").write_text("My statement,,,\nDate,Details,Side,Amount\n05/01/2025,one,X,5\n06/01/2025,two,Y,6\nbad,three,X,7\n")
     rows = read_statement_rows(spark, str(tmp_path / "a.csv")).cache()
