@@ -218,13 +218,14 @@ SELECT l.case_id, l.id, l.amount_kwd, f.flags, p.pair AS internal_pair_id, p.pai
 def s8_flag_ledger(spark, sf_dir):
     """A written ledger whose flags are merged twice: once wrongly for all cases, then rightly for cases in two runs."""
     path = new_path(spark, "ledger")
-    txns = cut(td.ledger(spark, sf_dir), "ledger")
-    pairs = cut(td.declared_pairs(txns), "pairs")
+    txns = td.ledger(spark, sf_dir)
     wanted = spark.createDataFrame([], SCHEMAS["ledger"]).schema
     whole = txns.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in txns.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted])
     write_ledger(whole, path, 8)
+    txns = read_table(spark, "ledger", path)
+    pairs = cut(td.declared_pairs(txns), "pairs")
     of = lambda rule, every: txns.where(F.col("id") % every == 0).groupBy("case_id").agg(F.collect_list("id").alias("txn_ids")).select("case_id", F.lit(rule).alias("rule_id"), (F.col("case_id") % 3 != 0).alias("fired"), "txn_ids")
-    cases, hits = txns.select("case_id").distinct(), of("R-A", 4).unionByName(of("R-B", 6))
+    cases, hits = cut(txns.select("case_id").distinct(), "cases"), cut(of("R-A", 4).unionByName(of("R-B", 6)), "hits")
     merge_flags(spark, path, pairs.where("false"), hits.withColumn("fired", F.lit(True)), cases, 8)
     for part in (0, 1):
         merge_flags(spark, path, pairs, hits, cases.where(F.col("case_id") % 2 == part), 8)

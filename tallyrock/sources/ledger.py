@@ -124,15 +124,18 @@ def write_ledger(txns: DataFrame, path: str, buckets: int = BUCKETS) -> None:
 def merge_flags(spark: SparkSession, path: str, pairs: DataFrame, hits: DataFrame, scored: DataFrame, buckets: int = BUCKETS) -> None:
     """Set pair marks and flags of the ``scored`` cases (case_id) anew in a written ledger; all else stays.
 
-    Only the cases' buckets are read and replaced; what replaces them is written apart first, so a job that
-    fails leaves the ledger as it was, and one that runs twice changes nothing more.
+    Only the cases' buckets are read and replaced. Spark writes what replaces them apart and moves it there at the end, so a
+    job that fails before leaves the ledger as it was, and one that runs twice changes nothing more.
     """
-    cases = scored.select("case_id").distinct().withColumn("bucket", F.pmod(F.xxhash64("case_id"), F.lit(buckets)).cast("int"))
-    old = spark.read.parquet(path).join(cases.select("bucket").distinct(), "bucket", "left_semi")
+    # written, so that Spark knows its size and need not shuffle the ledger for it
+    cases = cut(scored.select("case_id").distinct().withColumn("bucket", F.pmod(F.xxhash64("case_id"), F.lit(buckets)).cast("int")), "merged-cases")
+    some = [r["bucket"] for r in cases.select("bucket").distinct().collect()]
+    old = spark.read.parquet(path).where(F.col("bucket").isin(some))
     columns = [c for c in old.columns if c != "bucket"]
-    mine = old.join(cases.select("case_id"), "case_id", "left_semi").select(*[c for c in columns if c not in ("flags", "is_internal_transfer", "internal_pair_id")])
-    anew = flag_ledger(mine, pairs, hits).select(*columns)
-    write_ledger(cut(old.join(cases.select("case_id"), "case_id", "left_anti").select(*columns).unionByName(anew), "merged-ledger"), path, buckets)
+    ours = lambda df: df.join(cases.select("case_id"), "case_id", "left_semi")
+    mine = ours(old).select(*[c for c in columns if c not in ("flags", "is_internal_transfer", "internal_pair_id")])
+    anew = flag_ledger(mine, ours(pairs), ours(hits)).select(*columns)
+    write_ledger(old.join(cases.select("case_id"), "case_id", "left_anti").select(*columns).unionByName(anew), path, buckets)
 
 
 def flag_ledger(txns: DataFrame, pairs: DataFrame, hits: DataFrame) -> DataFrame:
