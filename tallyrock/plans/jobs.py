@@ -88,6 +88,7 @@ def rescreen(runs: DataFrame, txns: DataFrame, cases: DataFrame, entries: DataFr
 def backfill_dq(runs: DataFrame, txns: DataFrame, files: DataFrame) -> DataFrame:
     """The data-quality report of cases whose latest run lacks one (``has_report``)."""
     lacking = views.latest_runs(runs).where("not has_report").select("case_id")
+    lacking = cut(lacking, "lacking")
     return quality.dq_report(txns.join(lacking, "case_id", "left_semi"), files.join(lacking, "case_id", "left_semi"))
 
 

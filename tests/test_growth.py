@@ -33,3 +33,17 @@ def test_merged_ledger_is_written_once(spark, tmp_path):
     before = set(tables(spark))
     merge_flags(spark, str(tmp_path), pairs, hits, spark.createDataFrame([(1,)], "case_id long"), 3)
     assert {x.rpartition("-")[0] for x in set(tables(spark)) - before} == {"merged-cases"}
+
+
+def test_only_rows_alike_are_signed(spark):
+    day = dt.date(2025, 1, 1)
+    rows = [(1, k, k % 3, "A", "B", day + dt.timedelta(k % 40 if k < 60 else k), "debit", 1.5, "KWD", f"text of row {k if k % 20 else 0}") for k in range(90)]
+    txns = spark.createDataFrame(rows, "case_id long, id long, file_id long, bank string, account_id string, posting_date date, direction string, amount_kwd double, currency string, narrative string")
+    before = set(tables(spark))
+    got = {r["id"] for r in quality.duplicate_ids(txns).collect()}
+    groups = {}
+    for r in rows:
+        groups.setdefault((r[5], r[9]), []).append(r)
+    want = {r[1] for g in groups.values() if len({r[2] for r in g}) > 1 for r in g}
+    signed = [p for x, p in tables(spark).items() if x not in before and x.startswith("alike-")]
+    assert got == want and len(want) > 1 and len(signed) == 1 and spark.read.parquet(signed[0]).count() == len(want)
