@@ -47,3 +47,19 @@ def test_only_rows_alike_are_signed(spark):
     want = {r[1] for g in groups.values() if len({r[2] for r in g}) > 1 for r in g}
     signed = [p for x, p in tables(spark).items() if x not in before and x.startswith("alike-")]
     assert got == want and len(want) > 1 and len(signed) == 1 and spark.read.parquet(signed[0]).count() == len(want)
+
+
+def test_splits_of_months_are_not_rows(spark):
+    r = random.Random(5)
+    rows = [(c, c * 1000 + k, dt.date(2020 + k // 12, k % 12 + 1, 3), float(r.randrange(100, 900) * (30 if k > 11 + c else 1))) for c in range(6) for k in range(24 + c)]
+    ext = spark.createDataFrame(rows, "case_id long, id long, posting_date date, amount_kwd double")
+    found = forensics.behaviour_change(ext)
+    want = {}
+    for c in range(6):
+        v = [x[3] for x in rows if x[0] == c]
+        best = max((statistics.median(v[s:]) / statistics.median(v[:s]), -s) for s in range(3, len(v) - 2))
+        want[c] = round(best[0], 2)
+    assert {x["case_id"]: round(x["metric"], 2) for x in found.collect()} == want
+    assert "median" not in plan_of(found) and "percentile" not in plan_of(found)
+    lines = spark.createDataFrame([([3.0, None, 1.0],), ([4.0, 1.0, 2.0, 9.0],), ([],)], "v array<double>").select(forensics.middle(F.col("v")).alias("m"))
+    assert [x["m"] for x in lines.collect()] == [2.0, 3.0, None]
