@@ -63,3 +63,14 @@ def test_splits_of_months_are_not_rows(spark):
     assert "median" not in plan_of(found) and "percentile" not in plan_of(found)
     lines = spark.createDataFrame([([3.0, None, 1.0],), ([4.0, 1.0, 2.0, 9.0],), ([],)], "v array<double>").select(forensics.middle(F.col("v")).alias("m"))
     assert [x["m"] for x in lines.collect()] == [2.0, 3.0, None]
+
+
+def test_a_row_is_read_once_for_all_sums(spark):
+    rows = [(1, 1, "debit", "other", 9.5, "Own account transfer"), (1, 2, "debit", "other", 0.5, None), (1, 3, "credit", "other", 1234.0, ""), (1, 4, "credit", "other", 70.0, "Binance purchase")]
+    txns = spark.createDataFrame(rows, "case_id long, id long, direction string, channel string, amount_kwd double, narrative string")
+    txns = txns.withColumns({"posting_date": F.lit("2025-01-03").cast("date"), "counterparty_country": F.lit(None).cast("string"), "counterparty_name": F.lit(None).cast("string")})
+    pairs = spark.createDataFrame([], "case_id long, pair_id long, debit_id long, credit_id long")
+    sums = features.case_sums(txns, pairs, Thresholds())
+    assert plan_of(sums).count("format_number") == 1 and "RLIKE (?i)" not in plan_of(sums).split("cast(sum")[0]
+    got = sums.first()
+    assert (got["own_value"], got["vague_value"], got["n_crypto"], got["d9"], got["d1"], got["d7"], got["n_benford"]) == (9.5, 1234.5, 1, 1, 1, 1, 3)
