@@ -74,3 +74,15 @@ def test_a_row_is_read_once_for_all_sums(spark):
     assert plan_of(sums).count("format_number") == 1 and "RLIKE (?i)" not in plan_of(sums).split("cast(sum")[0]
     got = sums.first()
     assert (got["own_value"], got["vague_value"], got["n_crypto"], got["d9"], got["d1"], got["d7"], got["n_benford"]) == (9.5, 1234.5, 1, 1, 1, 1, 3)
+
+
+def test_pair_candidates_at_the_borders(spark):
+    r = random.Random(2)
+    amounts = [99.4, 99.9, 100.0, 100.4, 100.5, 101.0, 102.0, 104.04, 0.4, 0.9, 2.0, 2.5, 5000.0, 5025.0, 4975.0, 5025.01]
+    rows = [(1, k, "AB"[k % 2], "a", dt.date(2025, 1, 1) + dt.timedelta(r.randrange(-4, 9)), "debit" if k < 150 else "credit", r.choice(amounts), "transfer_out", None, None, None) for k in range(300)]
+    txns = spark.createDataFrame(rows, "case_id long, id long, bank string, account_id string, posting_date date, direction string, amount_kwd double, channel string, narrative string, counterparty_name string, counterparty_bank string")
+    got = [(x["d_id"], x["c_id"]) for x in netting.pair_candidates(txns).collect()]
+    want = [(d[1], c[1]) for d in rows[:150] for c in rows[150:] if d[2] != c[2] and 0 <= (c[4] - d[4]).days <= 3 and abs(d[6] - c[6]) <= max(0.5, d[6] * 0.005)]
+    assert sorted(got) == sorted(want) and len(want) > 100
+    asked = netting.asking(txns.where("direction = 'debit'"), F.col("posting_date"), F.col("amount_kwd"))
+    assert asked.groupBy("id").count().agg(F.max("count")).first()[0] <= 4
