@@ -86,3 +86,11 @@ def test_pair_candidates_at_the_borders(spark):
     assert sorted(got) == sorted(want) and len(want) > 100
     asked = netting.asking(txns.where("direction = 'debit'"), F.col("posting_date"), F.col("amount_kwd"))
     assert asked.groupBy("id").count().agg(F.max("count")).first()[0] <= 4
+
+
+def test_channels_of_what_is_said_alike(spark):
+    said = [("ATM cash", None, "debit", False), ("ATM cash", None, "debit", False), (None, "salary", "credit", True), (None, None, None, None), ("misc", None, "credit", True)]
+    rows = spark.createDataFrame([(k, *x) for k, x in enumerate(said)], "id long, narrative string, extra string, direction string, party boolean")
+    got = {x["id"]: x["_channel"] for x in narrative.with_channel(rows, "narrative", "extra", "direction", "party").collect()}
+    one = rows.select("id", narrative.classify_channel(F.col("narrative"), F.col("extra"), F.col("direction"), F.col("party")).alias("c"))
+    assert got == {x["id"]: x["c"] for x in one.collect()} and got[0] == "cash_withdrawal"
