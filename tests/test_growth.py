@@ -94,3 +94,8 @@ def test_channels_of_what_is_said_alike(spark):
     got = {x["id"]: x["_channel"] for x in narrative.with_channel(rows, "narrative", "extra", "direction", "party").collect()}
     one = rows.select("id", narrative.classify_channel(F.col("narrative"), F.col("extra"), F.col("direction"), F.col("party")).alias("c"))
     assert got == {x["id"]: x["c"] for x in one.collect()} and got[0] == "cash_withdrawal"
+
+
+def test_the_ledger_is_made_once(spark):
+    txns, pairs, ext, _ = queries.parts(spark, "/root/testdata/sf0.001")
+    assert all("lineitem" not in plan_of(x) and x.inputFiles() and not any("lineitem" in f for f in x.inputFiles()) for x in (txns, pairs, ext))
