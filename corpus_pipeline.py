@@ -40,7 +40,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates (SHINGLE, ALIKE): the one with the smallest id, a null id last."""
+    """One document of each class of near-duplicates, by operator 8's links and by exact ones (SHINGLE, ALIKE): the one with the smallest id, a null id last."""
     rows, names = _apart(docs)
     rows, copies = similar.near_copies(rows, names["doc_id"], names["text"], shingle=SHINGLE, least=ALIKE)
     return _back(rows.join(copies, "_key", "left_anti"), names)

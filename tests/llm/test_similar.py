@@ -4,7 +4,7 @@ import random
 import string
 
 import corpus_pipeline
-from tallyrock.llm import similar
+from tallyrock.llm import simhash, similar
 from tallyrock.sources.shared import shared_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -93,3 +93,11 @@ def test_rows_without_an_id_of_their_own(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
     left = corpus_pipeline.drop_contaminated(spark, docs, f"file://{tmp_path}").collect()
     assert sorted(((r["doc_id"], r["text"]) for r in left), key=str) == sorted([rows[0], rows[2]], key=str)
+
+
+def test_links_of_fingerprints(spark):
+    """Texts of one fingerprint whose sets of shingles are unlike are near copies, as in operator 8."""
+    words = lambda k: " ".join(f"{k}x{j}" for j in range(10))
+    rows = [(k, f"{'over and again ' * 60}{words(k)}") for k in range(4)] + [(9, words("other") + " " + words("more"))]
+    assert len({simhash.fingerprint(t) for _, t in rows[:4]}) == 1 and kept_of(rows) == [0, 1, 2, 3, 9]
+    assert sorted(r["doc_id"] for r in stage(spark, rows).collect()) == [0, 9]
