@@ -7,7 +7,7 @@ import statistics
 
 from pyspark.sql import functions as F
 
-from tallyrock import queries
+from tallyrock import forensic_queries, queries
 from tallyrock.constants import Thresholds
 from tallyrock.functions import narrative
 from tallyrock.operators import features, forensics, netting, quality
@@ -99,3 +99,14 @@ def test_channels_of_what_is_said_alike(spark):
 def test_the_ledger_is_made_once(spark):
     txns, pairs, ext, _ = queries.parts(spark, "/root/testdata/sf0.001")
     assert all("lineitem" not in plan_of(x) and x.inputFiles() and not any("lineitem" in f for f in x.inputFiles()) for x in (txns, pairs, ext))
+
+
+def test_screening_writes_names_only(spark):
+    """The wide ledger was written before its names were read twice."""
+    before = set(tables(spark))
+    asked = forensic_queries.x1_names_to_screen(spark, "/root/testdata/sf0.001")
+    made = {x.rpartition("-")[0]: p for x, p in tables(spark).items() if x not in before}
+    said = spark.read.parquet(made["spelled"])
+    assert set(made) == {"spelled", "spellings"} and set(said.columns) == {"scope", "spelling", "n"}
+    rows = queries.td.ledger(spark, "/root/testdata/sf0.001").where("counterparty_name is not null")
+    assert said.agg(F.sum("n")).first()[0] == rows.count() > said.count() and asked.count() > 0
