@@ -82,10 +82,15 @@ s AS (SELECT id, flagged, case_id, account AS node, direction = 'credit' AS i, a
 f AS (SELECT case_id, node, id, row_number() OVER (PARTITION BY case_id, node ORDER BY id) AS n FROM s WHERE flagged)"""
 
 
+#: What the nodes are made of; pairs need the date besides.
+NODE_COLUMNS = ("case_id", "id", "bank", "account_id", "direction", "amount_kwd", "channel", "counterparty_name", "counterparty_country")
+
+
 @query(f"""WITH RECURSIVE {NODES} SELECT case_id, node, CASE WHEN node = 'cash' THEN 'cash' WHEN starts_with(node, 'acct|') THEN 'account' ELSE 'counterparty' END AS kind, {money('CASE WHEN i THEN amount_kwd END')} AS inflow, {money('CASE WHEN NOT i THEN amount_kwd END')} AS outflow, count(*) AS n,
  count(*) FILTER (flagged) AS flagged, coalesce((SELECT string_agg(id::VARCHAR, ',' ORDER BY n) FROM f WHERE f.case_id = s.case_id AND f.node = s.node AND n <= 8), '') AS flagged_ids, CASE WHEN starts_with(node, 'cp|') THEN min_by(c, id) FILTER (c IS NOT NULL) END AS country, CASE WHEN starts_with(node, 'acct|') THEN right(min(account_id), 4) END AS tail FROM s GROUP BY case_id, node""")
 def r10_resolved_nodes(spark, sf_dir):
-    nodes = views.network_nodes(resolved(spark, sf_dir)[2], F.col("id") % 9 == 0)
+    ext = written(spark, sf_dir, (*NODE_COLUMNS, "posting_date"))[2].select(*NODE_COLUMNS)
+    nodes = views.party_nodes(ext, identities.party_spellings(ext), F.col("id") % 9 == 0)
     return nodes.select("case_id", "node", "kind", "inflow", "outflow", "n", "flagged", F.array_join("flagged_ids", ",").alias("flagged_ids"), "country", "tail")
 
 

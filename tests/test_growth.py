@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyrock import forensic_queries, queries
 from tallyrock.constants import Thresholds
 from tallyrock.functions import narrative
-from tallyrock.operators import features, forensics, netting, quality
+from tallyrock.operators import features, forensics, identities, netting, quality, views
 from tallyrock.sources.ledger import SCHEMAS, merge_flags, write_ledger
 from tallyrock.sources.shared import shared_dir
 
@@ -110,3 +110,20 @@ def test_screening_writes_names_only(spark):
     assert set(made) == {"spelled", "spellings"} and set(said.columns) == {"scope", "spelling", "n"}
     rows = queries.td.ledger(spark, "/root/testdata/sf0.001").where("counterparty_name is not null")
     assert said.agg(F.sum("n")).first()[0] == rows.count() > said.count() and asked.count() > 0
+
+
+def test_parties_meet_sums_not_rows(spark):
+    """Every row was joined with its party and written once more, with all columns."""
+    names = ("ALI HASSAN", "Ali  Hassan", "ALI H", None, "CO", " ", "Account 123X")
+    rows = [(None if k % 41 == 40 else k % 3, k, (None, "A", "B")[k % 3], (None, "x12345")[k % 2], (None, "debit", "credit", "credit")[k % 4], k / 7, (None, "pos", "cash_deposit")[k % 5 % 3], names[k % 7], (None, "KUWAIT", "LEBANON")[k // 7 % 3]) for k in range(400)]
+    txns = spark.createDataFrame(rows, "case_id long, id long, bank string, account_id string, direction string, amount_kwd double, channel string, counterparty_name string, counterparty_country string").repartition(4)
+    flags = F.when(F.col("id") % 4 < 3, F.col("id") % 4 == 0)
+    before = set(tables(spark))
+    got = views.party_nodes(txns, identities.party_spellings(txns), flags)
+    made = {x.rpartition("-")[0]: p for x, p in tables(spark).items() if x not in before}
+    assert "clustered" not in made and spark.read.parquet(made["parties"]).count() < 30
+    want = views.network_nodes(identities.resolved(txns)[2], flags)
+    named = lambda df: sorted(map(str, df.where("node <> 'acct'").select(*want.columns).collect()))
+    assert len(named(got)) > 20 and named(got) == named(want)
+    # an account without bank and number is no counterparty, so it has no country, as in the SQL
+    assert {r["country"] for r in got.where("node = 'acct'").collect()} == {None}
