@@ -30,22 +30,21 @@ def query(sql: str | None = None):
     return add
 
 
-def ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(statement rows, ledger, file reports) of the statements that the tables make."""
+def statement_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(statement rows, files, cases) of the statements that the tables make."""
     path = new_path(spark, "statements")
     td.write_statements(spark, sf_dir, path)
     rows = cut(read_statement_rows(spark, path, bundled=True), "statement-rows")
     number = F.regexp_extract("filename", r"-(\d+)$", 1).cast("long")
     files = cut(rows.select("file_id", "filename").distinct().withColumn("case_id", F.floor(number / 10).cast("long")), "statement-files")
-    txns, reports = jobs.ingest(rows, files, td.cases(spark, sf_dir))
-    return rows, txns, reports
+    return rows, files, td.cases(spark, sf_dir)
 
 
 @query(td.with_statements(f"""SELECT statement, k AS row_index, case_id, label AS bank, account_id, CAST(posting_date AS VARCHAR) AS posting_date, direction, paid AS amount, kwd AS amount_kwd, currency, narrative,
  party AS counterparty_name, counterparty_bank, trim(counterparty_country) AS counterparty_country, {CHANNEL} AS channel
 FROM (SELECT *, direction = 'credit' AS cr, counterparty_name IS NOT NULL AS cp, lower(trim(coalesce(narrative, ''))) AS t FROM statements WHERE bad = 0)"""))
 def j1_ingest_ledger(spark, sf_dir):
-    txns = ingested(spark, sf_dir)[1]
+    txns = jobs.ingest_ledger(*statement_files(spark, sf_dir))[0]
     return txns.select(
         F.col("filename").alias("statement"), F.col("row_index").cast("long").alias("row_index"), "case_id", "bank", "account_id", F.col("posting_date").cast("string").alias("posting_date"), "direction", "amount", "amount_kwd",
         "currency", "narrative", "counterparty_name", "counterparty_bank", "counterparty_country", "channel",
@@ -60,7 +59,7 @@ g AS (SELECT statement, any_value(label) AS bank, count(*) FILTER (bad = 0) AS r
 SELECT statement, bank, rows_parsed, rows_skipped, no_date, CASE WHEN f % 3 = 0 THEN unpaid ELSE 0 END AS both_sides, CASE WHEN f % 3 = 0 THEN 0 ELSE unpaid END AS no_amount, period_start, period_end, total_credits, total_debits, accounts,
  floor((0.55 * rows_parsed / (rows_parsed + rows_skipped) + 0.3 * 0.85 + 0.15 * (1 - least(1.0, dups / greatest(1.0, 0.05 * rows_parsed)))) * 1000000 + 0.5) / 1000000 AS quality FROM g JOIN same USING (statement)"""))
 def j1_file_reports(spark, sf_dir):
-    reports = ingested(spark, sf_dir)[2]
+    reports = jobs.ingest(*statement_files(spark, sf_dir))[1]
     line = F.array_join("notes", " ")
     skipped = lambda reason: F.coalesce(F.nullif(F.regexp_extract(line, rf"Skipped (\d+) rows?: {reason}", 1), F.lit("")).cast("long"), F.lit(0).cast("long"))
     day = lambda c: F.col(c).cast("string").alias(c)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyrock.constants import AMOUNT_WORDS, BIC_BANKS, COLUMN_ROLES, CREDIT_TYPES, CREDIT_VALUES, DATE_WORDS, DEBIT_TYPES, DEBIT_VALUES, FILENAME_BANKS, FX_TO_KWD, NARRATIVE_HEADERS, OTHER_WORDS
 from tallyrock.functions.names import name_tokens, refers_to_subject
-from tallyrock.functions.narrative import ascii_edges, classify_channel, extract_party, parse_amount, parse_date
+from tallyrock.functions.narrative import ascii_edges, parse_amount, parse_date, with_channel, with_party
 from tallyrock.sources.shared import cut
 
 MOST_SHEETS, HEADER_ROWS, MOST_EMPTY, LABEL_HEADERS, BANK_ROWS = 10, 25, 80, 40, 200
@@ -20,9 +20,9 @@ def header_text(cell: Column) -> Column:
 
 def find_header(rows: DataFrame) -> DataFrame:
     """(file_id, sheet, header_index, header): of the first 25 rows the first with the best score, of 4 or more; of a file's first ten sheets."""
-    word = lambda c, p: header_text(c).rlike(p)
-    score = lambda c: F.when((F.length(header_text(c)) > 60) | c.isNull(), 0).when(word(c, f"{DATE_WORDS}|{AMOUNT_WORDS}"), 2).when(word(c, OTHER_WORDS), 1).otherwise(0)
-    head = rows.where(F.col("row_index") < HEADER_ROWS).withColumn("score", F.aggregate("cells", F.lit(0), lambda s, c: s + score(c)))
+    score = lambda t: F.when((F.length(t) > 60) | t.isNull(), 0).when(t.rlike(f"{DATE_WORDS}|{AMOUNT_WORDS}"), 2).when(t.rlike(OTHER_WORDS), 1).otherwise(0)
+    texts = F.transform("cells", lambda c: F.when(c.isNotNull(), header_text(c)))
+    head = rows.where(F.col("row_index") < HEADER_ROWS).withColumn("score", F.aggregate(texts, F.lit(0), lambda s, t: s + score(t)))
     head = head.withColumn("nth", F.dense_rank().over(Window.partitionBy("file_id").orderBy("sheet"))).where(F.col("nth") <= MOST_SHEETS)
     ranked = head.withColumn("r", F.row_number().over(Window.partitionBy("file_id", "sheet").orderBy(F.desc("score"), "row_index")))
     return ranked.where("r = 1 and score >= 4").select("file_id", "sheet", F.col("row_index").alias("header_index"), F.col("cells").alias("header"))
@@ -37,6 +37,7 @@ def column_maps(headers: DataFrame, supplied: DataFrame | None = None) -> DataFr
     without a date and an amount are left out. ``supplied`` may have credit_values array<string>: an
     indicator that is none of them then means a debit.
     """
+    headers = cut(headers, "found-headers")
     # files of one layout share their header; patterns are literal, so each is compiled once
     known = headers.select("header").distinct().withColumn("_texts", F.transform("header", header_text))
     places = F.when(F.size("header") > 0, F.sequence(F.lit(0), F.size("header") - 1)).otherwise(F.array().cast("array<int>"))
@@ -107,9 +108,21 @@ AMOUNT_ROLES = ("kwd", "balance", "debit", "credit", "amount")
 
 def table_rows(rows: DataFrame, maps: DataFrame) -> DataFrame:
     """Rows below each header that are not empty. More than 80 empty rows one after the other end a sheet."""
-    df = rows.join(maps.drop("header"), ["file_id", "sheet"]).where(F.col("row_index") > F.col("header_index"))
-    w = Window.partitionBy("file_id", "sheet").orderBy("row_index")
+    # the places of roles are looked up once for each sheet, not for each row
+    places = maps.withColumns({f"_at_{r}": F.element_at("roles", F.lit(r)) for r in ("date", *AMOUNT_ROLES, *TEXT_ROLES)}).drop("header", "roles")
+    df = rows.join(places, ["file_id", "sheet"]).where(F.col("row_index") > F.col("header_index"))
     full = F.exists("cells", lambda c: F.coalesce(F.trim(c), F.lit("")) != "")
+    # only sheets that have so many empty rows are put in order for it
+    long = df.where(~full).groupBy("file_id", "sheet").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST_EMPTY)
+    long = cut(long.select("file_id", "sheet"), "long-gaps")
+    if long.isEmpty():
+        return df.where(full)
+    rest = df.join(long, ["file_id", "sheet"], "left_anti").where(full)
+    return rest.unionByName(_before_gaps(df.join(long, ["file_id", "sheet"], "left_semi"), full))
+
+
+def _before_gaps(df: DataFrame, full: Column) -> DataFrame:
+    w = Window.partitionBy("file_id", "sheet").orderBy("row_index")
     df = df.withColumn("_full", full).withColumn("_run", F.sum(F.col("_full").cast("int")).over(w))
     df = df.withColumn("_empties", F.sum((~F.col("_full")).cast("int")).over(Window.partitionBy("file_id", "sheet", "_run").orderBy("row_index")))
     return df.withColumn("_ended", F.max((F.col("_empties") > MOST_EMPTY).cast("int")).over(w)).where("_full and _ended = 0").drop("_full", "_run", "_empties", "_ended")
@@ -117,36 +130,39 @@ def table_rows(rows: DataFrame, maps: DataFrame) -> DataFrame:
 
 def parse_cells(table: DataFrame) -> DataFrame:
     """Rows with dates, amounts and the texts of their roles; narratives are joined by bars."""
-    cell = lambda role: F.nullif(F.trim(F.get("cells", F.element_at("roles", F.lit(role)))), F.lit(""))
+    cell = lambda role: F.nullif(F.trim(F.get("cells", F.col(f"_at_{role}"))), F.lit(""))
     told = F.filter(F.transform("narratives", lambda i: F.trim(F.get(F.col("cells"), i))), lambda c: F.coalesce(c, F.lit("")) != "")
     df = table.withColumns({"narrative": F.nullif(F.array_join(told, " | "), F.lit("")), **{r: cell(r) for r in TEXT_ROLES}})
     # one parser for all amounts, and one for the date: five copies of it would be more code than the JVM compiles
     amounts = F.transform(F.array(*[cell(r) for r in AMOUNT_ROLES]), parse_amount)
     df = df.withColumns({"_amounts": amounts, "posting_date": F.get(F.transform(F.array(cell("date")), parse_date), 0)})
-    return df.select("*", *[F.get("_amounts", k).alias(f"_{r}") for k, r in enumerate(AMOUNT_ROLES)]).drop("_amounts")
+    return df.select("*", *[F.get("_amounts", k).alias(f"_{r}") for k, r in enumerate(AMOUNT_ROLES)]).drop("_amounts", "cells", "narratives", *[c for c in table.columns if c.startswith("_at_")])
 
 
 def parse_rows(rows: DataFrame, maps: DataFrame) -> DataFrame:
     """Rows below each file's header with date, direction, amounts, party, bank, country and channel, and the reason where one is skipped.
 
-    Cells are parsed into a table of their own first: the parsers and the channel's patterns in
-    one expression would be more code than the JVM compiles.
+    Cells are parsed into a table of their own, the only one of all rows: what narratives say is
+    read from it once for each narrative and joined to its rows.
     """
-    df = cut(parse_cells(table_rows(rows, maps)), "cells")
+    df = parse_cells(table_rows(rows, maps))
     df = df.withColumn("_d", resolve_direction(F.col("_debit"), F.col("_credit"), F.coalesce("_amount", "_kwd"), F.col("indicator"), F.col("type"), F.col("credit_values") if "credit_values" in df.columns else None)).drop("credit_values")
     # rows without a date are no transactions; those without an amount either are no rows at all
     stated = F.coalesce("_debit", "_credit", "_amount").isNotNull()
     reason = F.when(F.col("posting_date").isNull(), "no_date").otherwise(F.col("_d.reason"))
-    df = df.where(F.col("posting_date").isNotNull() | stated)
-    df = df.withColumns({"direction": F.col("_d.direction"), "amount": F.col("_d.amount"), "reason": reason, "currency": F.upper(F.coalesce("currency", F.lit("KWD"))), "countervalue": F.col("_kwd"), "running_balance": F.col("_balance")})
-    df = df.drop("_d", "_kwd", "_balance", "_debit", "_credit", "_amount", "cells", "roles", "narratives")
+    df = df.withColumns({"_stated": stated, "direction": F.col("_d.direction"), "amount": F.col("_d.amount"), "reason": reason, "currency": F.upper(F.coalesce("currency", F.lit("KWD"))), "countervalue": F.col("_kwd"), "running_balance": F.col("_balance")})
+    df = df.drop("_d", "_kwd", "_balance", "_debit", "_credit", "_amount")
     side = lambda what: F.coalesce(F.when(F.col("direction") == "credit", F.col(f"from_{what}")).otherwise(F.col(f"to_{what}")), F.col(what))
     party = side("name")
     party = F.when(~F.lower(F.coalesce(party, F.lit(""))).contains("central bank"), party)
-    df = df.withColumns({"counterparty_name": F.coalesce(party, extract_party(F.col("narrative"))), "counterparty_bank": side("bank"), "counterparty_country": side("country")})
-    df = df.drop(*[r for r in TEXT_ROLES if r not in ("currency", "account", "code", "type")])
+    df = df.withColumns({"_name": party, "counterparty_bank": side("bank"), "counterparty_country": side("country")})
+    df = cut(df.drop(*[r for r in TEXT_ROLES if r not in ("currency", "account", "code", "type")]), "cells")
+    # behind the table, as Spark would move it before the parsers and parse for it once more
+    df = with_party(df.where("posting_date is not null or _stated").drop("_stated"), "narrative")
+    df = df.withColumn("counterparty_name", F.coalesce("_name", "_party")).drop("_name", "_party")
     extra = F.nullif(F.concat_ws(" ", "code", "type"), F.lit(""))
-    df = df.withColumn("channel", classify_channel(F.col("narrative"), extra, F.col("direction"), F.col("counterparty_name").isNotNull()))
+    df = df.withColumns({"_extra": extra, "_named": F.col("counterparty_name").isNotNull()})
+    df = with_channel(df, "narrative", "_extra", "direction", "_named").withColumnRenamed("_channel", "channel").drop("_extra", "_named")
     df = to_kwd(df, "amount", "currency", "countervalue").withColumnRenamed("kwd", "amount_kwd")
     return df.withColumn("currency", F.when(F.col("currency") == "KD", "KWD").otherwise(F.col("currency")))
 
@@ -191,7 +207,8 @@ def best_sheet(parsed: DataFrame) -> DataFrame:
     """Rows of each file's sheet with most transactions."""
     counts = parsed.where("reason is null").groupBy("file_id", "sheet").agg(F.count(F.lit(1)).alias("n"))
     best = counts.withColumn("r", F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("n"), "sheet"))).where("r = 1")
-    return parsed.join(best.select("file_id", "sheet"), ["file_id", "sheet"], "left_semi")
+    # written, so that Spark knows its size and need not shuffle the rows for it
+    return parsed.join(cut(best.select("file_id", "sheet"), "best-sheets"), ["file_id", "sheet"], "left_semi")
 
 
 def infer_bank(files: DataFrame) -> DataFrame:
@@ -206,9 +223,10 @@ def infer_bank(files: DataFrame) -> DataFrame:
 
 def suppress_self(txns: DataFrame, cases: DataFrame) -> DataFrame:
     """Counterparties that say no more than the subject's own name become null."""
-    df = txns.join(cases.select("case_id", F.col("subject_name").alias("_subject")), "case_id", "left")
-    own = F.coalesce(refers_to_subject(name_tokens(F.col("counterparty_name")), name_tokens(F.col("_subject"))), F.lit(False))
-    return df.withColumn("counterparty_name", F.when(~own, F.col("counterparty_name"))).drop("_subject")
+    subjects = cut(cases.select("case_id", name_tokens(F.col("subject_name")).alias("_subject")), "subjects")
+    df = txns.join(subjects, "case_id", "left").withColumn("_tokens", name_tokens(F.col("counterparty_name")))
+    own = F.coalesce(refers_to_subject(F.col("_tokens"), F.col("_subject")), F.lit(False))
+    return df.withColumn("counterparty_name", F.when(~own, F.col("counterparty_name"))).drop("_subject", "_tokens")
 
 
 def fill_account(txns: DataFrame) -> DataFrame:

@@ -12,22 +12,29 @@ from tallyrock.sources.ledger import flag_ledger
 from tallyrock.sources.shared import cut
 
 
-def ingest(rows: DataFrame, files: DataFrame, cases: DataFrame, supplied: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Statement rows of files (file_id, case_id, filename) to (ledger, file reports).
-
-    ``supplied`` as in ``column_maps``; its bank_label, where it has one, names a file's bank.
-    """
+def ingest_ledger(rows: DataFrame, files: DataFrame, cases: DataFrame, supplied: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(ledger, column maps, parsed rows, banks) of statement rows; the ledger is not written, for those who read it once. ``supplied`` as in ``ingest``."""
     maps = cut(normalize.column_maps(normalize.find_header(rows), supplied), "column-maps")
-    parsed = cut(normalize.best_sheet(normalize.parse_rows(rows, maps)), "ingest")
+    parsed = normalize.best_sheet(normalize.parse_rows(rows, maps))
     good = parsed.where("reason is null").withColumn("account_id", F.col("account"))
-    skipped = parsed.groupBy("file_id").agg(F.count_if(F.col("reason").isNull()).alias("rows_parsed"), F.count_if(F.col("reason").isNotNull()).alias("rows_skipped"))
     banks = normalize.infer_bank(normalize.bank_labels(files, maps, parsed))
     if supplied is not None and "bank_label" in supplied.columns:
         given = supplied.select("file_id", F.nullif(F.trim("bank_label"), F.lit("")).alias("_given"))
         banks = banks.join(given, "file_id", "left").select("file_id", F.coalesce("_given", "bank").alias("bank"))
+    banks = cut(banks, "file-banks")
     txns = good.join(files.select("file_id", "case_id"), "file_id").join(banks, "file_id")
     txns = normalize.fill_account(normalize.suppress_self(txns, cases))
-    txns = cut(txns.withColumn("id", F.xxhash64("file_id", "sheet", "row_index")), "ledger")
+    return txns.withColumn("id", F.xxhash64("file_id", "sheet", "row_index")), maps, parsed, banks
+
+
+def ingest(rows: DataFrame, files: DataFrame, cases: DataFrame, supplied: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Statement rows of files (file_id, case_id, filename) to (ledger, file reports).
+
+    ``supplied`` as in ``column_maps``; its bank_label, where it has one, names a file's bank.
+    """
+    txns, maps, parsed, banks = ingest_ledger(rows, files, cases, supplied)
+    txns = cut(txns, "ledger")
+    skipped = parsed.groupBy("file_id").agg(F.count_if(F.col("reason").isNull()).alias("rows_parsed"), F.count_if(F.col("reason").isNotNull()).alias("rows_skipped"))
     balances, copies = quality.reconcile_balances(txns), quality.file_duplicates(txns)
     side = lambda d: F.coalesce(netting.money(F.when(F.col("direction") == d, F.col("amount_kwd"))), F.lit(0.0))
     totals = txns.groupBy("file_id").agg(F.min("posting_date").alias("period_start"), F.max("posting_date").alias("period_end"), F.sort_array(F.collect_set("account_id")).alias("accounts"), side("credit").alias("total_credits"), side("debit").alias("total_debits"))
@@ -92,4 +99,4 @@ def backfill_dq(runs: DataFrame, txns: DataFrame, files: DataFrame) -> DataFrame
     return quality.dq_report(txns.join(lacking, "case_id", "left_semi"), files.join(lacking, "case_id", "left_semi"))
 
 
-__all__ = ["backfill_dq", "ingest", "portfolio", "rescreen", "score_cases"]
+__all__ = ["backfill_dq", "ingest", "ingest_ledger", "portfolio", "rescreen", "score_cases"]

@@ -42,6 +42,8 @@ def _cells(line: Column, sep: str) -> Column:
     """Cells of a record; quoted ones may hold the separator, line ends and doubled quotes. Empty cells are null."""
     part = re.escape(sep)
     raw = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(f'{part}("[^"]*+(?:""[^"]*+)*+"|[^{part}]*)'), F.lit(1))
+    bare = F.split(line, part, -1)
+    raw = F.when(line.contains('"'), raw).otherwise(bare)
     plain = lambda c: F.when(c.startswith('"') & (F.length(c) > 1), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
     return F.transform(raw, lambda c: F.nullif(plain(c), F.lit("")))
 
@@ -51,7 +53,8 @@ def _numbered(lines: DataFrame) -> DataFrame:
     splits = lines.groupBy("path", "block").agg(F.min("at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     splits = splits.withColumn("_before", F.coalesce(before, F.lit(0)))
-    return lines.join(splits, ["path", "block"]).select("path", "value", (F.col("at") - F.col("_first") + F.col("_before")).cast("int").alias("row_index"))
+    # written, so that Spark knows its size and need not shuffle the lines for it
+    return lines.join(cut(splits.drop("_n"), "statement-splits"), ["path", "block"]).select("path", "value", (F.col("at") - F.col("_first") + F.col("_before")).cast("int").alias("row_index"))
 
 
 def _records(lines: DataFrame) -> DataFrame:
@@ -93,6 +96,7 @@ def read_statement_rows(spark: SparkSession, path: str, sep: str | None = None,
         count = lambda s: F.sum(F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit(""))))
         most = F.greatest(*[F.struct(count(s).alias("n"), F.lit(-k).alias("k")) for k, s in enumerate(SEPARATORS)])
         found = rows.where(F.col("row_index") < SEPARATOR_ROWS).groupBy("path").agg((-most["k"]).alias("_sep"))
+        found = cut(found, "statement-separators")
         cells = F.coalesce(*[F.when(F.col("_sep") == k, _cells(F.col("value"), s)) for k, s in enumerate(SEPARATORS)])
         rows = rows.join(found, "path").withColumn("cells", cells)
     else:

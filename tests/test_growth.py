@@ -127,3 +127,30 @@ def test_parties_meet_sums_not_rows(spark):
     assert len(named(got)) > 20 and named(got) == named(want)
     # an account without bank and number is no counterparty, so it has no country, as in the SQL
     assert {r["country"] for r in got.where("node = 'acct'").collect()} == {None}
+
+
+def test_statements_are_written_once_and_put_in_no_order(spark):
+    from tallyrock.operators import normalize
+    from tallyrock.plans import jobs
+
+    body = lambda n: [["05/01/2025", "one", "(1,234.5)"]] + [[None, " ", None]] * n + [["06/01/2025", "two", "7"]]
+    made = [(f, "1", k, cells, f"file-{f}") for f, n in ((1, 80), (2, 81)) for k, cells in enumerate([["Date", "Details", "Amount"], *body(n)])]
+    rows = spark.createDataFrame(made, "file_id long, sheet string, row_index int, cells array<string>, filename string")
+    maps = normalize.column_maps(normalize.find_header(rows))
+    assert "Window" not in plan_of(normalize.table_rows(rows.where("file_id = 1"), maps))
+    files = rows.selectExpr("file_id", "file_id as case_id", "filename").distinct()
+    cases = spark.createDataFrame([(1, "SOME ONE", 1.0)], "case_id long, subject_name string, income double")
+    before = set(tables(spark))
+    txns = jobs.ingest_ledger(rows, files, cases)[0]
+    # the one table of all rows; the others hold a row for each file, header, narrative or case
+    written = {x.rpartition("-")[0] for x in set(tables(spark)) - before}
+    assert "cells" in written and not {"ingest", "ledger"} & written
+    # 81 empty rows end a sheet, 80 do not
+    assert sorted((x["file_id"], x["narrative"], x["amount"], x["direction"]) for x in txns.collect()) == [(1, "one", 1234.5, "debit"), (1, "two", 7.0, "credit"), (2, "one", 1234.5, "debit")]
+
+
+def test_plain_amounts_are_read_as_odd_ones(spark):
+    r = random.Random(7)
+    made = {"".join(r.choice("0123456789,.()+-") for _ in range(r.randrange(1, 9))) for _ in range(3000)} | {f"({k:,.2f})" for k in (1, 1234, 12345678)} | {"5\n", "(5", "5)", "+5", "1,2345", "0,123", " 7 "}
+    rows = spark.createDataFrame([(x,) for x in sorted(made)], "t string").select("t", narrative.parse_amount(F.col("t")).alias("a"), narrative._odd_amount(F.trim("t")).alias("b")).collect()
+    assert [x["t"] for x in rows if x["a"] != x["b"]] == [] and any(x["a"] is not None for x in rows)
