@@ -109,18 +109,22 @@ def statement_overlap(files: DataFrame) -> DataFrame:
     return both.select("case_id", "account_id", "file_a", "file_b", days.alias("days")).where("days > 1")
 
 
-def _said(txns: DataFrame) -> DataFrame:
-    """``txns`` with ``_said``, what is signed; rows without text or balance, too weak to be called equal, are left out."""
+def _marked(txns: DataFrame) -> DataFrame:
+    """``txns`` with ``_mark``, the text or balance that is signed; rows without, too weak to be called equal, are left out."""
     text = F.substring(F.trim(F.regexp_replace(F.lower(F.coalesce("narrative", F.lit(""))), r"[\s\x{A0}]+", " ")), 1, 80)
     balance = three_places(F.col("running_balance")) if "running_balance" in txns.columns else F.lit(None).cast("string")
     mark = F.when(F.length(text) >= 6, text).otherwise(balance)
-    said = F.concat_ws("|", "account_id", F.col("posting_date").cast("string"), "direction", three_places(F.col("amount_kwd")), mark)
-    return txns.where(mark.isNotNull()).withColumn("_said", said)
+    return txns.withColumn("_mark", mark).where("_mark is not null")
+
+
+def _said() -> Column:
+    """What is signed of ``_marked`` rows."""
+    return F.concat_ws("|", "account_id", F.col("posting_date").cast("string"), "direction", three_places(F.col("amount_kwd")), "_mark")
 
 
 def signed(txns: DataFrame) -> DataFrame:
     """``txns`` with ``signature``; rows that are too weak to be called equal are left out."""
-    return _said(txns).withColumn("signature", F.sha2("_said", 256)).drop("_said")
+    return _marked(txns).withColumn("signature", F.sha2(_said(), 256)).drop("_mark")
 
 
 def cross_file_duplicates(txns: DataFrame) -> DataFrame:
@@ -151,11 +155,11 @@ def currency_counts(txns: DataFrame) -> DataFrame:
 def duplicate_ids(txns: DataFrame) -> DataFrame:
     """(case_id, signature, id, line) of the rows that several files report."""
     # rows that agree in a short hash with rows of another file: few, and all that have to be signed
-    hashed = _said(txns).withColumn("_hash", F.xxhash64("_said"))
-    hashed = hashed.select("case_id", "id", "file_id", "account_id", "posting_date", "direction", "amount_kwd", "_said", "_hash")
+    hashed = _marked(txns).withColumn("_hash", F.xxhash64(_said()))
+    hashed = hashed.select("case_id", "id", "file_id", "account_id", "posting_date", "direction", "amount_kwd", "_mark", "_hash")
     w = Window.partitionBy("case_id", "_hash")
     alike = hashed.withColumns({"_low": F.min("file_id").over(w), "_high": F.max("file_id").over(w)}).where("_low <> _high")
-    rows = cut(alike.withColumn("signature", F.sha2("_said", 256)).drop("_said", "_hash", "_low", "_high"), "alike")
+    rows = cut(alike.withColumn("signature", F.sha2(_said(), 256)).drop("_mark", "_hash", "_low", "_high"), "alike")
     found = rows.groupBy("case_id", "signature").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file_id").alias("files")).where("n > 1 and files > 1")
     line = F.format_string("%s %s %s %.3f KWD", "account_id", F.col("posting_date").cast("string"), "direction", "amount_kwd")
     return rows.withColumn("line", line).join(found, ["case_id", "signature"]).select("case_id", "signature", "id", F.format_string("%s - in %d files (%d rows)", "line", "files", "n").alias("line"))
