@@ -154,3 +154,36 @@ def test_plain_amounts_are_read_as_odd_ones(spark):
     made = {"".join(r.choice("0123456789,.()+-") for _ in range(r.randrange(1, 9))) for _ in range(3000)} | {f"({k:,.2f})" for k in (1, 1234, 12345678)} | {"5\n", "(5", "5)", "+5", "1,2345", "0,123", " 7 "}
     rows = spark.createDataFrame([(x,) for x in sorted(made)], "t string").select("t", narrative.parse_amount(F.col("t")).alias("a"), narrative._odd_amount(F.trim("t")).alias("b")).collect()
     assert [x["t"] for x in rows if x["a"] != x["b"]] == [] and any(x["a"] is not None for x in rows)
+
+
+def test_rows_are_summed_before_they_meet_their_parties(spark):
+    r = random.Random(11)
+    names = ["OMAR HASSAN", "Omar  Hassan", "OMAR H", "SALEM TRADING CO", "Salem Trading", "NOUR SAID", "??", None]
+    day = dt.date(2025, 1, 1)
+    made = [(k % 3, k, r.choice(("credit", "debit")), float(r.randrange(1, 90_000)) / 10, r.choice(names), r.choice((None, "own transfer", "rent")), day) for k in range(400)]
+    rows = spark.createDataFrame(made, "case_id long, id long, direction string, amount_kwd double, counterparty_name string, narrative string, posting_date date")
+    clustered, parties = identities.resolved(rows)[2], identities.party_spellings(rows)
+    of = lambda df: sorted((tuple(x) for x in df.collect()), key=str)
+    assert of(features.spelled_sums(rows, parties)) == of(features.party_sums(clustered)) and features.party_sums(clustered).count() == 3
+    assert of(forensics.spelled_concentration(rows, parties)) == of(forensics.concentration(clustered)) != []
+
+
+def test_rows_meet_the_legs_without_their_texts(spark):
+    day = lambda k: dt.date(2025, 1, 1) + dt.timedelta(k)
+    made = [(1, k, "credit", 500.0, day(20 * k), "salary", "Payer One" if k % 2 else None, "KUWAIT", "text") for k in range(10)]
+    rows = spark.createDataFrame(made, "case_id long, id long, direction string, amount_kwd double, posting_date date, channel string, counterparty_name string, counterparty_country string, narrative string")
+    pairs = spark.createDataFrame([(1, 1, 2)], "case_id long, debit_id long, credit_id long")
+    assert not {"narrative", "counterparty_name", "counterparty_country"} & set(features.marked(rows, pairs, slim=True).columns)
+    sums = features.case_sums(rows, pairs, Thresholds())
+    assert "Expand" not in plan_of(sums) and "count(distinct" not in plan_of(sums)
+    assert (x := sums.first())["active_months"] == len({m[4].month for m in made}) and x["n_ext"] == 8 and x["turnover"] == 5000.0
+
+
+def test_reported_rows_come_from_one_reading(spark):
+    from tallyrock.plans import testdata as td
+
+    rows = spark.createDataFrame([(k * 10, 3, "x") for k in range(12)], "id long, file_id long, bank string")
+    got = td.reported(rows)
+    assert "Union" not in plan_of(got) and plan_of(got).count("LogicalRDD") == 1
+    want = rows.unionByName(rows.where("id % 50 = 0").withColumns({"file_id": F.col("file_id") + 5, "id": F.col("id") + 700_000_000_000}))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.schema == want.schema
