@@ -12,7 +12,7 @@ from tallyrock.operators.features import round3
 from tallyrock.operators import declarations, normalize, quality, sanctions, scoring, views
 from tallyrock.plans import jobs
 from tallyrock.plans import testdata as td
-from tallyrock.queries import ORACLES, QUERIES, with_pairs
+from tallyrock.queries import ORACLES, QUERIES, SCORED_COLUMNS, with_pairs
 from tallyrock.sources.ledger import SCHEMAS, merge_flags, read_statement_rows, read_table, write_ledger, write_runs
 from tallyrock.sources.shared import cut, new_path
 from tallyrock.view_queries import CHANNEL
@@ -359,8 +359,9 @@ def s6_broken_declarations(spark, sf_dir):
 
 def scored(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Features, hits and scores of the ledger's cases by the quality of their files."""
-    txns, pairs, cases = with_pairs(spark, sf_dir)
-    return jobs.score(txns, cases, pairs, cut(quality.case_quality(files(spark, sf_dir)[1]), "quality"), shown=True)
+    txns, pairs, cases = with_pairs(spark, sf_dir, (*SCORED_COLUMNS, "file_id"))
+    # the reports are read once, from the ledger that is written already
+    return jobs.score(txns, cases, pairs, cut(quality.case_quality(td.bank_files(td.reported(txns))), "quality"), shown=True)
 
 
 @query()
