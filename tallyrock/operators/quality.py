@@ -153,16 +153,20 @@ def currency_counts(txns: DataFrame) -> DataFrame:
 
 
 def duplicate_ids(txns: DataFrame) -> DataFrame:
-    """(case_id, signature, id, line) of the rows that several files report."""
-    # rows that agree in a short hash with rows of another file: few, and all that have to be signed
+    """(case_id, signature, id, nth, line) of the rows that several files report, written once; ``nth`` counts a signature's rows by id, and its first has the line.
+
+    Rows that agree in a short hash with rows of another file are few, and all that have to be signed. Those of a signature
+    share its hash, so they are counted where they are found, without another shuffle.
+    """
     hashed = _marked(txns).withColumn("_hash", F.xxhash64(_said()))
     hashed = hashed.select("case_id", "id", "file_id", "account_id", "posting_date", "direction", "amount_kwd", "_mark", "_hash")
     w = Window.partitionBy("case_id", "_hash")
     alike = hashed.withColumns({"_low": F.min("file_id").over(w), "_high": F.max("file_id").over(w)}).where("_low <> _high")
-    rows = cut(alike.withColumn("signature", F.sha2(_said(), 256)).drop("_mark", "_hash", "_low", "_high"), "alike")
-    found = rows.groupBy("case_id", "signature").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file_id").alias("files")).where("n > 1 and files > 1")
-    line = F.format_string("%s %s %s %.3f KWD", "account_id", F.col("posting_date").cast("string"), "direction", "amount_kwd")
-    return rows.withColumn("line", line).join(found, ["case_id", "signature"]).select("case_id", "signature", "id", F.format_string("%s - in %d files (%d rows)", "line", "files", "n").alias("line"))
+    same = Window.partitionBy("case_id", "_hash", "signature")
+    rows = alike.withColumn("signature", F.sha2(_said(), 256)).withColumn("_file", F.dense_rank().over(same.orderBy("file_id")))
+    rows = rows.withColumns({"n": F.count(F.lit(1)).over(same), "files": F.max("_file").over(same), "nth": F.row_number().over(same.orderBy("id", "file_id"))}).where("files > 1")
+    line = F.format_string("%s %s %s %.3f KWD - in %d files (%d rows)", "account_id", F.col("posting_date").cast("string"), "direction", "amount_kwd", "files", "n")
+    return cut(rows.select("case_id", "signature", "id", "nth", F.when(F.col("nth") == 1, line).alias("line")), "alike")
 
 
 def top_items(rows: DataFrame, item: Column, *order: Column | str) -> DataFrame:
@@ -179,7 +183,7 @@ def dq_report(txns: DataFrame, files: DataFrame) -> DataFrame:
     said = files.select("case_id", "file_id", bank.alias("bank"), F.explode("issues").alias("issue")).where(F.lower("issue").contains("balance"))
     skipped = files.where("rows_skipped > 0")
     copies = duplicate_ids(txns)
-    groups = copies.groupBy("case_id", "signature").agg(F.first("line").alias("line"), F.min("id").alias("first"))
+    groups = copies.where("nth = 1").withColumnRenamed("id", "first")
     ids = copies.withColumn("r", F.row_number().over(Window.partitionBy("case_id").orderBy("signature", "id"))).where(F.col("r") <= MOST_IDS).groupBy("case_id").agg(F.sort_array(F.collect_list("id")).alias("txn_ids"))
     lines = {
         "parse_coverage": top_items(skipped, F.format_string("%s: %d rows skipped (%s)", bank, "rows_skipped", "filename"), "file_id"),
