@@ -173,7 +173,7 @@ def test_rows_meet_the_legs_without_their_texts(spark):
     made = [(1, k, "credit", 500.0, day(20 * k), "salary", "Payer One" if k % 2 else None, "KUWAIT", "text") for k in range(10)]
     rows = spark.createDataFrame(made, "case_id long, id long, direction string, amount_kwd double, posting_date date, channel string, counterparty_name string, counterparty_country string, narrative string")
     pairs = spark.createDataFrame([(1, 1, 2)], "case_id long, debit_id long, credit_id long")
-    assert not {"narrative", "counterparty_name", "counterparty_country"} & set(features.marked(rows, pairs, slim=True).columns)
+    assert not {"narrative", "counterparty_name", "counterparty_country"} & set(features.marked(rows, pairs, features.SLIM).columns)
     sums = features.case_sums(rows, pairs, Thresholds())
     assert "Expand" not in plan_of(sums) and "count(distinct" not in plan_of(sums)
     assert (x := sums.first())["active_months"] == len({m[4].month for m in made}) and x["n_ext"] == 8 and x["turnover"] == 5000.0
@@ -187,3 +187,14 @@ def test_reported_rows_come_from_one_reading(spark):
     assert "Union" not in plan_of(got) and plan_of(got).count("LogicalRDD") == 1
     want = rows.unionByName(rows.where("id % 50 = 0").withColumns({"file_id": F.col("file_id") + 5, "id": F.col("id") + 700_000_000_000}))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.schema == want.schema
+
+
+def test_copies_are_counted_where_they_are_found(spark):
+    day = dt.date(2025, 1, 1)
+    made = [(1, k, f, "A", day, "debit", 1.5, text) for k, (f, text) in enumerate([(1, "rent of may"), (2, "rent of may"), (2, "rent of may"), (3, "rent of june"), (3, "rent of june"), (4, "rent of july")])]
+    txns = spark.createDataFrame(made, "case_id long, id long, file_id long, account_id string, posting_date date, direction string, amount_kwd double, narrative string")
+    before = set(tables(spark))
+    got = quality.duplicate_ids(txns)
+    assert sorted((x["id"], x["nth"], x["line"]) for x in got.collect()) == [(0, 1, "A 2025-01-01 debit 1.500 KWD - in 2 files (3 rows)"), (1, 2, None), (2, 3, None)]
+    # what is written is the rows of copies alone: nothing is left to join or to group
+    assert {x.rpartition("-")[0] for x in set(tables(spark)) - before} == {"alike"} and "Join" not in plan_of(got) and "Aggregate" not in plan_of(got)
